@@ -6,9 +6,9 @@ a third of a 100 TB table that map does not fit. ``quantiles`` instead
 1. computes ``n`` and a bounded-memory GK sketch (``percentile_approx``) per group, asking for
    probabilities widened by three times the sketch's rank error, which brackets every target
    rank;
-2. streams the rows once more, collapsing everything below/above the bracket to a count
-   (map-side partial aggregation), so only the few distinct values inside the bracket are
-   shuffled;
+2. streams the rows once more, collapsing everything below/above the bracket to a count and
+   its extreme value (map-side partial aggregation), so only the few distinct values inside the
+   bracket are shuffled;
 3. ranks the bracket values (small, per group) and interpolates linearly like
    ``quantile_cont`` / pandas: ``x[lo] + (pos - lo) * (x[hi] - x[lo])``, ``pos = p (n - 1)``.
 
@@ -91,7 +91,7 @@ def quantiles(
         exploded.withColumn("side", side)
         .withColumn("val", F.when(F.col("side") == 0, F.col("__v")))
         .groupBy(*keys, "j", "n", "side", "val")
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.count(F.lit(1)).alias("c"), F.max("__v").alias("mx"), F.min("__v").alias("mn"))
     )
     w = Window.partitionBy(*keys, "j").orderBy("side", "val").rowsBetween(Window.unboundedPreceding, 0)
     pos = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("j") + 1) * (F.col("n") - 1)
@@ -103,12 +103,18 @@ def quantiles(
         .withColumn("ihi", F.ceil("pos"))
     )
 
-    def hit(i: str) -> Column:
-        return (F.col("side") == 0) & (F.col("start") <= F.col(i)) & (F.col(i) < F.col("end"))
+    def at(i: str) -> Column:
+        # The sketch returns the element at rank ceil(p n) while interpolation needs
+        # floor/ceil of p (n - 1): a needed rank can lie one step outside the bracket, so the
+        # largest value below it and the smallest above it are kept as well.
+        i = F.col(i)
+        return (F.when((F.col("side") == 0) & (F.col("start") <= i) & (i < F.col("end")), F.col("val"))
+                .when((F.col("side") == -1) & (i == F.col("end") - 1), F.col("mx"))
+                .when((F.col("side") == 1) & (i == F.col("start")), F.col("mn")))
 
     per_j = ranked.groupBy(*keys, "j", "n").agg(
-        F.max(F.when(hit("ilo"), F.col("val"))).alias("xlo"),
-        F.max(F.when(hit("ihi"), F.col("val"))).alias("xhi"),
+        F.max(at("ilo")).alias("xlo"),
+        F.max(at("ihi")).alias("xhi"),
         F.first("pos").alias("pos"),
         F.first("ilo").alias("ilo"),
     )
@@ -138,3 +144,65 @@ def sample_kurtosis(c: str | Column) -> Column:
     return F.when(n < 4, F.lit(None).cast("double")).when(F.var_pop(col) == 0, F.lit(0.0)).otherwise(
         (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
     )
+
+
+# ---------------------------------------------------------------- hash-order rank cuts
+#
+# Stratified splits and folds need, per class, "the first k rows of a pseudo-random order".
+# A window per class would put a class holding a third of the table into one task. Instead the
+# order is ``(h, id)`` with ``h = xxhash64(id, seed)`` (uniform over 64 bits), and the k-th row is
+# found by a two-pass radix select: (1) counts per (class, top 20 bits of h) — map-side combined,
+# at most 2^20 rows per class — locate the bucket holding rank k; (2) only the rows of that
+# bucket (about n / 2^20 per class) are ranked exactly.
+
+BUCKET_SHIFT = 44
+
+
+def hash_order(df: DataFrame, id_col: str, seed: int) -> Column:
+    return F.xxhash64(F.col(id_col), F.lit(seed))
+
+
+def rank_cuts(df: DataFrame, by: Sequence[str], id_col: str, seed: int, fractions: Sequence[float]) -> DataFrame:
+    """Per group, the ``(h, id)`` of the row at rank ``round(f * n)`` of the hash order, for each
+    fraction ``f``; returns ``by..., cuts`` (array of structs ``j, h, id``, rank 0 -> null h)."""
+    keys = list(by)
+    base = df.select(*keys, hash_order(df, id_col, seed).alias("__h"), F.col(id_col).alias("__id"))
+    base = base.withColumn("__b", F.shiftright("__h", BUCKET_SHIFT))
+    counts = base.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    wk = Window.partitionBy(*keys)
+    cum = counts.withColumn("__end", F.sum("__c").over(wk.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("__n", F.sum("__c").over(wk))
+    fr = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(f)).alias("f")) for j, f in enumerate(fractions)])
+    targets = cum.select(*keys, "__b", "__c", "__end", "__n", F.inline(fr)) \
+        .withColumn("__k", F.round(F.col("f") * F.col("__n")).cast("bigint")) \
+        .where((F.col("__end") - F.col("__c") < F.col("__k")) & (F.col("__k") <= F.col("__end"))) \
+        .select(*keys, "__b", "j", (F.col("__k") - (F.col("__end") - F.col("__c"))).alias("__r"))
+    inside = base.join(targets, [*keys, "__b"], "inner")
+    wr = Window.partitionBy(*keys, "j").orderBy("__h", "__id")
+    picked = inside.withColumn("__rn", F.row_number().over(wr)).where(F.col("__rn") == F.col("__r"))
+    cut_rows = picked.groupBy(*keys).agg(F.collect_list(F.struct(
+        "j", F.col("__h").alias("h"), F.col("__id").alias("id"))).alias("cuts"))
+    if not keys:
+        return cut_rows
+    groups = counts.select(*keys).distinct()
+    return groups.join(cut_rows, keys, "left").select(
+        *keys, F.coalesce("cuts", F.array().cast(cut_rows.schema["cuts"].dataType)).alias("cuts"))
+
+
+def hash_chunks(df: DataFrame, by: str | Sequence[str] | None, id_col: str, seed: int,
+                fractions: Sequence[float], out: str) -> DataFrame:
+    """Adds ``out`` = index of the chunk of the per-group hash order a row falls into, where the
+    chunk ends are at ranks ``round(f * n)`` (``fractions`` ascending). Rows with a null group
+    key get null."""
+    keys = _by_list(by)
+    cuts = rank_cuts(df.where(F.lit(True) if not keys else F.col(keys[0]).isNotNull()), keys, id_col, seed, fractions)
+    h = hash_order(df, id_col, seed)
+    joined = attach(df.withColumn("__h", h), cuts, keys)
+    after = F.size(F.filter("cuts", lambda c: (F.col("__h") > c["h"]) |
+                            ((F.col("__h") == c["h"]) & (F.col(id_col) > c["id"]))))
+    missing = len(fractions) - F.size("cuts")  # ranks 0: every row comes after them
+    result = joined.withColumn(out, (after + missing).cast("int")).drop("__h", "cuts")
+    if keys:
+        nulls = df.where(F.col(keys[0]).isNull()).withColumn(out, F.lit(None).cast("int"))
+        result = result.unionByName(nulls)
+    return result
