@@ -774,7 +774,7 @@ def q_similar_other_brand(spark, sf_dir):
     return _rec_cols(rec._rank(rec._targets_by_id(first), 5, True, True))
 
 
-_NAME_TEXT = "chocolate"
+_NAME_TEXT = "blue"
 
 
 @register("similar_by_name", _rec_sql(
