@@ -10,8 +10,9 @@ cover ratios of those tests. The Shapley value of ``i in P`` for this game is
 
 with ``c_m`` the coefficients of ``prod_{j in P, j != i} (z_j + o_j t)``; the model's value is the
 sum over its leaves. The leaf table is derived from the fitted model (which Spark ML keeps on
-the driver; its size depends on the model, never on the data) and broadcast as one array; each
-row then folds over the leaves in a single projection — no shuffle, rows stay where they are.
+the driver; its size depends on the model, never on the data) and compiled per leaf into the
+attributions of each of its ``2^k`` test outcomes; rows meet it in a broadcast nested-loop join
+where each pair costs ``k`` comparisons and a lookup.
 
 Linear models: ``phi_j = w_j * (x_j - mean_j)`` with the means of a background sample. Any
 model (``d`` small): exact enumeration of the ``2^d`` coalitions against a background sample.
@@ -65,6 +66,8 @@ def tree_leaves(spark, model, class_index: int | None = None, margin: bool = Tru
     ``class_index``.
     """
     m = _tree_model(model)
+    if isinstance(m, OneVsRestModel):  # the margin of one class's binary sub-model
+        m = m.models[class_index or 0]
     if isinstance(m, (RandomForestRegressionModel, RandomForestClassificationModel)):
         weights = [1.0 / m.getNumTrees] * m.getNumTrees
     elif isinstance(m, (GBTRegressionModel, GBTClassificationModel)):
@@ -115,63 +118,94 @@ def expected_value(leaves: list[dict]) -> float:
     return float(sum(lf["value"] * math.prod(p["z"] for p in lf["feats"]) for lf in leaves))
 
 
-def _shapley_weights(kmax: int) -> list[list[float]]:
-    """``W[k-1][m] = m! (k-m-1)! / k!`` for path lengths up to ``kmax``."""
-    return [[math.factorial(m) * math.factorial(k - m - 1) / math.factorial(k) for m in range(k)]
-            for k in range(1, kmax + 1)]
+def _shapley_weights(k: int) -> list[float]:
+    """``w[m] = m! (k-m-1)! / k!``."""
+    return [math.factorial(m) * math.factorial(k - m - 1) / math.factorial(k) for m in range(k)]
 
 
-def _leaves_frame(spark, leaves: list[dict]) -> DataFrame:
-    schema = ("leaves array<struct<value: double, feats: array<struct<f: int, z: double, lo: double, hi: double>>>>")
-    data = [([(lf["value"], [(p["f"], p["z"], p["lo"], p["hi"]) for p in lf["feats"]]) for lf in leaves],)]
-    return spark.createDataFrame(data, schema)
+def pattern_table(leaves: list[dict]) -> list[tuple]:
+    """Compile the leaves: for each leaf and each of the ``2^k`` outcomes of its ``k`` interval
+    tests (bit ``j`` set = the row satisfies feature slot ``j``), the attribution of every slot.
+
+    A leaf's contribution depends on the row only through that outcome pattern, so the Shapley
+    algebra runs once per leaf here (vectorised over leaves and patterns), and the per-row work
+    in Spark is ``k`` comparisons and a lookup. Size: leaves x 2^k x k, fixed by the model.
+    Returns ``(k, value, f[], lo[], hi[], contrib[])`` rows, ``contrib[p * k + j]``.
+    """
+    import numpy as np
+
+    out = []
+    by_k: dict[int, list[dict]] = {}
+    for lf in leaves:
+        by_k.setdefault(len(lf["feats"]), []).append(lf)
+    for k, group in by_k.items():
+        V = np.array([lf["value"] for lf in group])
+        if k == 0:
+            out += [(0, float(v), [], [], [], []) for v in V]
+            continue
+        Z = np.array([[p["z"] for p in lf["feats"]] for lf in group])  # (n, k)
+        P = ((np.arange(2 ** k)[:, None] >> np.arange(k)[None, :]) & 1).astype(float)  # (2^k, k)
+        w = np.array(_shapley_weights(k))
+        contrib = np.zeros((len(group), 2 ** k, k))
+        for i in range(k):
+            C = np.ones((len(group), 2 ** k, 1))
+            for j in range(k):
+                if j == i:
+                    continue
+                zj = Z[:, j][:, None, None]
+                oj = P[:, j][None, :, None]
+                shifted = np.concatenate([np.zeros_like(C[..., :1]), C], axis=2)
+                C = np.concatenate([C, np.zeros_like(C[..., :1])], axis=2) * zj + shifted * oj
+            s = (C * w[None, None, :C.shape[2]]).sum(axis=2)  # (n, 2^k)
+            contrib[:, :, i] = V[:, None] * (P[None, :, i] - Z[:, i][:, None]) * s
+        for n_, lf in enumerate(group):
+            fs = lf["feats"]
+            out.append((k, float(V[n_]), [int(p["f"]) for p in fs], [float(p["lo"]) for p in fs],
+                        [float(p["hi"]) for p in fs], contrib[n_].reshape(-1).tolist()))
+    return out
 
 
 def tree_shap(df: DataFrame, model, feature_cols: Sequence[str], id_col: str = "row_id",
               class_index: int | None = None) -> DataFrame:
-    """Long ``(id, feature, shap_value)`` plus ``base_value`` per row for a tree ensemble;
+    """Long ``(id, feature, shap_value, base_value)`` for a tree ensemble;
     ``base_value + sum(shap_value) = model output`` (margin for boosted classifiers).
 
-    Features must be complete (impute first). The broadcast leaf array has one entry per leaf of
-    the model — a bound fixed by the model's size."""
+    Features must be complete (impute first). Rows meet the compiled leaf table in a broadcast
+    nested-loop join (the table is bounded by the model's size); each pair does ``k``
+    comparisons and a lookup inside whole-stage codegen, and the per-row sums are partially
+    aggregated before the shuffle, so only ``rows x d`` values move."""
     spark = df.sparkSession
     d = len(feature_cols)
     leaves = tree_leaves(spark, model, class_index)
-    kmax = max([len(lf["feats"]) for lf in leaves] + [1])
-    W = F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in _shapley_weights(kmax)])
     base = expected_value(leaves)
-    x = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    rows = df.select(F.col(id_col), x.alias("__x")).crossJoin(F.broadcast(_leaves_frame(spark, leaves)))
-
-    def leaf_phi(lf: Column) -> Column:
-        feats = lf["feats"]
-        k = F.size(feats)
-        o = F.transform(feats, lambda p: F.when((F.get(F.col("__x"), p["f"]) > p["lo"]) &
-                                                (F.get(F.col("__x"), p["f"]) <= p["hi"]), 1.0).otherwise(0.0))
-        idx = F.sequence(F.lit(0), k - 1)
-
-        def phi_i(i: Column) -> Column:
-            # coefficients of prod_{j != i} (z_j + o_j t), built one factor at a time
-            coeffs = F.aggregate(idx, F.array(F.lit(1.0)), lambda acc, j: F.when(j == i, acc).otherwise(
-                F.transform(F.sequence(F.lit(0), F.size(acc)), lambda m_: F.get(feats, j)["z"] * F.coalesce(
-                    F.get(acc, m_), F.lit(0.0)) + F.get(o, j) * F.coalesce(F.get(acc, m_ - 1), F.lit(0.0)))))
-            w = F.get(W, k - 1)
-            s = F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(0.0),
-                            lambda a, m_: a + F.coalesce(F.get(coeffs, m_), F.lit(0.0)) * F.get(w, m_))
-            return lf["value"] * (F.get(o, i) - F.get(feats, i)["z"]) * s
-
-        phis = F.transform(idx, phi_i)
-        # scatter the path features' values into a dense d-vector
-        return F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda f: F.aggregate(
-            F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), F.lit(0.0),
-            lambda a, i: a + F.when((k > 0) & (F.get(feats, i)["f"] == f), F.get(phis, i)).otherwise(0.0)))
-
-    empty = F.array_repeat(F.lit(0.0), d)
-    dense = rows.select(id_col, F.aggregate("leaves", empty, lambda acc, lf: F.zip_with(
-        acc, leaf_phi(lf), lambda a, b: a + b)).alias("__phi"))
-    names = F.array(*[F.lit(c) for c in feature_cols])
-    return dense.select(id_col, F.inline(F.arrays_zip(names.alias("feature"), F.col("__phi").alias("shap_value")))) \
-        .select(id_col, F.col("feature"), F.col("shap_value"), F.lit(base).alias("base_value"))
+    table = [t for t in pattern_table(leaves) if t[0] > 0]
+    kmax = max([t[0] for t in table] + [1])
+    compiled = spark.createDataFrame(
+        table, "k int, value double, f array<int>, lo array<double>, hi array<double>, contrib array<double>")
+    slots = compiled.select("k", "contrib", *[F.coalesce(F.get("f", j), F.lit(-1)).alias(f"__f{j}") for j in range(kmax)],
+                            *[F.get("lo", j).alias(f"__lo{j}") for j in range(kmax)],
+                            *[F.get("hi", j).alias(f"__hi{j}") for j in range(kmax)])
+    rows = df.select(F.col(id_col), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(feature_cols)])
+    pairs = rows.crossJoin(F.broadcast(slots))
+
+    def xval(j: int) -> Column:
+        f = F.col(f"__f{j}")
+        return F.coalesce(*[F.when(f == i, F.col(f"__x{i}")) for i in range(d)], F.lit(None).cast("double"))
+
+    pattern = sum([F.when((F.col(f"__f{j}") >= 0) & (xval(j) > F.col(f"__lo{j}")) & (xval(j) <= F.col(f"__hi{j}")),
+                          1 << j).otherwise(0) for j in range(kmax)], F.lit(0))
+    pairs = pairs.withColumn("__p", pattern)
+    phi = [sum([F.when(F.col(f"__f{j}") == i, F.get("contrib", F.col("__p") * F.col("k") + j)).otherwise(0.0)
+                for j in range(kmax)], F.lit(0.0)).alias(f"__phi{i}") for i in range(d)]
+    per_row = pairs.select(id_col, *phi).groupBy(id_col).agg(*[F.sum(f"__phi{i}").alias(f"__phi{i}") for i in range(d)])
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__phi{i}").alias("shap_value"))
+                    for i, c in enumerate(feature_cols)])
+    out = per_row.select(id_col, F.inline(arr), F.lit(base).alias("base_value"))
+    if not table:  # constant model: every attribution is 0
+        out = rows.select(id_col, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"),
+                                                              F.lit(0.0).alias("shap_value")) for c in feature_cols])),
+                          F.lit(base).alias("base_value"))
+    return out
 
 
 # ---------------------------------------------------------------- linear and model-agnostic

@@ -864,3 +864,7 @@ def q_outliers_events(spark, sf_dir):
 def q_by_order_status(spark, sf_dir):
     return profile.by_brand(read_table(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice", "o_custkey",
                             decimals=D)
+
+
+# Model, attribution and pipeline queries register themselves on import.
+from . import ml_queries  # noqa: E402,F401
