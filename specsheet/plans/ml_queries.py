@@ -7,7 +7,7 @@ closed-form ones (two-feature ridge, linear attributions) carry SQL. Fitted mode
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -180,8 +180,7 @@ def q_what_if(spark, sf_dir):
 def q_model_roundtrip(spark, sf_dir):
     """Save the best regressor, load it back, and compare predictions row by row."""
     pp, _ = regressor(spark, sf_dir)
-    path = tempfile.mkdtemp(prefix="model-", dir="/tmp") if not spark.conf.get("spark.checkpoint.dir", None) \
-        else f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-roundtrip"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
     pp.save_model(path)
     loaded = PricePredictor.load_model(path)
     rows = model_df(spark, sf_dir)
@@ -271,3 +270,14 @@ def q_shap_any(spark, sf_dir):
     rows = impute_median(model_df(spark, sf_dir), MODEL_NUMERIC, _medians_row(spark, pp))
     bg = E.background_sample(rows, 100)
     return E.exact_shap(rows, pp.models["ridge"], MODEL_NUMERIC, bg)
+
+
+# ================================================================ pipeline
+
+
+@register("pipeline_summary")
+def q_pipeline_summary(spark, sf_dir):
+    from ..sources.fixture import raw_specs
+    from .pipeline import run
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    return run(raw_specs(spark, sf_dir), out)

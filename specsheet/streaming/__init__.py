@@ -1,0 +1,3 @@
+"""Streaming: the reference has no stream, watermark or state; every operator here is a batch
+DataFrame function, and those that are row-local (cleaning, features, scoring) apply unchanged to
+a ``readStream`` DataFrame."""
