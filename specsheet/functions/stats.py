@@ -52,45 +52,65 @@ def quantiles(
     exact: bool = True,
     accuracy: int = DEFAULT_ACCURACY,
     prefix: str = "q",
+    bounds: bool = False,
+    aggs: Sequence[Column] = (),
 ) -> DataFrame:
     """Per-group quantiles of ``value`` (nulls ignored; null keys dropped like pandas).
 
     Returns ``by... , n, <prefix>0, <prefix>1, ...`` with one column per probability.
-    Groups with no non-null value are absent.
+    ``bounds=True`` adds ``min``, ``max`` and ``<prefix>le<j>`` = the largest value that is at most
+    quantile ``j`` (one of its two interpolation points, so no extra pass is needed).
+    ``aggs``: further aggregate expressions over all rows of each group (null values included),
+    computed in the same pass as the sketch and returned as extra columns.
+    Groups with no non-null value are absent unless ``aggs`` are given (then their quantiles are
+    null).
     """
     keys = _by_list(by)
     probs = [float(p) for p in probs]
     k = len(probs)
+    aggs = list(aggs)
     v = F.col(value) if isinstance(value, str) else value
-    base = df.select(*[F.col(c) for c in keys], v.cast("double").alias("__v")).where(
-        F.col("__v").isNotNull()
-    )
+    rows = df.withColumn("__v", v.cast("double"))
     for c in keys:
-        base = base.where(F.col(c).isNotNull())
+        rows = rows.where(F.col(c).isNotNull())
+    # With carried aggregates every row takes part (null values included); otherwise only the
+    # non-null values are read.
+    first = rows if aggs else rows.select(*keys, "__v").where(F.col("__v").isNotNull())
+    carried = [c for c in first.groupBy(*keys).agg(*aggs).columns if c not in keys] if aggs else []
     if not exact:
-        return base.groupBy(*keys).agg(
+        out = first.groupBy(*keys).agg(
+            *aggs,
             F.count("__v").alias("n"),
             F.percentile_approx("__v", probs, accuracy).alias("__q"),
-        ).select(*keys, "n", *[F.col("__q")[j].alias(f"{prefix}{j}") for j in range(k)])
+            F.min("__v").alias("min"), F.max("__v").alias("max"),
+        )
+        extra = ["min", "max", *[F.col("__q")[j].alias(f"{prefix}le{j}") for j in range(k)]] if bounds else []
+        return out.select(*keys, "n", *[F.col("__q")[j].alias(f"{prefix}{j}") for j in range(k)], *extra, *carried)
 
     margin = 3.0 / accuracy
     lo_p = [max(0.0, p - margin) for p in probs]
     hi_p = [min(1.0, p + margin) for p in probs]
-    sketch = base.groupBy(*keys).agg(
+    sketch = first.groupBy(*keys).agg(
+        *aggs,
         F.count("__v").alias("n"),
         F.percentile_approx("__v", lo_p + hi_p, accuracy).alias("__b"),
+        F.min("__v").alias("__min"), F.max("__v").alias("__max"),
     )
-    joined = attach(base, sketch, keys)
+    # The group constants (n, min, max, carried aggregates) ride along as grouping keys, so the
+    # sketch is computed once and never joined back.
+    consts = ["n", "__min", "__max", *carried]
+    joined = attach(first.select(*keys, "__v"), sketch, keys)
     brackets = F.array(*[
         F.struct(F.lit(j).alias("j"), F.col("__b")[j].alias("lo"), F.col("__b")[k + j].alias("hi"))
         for j in range(k)
     ])
-    exploded = joined.select(*keys, "n", "__v", F.inline(brackets))
-    side = F.when(F.col("__v") < F.col("lo"), -1).when(F.col("__v") > F.col("hi"), 1).otherwise(0)
+    exploded = joined.select(*keys, *consts, "__v", F.inline(brackets))
+    side = (F.when(F.col("__v").isNull(), 2).when(F.col("__v") < F.col("lo"), -1)
+            .when(F.col("__v") > F.col("hi"), 1).otherwise(0))
     collapsed = (
         exploded.withColumn("side", side)
         .withColumn("val", F.when(F.col("side") == 0, F.col("__v")))
-        .groupBy(*keys, "j", "n", "side", "val")
+        .groupBy(*keys, "j", *consts, "side", "val")
         .agg(F.count(F.lit(1)).alias("c"), F.max("__v").alias("mx"), F.min("__v").alias("mn"))
     )
     w = Window.partitionBy(*keys, "j").orderBy("side", "val").rowsBetween(Window.unboundedPreceding, 0)
@@ -112,7 +132,7 @@ def quantiles(
                 .when((F.col("side") == -1) & (i == F.col("end") - 1), F.col("mx"))
                 .when((F.col("side") == 1) & (i == F.col("start")), F.col("mn")))
 
-    per_j = ranked.groupBy(*keys, "j", "n").agg(
+    per_j = ranked.groupBy(*keys, "j", *consts).agg(
         F.max(at("ilo")).alias("xlo"),
         F.max(at("ihi")).alias("xhi"),
         F.first("pos").alias("pos"),
@@ -120,10 +140,14 @@ def quantiles(
     )
     per_j = per_j.withColumn(
         "q", F.col("xlo") + (F.col("pos") - F.col("ilo")) * (F.col("xhi") - F.col("xlo"))
+    ).withColumn("le", F.when(F.col("q") >= F.col("xhi"), F.col("xhi")).otherwise(F.col("xlo")))
+    out = per_j.groupBy(*keys, *consts).agg(
+        *[F.max(F.when(F.col("j") == j, F.col("q"))).alias(f"{prefix}{j}") for j in range(k)],
+        *[F.max(F.when(F.col("j") == j, F.col("le"))).alias(f"{prefix}le{j}") for j in range(k)],
     )
-    return per_j.groupBy(*keys, "n").agg(
-        *[F.max(F.when(F.col("j") == j, F.col("q"))).alias(f"{prefix}{j}") for j in range(k)]
-    )
+    extra = [F.col("__min").alias("min"), F.col("__max").alias("max"),
+             *[f"{prefix}le{j}" for j in range(k)]] if bounds else []
+    return out.select(*keys, "n", *[f"{prefix}{j}" for j in range(k)], *extra, *carried)
 
 
 def sample_skewness(c: str | Column) -> Column:

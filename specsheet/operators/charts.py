@@ -31,21 +31,32 @@ def histogram(df: DataFrame, col: str = PRICE, bins: int = 50, trim_q: float | N
 
     Returns every bin ``(bin, lower, upper, count)`` including empty ones. A constant column
     falls in the middle bin of the range ``[v - 0.5, v + 0.5]`` (NumPy's rule).
+
+    Three passes over the rows when trimming (two for the exact quantile, which also yields the
+    trimmed range; one for the counts), one fewer without. The range rides along as a grouping
+    key, and the empty bins are filled from the at most ``bins`` counted rows, so no statistic is
+    computed twice.
     """
-    rows = _trimmed(df, col, trim_q, exact).select(F.col(col).cast("double").alias("x"))
-    rng = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    x = F.col(col).cast("double")
+    rows = df.where(x.isNotNull()).select(x.alias("x"))
+    if trim_q is None:
+        rng = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.lit(None).cast("double").alias("cap"))
+    else:
+        q = quantiles(rows, "x", [trim_q], exact=exact, prefix="__t", bounds=True)
+        rng = q.select(F.col("min").alias("lo"), F.col("__tle0").alias("hi"), F.col("__t0").alias("cap"))
     rng = rng.select(
         F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+        F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"), "cap")
+    kept = attach(rows, rng, []).where(F.col("cap").isNull() | (F.col("x") <= F.col("cap")))
     idx = F.least(F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    counts = attach(rows, rng, []).groupBy(idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    edges = spine.crossJoin(F.broadcast(rng)).select(
-        "bin",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("lower"),
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + 1) / bins).alias("upper"))
-    return edges.join(counts, "bin", "left").select(
-        "bin", "lower", "upper", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+    counts = kept.groupBy(idx.cast("int").alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
+    packed = counts.groupBy("lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"))
+    b = F.col("bin")
+    return packed.select("lo", "hi", "m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
+        b.alias("bin"),
+        (F.col("lo") + (F.col("hi") - F.col("lo")) * b / bins).alias("lower"),
+        (F.col("lo") + (F.col("hi") - F.col("lo")) * (b + 1) / bins).alias("upper"),
+        F.coalesce(F.col("m")[b], F.lit(0)).cast("bigint").alias("count"))
 
 
 def box_summary(df: DataFrame, col: str = PRICE, by: str | Sequence[str] | None = None,

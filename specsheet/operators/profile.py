@@ -47,7 +47,7 @@ def basic_statistics(df: DataFrame, columns: Sequence[str] | None = None, decima
     missing, missing_pct (of all rows, 2 dp)."""
     cols = list(columns) if columns is not None else numeric_columns(df)
     long = to_long(df, cols)
-    agg = long.groupBy("column").agg(
+    out = quantiles(long, "value", [0.25, 0.5, 0.75], by="column", exact=exact, aggs=[
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
@@ -55,9 +55,7 @@ def basic_statistics(df: DataFrame, columns: Sequence[str] | None = None, decima
         F.max("value").alias("max"),
         F.count_if(F.col("value").isNull()).alias("missing"),
         F.count(F.lit(1)).alias("__rows"),
-    )
-    qs = quantiles(long, "value", [0.25, 0.5, 0.75], by="column", exact=exact).drop("n")
-    out = agg.join(qs, "column", "left")
+    ]).drop("n")
     return out.select(
         "column", "count",
         *[_round(F.col(c), decimals).alias(c) for c in ("mean", "std", "min")],
@@ -120,15 +118,14 @@ def by_brand(df: DataFrame, company_col: str = MAKER, price_col: str = PRICE, hp
              decimals: int | None = 2, exact: bool = True) -> DataFrame:
     """Per maker: priced-row count, mean/median/min/max price, mean/max power; ordered by count
     desc then maker. Null makers are dropped (as a pandas group-by does)."""
-    rows = df.where(F.col(company_col).isNotNull())
-    agg = rows.groupBy(company_col).agg(
-        F.count(price_col).alias("car_count"), F.avg(price_col).alias("avg_price"),
-        F.min(price_col).alias("min_price"), F.max(price_col).alias("max_price"),
-        F.avg(hp_col).alias("avg_hp"), F.max(hp_col).alias("max_hp"))
-    med = quantiles(rows, price_col, [0.5], by=company_col, exact=exact).select(
-        company_col, F.col("q0").alias("median_price"))
+    # One grouped pass computes the plain aggregates together with the median's sketch.
+    aggs = [F.count(price_col).alias("car_count"), F.avg(price_col).alias("avg_price"),
+            F.min(price_col).alias("min_price"), F.max(price_col).alias("max_price"),
+            F.avg(hp_col).alias("avg_hp"), F.max(hp_col).alias("max_hp")]
+    med = quantiles(df, price_col, [0.5], by=company_col, exact=exact, aggs=aggs).withColumnRenamed(
+        "q0", "median_price")
     r = lambda c: _round(F.col(c).cast("double"), decimals).alias(c)
-    return agg.join(med, company_col, "left").select(
+    return med.select(
         company_col, "car_count", r("avg_price"), r("median_price"), r("min_price"), r("max_price"),
         r("avg_hp"), r("max_hp"),
     ).orderBy(F.desc("car_count"), company_col)

@@ -143,7 +143,7 @@ def q_luxury(spark, sf_dir):
     f"SELECT row_id, {PERF_CATEGORY}, {IS_LUXURY}, {sr(PRICE_PER_HP, PRICE_PER_HP)}, "
     f"{sr(POWER_TO_SPEED, POWER_TO_SPEED)}, {IS_ELECTRIC} FROM specs"))
 def q_pipeline_features(spark, sf_dir):
-    return specs(spark, sf_dir).select("row_id", PERF_CATEGORY, IS_LUXURY, r(PRICE_PER_HP), r(POWER_TO_SPEED),
+    return specs(spark, sf_dir, written=False).select("row_id", PERF_CATEGORY, IS_LUXURY, r(PRICE_PER_HP), r(POWER_TO_SPEED),
                                        IS_ELECTRIC)
 
 
