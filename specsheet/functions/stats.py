@@ -96,22 +96,23 @@ def quantiles(
         F.percentile_approx("__v", lo_p + hi_p, accuracy).alias("__b"),
         F.min("__v").alias("__min"), F.max("__v").alias("__max"),
     )
-    # The group constants (n, min, max, carried aggregates) ride along as grouping keys, so the
-    # sketch is computed once and never joined back.
-    consts = ["n", "__min", "__max", *carried]
+    # n, min and max ride along as grouping keys; carried aggregates ride along as ``first()``
+    # buffers (not hashed), so the sketch is computed once and never joined back.
+    consts = ["n", "__min", "__max"]
     joined = attach(first.select(*keys, "__v"), sketch, keys)
+    keep = [F.first(c).alias(c) for c in carried]
     brackets = F.array(*[
         F.struct(F.lit(j).alias("j"), F.col("__b")[j].alias("lo"), F.col("__b")[k + j].alias("hi"))
         for j in range(k)
     ])
-    exploded = joined.select(*keys, *consts, "__v", F.inline(brackets))
+    exploded = joined.select(*keys, *consts, *carried, "__v", F.inline(brackets))
     side = (F.when(F.col("__v").isNull(), 2).when(F.col("__v") < F.col("lo"), -1)
             .when(F.col("__v") > F.col("hi"), 1).otherwise(0))
     collapsed = (
         exploded.withColumn("side", side)
         .withColumn("val", F.when(F.col("side") == 0, F.col("__v")))
         .groupBy(*keys, "j", *consts, "side", "val")
-        .agg(F.count(F.lit(1)).alias("c"), F.max("__v").alias("mx"), F.min("__v").alias("mn"))
+        .agg(F.count(F.lit(1)).alias("c"), F.max("__v").alias("mx"), F.min("__v").alias("mn"), *keep)
     )
     w = Window.partitionBy(*keys, "j").orderBy("side", "val").rowsBetween(Window.unboundedPreceding, 0)
     pos = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("j") + 1) * (F.col("n") - 1)
@@ -137,6 +138,7 @@ def quantiles(
         F.max(at("ihi")).alias("xhi"),
         F.first("pos").alias("pos"),
         F.first("ilo").alias("ilo"),
+        *keep,
     )
     per_j = per_j.withColumn(
         "q", F.col("xlo") + (F.col("pos") - F.col("ilo")) * (F.col("xhi") - F.col("xlo"))
@@ -144,6 +146,7 @@ def quantiles(
     out = per_j.groupBy(*keys, *consts).agg(
         *[F.max(F.when(F.col("j") == j, F.col("q"))).alias(f"{prefix}{j}") for j in range(k)],
         *[F.max(F.when(F.col("j") == j, F.col("le"))).alias(f"{prefix}le{j}") for j in range(k)],
+        *keep,
     )
     extra = [F.col("__min").alias("min"), F.col("__max").alias("max"),
              *[f"{prefix}le{j}" for j in range(k)]] if bounds else []
