@@ -226,19 +226,21 @@ def performance_vs_price(df: DataFrame, acc_col: str = ACCEL, price_col: str = P
                       _round(F.col("correlation"), decimals).alias("correlation"))
 
 
-def eda_report(df: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
-    """Bundle of profiles; optional parts depend on which columns exist."""
+def eda_report(df: DataFrame, exact: bool = True, rounded: bool = True) -> dict[str, DataFrame]:
+    """Bundle of profiles; optional parts depend on which columns exist. ``rounded=False`` keeps
+    full precision (the reference rounds brand/fuel figures to 2 dp and correlations to 3)."""
+    two, three = (2, 3) if rounded else (None, None)
     report = {
         "dataset_shape": df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns))),
         "basic_statistics": basic_statistics(df, exact=exact),
         "price_analysis": price_distribution(df, exact=exact),
         "price_segments": price_segments(df),
-        "correlation_matrix": correlation_matrix(df),
+        "correlation_matrix": correlation_matrix(df, decimals=three),
     }
     if MAKER in df.columns:
-        report["brand_analysis"] = by_brand(df, exact=exact)
+        report["brand_analysis"] = by_brand(df, exact=exact, decimals=two)
     if FUEL in df.columns:
-        report["fuel_type_analysis"] = by_fuel_type(df)
+        report["fuel_type_analysis"] = by_fuel_type(df, decimals=two)
     if ACCEL in df.columns and PRICE in df.columns:
         report["performance_price"] = performance_vs_price(df, exact=exact)
     return report
@@ -246,7 +248,7 @@ def eda_report(df: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
 
 def eda_report_long(df: DataFrame, decimals: int | None = 6, exact: bool = True) -> DataFrame:
     """The report flattened to ``(section, item, metric, value)`` rows (numeric values only)."""
-    rep = eda_report(df, exact=exact)
+    rep = eda_report(df, exact=exact, rounded=False)
     parts = []
     keys = {"basic_statistics": "column", "correlation_matrix": None, "brand_analysis": MAKER,
             "fuel_type_analysis": FUEL, "performance_price": "category"}

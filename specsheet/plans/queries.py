@@ -866,5 +866,81 @@ def q_by_order_status(spark, sf_dir):
                             decimals=D)
 
 
+# ================================================================ PRF-11 report bundle and SRC-1/2
+
+
+def _eda_sql() -> str:
+    x = f"(SELECT {PRICE} AS x FROM specs WHERE {PRICE} IS NOT NULL)"
+    sections = {
+        "dataset_shape": (f"SELECT count(*) AS rows, {len(_SPECS_COLUMNS)} AS columns FROM specs", None, ["rows", "columns"]),
+        "basic_statistics": (_basic_stats_sql(_STAT_COLS, "specs"), '"column"',
+                             ["count", "mean", "std", "min", "q25", "q50", "q75", "max", "missing", "missing_pct"]),
+        "price_analysis": (
+            "SELECT avg(x) AS mean, quantile_cont(x, 0.5) AS median, stddev_samp(x) AS std, min(x) AS min, "
+            "max(x) AS max, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.75) AS q75, "
+            "quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, skewness(x) AS skewness, kurtosis(x) AS kurtosis, "
+            f"count(x) AS count FROM {x}", None,
+            ["mean", "median", "std", "min", "max", "q25", "q75", "iqr", "skewness", "kurtosis", "count"]),
+        "price_segments": (
+            f"SELECT count_if({PRICE} < 30000) AS budget, count_if({PRICE} >= 30000 AND {PRICE} < 100000) AS mid_range, "
+            f"count_if({PRICE} >= 100000 AND {PRICE} < 500000) AS premium, count_if({PRICE} >= 500000) AS luxury FROM specs",
+            None, ["budget", "mid_range", "premium", "luxury"]),
+        "correlation_matrix": (_corr_sql(_STAT_COLS, "specs"), "\"row\" || '|' || col", ["corr"]),
+        "brand_analysis": (
+            f"SELECT {MAKER}, count({PRICE}) AS car_count, avg({PRICE}) AS avg_price, "
+            f"quantile_cont({PRICE}, 0.5) AS median_price, min({PRICE}) AS min_price, max({PRICE}) AS max_price, "
+            f"avg({HP}) AS avg_hp, max({HP}) AS max_hp FROM specs WHERE {MAKER} IS NOT NULL GROUP BY {MAKER}", MAKER,
+            ["car_count", "avg_price", "median_price", "min_price", "max_price", "avg_hp", "max_hp"]),
+        "fuel_type_analysis": (
+            f"SELECT {FUEL}, " + ", ".join(f"count({c}) AS {c}_count, avg({c}) AS {c}_mean" for c in (PRICE, HP, ACCEL))
+            + f" FROM specs WHERE {FUEL} IS NOT NULL GROUP BY {FUEL}", FUEL,
+            [f"{c}_{m}" for c in (PRICE, HP, ACCEL) for m in ("count", "mean")]),
+        "performance_price": (
+            f"SELECT category, avg({PRICE}) AS mean, quantile_cont({PRICE}, 0.5) AS median, count({PRICE}) AS count, "
+            f"(SELECT corr({ACCEL}, {PRICE}) FROM pv) AS correlation FROM pv GROUP BY category", "category",
+            ["mean", "median", "count", "correlation"]),
+    }
+    ctes = [f"pv AS (SELECT *, CASE WHEN {ACCEL} < 4.5 THEN 'High-Performance' WHEN {ACCEL} <= 8.0 THEN 'Mid-Range' "
+            f"ELSE 'Economy' END AS category FROM specs WHERE {ACCEL} IS NOT NULL AND {PRICE} IS NOT NULL)"]
+    rows = []
+    for i, (sec, (body, item, metrics)) in enumerate(sections.items()):
+        ctes.append(f"e{i} AS ({body})")
+        it = f"CAST({item} AS VARCHAR)" if item else "''"
+        rows += [f"SELECT '{sec}' AS section, {it} AS item, '{m}' AS metric, round(CAST(\"{m}\" AS DOUBLE), 6) AS value "
+                 f"FROM e{i}" for m in metrics]
+    return O.with_specs(" UNION ALL ".join(rows), ", ".join(ctes))
+
+
+_SPECS_COLUMNS = ["row_id", *_RAW_NO_ID, *_TYPED_NUM, FUEL, MAKER, NAME, PERF_CATEGORY, IS_LUXURY, PRICE_PER_HP,
+                  POWER_TO_SPEED, IS_ELECTRIC]
+
+
+@register("eda_report", _eda_sql())
+def q_eda_report(spark, sf_dir):
+    return profile.eda_report_long(specs(spark, sf_dir), decimals=D)
+
+
+@register("src_csv", O.with_specs(
+    "SELECT count(*) AS rows, count(DISTINCT company_names) AS makers, count(cars_prices) AS priced, "
+    "CAST(sum(length(coalesce(cars_names, ''))) AS BIGINT) AS name_chars FROM raw_specs"))
+def q_src_csv(spark, sf_dir):
+    """Round trip: the raw table written as a spec-sheet CSV (contract headers) into the shared
+    checkpoint dir, read back by the CSV source (all-string schema, required-column check,
+    encoding detection)."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.csv import RAW_NAMES, REQUIRED_COLUMNS, load_specs_csv
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    raw = raw_specs(spark, sf_dir)
+    raw.select(*[F.col(n).alias(h) for n, h in zip(RAW_NAMES, REQUIRED_COLUMNS)]) \
+        .write.option("header", True).option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
+    back = load_specs_csv(spark, path)
+    return back.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("company_names").alias("makers"),
+                    F.count("cars_prices").alias("priced"),
+                    F.sum(F.length(F.coalesce("cars_names", F.lit("")))).cast("bigint").alias("name_chars"))
+
+
 # Model, attribution and pipeline queries register themselves on import.
 from . import ml_queries  # noqa: E402,F401
