@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import attach, quantiles
+from ..functions.stats import attach, quantiles, with_dense_index
 from .clean import ACCEL, CC, FUEL, HP, MAKER, PRICE, SEATS, SPEED, TORQUE
 from ..functions.text import strip
 
@@ -98,11 +98,11 @@ def create_all_features(df: DataFrame) -> DataFrame:
 def label_mapping(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct non-null values of ``column`` -> code 0..k-1 (``value``, ``code``).
 
-    The distinct values are a small dimension; the window over it has no partition key but
-    runs on the already-deduplicated values only.
+    Fitting the encoder: the distinct values are range-sorted and densely numbered (no
+    single-partition window, so a high-cardinality column is fine).
     """
     values = df.select(F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("double"))
+    return with_dense_index(values, ["value"], "__pos").select("value", F.col("__pos").cast("double").alias("code"))
 
 
 def label_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_Encoded") -> tuple[DataFrame, dict[str, DataFrame]]:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import attach, hash_chunks
+from ..functions.stats import attach, hash_chunks, with_dense_index
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
@@ -134,12 +134,7 @@ def contiguous_folds(df: DataFrame, k: int = 5, order_col: str = "row_id", out:
     The dense position comes from ``zipWithIndex`` on the sorted rows (a range-partitioned sort
     plus a per-partition count), never from a window without partition keys.
     """
-    spark = df.sparkSession
-    ordered = df.orderBy(order_col)
-    schema = ordered.schema
-    indexed = ordered.rdd.zipWithIndex().map(lambda t: (*t[0], t[1]))
-    from pyspark.sql.types import LongType, StructField, StructType
-    with_pos = spark.createDataFrame(indexed, StructType([*schema.fields, StructField("__pos", LongType())]))
+    with_pos = with_dense_index(df, [order_col], "__pos")
     n = with_pos.agg(F.count(F.lit(1)).alias("__n"))
     q = F.floor(F.col("__n") / k)
     r = F.col("__n") % k
