@@ -18,6 +18,7 @@ a third of a 100 TB table that map does not fit. ``quantiles`` instead
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,56 +102,49 @@ def quantiles(
     consts = ["n", "__min", "__max"]
     joined = attach(first.select(*keys, "__v"), sketch, keys)
     keep = [F.first(c).alias(c) for c in carried]
-    brackets = F.array(*[
-        F.struct(F.lit(j).alias("j"), F.col("__b")[j].alias("lo"), F.col("__b")[k + j].alias("hi"))
-        for j in range(k)
-    ])
-    exploded = joined.select(*keys, *consts, *carried, "__v", F.inline(brackets))
-    side = (F.when(F.col("__v").isNull(), 2).when(F.col("__v") < F.col("lo"), -1)
-            .when(F.col("__v") > F.col("hi"), 1).otherwise(0))
+    # One classification per row (no copy per probability): a value inside any bracket keeps its
+    # value; one outside every bracket collapses into the gap between two bracket boundaries.
+    # Rows order by (boundaries below, inside?, value), which is the order of the values.
+    # Written out per boundary (k is known when the plan is built) so it stays in generated code.
+    b = [F.col("__b")[i] for i in range(2 * k)]
+    v = F.col("__v")
+    inside = reduce(lambda x, y: x | y, [(v >= b[j]) & (v <= b[k + j]) for j in range(k)])
+    seg = reduce(lambda x, y: x + y, [F.when(bi < v, 1).otherwise(0) for bi in b])
     collapsed = (
-        exploded.withColumn("side", side)
-        .withColumn("val", F.when(F.col("side") == 0, F.col("__v")))
-        .groupBy(*keys, "j", *consts, "side", "val")
+        joined.select(*keys, *consts, *carried, v,
+                      F.when(v.isNull(), F.lit(2 * k + 1)).otherwise(seg).alias("seg"),
+                      F.when(v.isNotNull() & inside, 1).otherwise(0).alias("inb"))
+        .withColumn("val", F.when(F.col("inb") == 1, v))
+        .groupBy(*keys, *consts, "seg", "inb", "val")
         .agg(F.count(F.lit(1)).alias("c"), F.max("__v").alias("mx"), F.min("__v").alias("mn"), *keep)
     )
-    w = Window.partitionBy(*keys, "j").orderBy("side", "val").rowsBetween(Window.unboundedPreceding, 0)
-    pos = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("j") + 1) * (F.col("n") - 1)
-    ranked = (
-        collapsed.withColumn("end", F.sum("c").over(w))
-        .withColumn("start", F.col("end") - F.col("c"))
-        .withColumn("pos", pos)
-        .withColumn("ilo", F.floor("pos"))
-        .withColumn("ihi", F.ceil("pos"))
-    )
+    w = Window.partitionBy(*keys).orderBy("seg", "inb", "val").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = collapsed.withColumn("end", F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
 
-    def at(i: str) -> Column:
+    def at(i: Column) -> Column:
         # The sketch returns the element at rank ceil(p n) while interpolation needs
-        # floor/ceil of p (n - 1): a needed rank can lie one step outside the bracket, so the
-        # largest value below it and the smallest above it are kept as well.
-        i = F.col(i)
-        return (F.when((F.col("side") == 0) & (F.col("start") <= i) & (i < F.col("end")), F.col("val"))
-                .when((F.col("side") == -1) & (i == F.col("end") - 1), F.col("mx"))
-                .when((F.col("side") == 1) & (i == F.col("start")), F.col("mn")))
-
-    per_j = ranked.groupBy(*keys, "j", *consts).agg(
-        F.max(at("ilo")).alias("xlo"),
-        F.max(at("ihi")).alias("xhi"),
-        F.first("pos").alias("pos"),
-        F.first("ilo").alias("ilo"),
-        *keep,
-    )
-    per_j = per_j.withColumn(
-        "q", F.col("xlo") + (F.col("pos") - F.col("ilo")) * (F.col("xhi") - F.col("xlo"))
-    ).withColumn("le", F.when(F.col("q") >= F.col("xhi"), F.col("xhi")).otherwise(F.col("xlo")))
-    out = per_j.groupBy(*keys, *consts).agg(
-        *[F.max(F.when(F.col("j") == j, F.col("q"))).alias(f"{prefix}{j}") for j in range(k)],
-        *[F.max(F.when(F.col("j") == j, F.col("le"))).alias(f"{prefix}le{j}") for j in range(k)],
+        # floor/ceil of p (n - 1): a needed rank can lie one step outside a bracket, so the
+        # largest and smallest value of each gap are kept as well.
+        in_row = (F.col("start") <= i) & (i < F.col("end"))
+        return (F.when((F.col("inb") == 1) & in_row, F.col("val"))
+                .when((F.col("inb") == 0) & F.col("mx").isNotNull() & (i == F.col("end") - 1), F.col("mx"))
+                .when((F.col("inb") == 0) & F.col("mn").isNotNull() & (i == F.col("start")), F.col("mn")))
+
+    pos = [F.lit(p) * (F.col("n") - 1) for p in probs]
+    out = ranked.groupBy(*keys, *consts).agg(
+        *[F.max(at(F.floor(pos[j]))).alias(f"__xlo{j}") for j in range(k)],
+        *[F.max(at(F.ceil(pos[j]))).alias(f"__xhi{j}") for j in range(k)],
         *keep,
     )
-    extra = [F.col("__min").alias("min"), F.col("__max").alias("max"),
-             *[f"{prefix}le{j}" for j in range(k)]] if bounds else []
-    return out.select(*keys, "n", *[f"{prefix}{j}" for j in range(k)], *extra, *carried)
+    qs, les = [], []
+    for j in range(k):
+        lo_, hi_ = F.col(f"__xlo{j}"), F.col(f"__xhi{j}")
+        frac = pos[j] - F.floor(pos[j])
+        q = lo_ + frac * (hi_ - lo_)
+        qs.append(q.alias(f"{prefix}{j}"))
+        les.append(F.when(q >= hi_, hi_).otherwise(lo_).alias(f"{prefix}le{j}"))
+    extra = [F.col("__min").alias("min"), F.col("__max").alias("max"), *les] if bounds else []
+    return out.select(*keys, "n", *qs, *extra, *carried)
 
 
 def sample_skewness(c: str | Column) -> Column:
