@@ -61,13 +61,25 @@ def classification_candidates(seed: int = SEED, fast: bool = False) -> dict:
     }
 
 
+def _parallel(fn, tasks: list, parallelism: int) -> list:
+    """Run independent fits as concurrent Spark jobs (as ``CrossValidator(parallelism=...)``
+    does); results keep the task order."""
+    if parallelism <= 1 or len(tasks) <= 1:
+        return [fn(t) for t in tasks]
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(fn, tasks))
+
+
 class _Base:
     kind = "base"
 
     def __init__(self, feature_cols: Sequence[str] = tuple(MODEL_NUMERIC), candidates: dict | None = None,
-                 seed: int = SEED, id_col: str = "row_id", fast: bool = False):
+                 seed: int = SEED, id_col: str = "row_id", fast: bool = False, parallelism: int = 4):
         self.feature_cols = list(feature_cols)
         self.seed, self.id_col, self.fast = seed, id_col, fast
+        self.parallelism = parallelism
         self.candidates = candidates if candidates is not None else self._default_candidates()
         self.models: dict[str, PipelineModel] = {}
         self.medians: dict[str, float | None] = {}
@@ -166,19 +178,27 @@ class PricePredictor(_Base):
         fit_rows = data.where(~F.col("is_validation"))
         results, best = [], -math.inf
         self.models, self.best_model_name = {}, None
-        for name, est in self.candidates.items():
+
+        def one(item):
+            name, est = item
             try:
                 pipe = Pipeline(stages=[self._assembler(), self._estimator(name, est, fit_rows, target)])
                 model = pipe.fit(fit_rows)
-                self.models[name] = model
                 m = regression_metrics(model.transform(data), target, "prediction", by=["is_validation"]).collect()
-                for r in m:
-                    split = "validation" if r["is_validation"] else "train"
-                    results.append((name, "success", split, r["rmse"], r["mae"], r["r2"], r["mape"], r["n"], None))
-                    if r["is_validation"] and r["r2"] is not None and r["r2"] > best:
-                        best, self.best_model_name = r["r2"], name
+                return name, model, sorted(m, key=lambda r: r["is_validation"]), None
             except Exception as e:  # per-candidate error capture, as the reference does
-                results.append((name, "error", None, None, None, None, None, None, str(e)[:500]))
+                return name, None, [], str(e)[:500]
+
+        for name, model, m, err in _parallel(one, list(self.candidates.items()), self.parallelism):
+            if err is not None:
+                results.append((name, "error", None, None, None, None, None, None, err))
+                continue
+            self.models[name] = model
+            for r in m:
+                split = "validation" if r["is_validation"] else "train"
+                results.append((name, "success", split, r["rmse"], r["mae"], r["r2"], r["mape"], r["n"], None))
+                if r["is_validation"] and r["r2"] is not None and r["r2"] > best:
+                    best, self.best_model_name = r["r2"], name
         if self.best_model_name is None:
             self.best_model_name = "random_forest" if "random_forest" in self.models else next(iter(self.models), None)
         self.is_fitted = True
@@ -209,17 +229,19 @@ class PricePredictor(_Base):
         spark = df.sparkSession
         rows = df.select(self.id_col, *self.feature_cols, F.col(target).cast("double").alias(target))
         data = materialize(contiguous_folds(self._impute(rows, batch=True), cv, self.id_col))
-        out = []
-        for name, est in self.candidates.items():
-            for k in range(cv):
-                tr, te = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
-                try:
-                    model = Pipeline(stages=[self._assembler(), self._estimator(name, est, tr, target)]).fit(tr)
-                    r2 = regression_metrics(model.transform(te), target, "prediction").first()["r2"]
-                    out.append((name, k, r2, None))
-                except Exception as e:
-                    out.append((name, k, None, str(e)[:500]))
-        return spark.createDataFrame(out, "model string, fold int, r2 double, error string")
+
+        def one(task):
+            name, est, k = task
+            tr, te = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
+            try:
+                model = Pipeline(stages=[self._assembler(), self._estimator(name, est, tr, target)]).fit(tr)
+                return name, k, regression_metrics(model.transform(te), target, "prediction").first()["r2"], None
+            except Exception as e:
+                return name, k, None, str(e)[:500]
+
+        tasks = [(name, est, k) for name, est in self.candidates.items() for k in range(cv)]
+        return spark.createDataFrame(_parallel(one, tasks, self.parallelism),
+                                     "model string, fold int, r2 double, error string")
 
 
 def cv_summary(cv: DataFrame, score: str = "r2") -> DataFrame:
@@ -281,22 +303,32 @@ class PerformanceClassifier(_Base):
         fit_rows = data.where(~F.col("is_validation"))
         results, best = [], -math.inf
         self.models, self.best_model_name = {}, None
-        for name, est in self.candidates.items():
+
+        def one(item):
+            name, est = item
             try:
                 model = Pipeline(stages=[self._assembler(), self._estimator(est, fit_rows)]).fit(fit_rows)
-                self.models[name] = model
                 scored = model.transform(data)
+                ms = []
                 for split, flag in (("train", False), ("validation", True)):
                     if split == "validation" and not validate:
                         continue
-                    m = classification_metrics(scored.where(F.col("is_validation") == flag), "label",
-                                               "prediction").first()
-                    results.append((name, "success", split, m["accuracy"], m["precision_weighted"],
-                                    m["recall_weighted"], m["f1_weighted"], None))
-                    if split == "validation" and m["f1_weighted"] > best:
-                        best, self.best_model_name = m["f1_weighted"], name
+                    ms.append((split, classification_metrics(scored.where(F.col("is_validation") == flag), "label",
+                                                             "prediction").first()))
+                return name, model, ms, None
             except Exception as e:
-                results.append((name, "error", None, None, None, None, None, str(e)[:500]))
+                return name, None, [], str(e)[:500]
+
+        for name, model, ms, err in _parallel(one, list(self.candidates.items()), self.parallelism):
+            if err is not None:
+                results.append((name, "error", None, None, None, None, None, err))
+                continue
+            self.models[name] = model
+            for split, m in ms:
+                results.append((name, "success", split, m["accuracy"], m["precision_weighted"],
+                                m["recall_weighted"], m["f1_weighted"], None))
+                if split == "validation" and m["f1_weighted"] > best:
+                    best, self.best_model_name = m["f1_weighted"], name
         if self.best_model_name is None:
             self.best_model_name = "random_forest" if "random_forest" in self.models else next(iter(self.models), None)
         self.is_fitted = True
@@ -371,15 +403,18 @@ class PerformanceClassifier(_Base):
         rows = stratified_folds(self._index(self._impute(rows, batch=True), target), target, cv, self.seed,
                                 self.id_col)
         data = materialize(rows)
-        out = []
-        for name, est in self.candidates.items():
-            for k in range(cv):
-                tr = balanced_weights(data.where(F.col("fold") != k), "label", "weight")
-                te = data.where(F.col("fold") == k).withColumn("weight", F.lit(1.0))
-                try:
-                    model = Pipeline(stages=[self._assembler(), self._estimator(est, tr)]).fit(tr)
-                    f1 = classification_metrics(model.transform(te), "label", "prediction").first()["f1_weighted"]
-                    out.append((name, k, f1, None))
-                except Exception as e:
-                    out.append((name, k, None, str(e)[:500]))
-        return spark.createDataFrame(out, "model string, fold int, f1 double, error string")
+
+        def one(task):
+            name, est, k = task
+            tr = balanced_weights(data.where(F.col("fold") != k), "label", "weight")
+            te = data.where(F.col("fold") == k).withColumn("weight", F.lit(1.0))
+            try:
+                model = Pipeline(stages=[self._assembler(), self._estimator(est, tr)]).fit(tr)
+                f1 = classification_metrics(model.transform(te), "label", "prediction").first()["f1_weighted"]
+                return name, k, f1, None
+            except Exception as e:
+                return name, k, None, str(e)[:500]
+
+        tasks = [(name, est, k) for name, est in self.candidates.items() for k in range(cv)]
+        return spark.createDataFrame(_parallel(one, tasks, self.parallelism),
+                                     "model string, fold int, f1 double, error string")
