@@ -101,9 +101,12 @@ def top_group_box(df: DataFrame, key: str = MAKER, col: str = PRICE, top_n: int
                   exact: bool = True) -> DataFrame:
     """Box summary per key for the ``top_n`` most frequent keys, ordered by median desc.
 
-    The key list has ``top_n`` rows (a proven bound), so the semi join broadcasts it.
+    The key list has at most ``top_n`` entries (a proven bound): it is resolved once and applied
+    as an ``isin`` of literals, which reaches the parquet scan and is not recomputed by each of
+    the box summary's passes.
     """
-    keep = df.join(F.broadcast(top_groups(df, key, top_n)), key, "left_semi")
+    keys = [r[0] for r in top_groups(df, key, top_n).collect()]
+    keep = df.where(F.col(key).isin(*keys))
     return box_summary(keep, col, by=key, exact=exact).orderBy(F.desc("median"), key)
 
 
