@@ -56,3 +56,30 @@ def test_folds_balanced(skewed):
         .orderBy("fold").collect()
     assert all(b[i]["hi"] < b[i + 1]["lo"] for i in range(4))
     assert [r["n"] for r in b] == sorted([r["n"] for r in b], reverse=True)
+
+
+def test_approximate_quantiles_close(skewed):
+    df, key, val = skewed
+    got = {r["k"]: r for r in quantiles(df, "v", [0.5], by="k", exact=False, bounds=True).collect()}
+    xs = np.sort(val[key == "hot"])
+    r = got["hot"]
+    rank = np.searchsorted(xs, r["q0"])
+    assert abs(rank / len(xs) - 0.5) < 0.01
+    assert r["min"] == xs[0] and r["max"] == xs[-1]
+
+
+def test_quantile_bounds_and_carried(skewed):
+    df, key, val = skewed
+    r = quantiles(df.where("k = '3'"), "v", [0.9], bounds=True,
+                  aggs=[F.count(F.lit(1)).alias("rows"), F.avg("v").alias("mean")]).first()
+    xs = np.sort(val[key == "3"])
+    q = np.quantile(xs, 0.9)
+    assert r["q0"] == pytest.approx(q) and r["min"] == xs[0] and r["max"] == xs[-1]
+    assert r["qle0"] == xs[xs <= q + 1e-12].max()
+    assert r["rows"] == len(xs) and r["mean"] == pytest.approx(xs.mean())
+
+
+def test_random_split_exact(skewed):
+    df, _, _ = skewed
+    s = M.random_split(df, 0.25, 7, "id")
+    assert s.where("is_validation").count() == round(0.25 * 30000)
