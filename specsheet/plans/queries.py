@@ -942,5 +942,57 @@ def q_src_csv(spark, sf_dir):
                     F.sum(F.length(F.coalesce("cars_names", F.lit("")))).cast("bigint").alias("name_chars"))
 
 
+# ================================================================ more bindings on the large tables
+
+
+@register("priority_share", (
+    "SELECT o_orderpriority, count(*) AS count, round(count(*) / (SELECT count(*) FROM orders) * 100, 6) AS percentage "
+    "FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority"))
+def q_priority_share(spark, sf_dir):
+    return explore.category_share(read_table(spark, sf_dir, "orders"), "o_orderpriority", decimals=D)
+
+
+@register("cheapest_per_priority", (
+    "SELECT o_orderpriority, o_orderkey, round(o_totalprice, 6) AS o_totalprice, rank FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS rank FROM orders "
+    "WHERE o_totalprice IS NOT NULL) WHERE rank <= 5"))
+def q_cheapest_per_priority(spark, sf_dir):
+    out = explore.smallest_per_group(read_table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", 5,
+                                     groups=None, columns=["o_totalprice"], order_col="o_orderkey")
+    return out.select("o_orderpriority", "o_orderkey", r("o_totalprice"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("top_customers", (
+    "SELECT o_custkey, round(avg(o_totalprice), 6) AS mean, count(o_totalprice) AS count FROM orders "
+    "WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING count(o_totalprice) >= 10 "
+    "ORDER BY avg(o_totalprice) DESC, o_custkey LIMIT 10"))
+def q_top_customers(spark, sf_dir):
+    t = explore.top_groups_by_mean(read_table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", 10, 10)
+    return t.select("o_custkey", r("mean"), "count")
+
+
+@register("events_categorical", (
+    "SELECT 'event_type' AS \"column\", event_type AS value, count(*) AS count, "
+    "round(count(*) / sum(count(*)) OVER () * 100, 2) AS percentage FROM events WHERE event_type IS NOT NULL "
+    "GROUP BY event_type"))
+def q_events_categorical(spark, sf_dir):
+    return profile.categorical_summary(read_table(spark, sf_dir, "events"), ["event_type"])
+
+
+@register("returnflag_share", (
+    "SELECT l_returnflag, count(*) AS count, round(count(*) / sum(count(*)) OVER () * 100, 6) AS percentage "
+    "FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag"))
+def q_returnflag_share(spark, sf_dir):
+    return charts.value_share(read_table(spark, sf_dir, "lineitem"), "l_returnflag", decimals=D)
+
+
+@register("scale_events", (
+    "SELECT event_id, round(CASE WHEN value IS NOT NULL THEN (value - c) / coalesce(nullif(s, 0), 1) END, 6) "
+    "AS value_Scaled FROM events, (SELECT avg(value) AS c, stddev_pop(value) AS s FROM events WHERE value IS NOT NULL)"))
+def q_scale_events(spark, sf_dir):
+    out = features.scale_numerical_features(read_table(spark, sf_dir, "events"), ["value"], "standard")
+    return out.select("event_id", r("value_Scaled"))
+
+
 # Model, attribution and pipeline queries register themselves on import.
 from . import ml_queries  # noqa: E402,F401
