@@ -25,7 +25,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
         F.when(ss_tot > 0, 1 - F.sum(e * e) / ss_tot).alias("r2"),
-        F.when(F.count_if(y == 0) == 0, F.avg(F.abs(e / y)) * 100).alias("mape"),
+        F.when(F.count_if(y == 0) == 0, F.avg(F.abs(e / F.nullif(y, F.lit(0.0)))) * 100).alias("mape"),
         n.alias("n"),
     )
 

@@ -44,3 +44,13 @@ def test_zero_hp_ratio(spark):
     df = spark.createDataFrame([(100.0, 0.0, 0.0)], "Price_USD double, HorsePower_Numeric double, Speed_KMH double")
     r = features.create_power_to_speed_ratio(features.create_price_per_hp(df)).first()
     assert r["Price_Per_HP"] is None and r["Power_To_Speed_Ratio"] is None
+
+
+def test_regression_metrics_zero_target(spark):
+    from specsheet.operators.metrics import regression_metrics
+
+    df = spark.createDataFrame([(0.0, 1.0), (2.0, 2.0), (4.0, 3.0)], "y double, p double")
+    m = regression_metrics(df, "y", "p").first()
+    assert m["mape"] is None and m["rmse"] > 0
+    const = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "y double, p double")
+    assert regression_metrics(const, "y", "p").first()["r2"] is None
