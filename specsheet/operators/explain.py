@@ -57,7 +57,7 @@ def _node_table(spark, model) -> list:
     return nodes.select(*cols).collect()
 
 
-def tree_leaves(spark, model, class_index: int | None = None, margin: bool = True) -> list[dict]:
+def tree_leaves(spark, model, class_index: int | None = None) -> list[dict]:
     """One dict per leaf: ``value`` (already weighted for the ensemble) and ``feats`` — the
     distinct path features with ``(f, z, lo, hi)``; a row satisfies ``f`` iff ``lo < x_f <= hi``.
 

@@ -10,7 +10,7 @@ from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from ..functions.stats import attach, quantiles, sample_kurtosis, sample_skewness
 from .clean import ACCEL, FUEL, HP, MAKER, PRICE
-from .features import CATEGORIES, performance_category_expr
+from .features import performance_category_expr
 
 ID_COLUMNS = ("row_id",)
 
