@@ -5,8 +5,12 @@ a third of a 100 TB table that map does not fit. ``quantiles`` instead
 
 1. computes ``n`` and a bounded-memory GK sketch (``percentile_approx``) per group, asking for
    probabilities widened by three times the sketch's rank error, which brackets every target
-   rank;
-2. streams the rows once more, collapsing everything below/above the bracket to a count and
+   rank; the bracket still holds about ``6 n / accuracy`` values, so for large inputs (Catalyst's
+   size estimate above ``REFINE_ABOVE_BYTES``, or ``refine=True``) a second pass narrows it
+   with exact counts: values inside a bracket are counted per 1/1024-width cell of it, values
+   outside per gap, and the new bracket is the cells holding the target ranks (about
+   ``6 n / (accuracy * 1024)`` values for smooth data, e.g. 2e5 for a 3e11-row group);
+2. streams the rows once more, collapsing everything below/above the brackets to a count and
    its extreme value (map-side partial aggregation), so only the few distinct values inside the
    bracket are shuffled;
 3. ranks the bracket values (small, per group) and interpolates linearly like
@@ -55,6 +59,7 @@ def quantiles(
     prefix: str = "q",
     bounds: bool = False,
     aggs: Sequence[Column] = (),
+    refine: bool | None = None,
 ) -> DataFrame:
     """Per-group quantiles of ``value`` (nulls ignored; null keys dropped like pandas).
 
@@ -100,20 +105,19 @@ def quantiles(
     # n, min and max ride along as grouping keys; carried aggregates ride along as ``first()``
     # buffers (not hashed), so the sketch is computed once and never joined back.
     consts = ["n", "__min", "__max"]
-    joined = attach(first.select(*keys, "__v"), sketch, keys)
     keep = [F.first(c).alias(c) for c in carried]
+    if refine is None:
+        refine = estimated_bytes(first) > REFINE_ABOVE_BYTES
+    if refine:
+        sketch = _refine(first, sketch, keys, probs, accuracy, consts, carried)
+    joined = attach(first.select(*keys, "__v"), sketch, keys)
     # One classification per row (no copy per probability): a value inside any bracket keeps its
     # value; one outside every bracket collapses into the gap between two bracket boundaries.
     # Rows order by (boundaries below, inside?, value), which is the order of the values.
-    # Written out per boundary (k is known when the plan is built) so it stays in generated code.
-    b = [F.col("__b")[i] for i in range(2 * k)]
     v = F.col("__v")
-    inside = reduce(lambda x, y: x | y, [(v >= b[j]) & (v <= b[k + j]) for j in range(k)])
-    seg = reduce(lambda x, y: x + y, [F.when(bi < v, 1).otherwise(0) for bi in b])
+    seg, inside, _ = _segments(k)
     collapsed = (
-        joined.select(*keys, *consts, *carried, v,
-                      F.when(v.isNull(), F.lit(2 * k + 1)).otherwise(seg).alias("seg"),
-                      F.when(v.isNotNull() & inside, 1).otherwise(0).alias("inb"))
+        joined.select(*keys, *consts, *carried, v, seg.alias("seg"), F.when(inside, 1).otherwise(0).alias("inb"))
         .withColumn("val", F.when(F.col("inb") == 1, v))
         .groupBy(*keys, *consts, "seg", "inb", "val")
         .agg(F.count(F.lit(1)).alias("c"), F.max("__v").alias("mx"), F.min("__v").alias("mn"), *keep)
@@ -147,6 +151,71 @@ def quantiles(
     return out.select(*keys, "n", *qs, *extra, *carried)
 
 
+SUB_BUCKETS = 1024
+# Above this estimated input size a group could hold ~1e9 rows, whose sketch bracket
+# (~6 n / accuracy values) would be too much for one task: the refinement pass is added.
+REFINE_ABOVE_BYTES = 2 * 1024 ** 3
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (no job is run)."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())
+    except Exception:  # no estimate: assume large
+        return REFINE_ABOVE_BYTES + 1
+
+
+def _segments(k: int) -> tuple[Column, Column, Column]:
+    """Per row: ``seg`` (number of bracket boundaries below the value; nulls last), whether it
+    lies inside any bracket, and the lower/upper bound of the first bracket holding it. Written
+    out per boundary so it stays in generated code."""
+    b = [F.col("__b")[i] for i in range(2 * k)]
+    v = F.col("__v")
+    ins = [(v >= b[j]) & (v <= b[k + j]) for j in range(k)]
+    inside = reduce(lambda x, y: x | y, ins)
+    seg = reduce(lambda x, y: x + y, [F.when(bi < v, 1).otherwise(0) for bi in b])
+    seg = F.when(v.isNull(), F.lit(2 * k + 1)).otherwise(seg)
+    lo = F.coalesce(*[F.when(ins[j], b[j]) for j in range(k)])
+    hi = F.coalesce(*[F.when(ins[j], b[k + j]) for j in range(k)])
+    return seg, v.isNotNull() & inside, F.struct(lo.alias("lo"), hi.alias("hi"))
+
+
+def _refine(first: DataFrame, sketch: DataFrame, keys: list[str], probs: list[float], accuracy: int,
+            consts: list[str], carried: list[str]) -> DataFrame:
+    """Second pass: narrow each sketch bracket to the exact cells holding the target ranks.
+
+    Rows inside a bracket fall into one of ``SUB_BUCKETS`` equal-width cells of it, rows outside
+    into the gap between two boundaries; one hash aggregate gives each cell's count, min and max
+    (at most ``k * SUB_BUCKETS`` rows per group), and exact cumulative counts over the ordered
+    cells locate the ranks. Returns the sketch's shape with the narrowed ``__b``."""
+    k = len(probs)
+    j = attach(first.select(*keys, "__v"), sketch, keys)
+    seg, inside, rng = _segments(k)
+    v = F.col("__v")
+    width = rng["hi"] - rng["lo"]
+    sub = F.when(inside, F.least(F.greatest(F.floor(F.when(width > 0, (v - rng["lo"]) / width).otherwise(0.0)
+                                                     * SUB_BUCKETS), F.lit(0)), F.lit(SUB_BUCKETS - 1))
+                 ).otherwise(-1).cast("int")
+    cells = j.groupBy(*keys, seg.alias("seg"), sub.alias("sub")).agg(
+        F.count(F.lit(1)).alias("c"), F.min(v).alias("mn"), F.max(v).alias("mx"),
+        *[F.first(c).alias(c) for c in [*consts, *carried]])
+    w = Window.partitionBy(*keys).orderBy("seg", "sub").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("end", F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
+    new_lo, new_hi = [], []
+    for p in probs:
+        pos = F.lit(p) * (F.col("n") - 1)
+        r_lo, r_hi = F.floor(pos), F.ceil(pos)
+        hit_lo = (F.col("start") <= r_lo) & (r_lo < F.col("end"))
+        hit_hi = (F.col("start") <= r_hi) & (r_hi < F.col("end"))
+        # a gap cell can only hold the rank just outside a bracket: its largest (resp. smallest) value
+        new_lo.append(F.min(F.when(hit_lo, F.when(F.col("sub") >= 0, F.col("mn")).otherwise(F.col("mx")))))
+        new_hi.append(F.max(F.when(hit_hi, F.when(F.col("sub") >= 0, F.col("mx")).otherwise(F.col("mn")))))
+    return cells.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in [*consts, *carried]],
+        F.array(*new_lo, *new_hi).alias("__b"))
+
+
 def sample_skewness(c: str | Column) -> Column:
     """Bias-corrected skewness G1 (pandas ``skew``); n < 3 -> null, zero variance -> 0."""
     col = F.col(c) if isinstance(c, str) else c

@@ -27,6 +27,12 @@ def test_filters_and_pruning_reach_scan(spark):
     assert "In(Company_Clean" in p
 
 
-def test_exact_quantile_two_passes(spark):
+def test_exact_quantile_passes(spark):
+    """Sketch + collapse on small inputs (the plain aggregates ride along); the refinement pass
+    joins in when forced or when the input is estimated large."""
+    from specsheet.functions.stats import quantiles
     p = _plan(QUERIES["by_brand"](spark, SF01))
     assert p.count("Scan parquet") == 2
+    from specsheet.sources.tables import read_table
+    li = read_table(spark, SF01, "lineitem")
+    assert _plan(quantiles(li, "l_quantity", [0.5], refine=True)).count("Scan parquet") == 3

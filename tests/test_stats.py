@@ -21,7 +21,12 @@ def skewed(spark):
 def test_quantiles_exact_with_hot_key(skewed):
     df, key, val = skewed
     probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {r["k"]: r for r in quantiles(df, "v", probs, by="k", accuracy=200).collect()}
+    for refine in (False, True):
+        got = {r["k"]: r for r in quantiles(df, "v", probs, by="k", accuracy=200, refine=refine).collect()}
+        for k in ["hot", "3"]:
+            want = np.quantile(val[key == k], probs)
+            for j, w in enumerate(want):
+                assert got[k][f"q{j}"] == pytest.approx(w, abs=1e-9), (k, probs[j], refine)
     for k in ["hot", "3", "17"]:
         xs = val[key == k]
         want = np.quantile(xs, probs)  # linear interpolation
@@ -83,3 +88,15 @@ def test_random_split_exact(skewed):
     df, _, _ = skewed
     s = M.random_split(df, 0.25, 7, "id")
     assert s.where("is_validation").count() == round(0.25 * 30000)
+
+
+@pytest.mark.parametrize("accuracy", [20, 100])
+def test_refined_quantiles_exact_at_low_accuracy(skewed, accuracy):
+    """A coarse sketch leaves wide brackets; the refinement pass must still land every rank."""
+    df, key, val = skewed
+    probs = [0.0, 0.01, 0.33, 0.5, 0.9, 0.999, 1.0]
+    got = {r["k"]: r for r in quantiles(df, "v", probs, by="k", accuracy=accuracy, refine=True).collect()}
+    for k in ["hot", "7"]:
+        want = np.quantile(val[key == k], probs)
+        for j, w in enumerate(want):
+            assert got[k][f"q{j}"] == pytest.approx(w, abs=1e-9), (k, probs[j], accuracy)
