@@ -38,8 +38,12 @@ def missing_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def _pct_text(missing, rows) -> F.Column:
-    """``missing / rows * 100`` to one decimal (half up), computed exactly on integers."""
-    tenths = F.floor((missing * 2000 + rows) / (rows * 2)).cast("bigint")
+    """``missing / rows * 100`` to one decimal, computed exactly on integers; an exact tie goes
+    to the even digit, as Python's ``format(x, '.1f')`` does."""
+    num = (missing * 1000).cast("bigint")
+    fl = F.floor(num / rows).cast("bigint")
+    twice_rem = (num - fl * rows) * 2
+    tenths = (fl + F.when(twice_rem > rows, 1).when((twice_rem == rows) & (fl % 2 == 1), 1).otherwise(0)).cast("bigint")
     return F.concat((tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 

@@ -399,7 +399,10 @@ def q_duplicate_rows(spark, sf_dir):
 
 
 def _issue_text_sql(m: str, n: str) -> str:
-    tenths = f"CAST(floor(({m} * 2000 + {n}) / ({n} * 2)) AS BIGINT)"
+    fl = f"({m} * 1000 // {n})"
+    rem2 = f"(({m} * 1000 - {fl} * {n}) * 2)"
+    tenths = (f"CAST({fl} + CASE WHEN {rem2} > {n} THEN 1 WHEN {rem2} = {n} AND {fl} % 2 = 1 THEN 1 ELSE 0 END "
+              "AS BIGINT)")
     return (f"'Column ''' || \"column\" || ''' has ' || CAST({m} AS VARCHAR) || ' missing values (' || "
             f"CAST({tenths} // 10 AS VARCHAR) || '.' || CAST({tenths} % 10 AS VARCHAR) || '%)'")
 

@@ -54,3 +54,13 @@ def test_regression_metrics_zero_target(spark):
     assert m["mape"] is None and m["rmse"] > 0
     const = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "y double, p double")
     assert regression_metrics(const, "y", "p").first()["r2"] is None
+
+
+def test_issue_text_rounds_like_python(spark):
+    from specsheet.operators.quality import validate_issues
+
+    for missing, n in [(1, 8), (49, 400), (3, 7), (150, 1000)]:
+        rows = [(None if i < missing else 1.0,) for i in range(n)]
+        df = spark.createDataFrame(rows, "x double")
+        got = validate_issues(df, limit=0.0).first()["issue"]
+        assert got == f"Column 'x' has {missing} missing values ({missing / n * 100:.1f}%)", got
