@@ -166,7 +166,7 @@ def pattern_table(leaves: list[dict]) -> list[tuple]:
 
 
 def tree_shap(df: DataFrame, model, feature_cols: Sequence[str], id_col: str = "row_id",
-              class_index: int | None = None) -> DataFrame:
+              class_index: int | None = None, max_broadcast_bytes: int = 256 * 1024 ** 2) -> DataFrame:
     """Long ``(id, feature, shap_value, base_value)`` for a tree ensemble;
     ``base_value + sum(shap_value) = model output`` (margin for boosted classifiers).
 
@@ -180,13 +180,31 @@ def tree_shap(df: DataFrame, model, feature_cols: Sequence[str], id_col: str = "
     base = expected_value(leaves)
     table = [t for t in pattern_table(leaves) if t[0] > 0]
     kmax = max([t[0] for t in table] + [1])
-    compiled = spark.createDataFrame(
-        table, "k int, value double, f array<int>, lo array<double>, hi array<double>, contrib array<double>")
-    slots = compiled.select("k", "contrib", *[F.coalesce(F.get("f", j), F.lit(-1)).alias(f"__f{j}") for j in range(kmax)],
-                            *[F.get("lo", j).alias(f"__lo{j}") for j in range(kmax)],
-                            *[F.get("hi", j).alias(f"__hi{j}") for j in range(kmax)])
     rows = df.select(F.col(id_col), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(feature_cols)])
-    pairs = rows.crossJoin(F.broadcast(slots))
+
+    def slots_of(part: list) -> DataFrame:
+        compiled = spark.createDataFrame(
+            part, "k int, value double, f array<int>, lo array<double>, hi array<double>, contrib array<double>")
+        return compiled.select("k", "contrib",
+                               *[F.coalesce(F.get("f", j), F.lit(-1)).alias(f"__f{j}") for j in range(kmax)],
+                               *[F.get("lo", j).alias(f"__lo{j}") for j in range(kmax)],
+                               *[F.get("hi", j).alias(f"__hi{j}") for j in range(kmax)])
+
+    # The broadcast size is known exactly; above ``max_broadcast_bytes`` the table is split into
+    # chunks that are each broadcast on their own (same work, bounded memory per broadcast).
+    chunks, cur, size = [], [], 0
+    for t in table:
+        b = 8 * (len(t[5]) + 3 * t[0] + 4)
+        if cur and size + b > max_broadcast_bytes:
+            chunks.append(cur)
+            cur, size = [], 0
+        cur.append(t)
+        size += b
+    chunks.append(cur)
+    pairs = None
+    for part in chunks:
+        p = rows.crossJoin(F.broadcast(slots_of(part)))
+        pairs = p if pairs is None else pairs.unionByName(p)
 
     def xval(j: int) -> Column:
         f = F.col(f"__f{j}")

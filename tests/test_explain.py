@@ -104,3 +104,12 @@ def test_summaries(spark, data):
     assert txt.startswith("Predicted value: $")
     force = E.shap_force(phi).where("row_id = 3").orderBy("order").collect()
     assert force[-1]["cumulative"] == pytest.approx(ex["prediction"])
+
+
+def test_tree_shap_chunked_broadcast_equal(spark, data):
+    pp = PricePredictor(FEATS, candidates={"rf": RandomForestRegressor(numTrees=4, maxDepth=3, seed=3)})
+    pp.train(data, "y", validate=False)
+    a = {(r["row_id"], r["feature"]): r["shap_value"] for r in E.tree_shap(data, pp.models["rf"], FEATS).collect()}
+    b = {(r["row_id"], r["feature"]): r["shap_value"]
+         for r in E.tree_shap(data, pp.models["rf"], FEATS, max_broadcast_bytes=2000).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
