@@ -100,3 +100,15 @@ def test_refined_quantiles_exact_at_low_accuracy(skewed, accuracy):
         want = np.quantile(val[key == k], probs)
         for j, w in enumerate(want):
             assert got[k][f"q{j}"] == pytest.approx(w, abs=1e-9), (k, probs[j], accuracy)
+
+
+def test_class_with_one_member(spark):
+    rows = [(i, "big" if i < 50 else "solo") for i in range(51)]
+    df = spark.createDataFrame(rows, "id long, c string")
+    s = {(r["c"], r["is_validation"]): r["count"]
+         for r in M.stratified_split(df, "c", 0.2, 42, "id").groupBy("c", "is_validation").count().collect()}
+    assert s[("big", True)] == 10 and s[("solo", False)] == 1 and ("solo", True) not in s
+    f = M.stratified_folds(df, "c", 5, 42, "id")
+    assert f.where("c = 'solo'").count() == 1 and f.where("fold IS NULL").count() == 0
+    sizes = sorted(r["count"] for r in f.where("c = 'big'").groupBy("fold").count().collect())
+    assert sizes == [10] * 5
