@@ -822,15 +822,33 @@ def q_rec_coverage(spark, sf_dir):
     return _recommender(spark, sf_dir).coverage().select(r("coverage"))
 
 
-@register("rec_explain", O.with_specs(
-    "SELECT s.pos, s.feature, round(s.v, 6) AS source_value, round(t.v, 6) AS target_value, round(s.f * t.f, 6) AS contribution "
-    "FROM x s JOIN x t ON s.pos = t.pos AND s.src AND NOT t.src",
-    _fm_sql() + ", x AS (" + " UNION ALL ".join(
-        f"SELECT {i} AS pos, '{c}' AS feature, row_id = 1 AS src, CAST(raw_{i} AS DOUBLE) AS v, f{i} AS f FROM fm WHERE row_id IN (1, 2)"
-        for i, c in enumerate(RECOMMENDER_FEATURES)) + ")"))
+_EXPLAIN_PAIR = _rec_sql(_T_FIRST, "fm.row_id <> t.target_id").replace(
+    f"SELECT {_REC_OUT} FROM", "SELECT target_id AS source_id, row_id AS target_id FROM", 1).replace(
+    "WHERE rank <= 5", "WHERE rank = 1")
+
+
+def _rec_explain_sql() -> str:
+    pair_body = _EXPLAIN_PAIR[_EXPLAIN_PAIR.index("SELECT target_id AS source_id"):]
+    ctes = _EXPLAIN_PAIR[len("WITH "):_EXPLAIN_PAIR.index(" SELECT target_id AS source_id")]
+    x = " UNION ALL ".join(
+        f"SELECT {i} AS pos, '{c}' AS feature, row_id, CAST(raw_{i} AS DOUBLE) AS v, f{i} AS f FROM fm"
+        for i, c in enumerate(RECOMMENDER_FEATURES))
+    return (f"WITH {ctes}, pr AS ({pair_body}), x AS ({x}) "
+            "SELECT pr.source_id, pr.target_id, s.pos, s.feature, round(s.v, 6) AS source_value, "
+            "round(t.v, 6) AS target_value, round(s.f * t.f, 6) AS contribution "
+            "FROM pr JOIN x s ON s.row_id = pr.source_id JOIN x t ON t.row_id = pr.target_id AND t.pos = s.pos")
+
+
+@register("rec_explain", _rec_explain_sql())
 def q_rec_explain(spark, sf_dir):
-    e = _recommender(spark, sf_dir).explain(1, 2)
-    return e.select("pos", "feature", r("source_value"), r("target_value"), r("contribution"))
+    """Why the first item's most similar item was recommended (the pair comes from the data)."""
+    rec = _recommender(spark, sf_dir)
+    first = rec.matrix.agg(F.min("row_id").alias("target_id"))
+    top1 = rec._rank(rec._targets_by_id(first), 1, True, False).select(
+        F.col("target_id").alias("source_id"), F.col("row_id").alias("target_id"))
+    e = rec.explain_pairs(top1)
+    return e.select("source_id", "target_id", "pos", "feature", r("source_value"), r("target_value"),
+                    r("contribution"))
 
 
 # ================================================================ scale bindings on the large tables

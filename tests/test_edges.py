@@ -64,3 +64,12 @@ def test_issue_text_rounds_like_python(spark):
         df = spark.createDataFrame(rows, "x double")
         got = validate_issues(df, limit=0.0).first()["issue"]
         assert got == f"Column 'x' has {missing} missing values ({missing / n * 100:.1f}%)", got
+
+
+def test_explain_pair(spark):
+    rows = [(1, "A", "x1", 1.0, 2.0), (2, "B", "x2", 2.0, 2.0), (3, "B", "x3", 3.0, 0.0)]
+    df = spark.createDataFrame(rows, "row_id long, Company_Clean string, Car_Name_Clean string, p double, q double")
+    rec = similar.Recommender(["p", "q"]).fit(df)
+    e = {r["feature"]: r for r in rec.explain(1, 2).collect()}
+    assert e["p"]["source_value"] == 1.0 and e["p"]["target_value"] == 2.0
+    assert e["p"]["contribution"] == pytest.approx(0.0 * 0.5) and e["q"]["contribution"] == pytest.approx(1.0)
