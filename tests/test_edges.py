@@ -73,3 +73,13 @@ def test_explain_pair(spark):
     e = {r["feature"]: r for r in rec.explain(1, 2).collect()}
     assert e["p"]["source_value"] == 1.0 and e["p"]["target_value"] == 2.0
     assert e["p"]["contribution"] == pytest.approx(0.0 * 0.5) and e["q"]["contribution"] == pytest.approx(1.0)
+
+
+def test_name_match_literal_and_regex(spark):
+    rows = [(1, "A", "Model C++ X", 1.0), (2, "B", "Roadster S", 2.0), (3, "B", "roadster 9", 3.0)]
+    df = spark.createDataFrame(rows, "row_id long, Company_Clean string, Car_Name_Clean string, p double")
+    rec = similar.Recommender(["p"]).fit(df)
+    assert rec.first_match("c++").first()["target_id"] == 1          # literal by default
+    assert rec.first_match(r"ROADSTER \S", regex=True).first()["target_id"] == 2
+    assert rec.first_match(r"roadster \d", regex=True).first()["target_id"] == 3
+    assert rec.first_match("nothing").count() == 0
