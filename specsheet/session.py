@@ -39,14 +39,18 @@ def get_spark(master: str | None = None, app_name: str = "specsheet", **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local runs, tests)
-    create a fresh scratch folder for it."""
+    """The session's ``spark.checkpoint.dir``. Only a local session (one machine, as in tests) may
+    leave it unset and gets a fresh scratch folder; on a cluster an unset folder is an error,
+    because executors would not see each other's files."""
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
+    master = sc.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
