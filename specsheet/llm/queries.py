@@ -38,3 +38,30 @@ def op3_packing(spark, sf_dir):
     from .packing import pack_documents
 
     return pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER, size=1024)
+
+
+@register("op6_license_scan")
+def op6_license_scan(spark, sf_dir):
+    from .licenses import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+@register("op9_url_filter", sql=r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+best AS (
+  SELECT page_id, host, path, max({'n': length(h || p), 'rule': h || p, 'verdict': verdict}) AS m
+  FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) AND h IS NOT NULL
+  GROUP BY page_id, host, path)
+SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verdict FROM best
+""")
+def op9_url_filter(spark, sf_dir):
+    from .url_filter import RULES, filter_urls
+
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    return filter_urls(read_table(spark, sf_dir, "pages"), rules)
