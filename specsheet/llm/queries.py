@@ -65,3 +65,20 @@ def op9_url_filter(spark, sf_dir):
 
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     return filter_urls(read_table(spark, sf_dir, "pages"), rules)
+
+
+@register("op5_decontamination")
+def op5_decontamination(spark, sf_dir):
+    from .decontaminate import find_contamination
+
+    found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), n=10)
+    ids = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
+@register("op7_secret_scan")
+def op7_secret_scan(spark, sf_dir):
+    from .secrets import secret_report
+
+    return secret_report(read_table(spark, sf_dir, "documents"))
