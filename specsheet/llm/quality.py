@@ -79,7 +79,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_train
         if not hits or hits == seen[0]:
             out.append((np.zeros(BUCKETS), float(np.log(rate / (1 - rate)))))
             continue
-        model = LogisticRegression(featuresCol="features", labelCol=target, maxIter=15, regParam=0.002, standardization=False).fit(vectors)
+        model = LogisticRegression(featuresCol="features", labelCol=target, maxIter=25, regParam=0.002, standardization=False).fit(vectors)
         out.append((model.coefficients.toArray(), float(model.intercept)))
     return out
 

@@ -107,3 +107,11 @@ def op10_topk_search(spark, sf_dir):
 
     vectors = read_table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
+
+
+@register("op1_substring_dedup")
+def op1_substring_dedup(spark, sf_dir):
+    from .substring_dedup import dedup_substrings
+
+    return dedup_substrings(read_table(spark, sf_dir, "documents"), min_words=35).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
