@@ -115,3 +115,10 @@ def op1_substring_dedup(spark, sf_dir):
 
     return dedup_substrings(read_table(spark, sf_dir, "documents"), min_words=35).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op4_jaccard_join")
+def op4_jaccard_join(spark, sf_dir):
+    from .jaccard_join import link_documents
+
+    return link_documents(read_table(spark, sf_dir, "documents"), n=3, percent=90)
