@@ -145,39 +145,69 @@ def index_entries(shared: DataFrame, percent: int) -> DataFrame:
     return shared.mapInPandas(index, "id long, entry long")
 
 
-def _distances(bits: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of pairs of bitmaps; the longer one is folded to the shorter one's size."""
-    length = np.array([len(x) for x in bits])
-    out = np.zeros(len(a), np.int64)
-    least = np.minimum(length[a], length[b])
-    for size in np.unique(least).tolist():
-        rows = np.flatnonzero(least == size)
-        used, at = np.unique(np.concatenate([a[rows], b[rows]]), return_inverse=True)
-        maps = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[u], np.uint64).reshape(-1, size // 8), axis=0) for u in used])
-        for cut in range(0, len(rows), 1 << 15):
-            some = np.arange(cut, min(cut + (1 << 15), len(rows)))
-            differ = maps[at[some]] ^ maps[at[len(rows) + some]]
-            out[rows[some]] = np.bitwise_count(differ).sum(axis=1)
-    return out
-
-
-def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Rows of a minimum spanning forest."""
-    root: dict[int, int] = {}
-
-    def find(x):
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
-        return x
-
-    kept = []
-    for r in np.lexsort((b, a, weight)).tolist():
-        p, q = find(int(a[r])), find(int(b[r]))
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            kept.append(r)
-    return np.array(kept, np.int64)
+class Bitmaps:
+    """The bitmaps of many rows as one matrix per size; longer ones are also there folded."""
+
+    def __init__(self, bits: list[bytes]):
+        self.length = np.array([len(x) for x in bits])
+        self.rows, self.maps = {}, {}
+        folded, have = np.zeros((0, 0), np.uint64), np.zeros(0, np.int64)
+        for size in sorted(set(self.length.tolist()), reverse=True):
+            own = np.flatnonzero(self.length == size)
+            matrix = np.frombuffer(b"".join([bits[i] for i in own.tolist()]), np.uint64).reshape(len(own), -1)
+            if len(have):
+                folded = np.bitwise_xor.reduce(folded.reshape(len(have), -1, size // 8), axis=1)
+                matrix, own = np.concatenate([folded, matrix]), np.concatenate([have, own])
+            folded, have = matrix, own
+            place = np.zeros(len(bits), np.int64)
+            place[own] = np.arange(len(own))
+            self.rows[size], self.maps[size] = place, matrix
+
+    def within(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs differ in at most ``most`` bits, and in how many. A quarter of the bits is
+        enough to discard most pairs."""
+        kept, differing = [], []
+        least = np.minimum(self.length[a], self.length[b])
+        for size in np.unique(least).tolist():
+            rows, maps, quarter = np.flatnonzero(least == size), self.maps[size], size // 32
+            for cut in range(0, len(rows), 1 << 15):
+                some = rows[cut : cut + (1 << 15)]
+                p, q = self.rows[size][a[some]], self.rows[size][b[some]]
+                part = np.bitwise_count(maps[p, :quarter] ^ maps[q, :quarter]).sum(axis=1, dtype=np.int64)
+                near = part <= most[some]
+                some, p, q = some[near], p[near], q[near]
+                part = part[near] + np.bitwise_count(maps[p, quarter:] ^ maps[q, quarter:]).sum(axis=1, dtype=np.int64)
+                near = part <= most[some]
+                kept.append(some[near])
+                differing.append(part[near])
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *kept]), np.concatenate([none, *differing])
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, nodes: int) -> np.ndarray:
+    """Edges of a minimum spanning forest: every component takes its lightest edge, round by round."""
+    order = np.lexsort((b, a, weight))
+    root, kept = np.arange(nodes), []
+    while len(order):
+        p, q = root[a[order]], root[b[order]]
+        order, p, q = order[p != q], p[p != q], q[p != q]
+        if not len(order):
+            break
+        ends = np.stack([p, q], axis=1).ravel()  # edges are sorted: the first one of a node is its lightest
+        node, first = np.unique(ends, return_index=True)
+        edge = first // 2
+        kept.append(order[np.unique(edge)])
+        parent = np.arange(nodes)
+        parent[node] = p[edge] + q[edge] - node
+        both = parent[parent[node]] == node  # two that took the same edge: the smaller is the root
+        parent[node[both & (node < parent[node])]] = node[both & (node < parent[node])]
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+        root = parent[root]
+    return np.concatenate([np.zeros(0, np.int64), *kept])
 
 
 def unit_pairs(frame: pd.DataFrame, percent: int, across: bool) -> pd.DataFrame:
@@ -189,8 +219,8 @@ def unit_pairs(frame: pd.DataFrame, percent: int, across: bool) -> pd.DataFrame:
     last = np.repeat(first + size, size)
     n, block, root = (frame[c].to_numpy() for c in ("n", "block", "root"))
     two = frame["i"].to_numpy() != frame["j"].to_numpy()
-    bits, ids = frame["bits"].tolist(), frame["id"].to_numpy()
-    out = []
+    bitmaps, ids = Bitmaps(frame["bits"].tolist()), frame["id"].to_numpy()
+    out = [np.zeros((3, 0), np.int64)]
     at, step = np.arange(len(frame)), 0
     while len(at):
         step += 1
@@ -202,19 +232,12 @@ def unit_pairs(frame: pd.DataFrame, percent: int, across: bool) -> pd.DataFrame:
         if across:
             can &= root[at] != root[other]
         a, b = at[can], other[can]
-        if len(a):
-            least = -(-percent * (n[a] + n[b]) // (100 + percent))  # of tokens that linked sets share
-            differ = _distances(bits, a, b)
-            good = differ <= n[a] + n[b] - 2 * least
-            out.append(np.stack([a[good], b[good], differ[good]]))
-    pairs = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-    if not across and pairs.shape[1]:
-        unit = np.searchsorted(first, pairs[0], side="right")
-        order = np.argsort(unit, kind="stable")
-        pairs, unit = pairs[:, order], unit[order]
-        cuts = np.split(np.arange(len(unit)), np.flatnonzero(np.diff(unit)) + 1)
-        keep = np.concatenate([c if len(c) == 1 else c[_forest(ids[pairs[0, c]], ids[pairs[1, c]], pairs[2, c])] for c in cuts])
-        pairs = pairs[:, keep]
+        least = -(-percent * (n[a] + n[b]) // (100 + percent))  # of tokens that linked sets share
+        good, differ = bitmaps.within(a, b, n[a] + n[b] - 2 * least)
+        out.append(np.stack([a[good], b[good], differ]))
+    pairs = np.concatenate(out, axis=1)
+    if not across:  # rows of different units are different nodes
+        pairs = pairs[:, spanning_forest(*pairs, len(frame))]
     a, b = ids[pairs[0]], ids[pairs[1]]
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
