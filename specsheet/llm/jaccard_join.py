@@ -11,10 +11,11 @@ subclasses grows with set size by levels of four; a class near the next level is
 
 Classes that share an index entry are compared in units of two blocks of at most ``block`` classes,
 whatever an entry's size. Inside a unit, sizes and parity bitmaps (the bits that differ never exceed
-the tokens that differ) discard pairs that cannot link. A first round hands on a spanning forest of
-the remaining pairs, closest first, a second one the remaining pairs between different
-components, so no group's pairs are ever written in full. Every pair handed on is verified on its
-texts, and components follow from verified links.
+the tokens that differ) discard pairs that cannot link. Three rounds hand on what remains: a
+spanning forest, closest pairs first, from a few entries of each class; one between components from
+all entries; then every pair between different components. Each round's pairs are verified on
+their texts, and components follow from the verified links, so a group's pairs are never written in
+full and no link between components is lost.
 
 Cases: null and wordless texts have an empty set and link with nothing; a text of fewer than ``n``
 words has one token; repeated rows and equal ids are equal sets; a null id takes no part and
@@ -26,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -34,7 +35,6 @@ from .scratch import Scratch
 from .words import mix, run_hash, run_sums, text_bytes, word_bounds, word_hashes
 
 _SETS = "doc_id long, n long, low long, high long, prefix array<long>, bits binary"
-_UNIT = "unit long, i int, j int, block int, id long, n long, bits binary, root long"
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -210,9 +210,9 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, nodes: int
     return np.concatenate([np.zeros(0, np.int64), *kept])
 
 
-def unit_pairs(frame: pd.DataFrame, percent: int, across: bool) -> pd.DataFrame:
-    """Pairs that can link from whole units, rows sorted by unit. ``across``: all pairs between
-    different components; else a spanning forest per unit."""
+def unit_pairs(frame: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
+    """Pairs of different components that can link from whole units, rows sorted by unit: ``every``
+    one, or those of a spanning forest of a unit's components."""
     new = np.any([frame[c].to_numpy()[1:] != frame[c].to_numpy()[:-1] for c in ("unit", "i", "j")], axis=0)
     first = np.flatnonzero(np.append(True, new))
     size = np.diff(np.append(first, len(frame)))
@@ -228,21 +228,21 @@ def unit_pairs(frame: pd.DataFrame, percent: int, across: bool) -> pd.DataFrame:
         other = at + step
         n_a, n_b = n[at], n[other]
         can = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-        can &= ~two[at] | (block[at] != block[other])
-        if across:
-            can &= root[at] != root[other]
+        can &= (root[at] != root[other]) & (~two[at] | (block[at] != block[other]))
         a, b = at[can], other[can]
         least = -(-percent * (n[a] + n[b]) // (100 + percent))  # of tokens that linked sets share
         good, differ = bitmaps.within(a, b, n[a] + n[b] - 2 * least)
         out.append(np.stack([a[good], b[good], differ]))
     pairs = np.concatenate(out, axis=1)
-    if not across:  # rows of different units are different nodes
-        pairs = pairs[:, spanning_forest(*pairs, len(frame))]
+    if not every:  # a node is a component in a unit
+        unit = np.searchsorted(first, np.arange(len(frame)), side="right")
+        node = np.unique(np.stack([unit, root]), axis=1, return_inverse=True)[1].ravel()
+        pairs = pairs[:, spanning_forest(node[pairs[0]], node[pairs[1]], pairs[2], len(frame))]
     a, b = ids[pairs[0]], ids[pairs[1]]
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-def possible_pairs(units: DataFrame, percent: int, across: bool) -> DataFrame:
+def possible_pairs(units: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs from all units; a task reads sorted units and holds a batch and one unit at most."""
 
     def pairs(batches):
@@ -255,9 +255,9 @@ def possible_pairs(units: DataFrame, percent: int, across: bool) -> DataFrame:
             tail = ((frame["unit"] == end["unit"]) & (frame["i"] == end["i"]) & (frame["j"] == end["j"])).to_numpy()
             rest, frame = frame[tail], frame[~tail].reset_index(drop=True)
             if len(frame):
-                yield unit_pairs(frame, percent, across)
+                yield unit_pairs(frame, percent, every)
         if rest is not None:
-            yield unit_pairs(rest.reset_index(drop=True), percent, across)
+            yield unit_pairs(rest.reset_index(drop=True), percent, every)
 
     keys = ["unit", "i", "j"]
     return units.repartition(*keys).sortWithinPartitions(*keys, "id").mapInPandas(pairs, "a long, b long").distinct()
@@ -289,7 +289,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return both.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long")
 
 
-def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int = 40, block: int = 256,
+def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int = 40, block: int = 1024,
                    broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``."""
     scratch = Scratch(docs.sparkSession, "jaccard-join")
@@ -309,16 +309,22 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         F.collect_list(F.struct("place", "token", "frequent")).alias("tokens"))  # bounded by a document
     entries = scratch.table(index_entries(shared, percent), "entries")
     scratch.drop("common")
-    counts = entries.groupBy(F.col("entry").alias("unit")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(
-        "unit", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    found = entries.join(scratch.table(counts, "counts"), F.col("entry") == F.col("unit")).select("unit", "id", "blocks")
-    found = scratch.table(found, "found")
+    # Entries with the same classes would compare the same pairs: one of them stays.
+    counts = entries.groupBy("entry").agg(
+        F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(id))").alias("who"), F.expr("bit_xor(xxhash64(id, 7))").alias("also")
+    ).where("m > 1").groupBy("m", "who", "also").agg(F.min("entry").alias("unit"))
+    counts = scratch.table(counts.select("unit", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "counts")
+    found = entries.join(counts, F.col("entry") == F.col("unit")).select("unit", "id", "blocks")
+    found = scratch.table(found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("unit"))), "found")
     scratch.drop("entries", "counts")
     sketch = classes.select(F.col("id").alias("own"), "n", "bits")
-    own = F.pmod(F.xxhash64("id", "unit"), F.col("blocks")).cast("int")
-    units = found.join(sketch, F.col("id") == F.col("own")).select(
-        "unit", "id", "n", "bits", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    units = units.select("unit", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "bits")
+
+    def units(rows: DataFrame) -> DataFrame:
+        """Classes with their sketches, once per pair of blocks that theirs belongs to."""
+        own = F.pmod(F.xxhash64("id", "unit"), F.col("blocks")).cast("int")
+        blocks = rows.select("unit", "id", "root", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        return blocks.join(sketch, F.col("id") == F.col("own")).select(
+            "unit", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "bits", "root")
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.table(pairs, f"{name}-pairs")
@@ -327,16 +333,22 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         texts = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("own"), "left_semi").dropDuplicates(["doc_id"])
         return scratch.table(verified(pairs, texts, n, percent), f"{name}-links")
 
-    first = check(possible_pairs(units.withColumn("root", F.lit(None).cast("long")), percent, across=False), "first")
-    roots = components(first, scratch, "near")
-    rooted = units.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    # Only units whose classes lie in two components or more have anything left to compare.
-    open_units = rooted.groupBy(F.col("unit").alias("open")).agg(F.min("root").alias("least"), F.max("root").alias("most")).where(
-        "least <> most").select("open")
-    rooted = rooted.join(scratch.table(open_units, "open"), F.col("unit") == F.col("open"), "left_semi")
-    second = check(possible_pairs(rooted, percent, across=True), "second")
-    if second.limit(1).count():
-        roots = components(first.unionByName(second), scratch, "all")
+    def still_open(roots: DataFrame, name: str) -> DataFrame:
+        """Rows of the entries whose classes lie in two components or more."""
+        rooted = found.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+        rooted = scratch.table(rooted, f"{name}-rooted")
+        some = rooted.groupBy(F.col("unit").alias("open")).agg(F.min("root").alias("least"), F.max("root").alias("most")).where(
+            "least <> most").select("open")
+        return rooted.join(scratch.table(some, f"{name}-open"), F.col("unit") == F.col("open"), "left_semi")
+
+    few = found.where(F.col("place") <= 4).withColumn("root", F.col("id"))
+    links = check(possible_pairs(units(few), percent, every=False), "few")
+    roots = components(links, scratch, "few-roots")
+    for name, every in (("forest", False), ("rest", True)):
+        more = check(possible_pairs(units(still_open(roots, name)), percent, every), name)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            roots = components(links, scratch, f"{name}-roots")
     scratch.drop("found")
 
     same = [classes[c] == members[c] for c in key]
