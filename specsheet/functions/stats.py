@@ -27,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DEFAULT_ACCURACY = 10000
 
 
@@ -59,7 +61,7 @@ def quantiles(
     prefix: str = "q",
     bounds: bool = False,
     aggs: Sequence[Column] = (),
-    refine: bool | None = None,
+    refine: bool = True,
 ) -> DataFrame:
     """Per-group quantiles of ``value`` (nulls ignored; null keys dropped like pandas).
 
@@ -106,8 +108,6 @@ def quantiles(
     # buffers (not hashed), so the sketch is computed once and never joined back.
     consts = ["n", "__min", "__max"]
     keep = [F.first(c).alias(c) for c in carried]
-    if refine is None:
-        refine = estimated_bytes(first) > REFINE_ABOVE_BYTES
     if refine:
         sketch = _refine(first, sketch, keys, probs, accuracy, consts, carried)
     joined = attach(first.select(*keys, "__v"), sketch, keys)
@@ -152,18 +152,6 @@ def quantiles(
 
 
 SUB_BUCKETS = 1024
-# Above this estimated input size a group could hold ~1e9 rows, whose sketch bracket
-# (~6 n / accuracy values) would be too much for one task: the refinement pass is added.
-REFINE_ABOVE_BYTES = 2 * 1024 ** 3
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (no job is run)."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size if isinstance(size, int) else size.toString())
-    except Exception:  # no estimate: assume large
-        return REFINE_ABOVE_BYTES + 1
 
 
 def _segments(k: int) -> tuple[Column, Column, Column]:
@@ -298,20 +286,44 @@ def hash_chunks(df: DataFrame, by: str | Sequence[str] | None, id_col: str, seed
     return result
 
 
+def _ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows sorted by range, with their partition (``__pid``) and place in it (``__i``), written
+    once: what is counted per partition is then what is read."""
+    ranged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("__pid", F.spark_partition_id())
+              .withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    return materialize(ranged)
+
+
 def with_dense_index(df: DataFrame, order: Sequence[str], out: str = "__pos") -> DataFrame:
     """Adds ``out`` = 0-based position in ``order`` (a total order is expected).
 
-    Range-partitioned and sorted within partitions; a row's position is the row count of the
-    partitions before it (a broadcast table with one row per partition) plus its index inside
-    its partition (``monotonically_increasing_id`` minus the partition's base id). Never a window
-    without partition keys, never a trip through Python.
+    Range-partitioned, sorted within partitions and written once (eager); a row's position is the
+    row count of the partitions before it (a broadcast table with one row per partition) plus its
+    place in its own. Never a window over rows without partition keys, never a trip through Python.
     """
-    ranged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-              .withColumn("__pid", F.spark_partition_id())
-              .withColumn("__mid", F.monotonically_increasing_id()))
+    ranged = _ranked(df, order)
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    return ranged.join(F.broadcast(offsets), "__pid").withColumn(out, F.col("__off") + local) \
-        .drop("__pid", "__mid", "__off")
+    return ranged.join(F.broadcast(offsets), "__pid").withColumn(out, F.col("__off") + F.col("__i")) \
+        .drop("__pid", "__i", "__off")
+
+
+def order_cuts(df: DataFrame, order_col: str, k: int) -> list:
+    """The ``order_col`` values at which the 2nd to ``k``-th of ``k`` equal parts begin (the first
+    ``n % k`` parts hold one row more). Eager: only the order column is sorted and written, one
+    count per partition and ``k - 1`` values come to the driver."""
+    keys = _ranked(df.select(F.col(order_col).alias("__v")), ["__v"])
+    counts = {r["__pid"]: r["c"] for r in keys.groupBy("__pid").agg(F.count(F.lit(1)).alias("c")).collect()}
+    n = sum(counts.values())
+    wanted = [j * (n // k) + min(j, n % k) for j in range(1, k)]
+    places, start = [], 0
+    for pid in sorted(counts):
+        places += [(pid, rank - start) for rank in wanted if start <= rank < start + counts[pid]]
+        start += counts[pid]
+    if not places:
+        return []
+    hit = reduce(lambda x, y: x | y, [(F.col("__pid") == p) & (F.col("__i") == i) for p, i in set(places)])
+    found = {(r["__pid"], r["__i"]): r["__v"] for r in keys.where(hit).collect()}
+    return [found[p] for p in places]

@@ -117,18 +117,18 @@ def label_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_Encoded"
     return out, mappings
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], max_values: int = 1000) -> tuple[DataFrame, dict[str, list[str]]]:
+def one_hot(df: DataFrame, columns: Sequence[str], max_values: int | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
     """One boolean column ``<col>_<value>`` per distinct value, sorted; null -> all false.
 
-    The value list becomes the output schema, so it is collected; it is bounded by
-    ``max_values`` (a schema with more columns than that is not a sensible output).
+    The value list becomes the output schema, so it is collected. ``max_values`` is an optional
+    guard: a column with more distinct values raises.
     """
     out = df
     names: dict[str, list[str]] = {}
     for c in columns:
         vals = [r[0] for r in df.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct()
-                .orderBy(1).limit(max_values + 1).collect()]
-        if len(vals) > max_values:
+                .orderBy(1).collect()]
+        if max_values is not None and len(vals) > max_values:
             raise ValueError(f"{c} has more than {max_values} distinct values")
         cols = {f"{c}_{v}": F.coalesce(F.col(c).cast("string") == F.lit(v), F.lit(False)) for v in vals}
         out = out.withColumns(cols)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import attach, hash_chunks, with_dense_index
+from ..functions.stats import attach, hash_chunks, order_cuts
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
@@ -131,13 +131,12 @@ def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, id_c
 def contiguous_folds(df: DataFrame, k: int = 5, order_col: str = "row_id", out: str = "fold") -> DataFrame:
     """Unshuffled k-fold over the ``order_col`` order: the first ``n % k`` folds hold one extra row.
 
-    The dense position comes from ``zipWithIndex`` on the sorted rows (a range-partitioned sort
-    plus a per-partition count), never from a window without partition keys.
+    The ``k - 1`` values at which folds begin are found first (eager, see ``order_cuts``); the rows
+    themselves are only compared with them, so none can be lost. ``order_col`` is expected to be
+    unique; equal values share a fold, and nulls are in the first one.
     """
-    with_pos = with_dense_index(df, [order_col], "__pos")
-    n = with_pos.agg(F.count(F.lit(1)).alias("__n"))
-    q = F.floor(F.col("__n") / k)
-    r = F.col("__n") % k
-    p = F.col("__pos")
-    fold = F.when(p < r * (q + 1), F.floor(p / (q + 1))).otherwise(r + F.floor((p - r * (q + 1)) / F.nullif(q, F.lit(0))))
-    return attach(with_pos, n, []).withColumn(out, fold.cast("int")).drop("__pos", "__n")
+    fold = F.lit(0)
+    for cut in order_cuts(df, order_col, k):
+        at = F.lit(False) if cut is None else F.coalesce(F.col(order_col) >= F.lit(cut), F.lit(False))
+        fold = fold + F.when(at, 1).otherwise(0)
+    return df.withColumn(out, fold.cast("int"))

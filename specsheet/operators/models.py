@@ -187,7 +187,7 @@ class PricePredictor(_Base):
                 m = regression_metrics(model.transform(data), target, "prediction", by=["is_validation"]).collect()
                 return name, model, sorted(m, key=lambda r: r["is_validation"]), None
             except Exception as e:  # per-candidate error capture, as the reference does
-                return name, None, [], str(e)[:500]
+                return name, None, [], str(e)
 
         for name, model, m, err in _parallel(one, list(self.candidates.items()), self.parallelism):
             if err is not None:
@@ -237,7 +237,7 @@ class PricePredictor(_Base):
                 model = Pipeline(stages=[self._assembler(), self._estimator(name, est, tr, target)]).fit(tr)
                 return name, k, regression_metrics(model.transform(te), target, "prediction").first()["r2"], None
             except Exception as e:
-                return name, k, None, str(e)[:500]
+                return name, k, None, str(e)
 
         tasks = [(name, est, k) for name, est in self.candidates.items() for k in range(cv)]
         return spark.createDataFrame(_parallel(one, tasks, self.parallelism),
@@ -317,7 +317,7 @@ class PerformanceClassifier(_Base):
                                                              "prediction").first()))
                 return name, model, ms, None
             except Exception as e:
-                return name, None, [], str(e)[:500]
+                return name, None, [], str(e)
 
         for name, model, ms, err in _parallel(one, list(self.candidates.items()), self.parallelism):
             if err is not None:
@@ -413,7 +413,7 @@ class PerformanceClassifier(_Base):
                 f1 = classification_metrics(model.transform(te), "label", "prediction").first()["f1_weighted"]
                 return name, k, f1, None
             except Exception as e:
-                return name, k, None, str(e)[:500]
+                return name, k, None, str(e)
 
         tasks = [(name, est, k) for name, est in self.candidates.items() for k in range(cv)]
         return spark.createDataFrame(_parallel(one, tasks, self.parallelism),

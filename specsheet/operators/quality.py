@@ -48,13 +48,17 @@ def _pct_text(missing, rows) -> F.Column:
 
 
 def validate_issues(df: DataFrame, columns: Sequence[str] | None = None, limit: float = MISSING_SHARE_LIMIT) -> DataFrame:
-    """Columns with more than ``limit`` of their values missing (strict), with a message."""
+    """Columns with more than ``limit`` of their values missing (strict), with a message; then, if
+    there are any, the duplicate rows (``column`` null, ``missing`` 0)."""
     mv = missing_values(df, columns).where(F.col("missing") > F.col("total_rows") * limit)
+    repeats = duplicate_rows(df, columns).where("duplicates > 0").select(
+        F.lit(None).cast("string").alias("column"), F.lit(0).cast("bigint").alias("missing"),
+        F.concat(F.lit("Found "), F.col("duplicates").cast("string"), F.lit(" duplicate rows")).alias("issue"))
     return mv.select(
         "column", "missing",
         F.concat(F.lit("Column '"), F.col("column"), F.lit("' has "), F.col("missing").cast("string"),
                  F.lit(" missing values ("), _pct_text(F.col("missing"), F.col("total_rows")), F.lit("%)"))
-        .alias("issue"))
+        .alias("issue")).unionByName(repeats)
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def class_df(spark, sf_dir):
 
 
 def _key(spark, sf_dir, what):
-    return (id(spark), sf_dir.rstrip("/"), what)
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
 
 
 def regressor(spark, sf_dir) -> tuple[PricePredictor, object]:

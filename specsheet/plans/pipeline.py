@@ -35,7 +35,7 @@ def specs(spark: SparkSession, sf_dir: str, written: bool = True) -> DataFrame:
     """
     if not written:
         return build_features(raw_specs(spark, sf_dir))
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _WRITTEN:
         import uuid
 

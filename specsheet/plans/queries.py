@@ -1017,3 +1017,53 @@ def q_scale_events(spark, sf_dir):
 
 # Model, attribution and pipeline queries register themselves on import.
 from . import ml_queries  # noqa: E402,F401
+
+
+# ================================================================ rows with hits on the large tables
+
+
+@register("outlier_rows_events", (
+    "WITH b AS (SELECT quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS lo, "
+    "quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS hi FROM events) "
+    "SELECT event_id, round(value, 6) AS value FROM events, b WHERE value < lo OR value > hi"))
+def q_outlier_rows_events(spark, sf_dir):
+    return profile.identify_outliers(read_table(spark, sf_dir, "events"), "value", "iqr", 1.5).select("event_id", r("value"))
+
+
+@register("zscore_rows_events", (
+    "WITH z AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events) "
+    "SELECT event_id, round(value, 6) AS value FROM events, z WHERE abs((value - m) / nullif(s, 0)) > 3"))
+def q_zscore_rows_events(spark, sf_dir):
+    return profile.identify_outliers(read_table(spark, sf_dir, "events"), "value", "zscore", 3.0).select("event_id", r("value"))
+
+
+@register("duplicates_lineitem_keys", "SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicates FROM "
+          "(SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)")
+def q_duplicates_lineitem_keys(spark, sf_dir):
+    return quality.duplicate_rows(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@register("issues_lineitem_keys", (
+    "SELECT CAST(NULL AS VARCHAR) AS \"column\", CAST(0 AS BIGINT) AS missing, "
+    "'Found ' || CAST(sum(c - 1) AS BIGINT) || ' duplicate rows' AS issue FROM "
+    "(SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber) HAVING sum(c - 1) > 0"))
+def q_issues_lineitem_keys(spark, sf_dir):
+    return quality.validate_issues(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@register("reg_folds", (
+    "WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders), "
+    "f AS (SELECT o_orderkey, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) "
+    "ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM p) "
+    "SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM f GROUP BY fold"))
+def q_reg_folds(spark, sf_dir):
+    folds = metrics.contiguous_folds(read_table(spark, sf_dir, "orders"), 5, "o_orderkey")
+    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_id"),
+                                     F.max("o_orderkey").alias("last_id"))
+
+
+@register("label_codes_customers", (
+    "SELECT c_name AS value, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS DOUBLE) AS code FROM "
+    "(SELECT DISTINCT c_name FROM customer WHERE c_name IS NOT NULL)"))
+def q_label_codes_customers(spark, sf_dir):
+    return features.label_mapping(read_table(spark, sf_dir, "customer"), "c_name")

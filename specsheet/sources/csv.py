@@ -29,10 +29,10 @@ def check_required(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) ->
         raise ValueError(f"Missing expected columns: {missing}")
 
 
-def _read(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def _read(spark: SparkSession, path: str | list[str], encoding: str, multi_line: bool) -> DataFrame:
     try:
-        return (spark.read.option("header", True).option("inferSchema", False)
-                .option("encoding", encoding).option("multiLine", False).csv(path))
+        return (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+                .option("encoding", encoding).option("multiLine", multi_line).csv(path))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise FileNotFoundError(f"Dataset not found at: {path}") from e
@@ -45,21 +45,25 @@ def load_specs_csv(
     encoding: str = "auto",
     required: Sequence[str] = REQUIRED_COLUMNS,
     rename: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read spec-sheet CSV(s) with every column as string.
 
-    ``encoding='auto'`` reads UTF-8 and, when any value holds the replacement character
-    (Spark does not fail on bad bytes), re-reads as ISO-8859-1. Adds ``row_id`` in file order
+    Quoted values may hold doubled quotes and, with ``multi_line`` (a file is then not split),
+    line breaks. ``encoding='auto'`` reads UTF-8; the files in which a value holds the replacement
+    character (Spark does not fail on bad bytes) are re-read as ISO-8859-1, file by file. Adds ``row_id`` in file order
     (``monotonically_increasing_id`` preserves partition and row order; ids are not dense).
     """
-    df = _read(spark, path, "UTF-8" if encoding == "auto" else encoding)
+    df = _read(spark, path, "UTF-8" if encoding == "auto" else encoding, multi_line)
     check_required(df, required)
     if encoding == "auto":
         bad = F.lit(False)
         for c in df.columns:
             bad = bad | F.col(f"`{c}`").contains(REPLACEMENT_CHAR)
-        if df.where(bad).limit(1).count() > 0:
-            df = _read(spark, path, "ISO-8859-1")
+        other = [r[0] for r in df.where(bad).select("_metadata.file_path").distinct().collect()]  # file names
+        if other:
+            rest = df.where(~F.col("_metadata.file_path").isin(other)).select(*[f"`{c}`" for c in df.columns])
+            df = rest.unionByName(_read(spark, other, "ISO-8859-1", multi_line))
     if rename:
         mapping = dict(zip(REQUIRED_COLUMNS, RAW_NAMES))
         df = df.select(*[F.col(f"`{c}`").alias(mapping.get(c, c)) for c in df.columns])

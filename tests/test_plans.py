@@ -28,11 +28,10 @@ def test_filters_and_pruning_reach_scan(spark):
 
 
 def test_exact_quantile_passes(spark):
-    """Sketch + collapse on small inputs (the plain aggregates ride along); the refinement pass
-    joins in when forced or when the input is estimated large."""
+    """Sketch, refinement and collapse at every size; the plain aggregates ride along."""
     from specsheet.functions.stats import quantiles
     p = _plan(QUERIES["by_brand"](spark, SF01))
-    assert p.count("Scan parquet") == 2
+    assert p.count("Scan parquet") == 3
     from specsheet.sources.tables import read_table
     li = read_table(spark, SF01, "lineitem")
-    assert _plan(quantiles(li, "l_quantity", [0.5], refine=True)).count("Scan parquet") == 3
+    assert _plan(quantiles(li, "l_quantity", [0.5])).count("Scan parquet") == 3
