@@ -10,7 +10,7 @@ returns k rows per query at most.
 
 Cases: a vector that is null, empty or holds a null or non-finite component takes no part; vectors
 of different lengths are not compared; rows with the query's own id are its own; ties go to the
-smaller id; an empty table gives no rows; other columns are ignored.
+smaller id; a score beyond 64 bits raises; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
