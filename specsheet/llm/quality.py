@@ -116,6 +116,7 @@ def classify(docs: DataFrame, labels: DataFrame, host_cols: tuple[str, ...] = ("
     (probability of being good and not toxic) and ``keep``."""
     scratch = Scratch(docs.sparkSession, "quality")
     fitted = docs.sparkSession.sparkContext.broadcast(fit_evidence(docs, labels, scratch, max_train))
+    scratch.drop("train")
 
     def score(batches):
         for batch in batches:
