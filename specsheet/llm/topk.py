@@ -121,7 +121,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
 
     asked = scratch.table(pack_blocks(usable(queries).where(F.size("embedding").isin(list(table))), table, scale, query_rows), "queries")
     rows = scratch.table(pack_blocks(usable(vectors), table, scale, block_rows), "rows")
-    # One number per query block and per group of candidate blocks; blocks are few and counted.
+    # The planner broadcasts the query blocks' names while they are small.
     n_groups = max(1, -(-rows.count() // blocks_per_task))
     asked = asked.select("*", F.concat_ws("-", F.xxhash64("ids", "vectors").cast("string"), F.monotonically_increasing_id()).alias("ask"))
     asked = scratch.table(asked, "asked")
@@ -129,7 +129,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     rows = rows.withColumn("part", F.pmod(F.xxhash64("ids", "vectors"), F.lit(n_groups)).cast("int"))
     parts = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("part")
     left = asked.select("dim", "ask", parts, F.lit(0).alias("role"), "ids", "vectors", "distances")
-    right = rows.join(F.broadcast(asks), "dim").select("dim", "ask", "part", F.lit(1).alias("role"), "ids", "vectors", "distances")
+    right = rows.join(asks, "dim").select("dim", "ask", "part", F.lit(1).alias("role"), "ids", "vectors", "distances")
 
     def unpack(row):
         ids = np.frombuffer(row.ids, "<i8")
