@@ -9,8 +9,9 @@ its rare tokens, plus for each subclass of frequent tokens one less than it has
 tokens are indexed alone and frequent ones in pairs within their subclass. The number of
 subclasses grows with set size by levels of four; a class near the next level is indexed for both.
 
-Classes that share an index entry are compared in units of two blocks of at most ``block`` classes,
-whatever an entry's size. Inside a unit, sizes and parity bitmaps (the bits that differ never exceed
+A class whose size fits no class of another component in an entry leaves that entry. Classes that share an index
+entry are compared in units of two blocks of at most ``block`` classes, whatever an entry's size.
+Inside a unit, sizes and parity bitmaps (the bits that differ never exceed
 the tokens that differ) discard pairs that cannot link. Three rounds hand on what remains: a
 spanning forest, closest pairs first, from a few entries of each class; one between components from
 all entries; then every pair between different components. Each round's pairs are verified on
@@ -116,7 +117,7 @@ def index_entries(shared: DataFrame, percent: int) -> DataFrame:
 
     def index(batches):
         for frame in batches:
-            ids, entries = [], []
+            ids, sizes, entries = [], [], []
             for doc_id, size, tokens in zip(frame["id"].tolist(), frame["n"].tolist(), frame["tokens"]):
                 tokens = sorted((t["place"], t["token"], t["frequent"]) for t in tokens)
                 place = np.array([t[0] for t in tokens])
@@ -139,10 +140,26 @@ def index_entries(shared: DataFrame, percent: int) -> DataFrame:
                         found.append(mix(mix(token[members[i]] + np.uint64(at)) ^ token[members[j]]))
                 got = np.unique(np.concatenate(found))
                 ids.append(np.full(len(got), doc_id, np.int64))
+                sizes.append(np.full(len(got), size, np.int64))
                 entries.append(got.view(np.int64))
-            yield pd.DataFrame({"id": np.concatenate(ids), "entry": np.concatenate(entries)} if ids else {"id": [], "entry": []})
+            parts = {"id": ids, "n": sizes, "entry": entries}
+            yield pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in parts.items()})
 
-    return shared.mapInPandas(index, "id long, entry long")
+    return shared.mapInPandas(index, "id long, n long, entry long")
+
+
+def with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (``unit, id, n, root`` and others) without the classes whose size fits no class of
+    another component in their entry. In order of size the nearest such classes fit best; they lie
+    beside the run of one component. For entries of one block, which are bounded."""
+    for side, order in (("below", ["n", "id"]), ("above", [F.desc("n"), F.desc("id")])):
+        by_size = Window.partitionBy("unit").orderBy(*order)
+        before = F.struct(F.lag("n").over(by_size).alias("n"), F.lag("root").over(by_size).alias("root"))
+        rows = rows.withColumn("before", before)
+        nearest = F.last(F.when(F.col("before.root") != F.col("root"), F.col("before.n")), ignorenulls=True).over(by_size)
+        rows = rows.withColumn(side, nearest).drop("before")
+    fits = (100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above"))
+    return rows.where(fits).drop("below", "above")
 
 
 class Bitmaps:
@@ -314,15 +331,16 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(id))").alias("who"), F.expr("bit_xor(xxhash64(id, 7))").alias("also")
     ).where("m > 1").groupBy("m", "who", "also").agg(F.min("entry").alias("unit"))
     counts = scratch.table(counts.select("unit", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "counts")
-    found = entries.join(counts, F.col("entry") == F.col("unit")).select("unit", "id", "blocks")
+    found = entries.join(counts, F.col("entry") == F.col("unit")).select("unit", "id", "n", "blocks", F.col("id").alias("root"))
+    found = with_partners(found.where("blocks = 1"), percent).unionByName(found.where("blocks > 1")).drop("root")
     found = scratch.table(found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("unit"))), "found")
     scratch.drop("entries", "counts")
-    sketch = classes.select(F.col("id").alias("own"), "n", "bits")
+    sketch = classes.select(F.col("id").alias("own"), "bits")
 
     def units(rows: DataFrame) -> DataFrame:
         """Classes with their sketches, once per pair of blocks that theirs belongs to."""
         own = F.pmod(F.xxhash64("id", "unit"), F.col("blocks")).cast("int")
-        blocks = rows.select("unit", "id", "root", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        blocks = rows.select("unit", "id", "n", "root", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
         return blocks.join(sketch, F.col("id") == F.col("own")).select(
             "unit", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "bits", "root")
 
@@ -334,12 +352,15 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         return scratch.table(verified(pairs, texts, n, percent), f"{name}-links")
 
     def still_open(roots: DataFrame, name: str) -> DataFrame:
-        """Rows of the entries whose classes lie in two components or more."""
+        """Rows of the entries whose classes lie in two components or more; of entries of one block
+        those with a partner."""
         rooted = found.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
         rooted = scratch.table(rooted, f"{name}-rooted")
-        some = rooted.groupBy(F.col("unit").alias("open")).agg(F.min("root").alias("least"), F.max("root").alias("most")).where(
+        large = rooted.where("blocks > 1")
+        some = large.groupBy(F.col("unit").alias("open")).agg(F.min("root").alias("least"), F.max("root").alias("most")).where(
             "least <> most").select("open")
-        return rooted.join(scratch.table(some, f"{name}-open"), F.col("unit") == F.col("open"), "left_semi")
+        large = large.join(scratch.table(some, f"{name}-open"), F.col("unit") == F.col("open"), "left_semi")
+        return with_partners(rooted.where("blocks = 1"), percent).unionByName(large)
 
     few = found.where(F.col("place") <= 4).withColumn("root", F.col("id"))
     links = check(possible_pairs(units(few), percent, every=False), "few")
