@@ -296,26 +296,38 @@ def exact_shap(df: DataFrame, model, feature_cols: Sequence[str], background: Da
 
 
 def shap_importance(phi: DataFrame, by_class: bool = False) -> DataFrame:
-    """Mean and population std of |phi| per feature, desc (``class`` averaged first if present)."""
+    """Mean and population std of |phi| per feature, desc. With ``by_class``, a row's |phi| is first
+    averaged over its classes, so that classes of opposite sign don't cancel."""
     x = phi
     if by_class and "class" in phi.columns:
         x = phi.groupBy(*[c for c in phi.columns if c not in ("class", "shap_value", "base_value")]).agg(
-            F.avg("shap_value").alias("shap_value"))
+            F.avg(F.abs("shap_value")).alias("shap_value"))
     return x.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("importance"),
                                     F.stddev_pop(F.abs("shap_value")).alias("std")).orderBy(
         F.desc("importance"), "feature")
 
 
-def explain_rows(phi: DataFrame, id_col: str = "row_id", top: int = 5) -> DataFrame:
+def _long_values(values: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:
+    return values.select(id_col, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("feature_value")) for c in features])))
+
+
+def explain_rows(phi: DataFrame, id_col: str = "row_id", top: int = 5, values: DataFrame | None = None) -> DataFrame:
     """Per row: prediction (= base + sum phi), base, contributions by |phi| desc, the ``top``
-    positive and ``top`` negative ones. Each row's group holds ``d`` entries."""
+    positive and ``top`` negative ones. Each row's group holds ``d`` entries. With ``values`` (the
+    explained rows: the id and the features) every contribution has its feature's ``value``."""
+    fields = ["feature", "shap_value"]
+    if values is not None:
+        own = _long_values(values, [c for c in values.columns if c != id_col], id_col)
+        phi = phi.join(own.withColumnRenamed("feature_value", "value"), [id_col, "feature"], "left")
+        fields.append("value")
     g = phi.groupBy(id_col).agg(
         F.first("base_value").alias("base_value"),
         (F.first("base_value") + F.sum("shap_value")).alias("prediction"),
-        F.collect_list(F.struct(F.abs("shap_value").alias("abs"), "feature", "shap_value")).alias("__c"))
+        F.collect_list(F.struct(F.abs("shap_value").alias("abs"), *fields)).alias("__c"))
     by_abs = F.transform(F.array_sort("__c", lambda a, b: F.when(a["abs"] > b["abs"], -1).when(
         a["abs"] < b["abs"], 1).otherwise(F.when(a["feature"] < b["feature"], -1).otherwise(1))),
-        lambda e: F.struct(e["feature"].alias("feature"), e["shap_value"].alias("shap_value")))
+        lambda e: F.struct(*[e[c].alias(c) for c in fields]))
     pos = F.slice(F.filter(by_abs, lambda e: e["shap_value"] > 0), 1, top)
     neg = F.slice(F.filter(by_abs, lambda e: e["shap_value"] < 0), 1, top)
     return g.select(id_col, "prediction", "base_value", by_abs.alias("contributions"),
@@ -356,8 +368,7 @@ def shap_summary(phi: DataFrame, values: DataFrame | None = None, kind: str = "b
     if kind == "bar":
         return imp.select("feature", F.col("importance").alias("mean_abs_shap"))
     feats = [r[0] for r in imp.select("feature").collect()]
-    long_vals = values.select(id_col, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("feature_value")) for c in feats])))
+    long_vals = _long_values(values, feats, id_col)
     return phi.join(F.broadcast(imp.select("feature")), "feature", "left_semi").join(long_vals, [id_col, "feature"])
 
 

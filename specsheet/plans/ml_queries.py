@@ -219,7 +219,8 @@ def q_shap_importance(spark, sf_dir):
 
 @register("explain_row")
 def q_explain_row(spark, sf_dir):
-    return E.explain_rows(_phi(spark, sf_dir))
+    rows = impute_median(model_df(spark, sf_dir), MODEL_NUMERIC, _medians_row(spark, gbt_regressor(spark, sf_dir)))
+    return E.explain_rows(_phi(spark, sf_dir), values=rows.select("row_id", *MODEL_NUMERIC))
 
 
 @register("explain_text")

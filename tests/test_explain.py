@@ -113,3 +113,19 @@ def test_tree_shap_chunked_broadcast_equal(spark, data):
     b = {(r["row_id"], r["feature"]): r["shap_value"]
          for r in E.tree_shap(data, pp.models["rf"], FEATS, max_broadcast_bytes=2000).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_class_importance_does_not_cancel_and_rows_carry_values(spark):
+    from pyspark.sql import Row
+
+    phi = spark.createDataFrame([Row(row_id=r, feature=f, **{"class": c}, shap_value=v, base_value=0.0)
+                                 for r, f, c, v in [(1, "a", 0, 2.0), (1, "a", 1, -2.0), (1, "b", 0, 1.0), (1, "b", 1, 1.0),
+                                                    (2, "a", 0, 4.0), (2, "a", 1, 0.0), (2, "b", 0, 0.0), (2, "b", 1, 0.0)]])
+    got = {r["feature"]: (r["importance"], r["std"]) for r in E.shap_importance(phi, by_class=True).collect()}
+    assert got == {"a": (2.0, 0.0), "b": (0.5, 0.5)}
+    values = spark.createDataFrame([(1, 10.0, 20.0), (2, None, 5.0)], "row_id long, a double, b double")
+    one = phi.where("class = 0").drop("class")
+    rows = {r["row_id"]: r for r in E.explain_rows(one, values=values).collect()}
+    assert [tuple(c) for c in rows[1]["contributions"]] == [("a", 2.0, 10.0), ("b", 1.0, 20.0)]
+    assert [tuple(c) for c in rows[2]["contributions"]] == [("a", 4.0, None), ("b", 0.0, 5.0)]
+    assert rows[2]["prediction"] == 4.0 and [c["feature"] for c in rows[2]["top_positive"]] == ["a"]
