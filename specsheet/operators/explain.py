@@ -1,18 +1,18 @@
 """Additive attributions (Shapley values) for fitted models, computed next to the data.
 
-Tree ensembles (path-dependent expectation, no background data). For one leaf with value ``v``
-whose path tests the distinct features ``P`` (``|P| = k``), the expected output given a subset
-``S`` of known features is ``v * prod_{j in S} o_j * prod_{j in P \\ S} z_j``, where ``o_j`` says
-whether the row satisfies every test on ``j`` along the path and ``z_j`` is the product of the
-cover ratios of those tests. The Shapley value of ``i in P`` for this game is
+Tree ensembles (path-dependent expectation, no background data). For one leaf with value ``v``,
+the expected output given a subset ``S`` of known features is ``v * prod_{j in S} o_j *
+prod_{j not in S} z_j``, where ``o_j`` says whether the row satisfies every test on ``j`` along the
+path and ``z_j`` is the product of the cover ratios of those tests (both 1 for a feature that the
+path does not test). The Shapley value of ``i`` for this game is
 
-    phi_i = v * (o_i - z_i) * sum_m c_m * m! (k - m - 1)! / k!,
+    phi_i = v * (o_i - z_i) * integral_0^1 prod_{j != i} (z_j (1 - t) + o_j t) dt,
 
-with ``c_m`` the coefficients of ``prod_{j in P, j != i} (z_j + o_j t)``; the model's value is the
-sum over its leaves. The leaf table is derived from the fitted model (which Spark ML keeps on
-the driver; its size depends on the model, never on the data) and compiled per leaf into the
-attributions of each of its ``2^k`` test outcomes; rows meet it in a broadcast nested-loop join
-where each pair costs ``k`` comparisons and a lookup.
+a polynomial in ``t`` whose degree is below the number of features on the path, so a few
+Gauss-Legendre nodes integrate it exactly. The model's value is the sum over its leaves. The leaf
+arrays come from the fitted model (which Spark ML keeps on the driver; their size depends on the
+model, never on the data) and go to the tasks once; every Arrow batch of rows sums its
+attributions in place, so there are no pairs of rows and leaves and no shuffle.
 
 Linear models: ``phi_j = w_j * (x_j - mean_j)`` with the means of a background sample. Any
 model (``d`` small): exact enumeration of the ``2^d`` coalitions against a background sample.
@@ -23,28 +23,42 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Sequence
-from itertools import combinations
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, OneVsRestModel, RandomForestClassificationModel)
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..session import ensure_checkpoint_dir
 
-INF = float("inf")
+# ---------------------------------------------------------------- leaf arrays
 
 
-# ---------------------------------------------------------------- leaf table
+class Leaves(NamedTuple):
+    """One row per leaf: a row of data satisfies feature ``j`` iff ``low < x_j <= high``; ``share`` is
+    the cover ratio of the tests on it; ``value`` has a column per output, weighted for the ensemble."""
+
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+    def expected(self) -> np.ndarray:
+        """The model's mean outputs under the training cover."""
+        return self.share.prod(axis=1) @ self.value
 
 
 def _tree_model(model):
     return model.stages[-1] if isinstance(model, PipelineModel) else model
 
 
-def _node_table(spark, model) -> list:
-    """The saved node rows of an ensemble (written under the shared checkpoint dir)."""
+def node_table(spark, model) -> DataFrame:
+    """The saved nodes of an ensemble (written under the shared checkpoint dir)."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
@@ -53,177 +67,130 @@ def _node_table(spark, model) -> list:
     cols += [F.col(f"{nd}{c}").alias(c) for c in ("id", "prediction", "impurityStats", "leftChild", "rightChild")]
     cols += [F.col(f"{nd}split.featureIndex").alias("f"),
              F.get(F.col(f"{nd}split.leftCategoriesOrThreshold"), 0).alias("thr")]
-    # Bounded by the model's own size (trees x nodes), which the driver already holds.
-    return nodes.select(*cols).collect()
+    return nodes.select(*cols)
 
 
-def tree_leaves(spark, model, class_index: int | None = None) -> list[dict]:
-    """One dict per leaf: ``value`` (already weighted for the ensemble) and ``feats`` — the
-    distinct path features with ``(f, z, lo, hi)``; a row satisfies ``f`` iff ``lo < x_f <= hi``.
+def tree_leaves(spark, model, d: int) -> Leaves:
+    """The leaves of a fitted ensemble over ``d`` features.
 
     Random forests average their trees (value / numTrees); boosted trees sum them with the tree
-    weights (the margin for classifiers). Forest classifiers attribute the probability of
-    ``class_index``.
+    weights (the margin for classifiers). Forest classifiers have one output per class, its
+    probability.
     """
-    m = _tree_model(model)
-    if isinstance(m, OneVsRestModel):  # the margin of one class's binary sub-model
-        m = m.models[class_index or 0]
-    if isinstance(m, (RandomForestRegressionModel, RandomForestClassificationModel)):
-        weights = [1.0 / m.getNumTrees] * m.getNumTrees
-    elif isinstance(m, (GBTRegressionModel, GBTClassificationModel)):
-        weights = list(m.treeWeights)
+    if isinstance(model, (RandomForestRegressionModel, RandomForestClassificationModel)):
+        weights = np.full(model.getNumTrees, 1.0 / model.getNumTrees)
+    elif isinstance(model, (GBTRegressionModel, GBTClassificationModel)):
+        weights = np.array(model.treeWeights)
     else:
-        weights = [1.0]
-    classifier = isinstance(m, RandomForestClassificationModel)
-    rows = _node_table(spark, m)
-    by_tree: dict[int, dict[int, object]] = {}
-    for r in rows:
-        by_tree.setdefault(r["treeID"], {})[r["id"]] = r
-
-    def cover(r) -> float:
-        stats = r["impurityStats"]
-        return float(sum(stats)) if classifier else float(stats[0])
-
-    def value(r) -> float:
-        if classifier:
-            stats = r["impurityStats"]
-            tot = float(sum(stats))
-            return stats[class_index or 0] / tot if tot else 0.0
-        return float(r["prediction"])
-
-    leaves = []
-    for t, nodes in by_tree.items():
-        w = weights[t]
-        root = min(nodes)
-        stack = [(root, {})]
-        while stack:
-            nid, path = stack.pop()
-            r = nodes[nid]
-            if r["leftChild"] < 0:
-                feats = [{"f": f, "z": z, "lo": lo, "hi": hi} for f, (z, lo, hi) in sorted(path.items())]
-                leaves.append({"tree": int(t), "value": w * value(r), "feats": feats})
-                continue
-            f, thr, c = int(r["f"]), float(r["thr"]), cover(r)
-            for child, lo_new, hi_new in ((r["leftChild"], -INF, thr), (r["rightChild"], thr, INF)):
-                z0, lo0, hi0 = path.get(f, (1.0, -INF, INF))
-                ratio = cover(nodes[child]) / c if c else 0.0
-                p = dict(path)
-                p[f] = (z0 * ratio, max(lo0, lo_new), min(hi0, hi_new))
-                stack.append((child, p))
-    return leaves
-
-
-def expected_value(leaves: list[dict]) -> float:
-    """The model's mean output under the training cover: sum of value * prod z."""
-    return float(sum(lf["value"] * math.prod(p["z"] for p in lf["feats"]) for lf in leaves))
-
-
-def _shapley_weights(k: int) -> list[float]:
-    """``w[m] = m! (k-m-1)! / k!``."""
-    return [math.factorial(m) * math.factorial(k - m - 1) / math.factorial(k) for m in range(k)]
-
-
-def pattern_table(leaves: list[dict]) -> list[tuple]:
-    """Compile the leaves: for each leaf and each of the ``2^k`` outcomes of its ``k`` interval
-    tests (bit ``j`` set = the row satisfies feature slot ``j``), the attribution of every slot.
-
-    A leaf's contribution depends on the row only through that outcome pattern, so the Shapley
-    algebra runs once per leaf here (vectorised over leaves and patterns), and the per-row work
-    in Spark is ``k`` comparisons and a lookup. Size: leaves x 2^k x k, fixed by the model.
-    Returns ``(k, value, f[], lo[], hi[], contrib[])`` rows, ``contrib[p * k + j]``.
-    """
-    import numpy as np
-
-    out = []
-    by_k: dict[int, list[dict]] = {}
-    for lf in leaves:
-        by_k.setdefault(len(lf["feats"]), []).append(lf)
-    for k, group in by_k.items():
-        V = np.array([lf["value"] for lf in group])
-        if k == 0:
-            out += [(0, float(v), [], [], [], []) for v in V]
-            continue
-        Z = np.array([[p["z"] for p in lf["feats"]] for lf in group])  # (n, k)
-        P = ((np.arange(2 ** k)[:, None] >> np.arange(k)[None, :]) & 1).astype(float)  # (2^k, k)
-        w = np.array(_shapley_weights(k))
-        contrib = np.zeros((len(group), 2 ** k, k))
-        for i in range(k):
-            C = np.ones((len(group), 2 ** k, 1))
-            for j in range(k):
-                if j == i:
-                    continue
-                zj = Z[:, j][:, None, None]
-                oj = P[:, j][None, :, None]
-                shifted = np.concatenate([np.zeros_like(C[..., :1]), C], axis=2)
-                C = np.concatenate([C, np.zeros_like(C[..., :1])], axis=2) * zj + shifted * oj
-            s = (C * w[None, None, :C.shape[2]]).sum(axis=2)  # (n, 2^k)
-            contrib[:, :, i] = V[:, None] * (P[None, :, i] - Z[:, i][:, None]) * s
-        for n_, lf in enumerate(group):
-            fs = lf["feats"]
-            out.append((k, float(V[n_]), [int(p["f"]) for p in fs], [float(p["lo"]) for p in fs],
-                        [float(p["hi"]) for p in fs], contrib[n_].reshape(-1).tolist()))
-    return out
+        weights = np.ones(1)
+    stats = F.col("impurityStats")
+    if isinstance(model, RandomForestClassificationModel):
+        cover = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+        values = [F.coalesce(F.get(stats, c) / F.nullif(F.col("cover"), F.lit(0.0)), F.lit(0.0)) for c in range(model.numClasses)]
+    else:
+        cover, values = F.get(stats, 0), [F.col("prediction")]
+    nodes = node_table(spark, model).withColumn("cover", cover.cast("double"))
+    # Bounded by the model's own size (trees x nodes), which the driver already holds.
+    nodes = nodes.select("treeID", "id", "leftChild", "rightChild", "f", "thr", "cover",
+                         *[v.alias(f"v{i}") for i, v in enumerate(values)]).toPandas().sort_values(["treeID", "id"])
+    tree, node = nodes["treeID"].to_numpy(np.int64), nodes["id"].to_numpy(np.int64)
+    wide = int(node.max()) + 1
+    place = tree * wide + node  # ascending
+    left, right, f = (nodes[c].to_numpy(np.int64) for c in ("leftChild", "rightChild", "f"))
+    thr, covers = nodes["thr"].to_numpy(float), nodes["cover"].to_numpy(float)
+    value = nodes[[f"v{i}" for i in range(len(values))]].to_numpy(float) * weights[tree][:, None]
+
+    at = np.flatnonzero(np.append(True, tree[1:] != tree[:-1]))  # roots; then level by level
+    low, high, share = np.full((len(at), d), -np.inf), np.full((len(at), d), np.inf), np.ones((len(at), d))
+    found = []
+    while len(at):
+        leaf = left[at] < 0
+        found.append(Leaves(low[leaf], high[leaf], share[leaf], value[at[leaf]]))
+        at, low, high, share = at[~leaf], low[~leaf], high[~leaf], share[~leaf]
+        rows, feature, cut = np.arange(len(at)), f[at], thr[at]
+        parts = []
+        for child in (left, right):
+            to = np.searchsorted(place, tree[at] * wide + child[at])
+            lo, hi, z = low.copy(), high.copy(), share.copy()
+            if child is left:
+                hi[rows, feature] = np.minimum(hi[rows, feature], cut)
+            else:
+                lo[rows, feature] = np.maximum(lo[rows, feature], cut)
+            z[rows, feature] *= np.divide(covers[to], covers[at], out=np.zeros(len(at)), where=covers[at] > 0)
+            parts.append((to, lo, hi, z))
+        at, low, high, share = (np.concatenate(p) for p in zip(*parts))
+    return Leaves(*(np.concatenate(p) for p in zip(*found)))
+
+
+def leaf_sums(x: np.ndarray, leaves: Leaves) -> np.ndarray:
+    """Attributions ``(rows, features, outputs)`` of the rows ``x``; memory is bounded by the blocks."""
+    d = x.shape[1]
+    phi = np.zeros((len(x), d, leaves.value.shape[1]))
+    on_path = (np.isfinite(leaves.low) | np.isfinite(leaves.high)).sum(axis=1).max(initial=1)
+    points, weights = np.polynomial.legendre.leggauss(max(1, -(-int(on_path) // 2)))
+    for a in range(0, len(leaves.low), 2048):
+        low, high, share, value = (part[a : a + 2048] for part in leaves)
+        for r in range(0, len(x), 64):
+            rows = x[r : r + 64]
+            meets = [((rows[:, j, None] > low[:, j]) & (rows[:, j, None] <= high[:, j])).astype(float) for j in range(d)]
+            total = [np.zeros(meets[0].shape) for _ in range(d)]
+            for t, w in zip((points + 1) / 2, weights / 2):
+                factor = [share[:, j] * (1 - t) + meets[j] * t for j in range(d)]
+                before = [np.full(meets[0].shape, w)]
+                for j in range(d - 1):
+                    before.append(before[-1] * factor[j])
+                after = 1.0
+                for j in reversed(range(d)):
+                    total[j] += before[j] * after
+                    after = after * factor[j]
+            for j in range(d):
+                phi[r : r + 64, j] += ((meets[j] - share[:, j]) * total[j]) @ value
+    return phi
+
+
+def _attributions(df: DataFrame, ensembles: list[Leaves], feature_cols: Sequence[str], id_col: str, classes: bool) -> DataFrame:
+    """Long attributions for every output of the ensembles, in order."""
+    d = len(feature_cols)
+    base = np.concatenate([e.expected() for e in ensembles])
+
+    def attribute(batches):
+        for batch in batches:
+            x = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+            phi = np.concatenate([leaf_sums(x, e) for e in ensembles], axis=2)
+            ends = pa.array(np.arange(len(x) + 1) * phi[0].size if len(x) else [0], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(phi.ravel()))],
+                                             names=[id_col, "__phi"])
+
+    rows = df.select(F.col(id_col), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(feature_cols)])
+    schema = StructType([rows.schema[0], StructField("__phi", ArrayType(DoubleType()))])
+    out = [F.struct(*([F.lit(c).alias("class")] if classes else []), F.lit(name).alias("feature"),
+                    F.get("__phi", i * len(base) + c).alias("shap_value"), F.lit(float(base[c])).alias("base_value"))
+           for i, name in enumerate(feature_cols) for c in range(len(base))]
+    return rows.mapInArrow(attribute, schema).select(id_col, F.inline(F.array(*out)))
 
 
 def tree_shap(df: DataFrame, model, feature_cols: Sequence[str], id_col: str = "row_id",
-              class_index: int | None = None, max_broadcast_bytes: int = 256 * 1024 ** 2) -> DataFrame:
+              class_index: int | None = None) -> DataFrame:
     """Long ``(id, feature, shap_value, base_value)`` for a tree ensemble;
-    ``base_value + sum(shap_value) = model output`` (margin for boosted classifiers).
+    ``base_value + sum(shap_value) = model output`` (margin for boosted classifiers, for others the
+    probability of ``class_index``, 0 if not given).
 
-    Features must be complete (impute first). Rows meet the compiled leaf table in a broadcast
-    nested-loop join (the table is bounded by the model's size); each pair does ``k``
-    comparisons and a lookup inside whole-stage codegen, and the per-row sums are partially
-    aggregated before the shuffle, so only ``rows x d`` values move."""
-    spark = df.sparkSession
-    d = len(feature_cols)
-    leaves = tree_leaves(spark, model, class_index)
-    base = expected_value(leaves)
-    table = [t for t in pattern_table(leaves) if t[0] > 0]
-    kmax = max([t[0] for t in table] + [1])
-    rows = df.select(F.col(id_col), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(feature_cols)])
+    Features must be complete (impute first); a missing one satisfies no test."""
+    m, output = _tree_model(model), class_index or 0
+    if isinstance(m, OneVsRestModel):  # the margin of one class's binary sub-model
+        m, output = m.models[output], 0
+    leaves = tree_leaves(df.sparkSession, m, len(feature_cols))
+    if not isinstance(m, RandomForestClassificationModel):
+        output = 0
+    return _attributions(df, [leaves._replace(value=leaves.value[:, [output]])], feature_cols, id_col, classes=False)
 
-    def slots_of(part: list) -> DataFrame:
-        compiled = spark.createDataFrame(
-            part, "k int, value double, f array<int>, lo array<double>, hi array<double>, contrib array<double>")
-        return compiled.select("k", "contrib",
-                               *[F.coalesce(F.get("f", j), F.lit(-1)).alias(f"__f{j}") for j in range(kmax)],
-                               *[F.get("lo", j).alias(f"__lo{j}") for j in range(kmax)],
-                               *[F.get("hi", j).alias(f"__hi{j}") for j in range(kmax)])
-
-    # The broadcast size is known exactly; above ``max_broadcast_bytes`` the table is split into
-    # chunks that are each broadcast on their own (same work, bounded memory per broadcast).
-    chunks, cur, size = [], [], 0
-    for t in table:
-        b = 8 * (len(t[5]) + 3 * t[0] + 4)
-        if cur and size + b > max_broadcast_bytes:
-            chunks.append(cur)
-            cur, size = [], 0
-        cur.append(t)
-        size += b
-    chunks.append(cur)
-    pairs = None
-    for part in chunks:
-        p = rows.crossJoin(F.broadcast(slots_of(part)))
-        pairs = p if pairs is None else pairs.unionByName(p)
-
-    def xval(j: int) -> Column:
-        f = F.col(f"__f{j}")
-        return F.coalesce(*[F.when(f == i, F.col(f"__x{i}")) for i in range(d)], F.lit(None).cast("double"))
-
-    pattern = sum([F.when((F.col(f"__f{j}") >= 0) & (xval(j) > F.col(f"__lo{j}")) & (xval(j) <= F.col(f"__hi{j}")),
-                          1 << j).otherwise(0) for j in range(kmax)], F.lit(0))
-    pairs = pairs.withColumn("__p", pattern)
-    phi = [sum([F.when(F.col(f"__f{j}") == i, F.get("contrib", F.col("__p") * F.col("k") + j)).otherwise(0.0)
-                for j in range(kmax)], F.lit(0.0)).alias(f"__phi{i}") for i in range(d)]
-    per_row = pairs.select(id_col, *phi).groupBy(id_col).agg(*[F.sum(f"__phi{i}").alias(f"__phi{i}") for i in range(d)])
-    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__phi{i}").alias("shap_value"))
-                    for i, c in enumerate(feature_cols)])
-    out = per_row.select(id_col, F.inline(arr), F.lit(base).alias("base_value"))
-    if not table:  # constant model: every attribution is 0
-        out = rows.select(id_col, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"),
-                                                              F.lit(0.0).alias("shap_value")) for c in feature_cols])),
-                          F.lit(base).alias("base_value"))
-    return out
+
+def class_shap(df: DataFrame, model, feature_cols: Sequence[str], id_col: str = "row_id") -> DataFrame:
+    """``tree_shap`` of every class in one pass, with the class's index in ``class``."""
+    m = _tree_model(model)
+    models = m.models if isinstance(m, OneVsRestModel) else [m]
+    ensembles = [tree_leaves(df.sparkSession, one, len(feature_cols)) for one in models]
+    return _attributions(df, ensembles, feature_cols, id_col, classes=True)
 
 
 # ---------------------------------------------------------------- linear and model-agnostic
@@ -256,40 +223,35 @@ def linear_weights(model, feature_cols: Sequence[str]) -> tuple[dict[str, float]
 def exact_shap(df: DataFrame, model, feature_cols: Sequence[str], background: DataFrame, id_col: str = "row_id",
                output: str = "prediction", max_features: int = 10) -> DataFrame:
     """Model-agnostic exact Shapley values: every coalition ``S`` of the ``d <= max_features``
-    features is scored as the mean model output over the background with ``x_S`` fixed.
+    features (the limit of exact enumeration) is scored as the mean model output over the
+    background with ``x_S`` fixed.
 
-    Rows x 2^d x background rows are scored by ``model.transform`` (distributed); the background
-    is a bounded sample and is broadcast."""
+    Rows x 2^d x background rows are scored by ``model.transform`` in one pass; the background is a
+    bounded sample and is broadcast. Rows are spread by id first, so both aggregates stay in their
+    partition; each row's 2^d means then meet fixed weights in one array."""
     d = len(feature_cols)
     if d > max_features:
         raise ValueError(f"exact enumeration needs at most {max_features} features, got {d}")
-    spark = df.sparkSession
-    masks = spark.range(2 ** d).select(F.col("id").cast("int").alias("mask"))
+    masks = df.sparkSession.range(2 ** d).select(F.col("id").cast("int").alias("__mask"))
     bg = background.select(*[F.col(c).cast("double").alias(f"__b{i}") for i, c in enumerate(feature_cols)])
-    rows = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in feature_cols])
+    rows = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in feature_cols]).repartition(id_col)
     grid = rows.crossJoin(F.broadcast(masks)).crossJoin(F.broadcast(bg))
-    mixed = grid.select(id_col, "mask", *[
-        F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col(c)).otherwise(F.col(f"__b{i}")).alias(c)
+    mixed = grid.select(id_col, "__mask", *[
+        F.when(F.col("__mask").bitwiseAND(1 << i) != 0, F.col(c)).otherwise(F.col(f"__b{i}")).alias(c)
         for i, c in enumerate(feature_cols)])
-    scored = _tree_model(model).transform(mixed) if not isinstance(model, PipelineModel) else model.transform(mixed)
-    v = scored.groupBy(id_col, "mask").agg(F.avg(output).alias("v"))
-    # phi_i = sum over S not containing i of w(|S|) (v(S + i) - v(S)); pair each mask with mask|bit
-    terms = []
-    for i in range(d):
-        for size in range(d):
-            w = math.factorial(size) * math.factorial(d - size - 1) / math.factorial(d)
-            for S in combinations([j for j in range(d) if j != i], size):
-                s = sum(1 << j for j in S)
-                terms.append((i, s, s | (1 << i), w))
-    pairs = spark.createDataFrame(terms, "i int, s int, si int, w double")
-    a = v.alias("a").join(F.broadcast(pairs), F.col("a.mask") == F.col("s"))
-    b = a.join(v.alias("b"), (F.col("b.mask") == F.col("si")) & (F.col(f"a.{id_col}") == F.col(f"b.{id_col}")))
-    phi = b.groupBy(F.col(f"a.{id_col}").alias(id_col), "i").agg(
-        F.sum(F.col("w") * (F.col("b.v") - F.col("a.v"))).alias("shap_value"))
-    base = v.where(F.col("mask") == 0).select(id_col, F.col("v").alias("base_value"))
-    names = F.array(*[F.lit(c) for c in feature_cols])
-    return phi.join(base, id_col).select(id_col, F.get(names, F.col("i")).alias("feature"), "shap_value",
-                                         "base_value")
+    means = model.transform(mixed).groupBy(id_col, "__mask").agg(F.avg(output).alias("v"))
+    values = means.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("__mask", "v")))["v"].alias("__v"))
+    # phi_i weighs v(S) by w(|S| - 1) where S holds i and by -w(|S|) where it does not
+    weight = [math.factorial(m) * math.factorial(d - m - 1) / math.factorial(d) for m in range(d)]
+
+    def phi(i: int) -> Column:
+        weights = [weight[s.bit_count() - 1] if s >> i & 1 else -weight[s.bit_count()] for s in range(2 ** d)]
+        terms = F.zip_with("__v", F.array(*[F.lit(w) for w in weights]), lambda v, w: v * w)
+        return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+
+    out = F.array(*[F.struct(F.lit(c).alias("feature"), phi(i).alias("shap_value"), F.get("__v", 0).alias("base_value"))
+                    for i, c in enumerate(feature_cols)])
+    return values.select(id_col, F.inline(out))
 
 
 # ---------------------------------------------------------------- summaries (EXP-3..6, CHT-12..14)

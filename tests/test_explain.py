@@ -21,7 +21,7 @@ def data(spark):
 
 
 def _brute(spark, model, x, weights):
-    rows = E._node_table(spark, E._tree_model(model))
+    rows = E.node_table(spark, E._tree_model(model)).collect()
     trees = {}
     for r in rows:
         trees.setdefault(r["treeID"], {})[r["id"]] = r
@@ -106,13 +106,63 @@ def test_summaries(spark, data):
     assert force[-1]["cumulative"] == pytest.approx(ex["prediction"])
 
 
-def test_tree_shap_chunked_broadcast_equal(spark, data):
-    pp = PricePredictor(FEATS, candidates={"rf": RandomForestRegressor(numTrees=4, maxDepth=3, seed=3)})
+def test_deep_forest_adds_up_in_one_scan(spark, data, tmp_path):
+    pp = PricePredictor(FEATS, candidates={"rf": RandomForestRegressor(numTrees=20, maxDepth=15, seed=3)})
     pp.train(data, "y", validate=False)
-    a = {(r["row_id"], r["feature"]): r["shap_value"] for r in E.tree_shap(data, pp.models["rf"], FEATS).collect()}
-    b = {(r["row_id"], r["feature"]): r["shap_value"]
-         for r in E.tree_shap(data, pp.models["rf"], FEATS, max_broadcast_bytes=2000).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    data.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    phi = E.tree_shap(rows, pp.models["rf"], FEATS)
+    plan = phi._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Exchange" not in plan
+    recon = phi.groupBy("row_id").agg((F.first("base_value") + F.sum("shap_value")).alias("r"))
+    joined = recon.join(pp.predict(data).select("row_id", "prediction"), "row_id")
+    assert joined.count() == 200 and joined.agg(F.max(F.abs(F.col("r") - F.col("prediction")))).first()[0] < 1e-7
+
+
+def test_single_leaf_and_no_rows(spark, data):
+    pp = PricePredictor(FEATS, candidates={"rf": RandomForestRegressor(numTrees=2, maxDepth=0, seed=3)})
+    pp.train(data, "y", validate=False)
+    phi = E.tree_shap(data, pp.models["rf"], FEATS)
+    assert phi.count() == 200 * len(FEATS) and phi.where("shap_value <> 0").count() == 0
+    assert E.tree_shap(data.where("row_id < 0"), pp.models["rf"], FEATS).count() == 0
+
+
+def test_class_attributions_add_up_to_probabilities(spark, data):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = data.withColumn("label", (F.col("a") > 2).cast("double") + (F.col("b") > 6).cast("double"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=FEATS, outputCol="features"),
+                             RandomForestClassifier(numTrees=5, maxDepth=4, seed=2)]).fit(rows)
+    phi = E.class_shap(rows, model, FEATS)
+    got = {(r["row_id"], r["class"]): r["p"] for r in phi.groupBy("row_id", "class").agg(
+        (F.first("base_value") + F.sum("shap_value")).alias("p")).collect()}
+    assert len(got) == 600
+    for row in model.transform(rows).select("row_id", vector_to_array("probability").alias("p")).collect():
+        for c in range(3):
+            assert got[(row["row_id"], c)] == pytest.approx(row["p"][c], abs=1e-9)
+    one = {(r["row_id"], r["feature"]): r["shap_value"] for r in E.tree_shap(rows, model, FEATS, class_index=1).collect()}
+    assert all(one[(r["row_id"], r["feature"])] == pytest.approx(r["shap_value"]) for r in phi.where("class = 1").collect())
+    assert E.shap_importance(phi, by_class=True).count() == len(FEATS)
+
+
+def test_exact_shap_scores_the_grid_once(spark, data):
+    from pyspark.ml.feature import SQLTransformer
+
+    model = SQLTransformer(statement="SELECT *, a * b + c AS prediction FROM __THIS__")
+    bg = data.where("row_id < 10")
+    phi = E.exact_shap(data, model, ["a", "b", "c"], bg)
+    plan = phi._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range") == 1
+    means = bg.agg(F.avg("a"), F.avg("b"), F.avg("c"), F.avg(F.col("a") * F.col("b"))).first()
+    for row in data.where("row_id in (3, 77)").collect():
+        got = {r["feature"]: (r["shap_value"], r["base_value"]) for r in phi.where(F.col("row_id") == row["row_id"]).collect()}
+        none, a, b, both = means[3], row["a"] * means[1], means[0] * row["b"], row["a"] * row["b"]
+        assert got["a"] == pytest.approx(((a - none + both - b) / 2, none + means[2]))
+        assert got["b"][0] == pytest.approx((b - none + both - a) / 2)
+        assert got["c"][0] == pytest.approx(row["c"] - means[2])
 
 
 def test_class_importance_does_not_cancel_and_rows_carry_values(spark):
