@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -176,7 +177,11 @@ def q_what_if(spark, sf_dir):
     return pc.predict(priced, out="predicted_category").select("row_id", "predicted_price", "predicted_category")
 
 
-@register("model_roundtrip")
+_MODEL_ROWS = " AND ".join(f"{c} IS NOT NULL" for c in [*MODEL_NUMERIC, PRICE])
+_CLASS_ROWS = f"{_MODEL_ROWS} AND {PERF_CATEGORY} <> '{UNKNOWN}'"
+
+
+@register("model_roundtrip", O.with_specs(f"SELECT row_id, true AS equal FROM specs WHERE {_MODEL_ROWS}"))
 def q_model_roundtrip(spark, sf_dir):
     """Save the best regressor, load it back, and compare predictions row by row."""
     pp, _ = regressor(spark, sf_dir)
@@ -186,7 +191,44 @@ def q_model_roundtrip(spark, sf_dir):
     rows = model_df(spark, sf_dir)
     a = pp.predict(rows).select("row_id", F.col("prediction").alias("before"))
     b = loaded.predict(rows).select("row_id", F.col("prediction").alias("after"))
-    return a.join(b, "row_id").select("row_id", "before", "after", (F.col("before") == F.col("after")).alias("equal"))
+    return a.join(b, "row_id").select("row_id", (F.col("before") == F.col("after")).alias("equal"))
+
+
+def _priced(name):
+    """Each modelling row is priced by one regression candidate, with a finite number."""
+    def query(spark, sf_dir):
+        pp, _ = regressor(spark, sf_dir)
+        got = F.col("prediction")
+        finite = got.isNotNull() & ~F.isnan(got) & (F.abs(got) < float("inf"))
+        return pp.predict(model_df(spark, sf_dir), name).select("row_id", finite.alias("finite"))
+    return query
+
+
+for _query, _name in (("reg_rf", "random_forest"), ("reg_gbt", "gradient_boosting"), ("reg_ridge_model", "ridge")):
+    register(_query, O.with_specs(f"SELECT row_id, true AS finite FROM specs WHERE {_MODEL_ROWS}"))(_priced(_name))
+
+
+def _classified(name):
+    """Each modelling row gets a known class from one candidate, and probabilities that sum to 1."""
+    def query(spark, sf_dir):
+        pc, _ = classifier(spark, sf_dir)
+        rows = pc.predict(pc.predict_proba(class_df(spark, sf_dir), name), name)
+        total = sum((F.col(f"proba_{label}") for label in pc.labels), F.lit(0.0))
+        return rows.select("row_id", F.col("predicted_class").isin(list(pc.labels)).alias("known"), F.round(total, 6).alias("total"))
+    return query
+
+
+for _query, _name in (("clf_rf", "random_forest"), ("clf_gbt", "gradient_boosting"), ("clf_logit", "logistic_regression")):
+    register(_query, O.with_specs(
+        f"SELECT row_id, true AS known, 1.0::DOUBLE AS total FROM specs WHERE {_CLASS_ROWS}"))(_classified(_name))
+
+
+@register("what_if_rows", O.with_specs("SELECT row_id, true AS priced, true AS labelled FROM specs"))
+def q_what_if_rows(spark, sf_dir):
+    """Every spec row gets a price and a category, missing features or not."""
+    out = q_what_if(spark, sf_dir)
+    return out.select("row_id", F.col("predicted_price").isNotNull().alias("priced"),
+                      F.col("predicted_category").isNotNull().alias("labelled"))
 
 
 # ================================================================ attributions
@@ -212,6 +254,23 @@ def q_shap_tree(spark, sf_dir):
     return _phi(spark, sf_dir)
 
 
+@register("shap_tree_sum", O.with_specs(f"SELECT row_id, true AS adds_up FROM specs WHERE {_MODEL_ROWS}"))
+def q_shap_tree_sum(spark, sf_dir):
+    """Base value plus attributions is the model's prediction."""
+    total = _phi(spark, sf_dir).groupBy("row_id").agg((F.first("base_value") + F.sum("shap_value")).alias("total"))
+    priced = gbt_regressor(spark, sf_dir).predict(model_df(spark, sf_dir)).select("row_id", "prediction")
+    near = F.abs(F.col("total") - F.col("prediction")) <= 1e-6 * (1 + F.abs("prediction"))
+    return total.join(priced, "row_id").select("row_id", near.alias("adds_up"))
+
+
+@register("shap_class_importance")
+def q_shap_class_importance(spark, sf_dir):
+    """Importance over all classes of the forest classifier."""
+    pc, _ = classifier(spark, sf_dir)
+    phi = E.class_shap(class_df(spark, sf_dir), pc.models["random_forest"], MODEL_NUMERIC)
+    return E.shap_importance(phi, by_class=True)
+
+
 @register("shap_importance")
 def q_shap_importance(spark, sf_dir):
     return E.shap_importance(_phi(spark, sf_dir))
@@ -264,6 +323,86 @@ def q_shap_linear(spark, sf_dir):
     return phi.select("row_id", "feature", r("shap_value"), r("base_value"))
 
 
+_LIN_CTE = (
+    "means AS (SELECT " + ", ".join(f"avg({c}) AS m_{i}" for i, c in enumerate(_LIN_W)) + " FROM specs), "
+    "phi AS (SELECT row_id, feature, value, shap_value, base_value FROM (SELECT row_id, "
+    + ", ".join(f"{c}::DOUBLE AS x{i}, {w!r} * ({c} - m_{i}) AS p{i}" for i, (c, w) in enumerate(_LIN_W.items())) + ", "
+    + " + ".join(f"{w!r} * m_{i}" for i, w in enumerate(_LIN_W.values())) + " AS base_value FROM specs, means WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in _LIN_W) + ") CROSS JOIN LATERAL (VALUES "
+    + ", ".join(f"('{c}', x{i}, p{i})" for i, c in enumerate(_LIN_W)) + ") v(feature, value, shap_value))")
+
+
+def _linear_phi(spark, sf_dir):
+    """Linear attributions of the rows whose features are complete, and these rows."""
+    all_rows = specs(spark, sf_dir)
+    rows = all_rows.dropna(subset=list(_LIN_W)).select("row_id", *_LIN_W)
+    return E.linear_shap(rows, _LIN_W, all_rows), rows
+
+
+@register("shap_importance_linear", O.with_specs(
+    "SELECT feature, round(avg(abs(shap_value)), 4) AS importance, round(stddev_pop(abs(shap_value)), 4) AS std "
+    "FROM phi GROUP BY feature", _LIN_CTE))
+def q_shap_importance_linear(spark, sf_dir):
+    return E.shap_importance(_linear_phi(spark, sf_dir)[0]).select("feature", r("importance", 4), r("std", 4))
+
+
+@register("shap_summary_linear", O.with_specs(
+    "SELECT row_id, feature, round(shap_value, 4) AS shap_value, value AS feature_value FROM phi WHERE feature IN "
+    "(SELECT feature FROM phi GROUP BY feature ORDER BY avg(abs(shap_value)) DESC, feature LIMIT 2)", _LIN_CTE))
+def q_shap_summary_linear(spark, sf_dir):
+    """The dots of the two most important features."""
+    phi, rows = _linear_phi(spark, sf_dir)
+    out = E.shap_summary(phi, rows, kind="dot", max_display=2)
+    return out.select("row_id", "feature", r("shap_value", 4), "feature_value")
+
+
+@register("shap_dependence_linear", O.with_specs(
+    f"SELECT p.row_id, round(p.shap_value, 4) AS shap_value, p.value AS feature_value, q.value AS interaction_value "
+    f"FROM phi p JOIN phi q ON p.row_id = q.row_id AND q.feature = '{SPEED}' WHERE p.feature = '{HP}'", _LIN_CTE))
+def q_shap_dependence_linear(spark, sf_dir):
+    phi, rows = _linear_phi(spark, sf_dir)
+    return E.shap_dependence(phi, rows, HP, SPEED).select("row_id", r("shap_value", 4), "feature_value", "interaction_value")
+
+
+@register("shap_force_linear", O.with_specs(
+    "SELECT row_id, feature, round(shap_value, 4) AS shap_value, round(base_value + sum(shap_value) OVER w, 4) AS cumulative, "
+    "(row_number() OVER w)::INTEGER AS \"order\" FROM phi "
+    "WINDOW w AS (PARTITION BY row_id ORDER BY abs(shap_value) DESC, feature ROWS UNBOUNDED PRECEDING)", _LIN_CTE))
+def q_shap_force_linear(spark, sf_dir):
+    phi, _ = _linear_phi(spark, sf_dir)
+    return E.shap_force(phi).select("row_id", "feature", r("shap_value", 4), r("cumulative", 4), "order")
+
+
+@register("explain_row_linear", O.with_specs(
+    "SELECT row_id, round(any_value(base_value) + sum(shap_value), 4) AS prediction, "
+    "arg_max(feature, abs(shap_value)) AS strongest, arg_max(value, abs(shap_value)) AS strongest_value, "
+    "count(*) FILTER (WHERE shap_value > 0)::INTEGER AS n_raising, count(*) FILTER (WHERE shap_value < 0)::INTEGER AS n_lowering "
+    "FROM phi GROUP BY row_id", _LIN_CTE))
+def q_explain_row_linear(spark, sf_dir):
+    phi, rows = _linear_phi(spark, sf_dir)
+    first = F.get("contributions", 0)
+    return E.explain_rows(phi, values=rows).select(
+        "row_id", r("prediction", 4), first["feature"].alias("strongest"), first["value"].alias("strongest_value"),
+        F.size("top_positive").alias("n_raising"), F.size("top_negative").alias("n_lowering"))
+
+
+@register("shap_any_linear", O.with_specs(
+    "SELECT row_id, feature, round(shap_value, 4) AS shap_value FROM (SELECT row_id, "
+    + ", ".join(f"{w!r} * ({c} - m_{i}) AS p{i}" for i, (c, w) in enumerate(_LIN_W.items())) + " FROM specs, (SELECT "
+    + ", ".join(f"avg({c}) AS m_{i}" for i, c in enumerate(_LIN_W)) + " FROM (SELECT * FROM specs WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in _LIN_W) + " ORDER BY row_id LIMIT 16)) WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in _LIN_W) + ") CROSS JOIN LATERAL (VALUES "
+    + ", ".join(f"('{c}', p{i})" for i, c in enumerate(_LIN_W)) + ") v(feature, shap_value)"))
+def q_shap_any_linear(spark, sf_dir):
+    """Exact enumeration for a model given as an expression; a linear one has a closed form. The
+    background is a sample by definition: the 16 complete rows of least id."""
+    rows = _linear_phi(spark, sf_dir)[1]
+    model = SQLTransformer(statement="SELECT *, " + " + ".join(f"{w!r} * {c}" for c, w in _LIN_W.items())
+                           + " AS prediction FROM __THIS__")
+    phi = E.exact_shap(rows, model, list(_LIN_W), rows.orderBy("row_id").limit(16))
+    return phi.select("row_id", "feature", r("shap_value", 4))
+
+
 @register("shap_any")
 def q_shap_any(spark, sf_dir):
     """Exact coalition enumeration for the fitted ridge candidate against a 100-row background."""
