@@ -14,8 +14,8 @@ entry are compared in units of two blocks of at most ``block`` classes, whatever
 Inside a unit, sizes and parity bitmaps (the bits that differ never exceed
 the tokens that differ) discard pairs that cannot link. Three rounds hand on what remains: a
 spanning forest, closest pairs first, from a few entries of each class; one between components from
-all entries; then every pair between different components. Each round's pairs are verified on
-their texts, and components follow from the verified links, so a group's pairs are never written in
+all entries; then, in units of which the second round left pairs out, every pair between different
+components. Each round's pairs are verified on their texts, and components follow from the verified links, so a group's pairs are never written in
 full and no link between components is lost.
 
 Cases: null and wordless texts have an empty set and link with nothing; a text of fewer than ``n``
@@ -229,7 +229,8 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, nodes: int
 
 def unit_pairs(frame: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
     """Pairs of different components that can link from whole units, rows sorted by unit: ``every``
-    one, or those of a spanning forest of a unit's components."""
+    one, or those of a spanning forest of a unit's components; then also a row for each ``unit`` that
+    has more."""
     new = np.any([frame[c].to_numpy()[1:] != frame[c].to_numpy()[:-1] for c in ("unit", "i", "j")], axis=0)
     first = np.flatnonzero(np.append(True, new))
     size = np.diff(np.append(first, len(frame)))
@@ -251,16 +252,20 @@ def unit_pairs(frame: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
         good, differ = bitmaps.within(a, b, n[a] + n[b] - 2 * least)
         out.append(np.stack([a[good], b[good], differ]))
     pairs = np.concatenate(out, axis=1)
+    more = np.zeros(0, np.int64)
     if not every:  # a node is a component in a unit
         unit = np.searchsorted(first, np.arange(len(frame)), side="right")
         node = np.unique(np.stack([unit, root]), axis=1, return_inverse=True)[1].ravel()
-        pairs = pairs[:, spanning_forest(node[pairs[0]], node[pairs[1]], pairs[2], len(frame))]
+        kept = spanning_forest(node[pairs[0]], node[pairs[1]], pairs[2], len(frame))
+        more = np.unique(frame["unit"].to_numpy()[np.delete(pairs[0], kept)])
+        pairs = pairs[:, kept]
     a, b = ids[pairs[0]], ids[pairs[1]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="Int64").drop_duplicates()
+    return pd.concat([found.assign(unit=pd.NA), pd.DataFrame({"a": pd.NA, "b": pd.NA, "unit": more})]).astype("Int64")
 
 
 def possible_pairs(units: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs from all units; a task reads sorted units and holds a batch and one unit at most."""
+    """``unit_pairs`` of all units; a task reads sorted units and holds a batch and one unit at most."""
 
     def pairs(batches):
         rest = None
@@ -277,7 +282,7 @@ def possible_pairs(units: DataFrame, percent: int, every: bool) -> DataFrame:
             yield unit_pairs(rest.reset_index(drop=True), percent, every)
 
     keys = ["unit", "i", "j"]
-    return units.repartition(*keys).sortWithinPartitions(*keys, "id").mapInPandas(pairs, "a long, b long").distinct()
+    return units.repartition(*keys).sortWithinPartitions(*keys, "id").mapInPandas(pairs, "a long, b long, unit long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -344,17 +349,20 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         return blocks.join(sketch, F.col("id") == F.col("own")).select(
             "unit", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "bits", "root")
 
-    def check(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.table(pairs, f"{name}-pairs")
+    def check(found_pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The verified pairs, and the units that have more pairs."""
+        handed = scratch.table(found_pairs, f"{name}-pairs")
+        pairs = handed.where("unit IS NULL").select("a", "b")
         ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct(), f"{name}-ids")
         few = ids.count() <= broadcast_ids
         texts = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("own"), "left_semi").dropDuplicates(["doc_id"])
-        return scratch.table(verified(pairs, texts, n, percent), f"{name}-links")
+        more = handed.where("unit IS NOT NULL").select(F.col("unit").alias("left"))
+        return scratch.table(verified(pairs, texts, n, percent), f"{name}-links"), more
 
-    def still_open(roots: DataFrame, name: str) -> DataFrame:
+    def still_open(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """Rows of the entries whose classes lie in two components or more; of entries of one block
         those with a partner."""
-        rooted = found.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+        rooted = rows.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
         rooted = scratch.table(rooted, f"{name}-rooted")
         large = rooted.where("blocks > 1")
         some = large.groupBy(F.col("unit").alias("open")).agg(F.min("root").alias("least"), F.max("root").alias("most")).where(
@@ -363,13 +371,14 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         return with_partners(rooted.where("blocks = 1"), percent).unionByName(large)
 
     few = found.where(F.col("place") <= 4).withColumn("root", F.col("id"))
-    links = check(possible_pairs(units(few), percent, every=False), "few")
-    roots = components(links, scratch, "few-roots")
+    links, _ = check(possible_pairs(units(few), percent, every=False), "few")
+    roots, open_rows = components(links, scratch, "few-roots"), found
     for name, every in (("forest", False), ("rest", True)):
-        more = check(possible_pairs(units(still_open(roots, name)), percent, every), name)
+        more, left = check(possible_pairs(units(still_open(open_rows, roots, name)), percent, every), name)
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = components(links, scratch, f"{name}-roots")
+        open_rows = found.join(left, F.col("unit") == F.col("left"), "left_semi")
     scratch.drop("found")
 
     same = [classes[c] == members[c] for c in key]
