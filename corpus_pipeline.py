@@ -22,10 +22,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates (shingles of five words, similarity 0.8): the one
+    with the smallest id."""
     from specsheet.llm.jaccard_join import drop_near_duplicates
 
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, n=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
