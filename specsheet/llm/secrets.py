@@ -24,18 +24,45 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
+# A private key: its header, then all up to its END line if nothing but key text stands between, else the
+# block of base64 runs that follows. Line breaks may be escaped, quoted or marked as in source code.
+_HEADER, _FOOTER = (rf"-----{x} [A-Z0-9\x20]{{0,30}}PRIVATE KEY(?: BLOCK)?-----" for x in ("BEGIN", "END"))
+_BREAK = r"""(?:\\+[nrt]|[\s"'+,.<>&;%#*|\\])"""
+_FIELD = (r"(?:Proc-Type:\x20?4,ENCRYPTED|DEK-Info:\x20?[A-Z0-9-]+,[0-9A-Fa-f]+|"
+          r"(?:Version|Comment|Charset|Hash|MessageID):[^\r\n\\]*+)")
+_RUN = r"[A-Za-z0-9+/]{16,}+={0,2}"
+_LAST = (rf"(?:(?=[^A-Za-z0-9]*(?:\n|\\n)){_BREAK}++[A-Za-z0-9+/]++={{0,2}}(?=[\x20\t\"',;+]*(?:[\r\n\\<]|-----|$))|"
+         rf"{_BREAK}++[A-Za-z0-9+/]++={{1,2}})?")  # a shorter last line
+_KEY = (rf"""{_HEADER}((?:{_BREAK}*+(?:{_FIELD}{_BREAK}*+)*+(?:[A-Za-z0-9+/=\s"'\\,<>&;%#*|]*+(?={_FOOTER})|"""
+        rf"""{_RUN}(?:{_BREAK}++{_RUN})*+{_LAST}))?)(?:{_BREAK}*+{_FOOTER})?""")
 #: Further kinds of credentials.
 MORE = [
-    ("key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 27),
+    ("key", _KEY, 1, 27),
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", 0, 27),
     ("bearer", r"(?i)bearer\x20+([A-Za-z0-9._~+/-]{20,})", 1, 20),
     ("vendor", r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza)[A-Za-z0-9_-]{16,}", 0, 20),
-    ("login", r"://[^\s/:@]{1,64}:([^\s/:@]{6,64})@", 1, 6),
+    ("login", r"://[^\s/:@]++:([^\s/:@]{6,}+)@", 1, 6),
 ]
 _PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|test|^(.)\1*$|0123456789|123456"
+_LONG_PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|x{8}|^(.)\1*$|0123456789"  # rare in random key text
 SPAN = "array<struct<start:int,kind:int,end:int,value:bigint,plain:boolean>>"
 
 
+def value_of(match: Column, pattern: str, group: int, least: int) -> Column:
+    """The value of a match. A private key's is its key text without fields and line breaks, or its
+    header where no key text follows."""
+    if pattern != _KEY:
+        return F.regexp_extract(match, pattern, group) if group else match
+    body = F.regexp_replace(F.regexp_extract(match, pattern, group), rf"{_FIELD}|\\+[nrt]|[^A-Za-z0-9+/=]", "")
+    return F.when(F.length(body) >= least, body).otherwise(F.regexp_extract(match, _HEADER, 0))
+
+
+def is_plain(value: Column, pattern: str) -> Column:
+    """Whether a value looks like a placeholder."""
+    plain = value.rlike(_PLACEHOLDER)
+    return F.when(F.length(value) >= 64, value.rlike(_LONG_PLACEHOLDER)).otherwise(plain) if pattern == _KEY else plain
+
+
 def spans_of(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches with their places: the text between matches (``split``) and
     the matches themselves alternate, so places are running sums of their lengths."""
@@ -46,9 +73,9 @@ def spans_of(text: Column, kind: int, pattern: str, group: int, least: int) -> C
     def step(a, p):
         start = a["at"] + F.length(p["gap"])
         end = start + F.length(p["match"])
-        value = F.regexp_extract(p["match"], pattern, group) if group else p["match"]
+        value = value_of(p["match"], pattern, group, least)
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(value).alias("value"),
-                        value.rlike(_PLACEHOLDER).alias("plain"))
+                        is_plain(value, pattern).alias("plain"))
         kept = F.when(F.length(value) >= least, F.concat(a["spans"], F.array(span))).otherwise(a["spans"])
         return F.struct(end.alias("at"), kept.alias("spans"))
 
