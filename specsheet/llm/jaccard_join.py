@@ -389,9 +389,24 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component: the one with the smallest id, and of repeated ids one row.
-    Documents without words are kept."""
-    linked = link_documents(docs, **options)
-    gone = linked.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    """One document of each component: the one with the smallest id, and one row of it. Documents are
+    told apart by id and text, so those with null or repeated ids take part by their texts; a null id
+    comes after all others. Documents without words are kept, repeated rows of one id once."""
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    key = F.xxhash64("doc_id", "text")
+    linked = link_documents(docs.select(key.alias("doc_id"), "text"), **options).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("times"), F.first("n_shingles").alias("n"), F.first("component_id").alias("component"))
+    own = docs.groupBy(key.alias("key")).agg(F.min("doc_id").alias("own"))
+    linked = scratch.table(linked.join(own, F.col("doc_id") == F.col("key")).drop("doc_id"), "linked")
+    worded = linked.where("n > 0")
+    stays = scratch.table(worded.groupBy("component").agg(
+        F.min(F.struct(F.col("own").isNull().alias("none"), "own", "key"))["key"].alias("stays")).select("stays"), "stays")
+    gone = worded.join(stays, F.col("key") == F.col("stays"), "left_anti").select(F.col("key").alias("gone"))
+    more = linked.where("times > 1 AND (n > 0 OR own IS NOT NULL)").select(F.col("key").alias("gone"))
+    # All rows of the others, and one of each repeated document that stays.
+    kept = docs.join(gone.unionByName(more), key == F.col("gone"), "left_anti")
+    again = more.join(gone, "gone", "left_anti")
+    if again.limit(1).count():
+        rows = docs.withColumn("near_duplicate_key", key).join(again, F.col("near_duplicate_key") == F.col("gone"), "left_semi")
+        kept = kept.unionByName(rows.dropDuplicates(["near_duplicate_key"]).drop("near_duplicate_key"))
     return kept

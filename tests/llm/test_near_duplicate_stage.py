@@ -49,3 +49,21 @@ def test_stage_rows_at_five_words(spark):
     expected = brute_stage(rows, 5, 80)
     assert kept == expected
     assert len(expected) < len(brute_stage(rows, 3, 90))
+
+
+def test_repeated_rows_and_null_ids(spark):
+    near = " ".join(f"n{k}" for k in range(60))
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (6, "a b c d e f"), (7, "p q r s t u"), (7, "p q r s t u"),
+            (None, "a b c d e f"), (None, "only here without an id"), (None, "only here without an id"), (None, "only  HERE without an id"),
+            (None, near), (9, near + " end"), (8, "one text of the id"), (8, "another text of it"), (2, "another text of it"), (4, ""), (4, ""), (3, " "),
+            (None, None), (None, None), (None, "")]
+    docs = documents(spark, rows)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert kept.schema == docs.schema
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    one = [t for i, t in got if i is None and t and t.startswith("only")]
+    assert len(one) == 1
+    expected = [(5, "a b c d e f"), (7, "p q r s t u"), (None, one[0]), (9, near + " end"), (8, "one text of the id"),
+                (2, "another text of it"), (4, ""), (3, " "), (None, None), (None, None), (None, "")]
+    assert got == sorted(expected, key=str)
+    assert corpus_pipeline.near_duplicate_stage(spark, documents(spark, []), "").count() == 0
