@@ -51,10 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     master = sc.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))  # a static setting: only the context can take it now
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from specsheet.sources.csv import REQUIRED_COLUMNS, check_required, load_specs_csv
 
 ROW = ["Ferrari", "SF90", "V8", "3,990 cc", "963 hp", "340 km/h", "2.5 sec", "$1,100,000", "Hybrid", "2", "800 Nm"]

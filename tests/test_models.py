@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from specsheet.operators.clean import PRICE
 from specsheet.operators.features import MODEL_NUMERIC, PERF_CATEGORY
 from specsheet.operators.models import PerformanceClassifier, PricePredictor

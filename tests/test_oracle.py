@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF01
+from paths import SF01
 from oracle_check import compare, duck
 from specsheet.plans.queries import ORACLE, QUERIES
 

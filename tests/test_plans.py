@@ -1,6 +1,6 @@
 """Physical-plan properties the design relies on."""
 
-from conftest import SF01
+from paths import SF01
 from specsheet.plans.queries import QUERIES
 
 

@@ -88,7 +88,7 @@ def test_cleaning_stays_in_codegen(spark):
     from specsheet.operators.clean import clean_dataset
     from specsheet.sources.fixture import raw_specs
 
-    from conftest import SF001
+    from paths import SF001
     plan = clean_dataset(raw_specs(spark, SF001))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "WholeStageCodegen" in plan or "*(" in plan
