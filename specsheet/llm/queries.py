@@ -122,3 +122,10 @@ def op4_jaccard_join(spark, sf_dir):
     from .jaccard_join import link_documents
 
     return link_documents(read_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@register("op12_simhash_dedup")
+def op12_simhash_dedup(spark, sf_dir):
+    from .simhash import simhash_groups
+
+    return simhash_groups(read_table(spark, sf_dir, "documents"), n=3, distance=2)
