@@ -26,15 +26,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``node, root`` (the least id that the node reaches) for every node that has an edge. ``edges``
-    has ``a`` and ``b``. Every round is written, so a lost executor costs one round at most."""
-    now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    is a written table with ``a`` and ``b``. Every round is written, so a lost executor costs one round at
+    most."""
+    size = edges.count()
+    if not size:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0", size)
     sign = None
     for step in range(1, 200):
-        new = scratch.table(_star(_star(now, large=True), large=False), f"{name}-{step}")
+        new = scratch.table(_star(_star(now, large=True), large=False), f"{name}-{step}", 2 * size)
         scratch.drop(f"{name}-{step - 1}")
         row = new.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.countDistinct("a")).first()
         if row[0] == row[2] and tuple(row) == sign:  # every node has one edge, and nothing moves
             return new.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        now, sign = new, tuple(row)
+        now, sign, size = new, tuple(row), row[0]
     raise RuntimeError("components did not settle")

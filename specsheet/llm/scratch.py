@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
+ROWS_PER_FILE = 250_000
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """A fresh folder of written tables below the session's shared folder."""
@@ -20,10 +23,20 @@ class Scratch:
         self.spark = spark
         self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return a reader of the written rows."""
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write ``df`` once and return a reader of the written rows. ``rows`` is about how many there can
+        be, where the caller knows: a small table then makes few files, whatever the number of shuffle
+        partitions, and a large one as many as its size asks for."""
         path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+        conf = self.spark.conf
+        before = conf.get(_CLEAN, "false")
+        conf.set(_CLEAN, "true")  # the written rows replace this frame's shuffle files
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -32,4 +45,3 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()  # shuffle files go when the driver finds that no plan refers to them

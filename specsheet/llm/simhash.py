@@ -129,7 +129,8 @@ def fingerprint_links(classes: DataFrame, scratch: Scratch, distance: int, block
     masks = block_masks(blocks, distance)
     keys = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("part")) for m in masks])
     keyed = classes.select("fp", F.inline(keys))
-    large = scratch.table(keyed.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).drop("n"), "large")
+    most = classes.count() * len(masks) // (limit + 1)
+    large = scratch.table(keyed.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).drop("n"), "large", most)
     usual = keyed.join(large, ["mask", "part"], "left_anti").groupBy("mask", "part").agg(F.collect_list("fp").alias("members"))
     at_points = keyed.join(large, ["mask", "part"]).select("fp", "mask", F.explode(flips(F.col("fp"), F.col("mask"), distance)).alias("point"))
     points = at_points.groupBy("mask", "point").agg(F.collect_list("fp").alias("members"))  # few per point
@@ -142,13 +143,14 @@ def simhash_groups(docs: DataFrame, n: int = 3, distance: int = 2, blocks: int =
     id that it reaches by links of ``distance`` differing bits or fewer."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprints(docs, n), "rows")
-    classes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = scratch.table(fingerprint_links(classes, scratch, distance, blocks, limit).distinct(), "links")
+    size = rows.count()  # from the written files' footers
+    classes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", size)
+    links = scratch.table(fingerprint_links(classes, scratch, distance, blocks, limit).distinct(), "links", size * len(block_masks(blocks, distance)))
     roots = components(links, scratch, "roots")
     rooted = scratch.table(classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+        "fp", "least", F.coalesce("root", "fp").alias("root")), "rooted", size)
     names = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
-    named = scratch.table(rooted.join(names, F.col("root") == F.col("of")).select(F.col("fp").alias("own"), "component_id"), "named")
+    named = scratch.table(rooted.join(names, F.col("root") == F.col("of")).select(F.col("fp").alias("own"), "component_id"), "named", size)
     scratch.drop("classes", "links", "rooted", "large")
     joined = rows.join(named, F.col("fp") == F.col("own"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
