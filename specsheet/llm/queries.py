@@ -129,3 +129,78 @@ def op12_simhash_dedup(spark, sf_dir):
     from .simhash import simhash_groups
 
     return simhash_groups(read_table(spark, sf_dir, "documents"), n=3, distance=2)
+
+
+def vector_codes_sql(rounds: int = 6) -> str:
+    """Lloyd rounds on the parts as one chain of common table expressions."""
+    usable = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % 8 = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, k AS part, e[k * (len(e) // 8) + 1 : (k + 1) * (len(e) // 8)] AS s FROM v, range(8) AS t(k)),
+c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, s AS c
+  FROM p JOIN (SELECT rid, vec_id FROM v ORDER BY vec_id NULLS LAST LIMIT 16) USING (rid))"""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, part, min({{'d': list_sum(list_transform(list_zip(s, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'entry': entry}}) AS best
+  FROM p JOIN c{r} USING (part) GROUP BY rid, part)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT part, entry, list((total - ((total % n) + n) % n) // n ORDER BY pos) AS c FROM (
+    SELECT part, best.entry AS entry, pos, sum(s[pos])::BIGINT AS total, count(*) AS n
+    FROM a{r} JOIN p USING (rid, part), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS pos) GROUP BY part, best.entry, pos) GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (SELECT o.part, o.entry, coalesce(m{r}.c, o.c) AS c FROM c{r} AS o LEFT JOIN m{r} USING (part, entry))""")
+    return usable + "," + ",".join(steps) + f""",
+coded AS (
+  SELECT rid, string_agg(lpad(to_hex(best.entry), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY rid),
+book AS (
+  SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(c) AS x, unnest(range(len(c))) AS pos FROM c{rounds}))
+SELECT vec_id, lower(code) AS code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN v USING (rid) CROSS JOIN book"""
+
+
+@register("op11_vector_codes", sql=vector_codes_sql())
+def op11_vector_codes(spark, sf_dir):
+    from .scratch import Scratch
+    from .vector_codes import codebook_digest, compress_vectors
+
+    codes, books = compress_vectors(read_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096.0, carry=("label",))
+    codes = Scratch(spark, "op11").table(codes, "codes")
+    by_label = codes.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))  # a row per label
+    digests = spark.createDataFrame([(dim, codebook_digest(b)) for dim, b in books.items()], "length int, codebooks_sha256 string")
+    joined = codes.join(by_label, F.col("label").eqNullSafe(F.col("of"))).join(F.broadcast(digests), F.col("dim") == F.col("length"))
+    return joined.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@register("op13_hard_negatives", sql=r"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+         list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v AS a JOIN v AS c ON c.vec_id <> a.vec_id AND len(c.e) = len(a.e) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives AS p JOIN scored AS s USING (anchor_id)
+  WHERE NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score) WHERE rank <= 5
+""")
+def op13_hard_negatives(spark, sf_dir):
+    from .hard_negatives import hard_negatives
+
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives(vectors, vectors.where(F.col("vec_id") % 100 == 0), positives=5, negatives=5, percent=80, scale=256.0)

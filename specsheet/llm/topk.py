@@ -1,152 +1,206 @@
 """Exact top-k by inner product with a pivot table.
 
-A few pivot vectors are drawn by hash order, and every vector's distance to each pivot is stored in
-the table beside it. For a query q and a vector x the largest ``|d(q, p) - d(x, p)|`` is a lower bound
-of their distance, which bounds the inner product from above by ``(|q|^2 + |x|^2 - bound^2) / 2``.
-Candidates are evaluated in the order of their bounds until the bound falls below the k-th best
-score found, so the answer is exact. Vectors travel in packed blocks: every block of rows meets every
-block of queries once, in tasks that hold one query block and a few candidate blocks, and a task
-returns k rows per query at most.
-
-Cases: a vector that is null, empty or holds a null or non-finite component takes no part; vectors
-of different lengths are not compared; rows with the query's own id are its own; ties go to the
-smaller id; a score beyond 64 bits raises; an empty table gives no rows; other columns are ignored.
+Pivots are spread out farthest-first over a bounded sample (``sample`` vectors of each length, in hash
+order). Every vector's distances to all pivots are stored beside it. For a query q and a vector x the
+largest ``|d(q, p) - d(x, p)|`` is a lower bound of their distance, which bounds the inner product from
+above by ``(|q|^2 + |x|^2 - bound^2) / 2``. Vectors are ordered by their nearest pivot and packed into
+blocks; a block keeps the least and greatest distance to each pivot, so a whole block is passed over for
+a query that none of its vectors can serve. Other candidates are evaluated in the order of their bounds
+until the bound falls below the k-th best score found, so the answer is exact.
+
+Queries go in chunks of bounded size, broadcast to the tasks that hold the blocks: no vector is
+shuffled for a query. A first pass compares each query with the blocks of its own pivot alone; the k-th
+scores found are broadcast with the chunk as the second pass's starting thresholds. A task returns k rows
+per query at most.
+
+Cases: a vector that is null, empty or holds a null or non-finite component takes no part, nor does a null
+id; vectors of different lengths are not compared; rows with the query's own id are its own; rows of one
+id with the same score count once, and a repeated query id asks with the least of its vectors; ties
+go to the smaller id; a score beyond 64 bits raises; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-
-_BLOCK = "dim int, block long, n int, ids binary, vectors binary, distances binary"
-_FOUND = "query_id long, vec_id long, score long"
-
-
-def quantize(values: np.ndarray, scale: float) -> np.ndarray:
-    return np.floor(scale * values.astype(np.float64))
-
-
-def exact_type(vectors: np.ndarray) -> type:
-    """The fastest type in which sums of products of these integers are exact."""
-    top = float(np.abs(vectors).max(initial=0.0))
-    bound = top * top * vectors.shape[1]
-    return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else object
-
-
-def pack_blocks(vectors: DataFrame, pivots: dict[int, np.ndarray], scale: float, rows: int) -> DataFrame:
-    """Blocks of up to ``rows`` vectors of one length with their distances to the pivots."""
-
-    def pack(batches):
-        waiting: dict[int, list] = {}
-        serial = 0
-
-        def block(dim):
-            ids, values = zip(*waiting.pop(dim))
-            v = quantize(np.array(values, np.float64), scale)
-            distances = np.sqrt(((v[:, None, :] - pivots[dim][None]) ** 2).sum(axis=2))
-            return {"dim": dim, "block": serial, "n": len(ids), "ids": np.array(ids, "<i8").tobytes(),
-                    "vectors": v.tobytes(), "distances": distances.tobytes()}
-
-        for batch in batches:
-            for vec_id, values in zip(batch["vec_id"].tolist(), batch["embedding"]):
-                waiting.setdefault(len(values), []).append((vec_id, values))
-                if len(waiting[len(values)]) == rows:
-                    yield pd.DataFrame([block(len(values))])
-                    serial += 1
-        if waiting:
-            yield pd.DataFrame([block(dim) for dim in sorted(waiting)])
-
-    return vectors.mapInPandas(pack, _BLOCK)
-
-
-def search_block(query: tuple, rows: tuple, best: list, k: int) -> None:
-    """Improve ``best`` (per query: scores and ids, best first) with a block of rows."""
-    q_ids, q, q_dist = query
-    ids, x, x_dist = rows
-    kind = exact_type(np.concatenate([q, x]))
-    q_exact, x_exact = q.astype(kind), x.astype(kind)
-    if kind is object:
-        q_exact, x_exact = (np.array([[int(c) for c in r] for r in v], object).reshape(v.shape) for v in (q, x))
-    bound = np.zeros((len(q), len(x)))
-    for p in range(q_dist.shape[1]):
-        np.maximum(bound, np.abs(q_dist[:, p, None] - x_dist[None, :, p]), out=bound)
-    lengths = (q**2).sum(1)[:, None] + (x**2).sum(1)[None]
-    bound = (lengths - bound**2) / 2 + 1e-9 * lengths + 0.5  # slack above any rounding
-    whole = None
-    for i in range(len(q)):
-        scores, got = best[i]
-        upper = np.where(ids == q_ids[i], -np.inf, bound[i])
-        order = np.argsort(-upper, kind="stable")
-        order = order[: len(order) - int((upper == -np.inf).sum())]
-        at, step = 0, max(4 * k, 64)
-        while at < len(order) and (len(got) < k or upper[order[at]] >= scores[k - 1]):
-            if at and whole is None:
-                left = int((upper[order[at:]] >= scores[min(k, len(scores)) - 1]).sum())
-                if 8 * left > len(order):  # weak bounds here: one product for the block costs less
-                    whole = q_exact @ x_exact.T
+from .vector_search import exact_type, keep_best, pack, pair_scores, quantize, query_chunks, usable
+
+_QUERIES = "dim int, n int, ids binary, vectors binary, distances binary"
+_BLOCK = _QUERIES + ", nearest binary, farthest binary"
+_FOUND = "query int, vec_id long, score long"
+_RESULT = "query_id long, rank int, vec_id long, score long"
+FIRST = 64  # candidates evaluated before the first look at the threshold
+
+
+def spread_pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """``n`` vectors of the sample, each the farthest from those before; the first is the longest."""
+    at = int(np.argmax((sample**2).sum(axis=1)))
+    chosen, gap = [], np.full(len(sample), np.inf)
+    while len(chosen) < n and gap[at] > 0:
+        chosen.append(at)
+        gap = np.minimum(gap, ((sample - sample[at]) ** 2).sum(axis=1))
+        at = int(np.argmax(gap))
+    return sample[chosen]
+
+
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances ``(rows, pivots)``, a pivot at a time."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+
+
+def pick_pivots(rows: DataFrame, scale: float, n_pivots: int, sample: int) -> dict[int, np.ndarray]:
+    by_hash = Window.partitionBy("dim").orderBy(F.xxhash64("embedding", "vec_id"))  # limited in each task before the shuffle
+    drawn: dict[int, list] = {}
+    for r in rows.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= sample).select("dim", "embedding").toLocalIterator():
+        drawn.setdefault(r["dim"], []).append(r["embedding"])
+    return {dim: spread_pivots(quantize(np.array(v), scale), n_pivots) for dim, v in drawn.items()}
+
+
+def with_cells(rows: DataFrame, pivots: dict[int, np.ndarray], scale: float) -> DataFrame:
+    """The rows with their nearest pivot (``cell``) and the distance to it (``near``)."""
+
+    def assign(frames: Iterator[pd.DataFrame]):
+        for frame in frames:
+            cell, near = np.zeros(len(frame), np.int32), np.zeros(len(frame))
+            dims = frame["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                d = distances(quantize(np.stack(frame["embedding"].to_numpy()[at]), scale), pivots[dim])
+                cell[at], near[at] = d.argmin(axis=1), d.min(axis=1)
+            yield frame.assign(cell=cell, near=near)
+
+    return rows.mapInPandas(assign, "vec_id long, dim int, embedding array<double>, cell int, near double")
+
+
+class Block:
+    """Vectors of one length with their distances to the pivots."""
+
+    def __init__(self, row, starts: np.ndarray | None = None):
+        self.dim = row["dim"]
+        self.ids = np.frombuffer(row["ids"], "<i8")
+        self.x = np.frombuffer(row["vectors"], "<f8").reshape(len(self.ids), -1)
+        self.to_pivot = np.frombuffer(row["distances"], "<f8").reshape(len(self.ids), -1)
+        self.square = (self.x**2).sum(axis=1)
+        self.starts = starts
+
+
+def block_bounds(q: Block, row, most: float) -> np.ndarray:
+    """For each query the most that any vector of a block can score; ``most``: its largest squared length."""
+    least, greatest = (np.frombuffer(row[c], "<f8") for c in ("nearest", "farthest"))
+    gap = np.maximum(q.to_pivot - greatest, least - q.to_pivot).max(axis=1)
+    return _score_bound(q.square, most, np.maximum(gap, 0))
+
+
+def _score_bound(q_square, x_square, gap):
+    lengths = q_square + x_square
+    return (lengths - gap**2) / 2 + 1e-9 * lengths + 0.5  # slack above any rounding
+
+
+def search_block(q: Block, rows: Block, which: np.ndarray, best: tuple[np.ndarray, ...], floor: np.ndarray, k: int) -> tuple[tuple, np.ndarray, int]:
+    """``best`` (query number, score, id) and thresholds after the queries ``which`` have met a block, and
+    the number of candidates evaluated."""
+    keys, scores, ids, evaluated = [best[0]], [best[1]], [best[2]], 0
+    kind = exact_type(q.x, rows.x)
+    for i in which.tolist():
+        gap = np.abs(rows.to_pivot - q.to_pivot[i]).max(axis=1)
+        bound = _score_bound(q.square[i], rows.square, gap)
+        order = np.flatnonzero((bound >= floor[i]) & (rows.ids != q.ids[i]))
+        order = order[np.argsort(-bound[order], kind="stable")]
+        at, step = 0, max(FIRST, k)
+        mine = best[0] == i
+        own_score, own_id = best[1][mine], best[2][mine]
+        while at < len(order) and bound[order[at]] >= floor[i]:
             some = order[at : at + step]
-            new = whole[i, some] if whole is not None else x_exact[some] @ q_exact[i]
-            scores = np.concatenate([scores, new.astype(object if kind is object else np.int64)])
-            got = np.concatenate([got, ids[some]])
-            keep = np.lexsort((got, -scores))[:k]
-            scores, got = scores[keep], got[keep]
-            at, step = at + step, 4 * step
-        best[i] = scores, got
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, n_pivots: int = 24,
-          query_rows: int = 1024, block_rows: int = 4096, blocks_per_task: int = 8) -> DataFrame:
+            if kind is object:
+                new = pair_scores(q.x[i : i + 1], rows.x, np.zeros(len(some), np.int64), some)
+            else:
+                new = (rows.x[some] @ q.x[i]).astype(np.int64)
+            evaluated += len(some)
+            keep = new >= floor[i]
+            _, own_score, own_id = keep_best(np.zeros(int(keep.sum()) + len(own_id), np.int64), np.append(own_score, new[keep]), np.append(own_id, rows.ids[some][keep]), k)
+            if len(own_score) == k:
+                floor[i] = max(floor[i], own_score[-1])
+            at, step = at + step, 2 * step
+        keys.append(np.full(len(own_id), i))
+        scores.append(own_score)
+        ids.append(own_id)
+    return keep_best(np.concatenate(keys), np.concatenate(scores), np.concatenate(ids), k), floor, evaluated
+
+
+def search_chunk(blocks: DataFrame, queries: list, starts: np.ndarray, k: int, own_cell_only: bool) -> DataFrame:
+    """``query`` (its number in the chunk), ``vec_id`` and ``score`` of the best rows that each task has."""
+    sent = blocks.sparkSession.sparkContext.broadcast((queries, starts))
+
+    def search(frames: Iterator[pd.DataFrame]):
+        rows_of, at = [], 0
+        packed, begin = sent.value
+        for row in packed:
+            rows_of.append((at, Block(row)))
+            at += row["n"]
+        state = {at: ((np.zeros(0, np.int64),) * 3, begin[at : at + len(q.ids)].copy()) for at, q in rows_of}
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                block = Block(row)
+                for at, q in rows_of:
+                    if q.dim != block.dim:
+                        continue
+                    best, floor = state[at]
+                    if own_cell_only:
+                        cells = np.unique(block.to_pivot.argmin(axis=1))
+                        which = np.flatnonzero(np.isin(q.to_pivot.argmin(axis=1), cells))
+                    else:
+                        which = np.flatnonzero(block_bounds(q, row, block.square.max()) >= floor)
+                    best, floor, _ = search_block(q, block, which, best, floor, k)
+                    state[at] = best, floor
+        for at, ((key, score, ids), _) in state.items():
+            if len(key):
+                yield pd.DataFrame({"query": (key + at).astype(np.int32), "vec_id": ids, "score": score})
+
+    return blocks.mapInPandas(search, _FOUND)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, n_pivots: int = 32, sample: int = 4096,
+          block_values: int = 1 << 18, chunk_values: int = 1 << 22) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` best rows for each query. Both frames have
     ``vec_id`` and ``embedding``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-
-    def usable(df):
-        values = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        whole = ~F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-        return values.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & whole)
-
-    by_length = Window.partitionBy("dim").orderBy(F.xxhash64("embedding", "vec_id"))
-    drawn = usable(vectors).withColumn("dim", F.size("embedding")).withColumn("place", F.row_number().over(by_length))
-    pivots: dict[int, list] = {}
-    for row in drawn.where(F.col("place") <= n_pivots).select("dim", "embedding").collect():  # n_pivots per length
-        pivots.setdefault(row.dim, []).append(row.embedding)
-    table = {dim: quantize(np.array(p, np.float64), scale) for dim, p in pivots.items()}
-    if not table:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-
-    asked = scratch.table(pack_blocks(usable(queries).where(F.size("embedding").isin(list(table))), table, scale, query_rows), "queries")
-    rows = scratch.table(pack_blocks(usable(vectors), table, scale, block_rows), "rows")
-    # The planner broadcasts the query blocks' names while they are small.
-    n_groups = max(1, -(-rows.count() // blocks_per_task))
-    asked = asked.select("*", F.concat_ws("-", F.xxhash64("ids", "vectors").cast("string"), F.monotonically_increasing_id()).alias("ask"))
-    asked = scratch.table(asked, "asked")
-    asks = asked.select("dim", "ask")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("ids", "vectors"), F.lit(n_groups)).cast("int"))
-    parts = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("part")
-    left = asked.select("dim", "ask", parts, F.lit(0).alias("role"), "ids", "vectors", "distances")
-    right = rows.join(asks, "dim").select("dim", "ask", "part", F.lit(1).alias("role"), "ids", "vectors", "distances")
-
-    def unpack(row):
-        ids = np.frombuffer(row.ids, "<i8")
-        return ids, np.frombuffer(row.vectors).reshape(len(ids), -1), np.frombuffer(row.distances).reshape(len(ids), -1)
-
-    def search(group):
-        asked_rows = [unpack(r) for r in group[group.role == 0].itertuples()]
-        out = []
-        for query in asked_rows:
-            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query[0]]
-            for r in group[group.role == 1].itertuples():
-                search_block(query, unpack(r), best, k)
-            for q_id, (scores, got) in zip(query[0].tolist(), best):
-                out += [(q_id, int(v), int(s)) for s, v in zip(scores, got)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = left.unionByName(right).groupBy("ask", "part").applyInPandas(search, _FOUND)
-    ranked = found.withColumn("rank", F.row_number().over(
-        Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = usable(vectors)
+    pivots = pick_pivots(rows, scale, n_pivots, sample)
+    if not pivots:
+        return spark.createDataFrame([], _RESULT)
+
+    def build(dim, columns, with_range):
+        x = quantize(columns["embedding"], scale)
+        to_pivot = distances(x, pivots[dim])
+        out = {"dim": dim, "n": len(x), "ids": columns["vec_id"].astype("<i8").tobytes(), "vectors": x.tobytes(), "distances": to_pivot.tobytes()}
+        return out | ({"nearest": to_pivot.min(axis=0).tobytes(), "farthest": to_pivot.max(axis=0).tobytes()} if with_range else {})
+
+    in_cells = with_cells(rows, pivots, scale).repartitionByRange("dim", "cell", "near", "vec_id").sortWithinPartitions("dim", "cell", "near", "vec_id")
+    blocks = scratch.table(pack(in_cells, _BLOCK, lambda d, c: build(d, c, True), block_values), "blocks")
+    asked = usable(queries).where(F.col("dim").isin(list(pivots))).groupBy("vec_id", "dim").agg(F.min("embedding").alias("embedding"))
+    asked = pack(asked, _QUERIES, lambda d, c: build(d, c, False), block_values)
+
+    found = None
+    for number, chunk in enumerate(query_chunks(asked, scratch, "queries", chunk_values)):
+        ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in chunk])
+        lowest = np.full(len(ids), -(1 << 62) * 2, np.int64)
+        first = search_chunk(blocks, chunk, lowest, k, own_cell_only=True)
+        place = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        kth = first.distinct().withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k)
+        for r in kth.select("query", "score").toLocalIterator():  # one row per query of the chunk
+            lowest[r["query"]] = r["score"]
+        best = search_chunk(blocks, chunk, lowest, k, own_cell_only=False).distinct()
+        best = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+        names = spark.createDataFrame(pd.DataFrame({"own": np.arange(len(ids), dtype=np.int32), "query_id": ids}))
+        part = scratch.table(best.join(F.broadcast(names), F.col("query") == F.col("own")).select("query_id", "rank", "vec_id", "score"),
+                             f"found-{number}", k * len(ids))
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else spark.createDataFrame([], _RESULT)

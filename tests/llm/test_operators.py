@@ -276,7 +276,7 @@ def test_topk(spark, kind):
     base = np.round(base) if kind == "ties" else base * (1e6 if kind == "large" else 1)
     rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(1000, None), (1001, [1.0] * 7 + [None]), (1020, [float("nan")] * 8), (1040, []), (1060, [1.0, 2.0]), (1061, [3.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    got = topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=5, n_pivots=6, query_rows=4, block_rows=50, blocks_per_task=2).collect()
+    got = topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=5, n_pivots=6, sample=100, block_values=320, chunk_values=60).collect()
     whole = {i: [int(np.floor(64.0 * x)) for x in v] for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
     expected = []
     for q in (i for i in whole if i % 20 == 0):
