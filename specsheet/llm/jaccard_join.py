@@ -25,6 +25,8 @@ has no component; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,20 +35,26 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .words import mix, run_hash, run_sums, text_bytes, word_bounds, word_hashes
+from .words import HashedText, Runs, hashed_texts, mix
+
+_SETS = "doc_id long, text_hash long, n long, low long, high long, prefix array<long>, bits binary"
+PAIRS = 1 << 18  # pairs of a unit held at a time
+
 
-_SETS = "doc_id long, n long, low long, high long, prefix array<long>, bits binary"
+def shingles(text: HashedText, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct token hashes of a text, and an independent second hash of each."""
+    if not len(text.one):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    starts = np.arange(max(1, len(text.one) - n + 1))
+    ends = np.minimum(starts + n, len(text.one))
+    tokens, first = np.unique(Runs(text.one).hashes(starts, ends), return_index=True)
+    return tokens, Runs(text.two).hashes(starts[first], ends[first])
 
 
-def shingles(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct token hashes of a text."""
-    data = np.frombuffer(text.lower(), np.uint8)  # of bytes: A-Z alone
-    starts, ends = word_bounds(data)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = run_sums(word_hashes(data, starts, ends))
-    at = np.arange(max(1, len(starts) - n + 1))
-    return np.unique(run_hash(sums, at, np.minimum(at + n, len(starts))))
+def written_shingles(text: bytes, n: int) -> set[bytes]:
+    """The distinct shingles of a text themselves, words joined by one space."""
+    words = text.lower().split()  # of bytes: A-Z alone, between space and \x09-\x0D
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
 def level(size: int) -> int:
@@ -93,19 +101,16 @@ def bitmap(tokens: np.ndarray) -> bytes:
 def token_sets(rows: DataFrame, n: int, percent: int) -> DataFrame:
     def build(batches):
         for batch in batches:
-            data, bounds = text_bytes(batch.column(1))
-            raw = memoryview(data)
             out: list[list] = [[] for _ in range(5)]
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                tokens = shingles(bytes(raw[a:b]), n)
-                order = mix(tokens)  # tokens are sorted as hashed; a second hash tells sets apart
-                sums = [int(np.add.reduce(v)) if len(v) else 0 for v in (order, mix(order ^ np.uint64(5)))]
+            for text in hashed_texts(batch.column(2), lower=True):
+                tokens, second = shingles(text, n)
+                sums = [int(np.add.reduce(v)) if len(v) else 0 for v in (mix(tokens), second)]
                 prefix = tokens[: longest_prefix(tokens, percent)] if len(tokens) else tokens
                 for column, value in zip(out, (len(tokens), *np.array(sums, np.uint64).view(np.int64).tolist(),
                                                prefix.view(np.int64), bitmap(tokens))):
                     column.append(value)
             types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types)]], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, t) for c, t in zip(out, types)]], names=names)
 
     names = [c.split()[0] for c in _SETS.split(", ")]
     return rows.mapInArrow(build, _SETS)
@@ -227,10 +232,31 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, nodes: int
     return np.concatenate([np.zeros(0, np.int64), *kept])
 
 
-def unit_pairs(frame: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
+class Forest:
+    """A running minimum spanning forest of weighted links between nodes; ``met`` counts the links seen per
+    unit (the node's), and links beyond ``PAIRS`` are folded in as they come."""
+
+    def __init__(self, nodes: int):
+        self.nodes, self.kept, self.new, self.waiting = nodes, np.zeros((5, 0), np.int64), [], 0
+
+    def add(self, links: np.ndarray) -> None:
+        """``links``: first node, second node, weight and the two ends, one row each."""
+        self.new.append(links)
+        self.waiting += links.shape[1]
+        if self.waiting > PAIRS:
+            self.fold()
+
+    def fold(self) -> np.ndarray:
+        links = np.concatenate([self.kept, *self.new], axis=1)
+        self.kept = links[:, spanning_forest(links[0], links[1], links[2], self.nodes)]
+        self.new, self.waiting = [], 0
+        return self.kept
+
+
+def unit_pairs(frame: pd.DataFrame, percent: int, every: bool) -> Iterator[pd.DataFrame]:
     """Pairs of different components that can link from whole units, rows sorted by unit: ``every``
     one, or those of a spanning forest of a unit's components; then also a row for each ``unit`` that
-    has more."""
+    has more. Never more than about ``PAIRS`` pairs are held."""
     new = np.any([frame[c].to_numpy()[1:] != frame[c].to_numpy()[:-1] for c in ("unit", "i", "j")], axis=0)
     first = np.flatnonzero(np.append(True, new))
     size = np.diff(np.append(first, len(frame)))
@@ -238,30 +264,39 @@ def unit_pairs(frame: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
     n, block, root = (frame[c].to_numpy() for c in ("n", "block", "root"))
     two = frame["i"].to_numpy() != frame["j"].to_numpy()
     bitmaps, ids = Bitmaps(frame["bits"].tolist()), frame["id"].to_numpy()
-    out = [np.zeros((3, 0), np.int64)]
+    unit = np.searchsorted(first, np.arange(len(frame)), side="right") - 1
+    node = np.unique(np.stack([unit, root]), axis=1, return_inverse=True)[1].ravel()  # a component in a unit
+    forest, met = Forest(len(frame)), np.zeros(len(first), np.int64)
+
+    def rows(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        found = pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}, dtype="Int64")
+        return found.drop_duplicates().assign(unit=pd.NA).astype("Int64")
+
     at, step = np.arange(len(frame)), 0
     while len(at):
         step += 1
         at = at[at + step < last[at]]
-        other = at + step
-        n_a, n_b = n[at], n[other]
-        can = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-        can &= (root[at] != root[other]) & (~two[at] | (block[at] != block[other]))
-        a, b = at[can], other[can]
-        least = -(-percent * (n[a] + n[b]) // (100 + percent))  # of tokens that linked sets share
-        good, differ = bitmaps.within(a, b, n[a] + n[b] - 2 * least)
-        out.append(np.stack([a[good], b[good], differ]))
-    pairs = np.concatenate(out, axis=1)
-    more = np.zeros(0, np.int64)
-    if not every:  # a node is a component in a unit
-        unit = np.searchsorted(first, np.arange(len(frame)), side="right")
-        node = np.unique(np.stack([unit, root]), axis=1, return_inverse=True)[1].ravel()
-        kept = spanning_forest(node[pairs[0]], node[pairs[1]], pairs[2], len(frame))
-        more = np.unique(frame["unit"].to_numpy()[np.delete(pairs[0], kept)])
-        pairs = pairs[:, kept]
-    a, b = ids[pairs[0]], ids[pairs[1]]
-    found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="Int64").drop_duplicates()
-    return pd.concat([found.assign(unit=pd.NA), pd.DataFrame({"a": pd.NA, "b": pd.NA, "unit": more})]).astype("Int64")
+        for cut in range(0, len(at), PAIRS):
+            some = at[cut : cut + PAIRS]
+            other = some + step
+            n_a, n_b = n[some], n[other]
+            can = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+            can &= (root[some] != root[other]) & (~two[some] | (block[some] != block[other]))
+            a, b = some[can], other[can]
+            least = -(-percent * (n[a] + n[b]) // (100 + percent))  # of tokens that linked sets share
+            good, differ = bitmaps.within(a, b, n[a] + n[b] - 2 * least)
+            a, b = a[good], b[good]
+            if not every:
+                met += np.bincount(unit[a], minlength=len(first))
+                forest.add(np.stack([node[a], node[b], differ, a, b]))
+            elif len(a):
+                yield rows(a, b)
+    if not every:
+        _, _, _, a, b = forest.fold()
+        left_out = met > np.bincount(unit[a], minlength=len(first))
+        yield rows(a, b)
+        more = frame["unit"].to_numpy()[first[left_out]]
+        yield pd.DataFrame({"a": pd.NA, "b": pd.NA, "unit": more}).astype("Int64")
 
 
 def possible_pairs(units: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -277,36 +312,39 @@ def possible_pairs(units: DataFrame, percent: int, every: bool) -> DataFrame:
             tail = ((frame["unit"] == end["unit"]) & (frame["i"] == end["i"]) & (frame["j"] == end["j"])).to_numpy()
             rest, frame = frame[tail], frame[~tail].reset_index(drop=True)
             if len(frame):
-                yield unit_pairs(frame, percent, every)
+                yield from unit_pairs(frame, percent, every)
         if rest is not None:
-            yield unit_pairs(rest.reset_index(drop=True), percent, every)
+            yield from unit_pairs(rest.reset_index(drop=True), percent, every)
 
     keys = ["unit", "i", "j"]
     return units.repartition(*keys).sortWithinPartitions(*keys, "id").mapInPandas(pairs, "a long, b long, unit long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose texts link."""
+    """The pairs of classes whose texts link, by their shingles as written; ``texts``: one per class."""
 
     def verify(batches):
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, set] = {}
+        held = 0
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
             for i in range(len(a)):
                 sets = []
-                for doc_id, column in ((a[i], 2), (b[i], 3)):
-                    if doc_id not in known:
-                        if len(known) >= 256:
+                for class_id, column in ((a[i], 2), (b[i], 3)):
+                    if class_id not in known:
+                        if held > 1 << 18:  # shingles
                             known.clear()
-                        known[doc_id] = shingles(batch.column(column)[i].as_py().encode(), n)
-                    sets.append(known[doc_id])
-                both = len(sets[0]) + len(sets[1]) - len(np.union1d(*sets))
+                            held = 0
+                        known[class_id] = written_shingles(batch.column(column)[i].as_py().encode(), n)
+                        held += len(known[class_id])
+                    sets.append(known[class_id])
+                both = len(sets[0] & sets[1])
                 keep.append(100 * both >= percent * (len(sets[0]) + len(sets[1]) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    left = texts.select(F.col("doc_id").alias("a_id"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("doc_id").alias("b_id"), F.col("text").alias("b_text"))
+    left = texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text"))
+    right = texts.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"))
     both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
     return both.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long")
 
@@ -315,13 +353,14 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
                    broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``."""
     scratch = Scratch(docs.sparkSession, "jaccard-join")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     key = ["n", "low", "high"]
     sets = scratch.table(token_sets(rows, n, percent), "sets")
-    members = scratch.table(sets.drop("prefix", "bits"), "members")
+    size = sets.count()
+    members = scratch.table(sets.select("doc_id", *key), "members", size)
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(
-        F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    classes = scratch.table(classes, "classes")
+        F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes = scratch.table(classes.withColumn("id", F.monotonically_increasing_id()), "classes", 8 * size)  # a name per written row
     scratch.drop("sets")
 
     tokens = classes.select("id", "n", F.posexplode("prefix").alias("place", "token"))
@@ -335,7 +374,7 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
     counts = entries.groupBy("entry").agg(
         F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(id))").alias("who"), F.expr("bit_xor(xxhash64(id, 7))").alias("also")
     ).where("m > 1").groupBy("m", "who", "also").agg(F.min("entry").alias("unit"))
-    counts = scratch.table(counts.select("unit", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "counts")
+    counts = scratch.table(counts.select("unit", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "counts", 4 * size)
     found = entries.join(counts, F.col("entry") == F.col("unit")).select("unit", "id", "n", "blocks", F.col("id").alias("root"))
     found = with_partners(found.where("blocks = 1"), percent).unionByName(found.where("blocks > 1")).drop("root")
     found = scratch.table(found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("unit"))), "found")
@@ -353,11 +392,14 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         """The verified pairs, and the units that have more pairs."""
         handed = scratch.table(found_pairs, f"{name}-pairs")
         pairs = handed.where("unit IS NULL").select("a", "b")
-        ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct(), f"{name}-ids")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct()
+        ids = scratch.table(ids.join(classes.select("id", "of"), F.col("own") == F.col("id")).select(
+            "id", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash")), f"{name}-ids", size)
         few = ids.count() <= broadcast_ids
-        texts = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("own"), "left_semi").dropDuplicates(["doc_id"])
+        same = (F.col("doc_id") == F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
+        texts = rows.join(F.broadcast(ids) if few else ids, same).select("id", "text").dropDuplicates(["id"])
         more = handed.where("unit IS NOT NULL").select(F.col("unit").alias("left"))
-        return scratch.table(verified(pairs, texts, n, percent), f"{name}-links"), more
+        return scratch.table(verified(pairs, texts, n, percent), f"{name}-links", size), more
 
     def still_open(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """Rows of the entries whose classes lie in two components or more; of entries of one block
@@ -367,7 +409,7 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         large = rooted.where("blocks > 1")
         some = large.groupBy(F.col("unit").alias("open")).agg(F.min("root").alias("least"), F.max("root").alias("most")).where(
             "least <> most").select("open")
-        large = large.join(scratch.table(some, f"{name}-open"), F.col("unit") == F.col("open"), "left_semi")
+        large = large.join(scratch.table(some, f"{name}-open", size), F.col("unit") == F.col("open"), "left_semi")
         return with_partners(rooted.where("blocks = 1"), percent).unionByName(large)
 
     few = found.where(F.col("place") <= 4).withColumn("root", F.col("id"))
@@ -381,10 +423,14 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         open_rows = found.join(left, F.col("unit") == F.col("left"), "left_semi")
     scratch.drop("found")
 
-    same = [classes[c] == members[c] for c in key]
-    classed = members.join(classes.select(*key, "id"), same, "left").select(members["doc_id"], members["n"], "id")
-    joined = classed.join(roots, F.col("id") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "id", "doc_id"))
+    rooted = classes.select(*key, "id", F.col("of.doc_id").alias("least")).join(roots, F.col("id") == F.col("node"), "left").select(
+        *key, "least", F.coalesce("root", "id").alias("root"))
+    rooted = scratch.table(rooted, "named", size)
+    names = rooted.groupBy(F.col("root").alias("component")).agg(F.min("least").alias("component_id"))
+    named = rooted.join(names, F.col("root") == F.col("component")).select(*[F.col(c).alias(f"own_{c}") for c in key], "component_id")
+    named = scratch.table(named, "components", size)
+    joined = members.join(named, [members[c] == named[f"own_{c}"] for c in key], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .licenses import NO_WORD
 from .scratch import Scratch
-from .words import WHITE, mix, text_bytes, word_bounds, word_hashes
+from .words import WHITE, mix, text_bytes, word_bounds, feature_hashes
 
 BUCKETS = 1 << 16
 TARGETS = ("low", "toxic")
@@ -41,9 +41,9 @@ def features(text: bytes) -> np.ndarray:
     shape = [1000 + words.bit_length(), 2000 + min(40, 10 * signs // (words + 1)),
              3000 + min(40, int(8 * np.log1p(len(data) / (words + 1))))]
     hashes = np.concatenate([
-        word_hashes(data, starts, ends),
-        mix(word_hashes(data, starts, np.minimum(starts + 4, ends)) ^ np.uint64(1)),
-        mix(word_hashes(data, sign_starts, sign_ends) ^ np.uint64(2)),
+        feature_hashes(data, starts, ends),
+        mix(feature_hashes(data, starts, np.minimum(starts + 4, ends)) ^ np.uint64(1)),
+        mix(feature_hashes(data, sign_starts, sign_ends) ^ np.uint64(2)),
         mix(np.array(shape, np.uint64)),
     ])
     return np.unique(hashes % np.uint64(BUCKETS)).astype(np.int64)

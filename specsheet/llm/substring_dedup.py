@@ -11,7 +11,8 @@ compared to the others of that anchor, on either side of the anchor; the outcome
 distinct segment, so copies cost one mask, not a comparison each, and no pairs are formed. A
 document's masks merge into maximal repeated spans.
 
-Keys are 128 bits (anchor and segment or window hash). Anchors that many rows share are combined
+Keys are 128 bits: the anchor's hash, and a segment's or window's from a second, independent hash of the
+words (the halves of a cryptographic digest of each), so no crafted words collide in both. Anchors that many rows share are combined
 before shuffles where they are counted, and join against one row per anchor or segment, whose other
 side the engine splits.
 
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import mix, run_hash, run_sums, text_bytes, word_bounds, word_hashes
+from .words import HashedText, Runs, hashed_texts, mix, text_bytes
 
 _PLACE_BITS = np.uint64(30)  # an anchor's place within its text; the rest orders by hash
 STEP = 64  # a run's first window and its number of windows share one integer
 
-_ANCHORS = "doc_id long, text_hash int, run long, anchor long, segment long"
+_ANCHORS = "doc_id long, text_hash long, run long, anchor long, segment long"
 _WINDOWS = "anchor long, segment long, bit int, window long, copies long"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
 
@@ -46,12 +47,11 @@ def gram_words(min_words: int) -> int:
 class Text:
     """Words of a text and hashes of their runs."""
 
-    def __init__(self, data: np.ndarray):
-        self.starts, self.ends = word_bounds(data)
-        self.sums = run_sums(word_hashes(data, self.starts, self.ends))
+    def __init__(self, text: HashedText):
+        self.n, self.one, self.two = len(text.one), Runs(text.one), Runs(text.two)
 
     def __len__(self) -> int:
-        return len(self.starts)
+        return self.n
 
     def runs(self, min_words: int) -> tuple[np.ndarray, ...]:
         """Per anchor occurrence: its first window, number of windows, anchor and segment hash."""
@@ -60,7 +60,7 @@ class Text:
         if windows <= 0:
             return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
         at = np.arange(n - k + 1)
-        grams = run_hash(self.sums, at, at + k)
+        grams = self.one.hashes(at, at + k)
         least = (mix(grams) >> _PLACE_BITS << _PLACE_BITS) | at.astype(np.uint64)
         width, span = min_words - k + 1, 1
         while 2 * span <= width:
@@ -72,12 +72,12 @@ class Text:
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         count = np.diff(np.append(first, windows))
         anchor_at = place[first]
-        segment = run_hash(self.sums, first, first + count - 1 + min_words)
+        segment = self.two.hashes(first, first + count - 1 + min_words)
         return first, count, grams[anchor_at], mix(segment + (anchor_at - first).astype(np.uint64))
 
     def window_hashes(self, first: int, count: int, min_words: int) -> np.ndarray:
         at = np.arange(first, first + count)
-        return run_hash(self.sums, at, at + min_words)
+        return self.two.hashes(at, at + min_words)
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -92,7 +92,7 @@ def _texts(column):
 def find_anchors(rows: DataFrame, min_words: int) -> DataFrame:
     def seed(batches):
         for batch in batches:
-            found = [Text(t).runs(min_words) for t in _texts(batch.column(2))]
+            found = [Text(t).runs(min_words) for t in hashed_texts(batch.column(2))]
             each = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             first, count, anchor, segment = (np.concatenate([f[i] for f in found]) for i in range(4)) if found else [np.zeros(0, np.int64)] * 4
             yield pa.RecordBatch.from_arrays(
@@ -109,8 +109,8 @@ def extend(texts: DataFrame, min_words: int) -> DataFrame:
     def windows(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for data, runs in zip(_texts(batch.column(0)), batch.column(1).to_pylist()):
-                text = Text(data)
+            for hashed, runs in zip(hashed_texts(batch.column(0)), batch.column(1).to_pylist()):
+                text = Text(hashed)
                 for r in runs:
                     first, count = divmod(r["run"], STEP)
                     out[0].append(np.full(count, r["anchor"], np.int64))
@@ -164,7 +164,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 35, broadcast_ids: int =
     """One row per document: ``doc_id``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by
     one space) and ``spans`` (maximal removed runs of words)."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     key = ["doc_id", "text_hash"]
 
     def with_text(per_doc: DataFrame, column: str, how: str, texts: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Byte-level pre-tokenization always starts a new piece at a single space between two visible
 characters, and where a Latin letter meets punctuation or a lone line break. A text's ids are
 therefore the ids of the parts between such places, one after the other. Each task keeps the ids of
-the parts it has met (keyed by a 64-bit hash of their bytes, emptied when full), so only new parts
+the parts it has met (keyed by their bytes, emptied when full), so only new parts
 go through the tokenizer; the rest is array work on blocks of texts.
 """
 
@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .words import mix, powers, text_bytes
+from .words import distinct_runs, text_bytes
 
 END_ID = 0
 _OTHER, _LETTER, _MARK, _VISIBLE, _SPACE, _LINE = range(6)
@@ -55,7 +55,7 @@ def part_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 class PartEncoder:
     """Ids of texts as arrays of little-endian unsigned integers of type ``dtype``."""
 
-    def __init__(self, path: str, max_parts: int = 1_000_000):
+    def __init__(self, path: str, max_parts: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,19 +66,19 @@ class PartEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}  # hash of a part -> its place in starts and lengths
+        self.known: dict[bytes, int] = {}  # a part -> its place in starts and lengths
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, self.dtype), 0
 
-    def _learn(self, keys: list[int], parts: list[str]) -> None:
-        for key, e in zip(keys, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+    def _learn(self, parts: list[bytes]) -> None:
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)):
             ids, at = e.ids, len(self.known)
             if at == len(self.starts):
                 self.starts, self.lengths = np.resize(self.starts, 2 * at), np.resize(self.lengths, 2 * at)
             if self.used + len(ids) > len(self.pool):
                 self.pool = np.resize(self.pool, 2 * len(self.pool) + len(ids))
             self.pool[self.used : self.used + len(ids)] = ids
-            self.starts[at], self.lengths[at], self.known[key] = self.used, len(ids), at
+            self.starts[at], self.lengths[at], self.known[part] = self.used, len(ids), at
             self.used += len(ids)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -89,19 +89,11 @@ class PartEncoder:
         if not len(data):
             return [np.zeros(0, self.dtype)] * (len(bounds) - 1)
         starts = part_starts(data, bounds[:-1])
-        ends = np.append(starts[1:], len(data))
-        power, inverse = powers(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-        keys = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-        unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        unique = unique.tolist()
-        new = [i for i, k in enumerate(unique) if k not in self.known]
+        parts, which = distinct_runs(data, np.append(starts, len(data)))
+        new = [p for p in parts if p not in self.known]
         if new:
-            at = first[new]
-            self._learn([unique[i] for i in new], [data[s:e].tobytes().decode() for s, e in zip(
-                starts[at].tolist(), ends[at].tolist())])
-        place = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))[which]
+            self._learn(new)
+        place = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))[which]
         lengths = self.lengths[place]
         total = np.zeros(len(place) + 1, np.int64)
         np.cumsum(lengths, out=total[1:])

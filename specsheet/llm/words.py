@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_WORD_BASE = np.uint64(0xD1342543DE82EF95)
-_WORD_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 SEGMENT = 1 << 20
 
 #: Bytes between words: ``[^\x20\x09-\x0D]+`` is a word.
@@ -27,21 +27,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int, words: bool) -> tuple[np.ndarray, np.ndarray]:
-    base, inverse = (_WORD_BASE, _WORD_INVERSE) if words else (_BASE, _INVERSE)
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for b in (base, inverse):
+    for b in (_BASE, _INVERSE):
         steps = np.full(size, b, dtype=np.uint64)
         steps[0] = 1
         out.append(np.cumprod(steps))
     return out[0], out[1]
 
 
-def powers(n: int, words: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^64 and of its inverse, ``n`` of each at least."""
     size = 1 << max(16, (max(n, 1) - 1).bit_length())
-    power, inverse = _powers(size, words)
+    power, inverse = _powers(size)
     return power[:n], inverse[:n]
 
 
@@ -65,8 +64,8 @@ def word_bounds(data: np.ndarray, separator: np.ndarray = WHITE) -> tuple[np.nda
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, in segments of bounded size."""
+def feature_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A quick 64-bit hash of each byte run, for feature buckets; different runs can be made to collide."""
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
@@ -81,15 +80,90 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def run_sums(hashes: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``run_hash`` takes the hash of any run of words."""
-    power, _ = powers(len(hashes), words=True)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * power, out=sums[1:])
-    return sums
+def distinct_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte runs among ``data[bounds[i]:bounds[i + 1]]``, compared as bytes, and which one each is."""
+    values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [
+        None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
-def run_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the word runs ``[starts, ends)``; equal runs have equal hashes."""
-    _, inverse = powers(len(sums), words=True)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+_DIGESTS: dict[bytes, bytes] = {}  # of the words a worker has met
+MAX_DIGESTS = 100_000
+
+
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """Two independent 64-bit hashes of each word: the halves of a cryptographic digest, so no text can be
+    written whose words collide."""
+    if len(_DIGESTS) > MAX_DIGESTS:
+        _DIGESTS.clear()
+    out = []
+    for w in words:
+        d = _DIGESTS.get(w)
+        if d is None:
+            d = _DIGESTS[w] = blake2b(w, digest_size=16).digest()
+        out.append(d)
+    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
+
+
+class HashedText:
+    """A text's bytes, the bounds of its words, and two 64-bit hashes of each word."""
+
+    __slots__ = ("data", "ends", "one", "starts", "two")
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, one: np.ndarray, two: np.ndarray):
+        self.data, self.starts, self.ends, self.one, self.two = data, starts, ends, one, two
+
+
+def hashed_texts(column: pa.Array, lower: bool = False, block: int = 1 << 20) -> Iterator[HashedText]:
+    """The rows of an Arrow string column (a null is empty), taken in blocks of about ``block`` bytes; ``lower``
+    turns A-Z to lower case."""
+    data, bounds = text_bytes(column)
+    row, n = 0, len(bounds) - 1
+    while row < n:
+        to = max(row + 1, int(np.searchsorted(bounds, bounds[row] + block, side="right")) - 1)
+        piece, cuts = data[bounds[row] : bounds[to]], bounds[row : to + 1] - bounds[row]
+        if lower:
+            piece = np.frombuffer(piece.tobytes().lower(), np.uint8)
+        inside = ~WHITE[piece]
+        first = np.append(True, ~inside[:-1])[: len(piece)]
+        first[cuts[:-1][cuts[:-1] < len(piece)]] = True  # a word ends where its text does
+        starts = np.flatnonzero(first & inside)
+        last = np.append(~inside[1:], True)[: len(piece)]
+        last[cuts[1:][cuts[1:] > 0] - 1] = True
+        ends = np.flatnonzero(last & inside) + 1
+        words, which = distinct_runs(piece[inside], np.append(0, np.cumsum(ends - starts)))
+        hashes = word_digests(words)[which]
+        at = np.searchsorted(starts, cuts).tolist()
+        for i in range(to - row):
+            a, b, begin = at[i], at[i + 1], cuts[i]
+            yield HashedText(piece[begin : cuts[i + 1]], starts[a:b] - begin, ends[a:b] - begin, hashes[a:b, 0], hashes[a:b, 1])
+        row = to
+
+
+class Runs:
+    """Hashes of runs of words. Level ``j`` has a hash of every ``2^j`` words in a row, joined from two of the
+    level before by a mixing that is not linear; a run is covered by two of one level."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.levels = [hashes]
+
+    @staticmethod
+    def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(mix(a) + b)
+
+    def level(self, j: int) -> np.ndarray:
+        while len(self.levels) <= j:
+            below, span = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(self._join(below[: max(0, len(below) - span)], below[span:]))
+        return self.levels[j]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each run ``[starts, ends)`` of one word or more."""
+        size = ends - starts
+        out = np.empty(len(starts), np.uint64)
+        level = np.frexp(size.astype(np.float64))[1] - 1  # of a positive integer: its highest bit
+        for j in np.unique(level).tolist():
+            at, below = np.flatnonzero(level == j), self.level(j)
+            out[at] = self._join(below[starts[at]], below[ends[at] - (1 << j)])
+        return mix(out + size.astype(np.uint64))
