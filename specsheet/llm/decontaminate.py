@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch, own_names
 from .url_filter import LOWER, UPPER
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,7 +89,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broad
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents in which no benchmark window occurs."""
+    own_id, own_hash = own_names("id", "hash")
     bad = find_contamination(docs, benchmark, n).where("contaminated").select(
-        F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    same = F.col("bad_id").eqNullSafe(docs["doc_id"]) & (F.col("bad_hash") == F.xxhash64(docs["text"]))
+        F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    bad = Scratch(docs.sparkSession, "contaminated").lookup(bad, "bad")
+    same = bad[own_id].eqNullSafe(docs["doc_id"]) & (bad[own_hash] == F.xxhash64(docs["text"]))
     return docs.join(bad, same, "left_anti")

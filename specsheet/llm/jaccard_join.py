@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, own_names
 from .words import HashedText, Runs, hashed_texts, mix
 
 _SETS = "doc_id long, text_hash long, n long, low long, high long, prefix array<long>, bits binary"
@@ -444,15 +444,17 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
         F.count(F.lit(1)).alias("times"), F.first("n_shingles").alias("n"), F.first("component_id").alias("component"))
     own = docs.groupBy(key.alias("key")).agg(F.min("doc_id").alias("own"))
     linked = scratch.table(linked.join(own, F.col("doc_id") == F.col("key")).drop("doc_id"), "linked")
+    size = linked.count()
     worded = linked.where("n > 0")
     stays = scratch.table(worded.groupBy("component").agg(
-        F.min(F.struct(F.col("own").isNull().alias("none"), "own", "key"))["key"].alias("stays")).select("stays"), "stays")
-    gone = worded.join(stays, F.col("key") == F.col("stays"), "left_anti").select(F.col("key").alias("gone"))
-    more = linked.where("times > 1 AND (n > 0 OR own IS NOT NULL)").select(F.col("key").alias("gone"))
+        F.min(F.struct(F.col("own").isNull().alias("none"), "own", "key"))["key"].alias("stays")).select("stays"), "stays", size)
+    name, = own_names("near_duplicate")
+    gone = worded.join(stays, F.col("key") == F.col("stays"), "left_anti").select(F.col("key").alias(name))
+    more = linked.where("times > 1 AND (n > 0 OR own IS NOT NULL)").select(F.col("key").alias(name))
     # All rows of the others, and one of each repeated document that stays.
-    kept = docs.join(gone.unionByName(more), key == F.col("gone"), "left_anti")
-    again = more.join(gone, "gone", "left_anti")
+    kept = docs.join(scratch.lookup(gone.unionByName(more).distinct(), "gone"), key == F.col(name), "left_anti")
+    again = scratch.lookup(more.join(gone, name, "left_anti"), "again")
     if again.limit(1).count():
-        rows = docs.withColumn("near_duplicate_key", key).join(again, F.col("near_duplicate_key") == F.col("gone"), "left_semi")
-        kept = kept.unionByName(rows.dropDuplicates(["near_duplicate_key"]).drop("near_duplicate_key"))
+        rows = docs.join(again, key == F.col(name))
+        kept = kept.unionByName(rows.dropDuplicates([name]).drop(name))
     return kept

@@ -1,6 +1,7 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-Every licence has rules for its SPDX tag, its web addresses, notices that grant it and its names.
+Hand-written rules know SPDX expressions (every id in them) and the wordings of licence texts themselves;
+every licence further has rules for its web addresses, notices that grant it and its names.
 A rule's regex runs only on texts that hold one of its keywords. Detections are taken in order of
 priority, then length, then place; one whose interval lies inside an accepted detection of another
 rule is suppressed. Base phrases are counted at every place where their words stand one after the
@@ -13,6 +14,7 @@ Cases: a null text is empty; a text without words or phrases has no places, empt
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -108,22 +110,84 @@ def _keyword(pattern: str) -> bytes:
 class Rule:
     """One signature: detections of lower ``priority`` numbers come first."""
 
-    def __init__(self, priority: int, weight: float, label: str, pattern: bytes, keyword: bytes):
+    def __init__(self, priority: int, weight: float, label: str | None, pattern: bytes, keyword: bytes):
         self.priority, self.weight, self.label, self.keyword = priority, weight, label, keyword
         self.regex = re.compile(pattern)
 
 
+# An SPDX expression runs to the first thing that is neither an id, AND, OR, WITH nor a bracket.
+_SPDX_ID = re.compile(rb"[a-z0-9][a-z0-9.+-]*")
+_SPDX = rb"spdx-license-identifier:([ \t(]*[a-z0-9][a-z0-9.+-]*(?:[ \t)]+(?:and|or|with)[ \t(]+[a-z0-9][a-z0-9.+-]*)*)"
+
+# Licence texts themselves: label, a wording that only this licence has (words; "~" stands for what separates
+# them, "@" for up to forty words in between), and a rare literal of it that the text must hold.
+_BODIES = [
+    ("mit", "permission~is~hereby~granted~free~of~charge~to~any~person~obtaining~a~copy~of~this~software", "obtaining"),
+    ("mit", "the~above~copyright~notice~and~this~permission~notice~shall~be~included~in~all~copies", "notice"),
+    ("mit-0", "to~permit~persons~to~whom~the~software~is~furnished~to~do~so~the~software~is~provided~as~is", "furnished"),
+    ("x11", "except~as~contained~in~this~notice~the~names?~of@shall~not~be~used~in~advertising", "advertising"),
+    ("bsl-1.0", "obtaining~a~copy~of~the~software~and~accompanying~documentation~covered~by~this~license", "accompanying"),
+    ("isc", "permission~to~use~copy~modify~and~or~distribute~this~software~for~any~purpose~with~or~without~fee~is~hereby~granted", "distribute"),
+    ("postgresql", "software~and~its~documentation~for~any~purpose~without~fee~and~without~a~written~agreement", "agreement"),
+    ("bsd", "redistribution~and~use~in~source~and~binary~forms~with~or~without~modification~are~permitted", "redistribution"),
+    ("bsd-3-clause", "neither~the~name~of@may~be~used~to~endorse~or~promote~products~derived~from~this~software", "endorse"),
+    ("bsd-4-clause", "all~advertising~materials~mentioning~features~or~use~of~this~software~must~display", "advertising"),
+    ("apache-2.0", "licensed~under~the~apache~license~version~2~0~the~license~you~may~not~use~this~file~except~in~compliance", "compliance"),
+    ("apache-2.0", "unless~required~by~applicable~law~or~agreed~to~in~writing~software~distributed~under~the~license~is~distributed~on~an~as~is~basis", "applicable"),
+    ("gpl-2.0", "under~the~terms~of~the~gnu~general~public~license@either~version~2", "gnu"),
+    ("gpl-3.0", "under~the~terms~of~the~gnu~general~public~license@either~version~3", "gnu"),
+    ("lgpl-2.1", "under~the~terms~of~the~gnu~lesser~general~public~license@version~2~1", "lesser"),
+    ("lgpl-3.0", "under~the~terms~of~the~gnu~lesser~general~public~license@version~3", "lesser"),
+    ("agpl-3.0", "under~the~terms~of~the~gnu~affero~general~public~license", "affero"),
+    ("gfdl", "permission~is~granted~to~copy~distribute~and~or~modify~this~document~under~the~terms~of~the~gnu~free~documentation~license", "document"),
+    ("mpl-2.0", "this~source~code~form~is~subject~to~the~terms~of~the~mozilla~public~license~v~2~0", "mozilla"),
+    ("mpl-1.1", "the~contents~of~this~file~are~subject~to~the~mozilla~public~license~version~1~1", "mozilla"),
+    ("epl-2.0", "made~available~under~the~terms~of~the~eclipse~public~license~(?:v~)?2~0", "eclipse"),
+    ("epl-1.0", "made~available~under~the~terms~of~the~eclipse~public~license~v1", "eclipse"),
+    ("cddl-1.0", "subject~to~the~terms~of~the~common~development~and~distribution~license", "development"),
+    ("zlib", "altered~source~versions~must~be~plainly~marked~as~such~and~must~not~be~misrepresented", "misrepresented"),
+    ("unlicense", "this~is~free~and~unencumbered~software~released~into~the~public~domain", "unencumbered"),
+    ("wtfpl", "everyone~is~permitted~to~copy~and~distribute~verbatim~or~modified~copies~of~this~license~document~and~changing~it~is~allowed", "verbatim"),
+    ("cc0-1.0", "has~waived~all~copyright~and~related~or~neighbou?ring~rights", "waived"),
+    ("cc-by", "work~is~licensed~under~a~creative~commons~attribution~\\d", "creative"),
+    ("cc-by-sa", "work~is~licensed~under~a~creative~commons~attribution~sharealike", "creative"),
+    ("ofl-1.1", "this~font~software~is~licensed~under~the~sil~open~font~license", "font"),
+    ("ms-pl", "if~you~bring~a~patent~claim~against~any~contributor~over~patents~that~you~claim~are~infringed~by~the~software", "infringed"),
+    ("artistic-2.0", "this~license~establishes~the~terms~under~which~a~given~free~software~package~may~be~copied", "establishes"),
+    ("psf-2.0", "psf~hereby~grants~licensee~a~nonexclusive~royalty~free~world~wide~license", "psf"),
+    ("openssl", "this~product~includes~software~developed~by~the~openssl~project", "openssl"),
+    ("ncsa", "deal~with~the~software~without~restriction~including~without~limitation~the~rights", "restriction"),
+    ("eupl-1.2", "licensed~under~the~eupl", "eupl"),
+    ("public-domain", "the~author@disclaims~copyright~to~this~source~code", "disclaims"),
+    ("proprietary", "all~rights~reserved~unauthori[sz]ed~(?:copying|use|reproduction)", "unauthori"),
+    ("proprietary", "confidential~and~proprietary~(?:information~)?of", "proprietary"),
+    ("cc-by-nc", "may~not~use~the~material~for~commercial~purposes", "commercial"),
+    ("cc-by-nd", "if~you~remix~transform~or~build~upon~the~material~you~may~not~distribute~the~modified~material", "remix"),
+]
+
+
+@lru_cache(maxsize=4096)
+def spdx_label(name: bytes) -> str | None:
+    """The label of an SPDX id; ``None`` for operators, exceptions and unknown ids."""
+    for label, spdx, _, _ in _LICENCES:
+        if re.fullmatch(spdx.encode(), name):
+            return label
+    return None
+
+
 @lru_cache(maxsize=1)
 def signature_rules() -> tuple[Rule, ...]:
-    """SPDX tags, addresses, granting notices and names, in that order of priority."""
-    rules = []
-    for label, spdx, names, addresses in _LICENCES:
-        rules.append(Rule(0, 1.0, label, rb"spdx-license-identifier:[ \t]*\(?" + spdx.encode() + rb"(?![0-9a-z.+-])", b"spdx-license"))
-        rules += [Rule(1, 0.9, label, rb"(?:https?://)?(?:www\.)?" + re.escape(a.encode()), a.encode()) for a in addresses]
+    """SPDX expressions, licence texts, addresses, granting notices and names, in that order of priority."""
+    rules = [Rule(0, 1.0, None, _SPDX, b"spdx-license")]
+    far = rb"(?:" + _GAP + rb"[0-9a-z\x80-\xff]+){0,40}?" + _GAP
+    for label, wording, keyword in _BODIES:
+        rules.append(Rule(1, 1.0, label, far.join(_words(part) for part in wording.split("@")), keyword.encode()))
+    notice = rb"(?:licen[cs]ed|released|distributed|available)" + _GAP + rb"under" + _GAP + rb"(?:the" + _GAP + rb"|a" + _GAP + rb"|terms" + _GAP + rb"of" + _GAP + rb")*"
+    for label, _, names, addresses in _LICENCES:
+        rules += [Rule(2, 0.9, label, rb"(?:https?://)?(?:www\.)?" + re.escape(a.encode()), a.encode()) for a in addresses]
         for name in names:
-            notice = rb"(?:licen[cs]ed|released|distributed|available)" + _GAP + rb"under" + _GAP + rb"(?:the" + _GAP + rb"|a" + _GAP + rb"|terms" + _GAP + rb"of" + _GAP + rb")*"
-            rules.append(Rule(2, 0.9, label, rb"(?<!" + _EDGE + rb")" + notice + _words(name), b"under"))
-            rules.append(Rule(3, 0.5, label, _words(name), _keyword(name)))
+            rules.append(Rule(3, 0.9, label, rb"(?<!" + _EDGE + rb")" + notice + _words(name), _keyword(name)))  # its name, then "under"
+            rules.append(Rule(4, 0.5, label, _words(name), _keyword(name)))
     return tuple(rules)
 
 
@@ -141,13 +205,25 @@ def detect(text: bytes) -> list[tuple[int, int, str, float]]:
         if here is None:
             here = keywords[rule.keyword] = rule.keyword in text
         if here:
-            found += [((rule.priority, m.start() - m.end(), m.start(), order), m.start(), m.end(), rule) for m in rule.regex.finditer(text)]
+            for m in rule.regex.finditer(text):
+                if rule.label is not None:
+                    found.append(((rule.priority, m.start() - m.end(), m.start(), order), m.start(), m.end(), rule.label, rule.weight))
+                else:  # an SPDX expression: every licence it names
+                    for i, name in enumerate(_SPDX_ID.finditer(m[1])):
+                        label = spdx_label(name[0])
+                        if label:
+                            at = m.start(1) + name.start()
+                            found.append(((rule.priority, -1 - i, at, order), at, at + len(name[0]), label, rule.weight))
     kept: list[tuple[int, int, str, float]] = []
-    furthest: list[tuple[int, int]] = []  # accepted intervals
-    for _, start, end, rule in sorted(found, key=lambda f: f[0]):
-        if not any(s <= start and end <= e for s, e in furthest):
-            kept.append((start, end, rule.label, rule.weight))
-            furthest.append((start, end))
+    starts, ends = [], []  # accepted intervals that lie in no other: both ascend
+    for _, start, end, label, weight in sorted(found):
+        at = bisect_right(starts, start)
+        if at and end <= ends[at - 1]:
+            continue
+        kept.append((start, end, label, weight))
+        low = at - (1 if at and starts[at - 1] == start else 0)
+        high = bisect_right(ends, end, lo=low)  # those that the new one holds
+        starts[low:high], ends[low:high] = [start], [end]
     return sorted(kept)
 
 

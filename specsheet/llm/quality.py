@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .licenses import NO_WORD
-from .scratch import Scratch
+from .scratch import Scratch, own_names
 from .words import WHITE, mix, text_bytes, word_bounds, feature_hashes
 
 BUCKETS = 1 << 16
@@ -64,9 +64,12 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_train
 
     def featurize(batches):
         for batch in batches:
-            buckets = [[str(b) for b in features(t).tolist()] for t in _texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets, pa.list_(pa.string())), batch.column(1), batch.column(2)], names=["buckets", *TARGETS])
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                found = [features(t) for t in _texts(some.column(0))]
+                ends = np.append(0, np.cumsum([len(f) for f in found]))
+                buckets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([buckets, some.column(1), some.column(2)], names=["buckets", *TARGETS])
 
     train = scratch.table(rows.select("text", *[F.col(t).cast("double").alias(t) for t in TARGETS]).mapInArrow(
         featurize, "buckets array<string>, low double, toxic double"), "train")
@@ -89,6 +92,11 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def site(columns: tuple[str, ...]) -> Column:
+    """The columns' values as one string; a null and an empty value differ."""
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(str(i)) for i, c in enumerate(columns)]))
+
+
 def shrunk_sites(sites: DataFrame, keys: list[str], parent: DataFrame | None, up: list[str]) -> DataFrame:
     """Posterior mean per site and target: its own sum and ``kappa`` documents at the parent's mean.
     ``kappa`` is the within-site variance over the between-site variance, by moments."""
@@ -120,13 +128,15 @@ def classify(docs: DataFrame, labels: DataFrame, host_cols: tuple[str, ...] = ("
 
     def score(batches):
         for batch in batches:
-            buckets = [features(t) for t in _texts(batch.column(4))]
-            columns = [pa.array([float(w[b].sum() + at) for b in buckets], pa.float64()) for w, at in fitted.value]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], names=names)
+            scores = np.empty((len(fitted.value), batch.num_rows))
+            for i, text in enumerate(_texts(batch.column(4))):  # a text's buckets at a time
+                buckets = features(text)
+                scores[:, i] = [w[buckets].sum() + at for w, at in fitted.value]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, scores)], names=names)
 
     names = ["doc_id", "text_hash", "host", "path", *TARGETS]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
-                       F.concat_ws("/", *host_cols).alias("host"), F.concat_ws("/", *path_cols).alias("path"), "text")
+                       site(host_cols).alias("host"), site(path_cols).alias("path"), "text")
     scored = scratch.table(rows.mapInArrow(score, "doc_id long, text_hash long, host string, path string, low double, toxic double"), "scored")
     p = {t: 1 / (1 + F.exp(-F.col(t))) for t in TARGETS}
     sites = scratch.table(scored.groupBy("host", "path").agg(
@@ -146,7 +156,9 @@ def classify(docs: DataFrame, labels: DataFrame, host_cols: tuple[str, ...] = ("
 
 def keep_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier keeps."""
+    own_id, own_hash = own_names("id", "hash")
     bad = classify(docs, labels, **options).where(~F.col("keep")).select(
-        F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    same = F.col("bad_id").eqNullSafe(docs["doc_id"]) & (F.col("bad_hash") == F.xxhash64(docs["text"]))
+        F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    bad = Scratch(docs.sparkSession, "quality-rejected").lookup(bad, "bad")
+    same = bad[own_id].eqNullSafe(docs["doc_id"]) & (bad[own_hash] == F.xxhash64(docs["text"]))
     return docs.join(bad, same, "left_anti")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -16,6 +17,12 @@ ROWS_PER_FILE = 250_000
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def own_names(*names: str) -> list[str]:
+    """Column names that no other frame has."""
+    tag = uuid.uuid4().hex
+    return [f"{n}_{tag}" for n in names]
+
+
 class Scratch:
     """A fresh folder of written tables below the session's shared folder."""
 
@@ -39,6 +46,13 @@ class Scratch:
             conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def lookup(self, df: DataFrame, name: str, most: int = 1_000_000) -> DataFrame:
+        """A written table of short fixed-width keys that another frame is joined with: broadcast up to
+        ``most`` rows (16 MB), so that the other side, with its texts, is not shuffled; else the planner's
+        choice."""
+        table = self.table(df, name)
+        return F.broadcast(table) if table.count() <= most else table
+
     def drop(self, *names: str) -> None:
         """Delete written tables that no later plan reads."""
         jvm = self.spark._jvm

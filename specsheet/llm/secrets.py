@@ -13,10 +13,12 @@ scanned each; an empty table gives no rows; other columns are ignored (``mask_se
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, own_names
 
 #: Kind, pattern, group that holds the value, its least length.
 BASE = [
@@ -43,8 +45,13 @@ MORE = [
     ("vendor", r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza)[A-Za-z0-9_-]{16,}", 0, 20),
     ("login", r"://[^\s/:@]++:([^\s/:@]{6,}+)@", 1, 6),
 ]
-_PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|test|^(.)\1*$|0123456789|123456"
-_LONG_PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|x{8}|^(.)\1*$|0123456789"  # rare in random key text
+# A placeholder's word begins the value or follows a sign, and no letter but a plain noun follows it, so a random
+# value that merely holds its letters is not one; a run of digits or one repeated sign must be most of the value.
+_STUB = (r"(?<![a-z0-9])(?:example|sample|dummy|changeme|placeholder|test(?:ing)?|fake|todo|redacted|foobar|your|my|insert|replace)"
+         r"(?:key|token|secret|password|value|user)?(?![a-z])")
+_PLACEHOLDER = rf"(?i){_STUB}|example$|change_?me|place_?holder|x{{4}}|^(.)\1*$|^\D{{0,4}}(?:0?123456(?:7(?:89?)?)?0?)\D{{0,4}}$|^(?:pass|secret|admin|qwerty)(?:word)?\d{{0,4}}$"
+_LONG_PLACEHOLDER = rf"(?i){_STUB}.{{0,40}}{_STUB}|x{{8}}|^(.)\1*$|0123456789"  # rare in random key text
+LEAST_ENTROPY = 0.9  # bits a sign, of the first signs: below it nearly all of them are one sign
 SPAN = "array<struct<start:int,kind:int,end:int,value:bigint,plain:boolean>>"
 
 
@@ -57,48 +64,117 @@ def value_of(match: Column, pattern: str, group: int, least: int) -> Column:
     return F.when(F.length(body) >= least, body).otherwise(F.regexp_extract(match, _HEADER, 0))
 
 
+def entropy(value: Column) -> Column:
+    """Bits a sign among the first 64 signs."""
+    signs = F.split(F.substring(value, 1, 64), "")
+
+    def bits(x):
+        counts = F.transform(F.array_distinct(x), lambda c: F.size(F.filter(x, lambda y: y == c)))
+        n = F.size(x)
+        return F.aggregate(counts, F.lit(0.0), lambda a, k: a - (k / n) * F.log2(k / n))
+
+    return let(F.filter(signs, lambda c: c != ""), bits)
+
+
 def is_plain(value: Column, pattern: str) -> Column:
     """Whether a value looks like a placeholder."""
-    plain = value.rlike(_PLACEHOLDER)
+    plain = value.rlike(_PLACEHOLDER) | (entropy(value) < LEAST_ENTROPY)
     return F.when(F.length(value) >= 64, value.rlike(_LONG_PLACEHOLDER)).otherwise(plain) if pattern == _KEY else plain
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What all elements before each come to under ``step`` (from 0), for an array of integers. Groups of about
+    the square root of its length are summed up first, so long arrays take few steps an element."""
+
+    def total(x):
+        return F.aggregate(x, F.lit(0), step)
+
+    def by_group(v):
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        last = F.greatest(F.ceil(F.size(v) / width).cast("int") - 1, F.lit(0))
+        groups = F.transform(F.sequence(F.lit(0), last), lambda g: total(F.slice(v, g * width + 1, width)))
+
+        def inside(found):
+            return F.flatten(F.transform(found, lambda whole, g: let(F.slice(v, g * width + 1, width), lambda own: let(
+                total(F.slice(found, F.lit(1), g)), lambda before: F.transform(own, lambda x, i: F.aggregate(F.slice(own, F.lit(1), i), before, step))))))
+
+        return let(groups, inside)
+
+    return F.when(F.size(values) > 0, let(values, by_group)).otherwise(F.array().cast("array<int>"))
+
+
+def cut(text: Column, parts: Column) -> Column:
+    """The texts of ``parts`` (structs of ``from`` and ``to``, in order and apart). Finding a place takes a walk
+    from the beginning, so parts are cut out of the text by groups and then apart."""
+
+    def by_group(p):
+        width = F.greatest(F.ceil(F.sqrt(F.size(p))).cast("int"), F.lit(1))
+        last = F.greatest(F.ceil(F.size(p) / width).cast("int") - 1, F.lit(0))
+
+        def group(g):
+            return let(F.slice(p, g * width + 1, width), lambda own: let(F.element_at(own, 1)["from"], lambda begin: let(
+                F.substring(text, begin + 1, F.element_at(own, -1)["to"] - begin),
+                lambda piece: F.transform(own, lambda x: F.substring(piece, x["from"] - begin + 1, x["to"] - x["from"])))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), group))
+
+    return let(parts, by_group)
+
+
 def spans_of(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches with their places: the text between matches (``split``) and
     the matches themselves alternate, so places are running sums of their lengths."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
     pairs = F.filter(pairs, lambda p: p["match"].isNotNull())
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(a, p):
-        start = a["at"] + F.length(p["gap"])
-        end = start + F.length(p["match"])
-        value = value_of(p["match"], pattern, group, least)
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(value).alias("value"),
-                        is_plain(value, pattern).alias("plain"))
-        kept = F.when(F.length(value) >= least, F.concat(a["spans"], F.array(span))).otherwise(a["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+    def spans(pairs):
+        before = running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["match"])), lambda a, b: a + b)
 
-    found = F.aggregate(pairs, empty, step, lambda a: a["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+        def one(p, begin):
+            start = begin + F.length(p["gap"])
+            return let(value_of(p["match"], pattern, group, least), lambda value: F.when(F.length(value) >= least, F.struct(
+                start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(p["match"])).alias("end"),
+                F.xxhash64(value).alias("value"), is_plain(value, pattern).alias("plain"))))
+
+        return let(before, lambda b: F.transform(pairs, lambda p, i: one(p, F.get(b, i))))
+
+    found = F.filter(let(pairs, spans), lambda s: s.isNotNull())
+    return F.when(text.rlike(pattern), found.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def candidate_spans(text: Column) -> Column:
-    """All candidates of a text, by start and kind; further kinds inside a base span are left out."""
+    """All candidates of a text, by start and kind; further kinds inside a base span are left out: of spans in
+    order of place, longer ones first, one lies inside a base span if a base span before it ends there or later."""
     base = F.concat(*[spans_of(text, k, *rest[1:]) for k, rest in enumerate(BASE)])
     hint = "|".join(p.replace("(?i)", "") for _, p, _, _ in MORE)
-    more = F.when(text.rlike(f"(?i){hint}"), F.concat(*[spans_of(text, len(BASE) + k, *rest[1:]) for k, rest in enumerate(MORE)])
-                  ).otherwise(F.array().cast(SPAN))
-    return F.struct(base.alias("base"), more.alias("more"))
+    more = F.concat(*[spans_of(text, len(BASE) + k, *rest[1:]) for k, rest in enumerate(MORE)])
+
+    def outside(base, more):
+        by_place = F.array_sort(F.transform(F.concat(base, more), lambda s: F.struct(
+            s["start"].alias("at"), (-s["end"]).alias("shorter"), s["kind"].alias("kind"), s.alias("span"))))
+
+        def apart(found):
+            ends = F.transform(found, lambda f: F.when(f["kind"] < len(BASE), f["span"]["end"]).otherwise(F.lit(0)))
+            return let(running(ends, lambda a, b: F.greatest(a, b)), lambda to: F.filter(found, lambda f, i: (f["kind"] < len(BASE)) | (
+                F.get(to, i) < f["span"]["end"])))
+
+        return F.transform(let(by_place, apart), lambda f: f["span"])
+
+    return let(base, lambda b: F.array_sort(F.when(text.rlike(f"(?i){hint}"), let(more, lambda m: F.when(
+        (F.size(b) > 0) & (F.size(m) > 0), outside(b, m)).otherwise(F.concat(b, m)))).otherwise(b)))
 
 
 def candidates(docs: DataFrame, owner_col: str, repo_cols: tuple[str, ...]) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"),
-        F.xxhash64(owner_col).alias("owner"), F.xxhash64(*repo_cols).alias("repo"), candidate_spans(text).alias("c"))
-    outside = F.filter("c.more", lambda m: ~F.exists("c.base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    return rows.select("row", "doc_id", "text_hash", "owner", "repo", F.array_sort(F.concat("c.base", outside)).alias("spans"))
+        F.xxhash64(owner_col).alias("owner"), F.xxhash64(*repo_cols).alias("repo"), candidate_spans(text).alias("spans"))
+    return rows
 
 
 def find_secrets(docs: DataFrame, owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"),
@@ -145,23 +221,24 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """All documents; live spans become ``mask`` (``n_chars`` follows). Widely copied values stay."""
-    spans = find_secrets(docs).select(
-        F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"),
-        F.filter("spans", lambda s: s["live"]).alias("secret_spans")).where(F.size("secret_spans") > 0)
-    spans = spans.dropDuplicates(["own_id", "own_hash"])
-    same = F.col("own_id").eqNullSafe(docs["doc_id"]) & (F.col("own_hash") == F.xxhash64(docs["text"]))
+    own_id, own_hash, own_spans = own_names("id", "hash", "spans")
+    spans = find_secrets(docs).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash),
+                                      F.filter("spans", lambda s: s["live"]).alias(own_spans)).where(F.size(own_spans) > 0)
+    spans = Scratch(docs.sparkSession, "secret-spans").table(spans.dropDuplicates([own_id, own_hash]), "spans")
+    same = spans[own_id].eqNullSafe(docs["doc_id"]) & (spans[own_hash] == F.xxhash64(docs["text"]))
     text = docs["text"]
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(a, s):
-        before = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        piece = F.when(s["start"] >= a["at"], F.concat(a["out"], before, F.lit(mask))).otherwise(a["out"])
-        return F.struct(piece.alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    def kept(found):
+        """The text between the spans; overlapping ones are one."""
+        to = running(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        gaps = let(to, lambda t: F.transform(found, lambda s, i: F.struct(F.get(t, i).alias("from"), s["start"].alias("to"))))
+        last = F.struct(F.array_max(F.transform(found, lambda s: s["end"])).alias("from"), F.length(text).alias("to"))
+        return cut(text, F.concat(F.filter(gaps, lambda g: g["to"] >= g["from"]), F.array(last)))
 
-    masked = F.aggregate("secret_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    masked = F.array_join(kept(spans[own_spans]), mask)
     joined = docs.join(spans, same, "left")
-    new_text = F.when(F.col("secret_spans").isNull(), text).otherwise(masked)
+    new_text = F.when(spans[own_spans].isNull(), text).otherwise(masked)
     columns = [new_text.alias(c) if c == "text" else
-               F.when(F.col("secret_spans").isNull(), docs[c]).otherwise(F.length(masked)).cast(docs.schema[c].dataType).alias(c)
+               F.when(spans[own_spans].isNull(), docs[c]).otherwise(F.length(masked)).cast(docs.schema[c].dataType).alias(c)
                if c == "n_chars" else docs[c] for c in docs.columns]
     return joined.select(*columns)

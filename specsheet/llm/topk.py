@@ -5,12 +5,12 @@ order). Every vector's distances to all pivots are stored beside it. For a query
 largest ``|d(q, p) - d(x, p)|`` is a lower bound of their distance, which bounds the inner product from
 above by ``(|q|^2 + |x|^2 - bound^2) / 2``. Vectors are ordered by their nearest pivot and packed into
 blocks; a block keeps the least and greatest distance to each pivot, so a whole block is passed over for
-a query that none of its vectors can serve. Other candidates are evaluated in the order of their bounds
-until the bound falls below the k-th best score found, so the answer is exact.
+a query that none of its vectors can serve. Other candidates are evaluated in the order of their bounds,
+in steps of growing size, until the bound falls below the k-th best score found, so the answer is exact.
 
 Queries go in chunks of bounded size, broadcast to the tasks that hold the blocks: no vector is
 shuffled for a query. A first pass compares each query with the blocks of its own pivot alone; the k-th
-scores found are broadcast with the chunk as the second pass's starting thresholds. A task returns k rows
+scores found are broadcast with the chunk as starting thresholds of the second pass, over the other blocks. A task returns k rows
 per query at most.
 
 Cases: a vector that is null, empty or holds a null or non-finite component takes no part, nor does a null
@@ -80,62 +80,70 @@ def with_cells(rows: DataFrame, pivots: dict[int, np.ndarray], scale: float) ->
 
 
 class Block:
-    """Vectors of one length with their distances to the pivots."""
+    """Vectors of one length with their distances to the pivots (one row per pivot); in single precision where
+    their products are exact in it."""
 
-    def __init__(self, row, starts: np.ndarray | None = None):
+    def __init__(self, row):
         self.dim = row["dim"]
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.x = np.frombuffer(row["vectors"], "<f8").reshape(len(self.ids), -1)
-        self.to_pivot = np.frombuffer(row["distances"], "<f8").reshape(len(self.ids), -1)
+        self.short = self.x.astype(np.float32) if np.abs(self.x).max(initial=0) ** 2 * self.dim < 1 << 24 else self.x
+        self.to_pivot = np.frombuffer(row["distances"], "<f4").reshape(-1, len(self.ids))
+        self.cell = self.to_pivot.argmin(axis=0)
         self.square = (self.x**2).sum(axis=1)
-        self.starts = starts
 
 
 def block_bounds(q: Block, row, most: float) -> np.ndarray:
     """For each query the most that any vector of a block can score; ``most``: its largest squared length."""
-    least, greatest = (np.frombuffer(row[c], "<f8") for c in ("nearest", "farthest"))
-    gap = np.maximum(q.to_pivot - greatest, least - q.to_pivot).max(axis=1)
+    least, greatest = (np.frombuffer(row[c], "<f4")[:, None] for c in ("nearest", "farthest"))
+    gap = np.maximum(q.to_pivot - greatest, least - q.to_pivot).max(axis=0)
     return _score_bound(q.square, most, np.maximum(gap, 0))
 
 
 def _score_bound(q_square, x_square, gap):
     lengths = q_square + x_square
-    return (lengths - gap**2) / 2 + 1e-9 * lengths + 0.5  # slack above any rounding
+    return (lengths - gap**2) / 2 + 1e-5 * lengths + 0.5  # slack above any rounding of single-precision distances
 
 
 def search_block(q: Block, rows: Block, which: np.ndarray, best: tuple[np.ndarray, ...], floor: np.ndarray, k: int) -> tuple[tuple, np.ndarray, int]:
     """``best`` (query number, score, id) and thresholds after the queries ``which`` have met a block, and
     the number of candidates evaluated."""
     keys, scores, ids, evaluated = [best[0]], [best[1]], [best[2]], 0
-    kind = exact_type(q.x, rows.x)
-    for i in which.tolist():
-        gap = np.abs(rows.to_pivot - q.to_pivot[i]).max(axis=1)
-        bound = _score_bound(q.square[i], rows.square, gap)
-        order = np.flatnonzero((bound >= floor[i]) & (rows.ids != q.ids[i]))
-        order = order[np.argsort(-bound[order], kind="stable")]
-        at, step = 0, max(FIRST, k)
-        mine = best[0] == i
-        own_score, own_id = best[1][mine], best[2][mine]
-        while at < len(order) and bound[order[at]] >= floor[i]:
-            some = order[at : at + step]
-            if kind is object:
-                new = pair_scores(q.x[i : i + 1], rows.x, np.zeros(len(some), np.int64), some)
+    exact = exact_type(q.x, rows.x) is np.float64
+    short = q.short.dtype == rows.short.dtype == np.float32 and np.abs(q.x).max() * np.abs(rows.x).max() * q.dim < 1 << 24
+    x, asked = (rows.short, q.short) if short else (rows.x, q.x)
+    begin = np.searchsorted(best[0], which)
+    end = np.searchsorted(best[0], which, side="right")
+    for i, b, e in zip(which.tolist(), begin.tolist(), end.tolist()):
+        bound = _score_bound(q.square[i], rows.square, np.abs(rows.to_pivot - q.to_pivot[:, i, None]).max(axis=0))
+        bound[rows.ids == q.ids[i]] = -np.inf
+        left = np.flatnonzero(bound >= floor[i])
+        own_score, own_id = best[1][b:e], best[2][b:e]
+        take = max(FIRST, k)
+        while len(left):
+            if len(left) > take:  # those of the highest bounds
+                order = np.argpartition(-bound[left], take)
+                some, left = left[order[:take]], left[order[take:]]
             else:
-                new = (rows.x[some] @ q.x[i]).astype(np.int64)
+                some, left = left, left[:0]
+            new = (x[some] @ asked[i]).astype(np.int64) if exact else pair_scores(q.x[i : i + 1], rows.x, np.zeros(len(some), np.int64), some)
             evaluated += len(some)
-            keep = new >= floor[i]
-            _, own_score, own_id = keep_best(np.zeros(int(keep.sum()) + len(own_id), np.int64), np.append(own_score, new[keep]), np.append(own_id, rows.ids[some][keep]), k)
-            if len(own_score) == k:
-                floor[i] = max(floor[i], own_score[-1])
-            at, step = at + step, 2 * step
+            good = new >= floor[i]
+            if good.any():
+                own_score, own_id = np.append(own_score, new[good]), np.append(own_id, rows.ids[some[good]])
+                _, own_score, own_id = keep_best(np.zeros(len(own_id), np.int64), own_score, own_id, k)
+                if len(own_score) == k:
+                    floor[i] = max(floor[i], own_score[-1])
+            left, take = left[bound[left] >= floor[i]], 8 * take
         keys.append(np.full(len(own_id), i))
         scores.append(own_score)
         ids.append(own_id)
     return keep_best(np.concatenate(keys), np.concatenate(scores), np.concatenate(ids), k), floor, evaluated
 
 
-def search_chunk(blocks: DataFrame, queries: list, starts: np.ndarray, k: int, own_cell_only: bool) -> DataFrame:
-    """``query`` (its number in the chunk), ``vec_id`` and ``score`` of the best rows that each task has."""
+def search_chunk(blocks: DataFrame, queries: list, starts: np.ndarray, k: int, own_cell: bool) -> DataFrame:
+    """``query`` (its number in the chunk), ``vec_id`` and ``score`` of the best rows that each task has, in blocks
+    that hold vectors of the query's cell, or else in all others."""
     sent = blocks.sparkSession.sparkContext.broadcast((queries, starts))
 
     def search(frames: Iterator[pd.DataFrame]):
@@ -152,11 +160,8 @@ def search_chunk(blocks: DataFrame, queries: list, starts: np.ndarray, k: int, o
                     if q.dim != block.dim:
                         continue
                     best, floor = state[at]
-                    if own_cell_only:
-                        cells = np.unique(block.to_pivot.argmin(axis=1))
-                        which = np.flatnonzero(np.isin(q.to_pivot.argmin(axis=1), cells))
-                    else:
-                        which = np.flatnonzero(block_bounds(q, row, block.square.max()) >= floor)
+                    may = np.isin(q.cell, np.unique(block.cell)) == own_cell
+                    which = np.flatnonzero(may & (block_bounds(q, row, block.square.max()) >= floor))
                     best, floor, _ = search_block(q, block, which, best, floor, k)
                     state[at] = best, floor
         for at, ((key, score, ids), _) in state.items():
@@ -179,9 +184,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
 
     def build(dim, columns, with_range):
         x = quantize(columns["embedding"], scale)
-        to_pivot = distances(x, pivots[dim])
+        to_pivot = distances(x, pivots[dim]).T.astype("<f4")
         out = {"dim": dim, "n": len(x), "ids": columns["vec_id"].astype("<i8").tobytes(), "vectors": x.tobytes(), "distances": to_pivot.tobytes()}
-        return out | ({"nearest": to_pivot.min(axis=0).tobytes(), "farthest": to_pivot.max(axis=0).tobytes()} if with_range else {})
+        return out | ({"nearest": to_pivot.min(axis=1).tobytes(), "farthest": to_pivot.max(axis=1).tobytes()} if with_range else {})
 
     in_cells = with_cells(rows, pivots, scale).repartitionByRange("dim", "cell", "near", "vec_id").sortWithinPartitions("dim", "cell", "near", "vec_id")
     blocks = scratch.table(pack(in_cells, _BLOCK, lambda d, c: build(d, c, True), block_values), "blocks")
@@ -192,12 +197,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     for number, chunk in enumerate(query_chunks(asked, scratch, "queries", chunk_values)):
         ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in chunk])
         lowest = np.full(len(ids), -(1 << 62) * 2, np.int64)
-        first = search_chunk(blocks, chunk, lowest, k, own_cell_only=True)
+        first = scratch.table(search_chunk(blocks, chunk, lowest, k, own_cell=True), f"first-{number}")
         place = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
         kth = first.distinct().withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k)
         for r in kth.select("query", "score").toLocalIterator():  # one row per query of the chunk
             lowest[r["query"]] = r["score"]
-        best = search_chunk(blocks, chunk, lowest, k, own_cell_only=False).distinct()
+        best = first.unionByName(search_chunk(blocks, chunk, lowest, k, own_cell=False)).distinct()
         best = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
         names = spark.createDataFrame(pd.DataFrame({"own": np.arange(len(ids), dtype=np.int32), "query_id": ids}))
         part = scratch.table(best.join(F.broadcast(names), F.col("query") == F.col("own")).select("query_id", "rank", "vec_id", "score"),

@@ -100,7 +100,7 @@ def test_topk_drops_candidates_and_orders_repeated_ids(spark):
         assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(expected)]
     pivots = topk.spread_pivots(ints.astype(float), 20)
     near = topk.distances(ints.astype(float), pivots)
-    pack = lambda at: {"dim": 16, "n": len(at), "ids": at.tobytes(), "vectors": ints[at].astype(float).tobytes(), "distances": near[at].tobytes()}
+    pack = lambda at: {"dim": 16, "n": len(at), "ids": at.tobytes(), "vectors": ints[at].astype(float).tobytes(), "distances": near[at].T.astype("<f4").tobytes()}
     q, rows = topk.Block(pack(np.arange(0, 800, 20))), topk.Block(pack(np.arange(800)))
     _, _, evaluated = topk.search_block(q, rows, np.arange(40), (np.zeros(0, np.int64),) * 3, np.full(40, -(1 << 62)), 4)
     assert evaluated < 0.5 * 40 * 800
