@@ -365,10 +365,10 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
 
     tokens = classes.select("id", "n", F.posexplode("prefix").alias("place", "token"))
     common = scratch.table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select(
-        F.col("token").alias("shared"), (F.col("classes") > frequent).alias("frequent")), "common")
+        F.col("token").alias("shared"), (F.col("classes") > frequent).alias("frequent")), "common", 8 * size)
     shared = tokens.join(common, F.col("token") == F.col("shared")).groupBy("id", "n").agg(
         F.collect_list(F.struct("place", "token", "frequent")).alias("tokens"))  # bounded by a document
-    entries = scratch.table(index_entries(shared, percent), "entries")
+    entries = scratch.table(index_entries(shared, percent), "entries", 8 * size)
     scratch.drop("common")
     # Entries with the same classes would compare the same pairs: one of them stays.
     counts = entries.groupBy("entry").agg(
@@ -377,7 +377,7 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
     counts = scratch.table(counts.select("unit", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "counts", 4 * size)
     found = entries.join(counts, F.col("entry") == F.col("unit")).select("unit", "id", "n", "blocks", F.col("id").alias("root"))
     found = with_partners(found.where("blocks = 1"), percent).unionByName(found.where("blocks > 1")).drop("root")
-    found = scratch.table(found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("unit"))), "found")
+    found = scratch.table(found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("unit"))), "found", 8 * size)
     scratch.drop("entries", "counts")
     sketch = classes.select(F.col("id").alias("own"), "bits")
 
@@ -390,22 +390,22 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
 
     def check(found_pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """The verified pairs, and the units that have more pairs."""
-        handed = scratch.table(found_pairs, f"{name}-pairs")
+        handed = scratch.table(found_pairs, f"{name}-pairs", 4 * size)
         pairs = handed.where("unit IS NULL").select("a", "b")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct()
         ids = scratch.table(ids.join(classes.select("id", "of"), F.col("own") == F.col("id")).select(
-            "id", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash")), f"{name}-ids", size)
+            "id", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash")), f"{name}-ids")
         few = ids.count() <= broadcast_ids
         same = (F.col("doc_id") == F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
         texts = rows.join(F.broadcast(ids) if few else ids, same).select("id", "text").dropDuplicates(["id"])
         more = handed.where("unit IS NOT NULL").select(F.col("unit").alias("left"))
-        return scratch.table(verified(pairs, texts, n, percent), f"{name}-links", size), more
+        return scratch.table(verified(pairs, texts, n, percent), f"{name}-links"), more
 
     def still_open(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """Rows of the entries whose classes lie in two components or more; of entries of one block
         those with a partner."""
         rooted = rows.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-        rooted = scratch.table(rooted, f"{name}-rooted")
+        rooted = scratch.table(rooted, f"{name}-rooted", 8 * size)
         large = rooted.where("blocks > 1")
         some = large.groupBy(F.col("unit").alias("open")).agg(F.min("root").alias("least"), F.max("root").alias("most")).where(
             "least <> most").select("open")

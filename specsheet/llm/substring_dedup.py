@@ -12,7 +12,7 @@ distinct segment, so copies cost one mask, not a comparison each, and no pairs a
 document's masks merge into maximal repeated spans.
 
 Keys are 128 bits: the anchor's hash, and a segment's or window's from a second, independent hash of the
-words (the halves of a cryptographic digest of each), so no crafted words collide in both. Anchors that many rows share are combined
+words (SipHash under two keys), so words that collide in one differ in the other. Anchors that many rows share are combined
 before shuffles where they are counted, and join against one row per anchor or segment, whose other
 side the engine splits.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -88,22 +88,16 @@ def distinct_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np
     return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
-_DIGESTS: dict[bytes, bytes] = {}  # of the words a worker has met
-MAX_DIGESTS = 100_000
+_KEYS = ("corpus word key1", "corpus word key2")  # sixteen signs each
 
 
-def word_digests(words: list[bytes]) -> np.ndarray:
-    """Two independent 64-bit hashes of each word: the halves of a cryptographic digest, so no text can be
-    written whose words collide."""
-    if len(_DIGESTS) > MAX_DIGESTS:
-        _DIGESTS.clear()
-    out = []
-    for w in words:
-        d = _DIGESTS.get(w)
-        if d is None:
-            d = _DIGESTS[w] = blake2b(w, digest_size=16).digest()
-        out.append(d)
-    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
+def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word, SipHash under two keys: no two words collide in both but by a chance of
+    one in 2^128, and none can be built to by rule, as with a polynomial."""
+    values = np.empty(len(words), dtype=object)
+    values[:] = words
+    one, two = (pd.util.hash_array(values, hash_key=k, categorize=False) for k in _KEYS)
+    return one, two
 
 
 class HashedText:
@@ -133,11 +127,11 @@ def hashed_texts(column: pa.Array, lower: bool = False, block: int = 1 << 20) ->
         last[cuts[1:][cuts[1:] > 0] - 1] = True
         ends = np.flatnonzero(last & inside) + 1
         words, which = distinct_runs(piece[inside], np.append(0, np.cumsum(ends - starts)))
-        hashes = word_digests(words)[which]
+        one, two = (h[which] for h in word_hashes(words))
         at = np.searchsorted(starts, cuts).tolist()
         for i in range(to - row):
             a, b, begin = at[i], at[i + 1], cuts[i]
-            yield HashedText(piece[begin : cuts[i + 1]], starts[a:b] - begin, ends[a:b] - begin, hashes[a:b, 0], hashes[a:b, 1])
+            yield HashedText(piece[begin : cuts[i + 1]], starts[a:b] - begin, ends[a:b] - begin, one[a:b], two[a:b])
         row = to
 
 
