@@ -1,22 +1,20 @@
 """Aggregate helpers: exact quantiles without a per-group value map, sample moments.
 
 ``percentile``/``median`` keep a value->count map per group in one task; for a group holding
-a third of a 100 TB table that map does not fit. ``quantiles`` instead
-
-1. computes ``n`` and a bounded-memory GK sketch (``percentile_approx``) per group, asking for
-   probabilities widened by three times the sketch's rank error, which brackets every target
-   rank; the bracket still holds about ``6 n / accuracy`` values, so for large inputs (Catalyst's
-   size estimate above ``REFINE_ABOVE_BYTES``, or ``refine=True``) a second pass narrows it
-   with exact counts: values inside a bracket are counted per 1/1024-width cell of it, values
-   outside per gap, and the new bracket is the cells holding the target ranks (about
-   ``6 n / (accuracy * 1024)`` values for smooth data, e.g. 2e5 for a 3e11-row group);
-2. streams the rows once more, collapsing everything below/above the brackets to a count and
-   its extreme value (map-side partial aggregation), so only the few distinct values inside the
-   bracket are shuffled;
-3. ranks the bracket values (small, per group) and interpolates linearly like
-   ``quantile_cont`` / pandas: ``x[lo] + (pos - lo) * (x[hi] - x[lo])``, ``pos = p (n - 1)``.
-
-``exact=False`` returns the sketch values directly (one pass).
+a third of a 100 TB table that map does not fit. ``quantiles`` is a radix select instead, on the 64
+bits of a double in the order of its values, for all groups and all ranks at once:
+
+1. one hash aggregate counts the rows of each group by the top 22 bits (sign, exponent and ten bits of
+   the mantissa); running counts say which of these cells holds each target rank, and the rank in it;
+2. rows of those cells are counted by the next 21 bits, all others collapse to one row per group;
+3. the same by the last 21 bits, where a cell is one value: the one at the target rank.
+
+A group has at most 2^22, 2^21 and 2^21 cells per rank in the three passes, whatever the
+distribution of its values and however many rows it has, and counts are combined before each
+shuffle. Ranks are interpolated linearly like ``quantile_cont`` / pandas: ``x[lo] + (pos - lo) * (x[hi] -
+x[lo])``, ``pos = p (n - 1)``.
+
+``exact=False`` returns the values of a bounded-memory sketch directly (one pass).
 """
 
 from __future__ import annotations
@@ -51,6 +49,25 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.join(stats, on=list(by), how="inner")
 
 
+LOW_BITS, MID_BITS = 21, 21
+
+
+def ordered_bits(v: Column) -> Column:
+    """The bits of a double as a long that orders like the value: exponent and mantissa of its magnitude,
+    negated for negative values. Both zeros are 0; NaN comes after all others."""
+    a = F.abs(v)
+    guess = F.floor(F.log2(a))  # the logarithm may be off by one at a power of two
+    power = F.pow(F.lit(2.0), guess)
+    e = guess + F.when(power > a, -1).when(power * 2 <= a, 1).otherwise(0)
+    mantissa = a / F.pow(F.lit(2.0), e) - 1.0  # exact: a power of two divides, and 1 <= a / 2^e < 2
+    normal = (e + 1023) * F.lit(1 << 52) + (mantissa * float(1 << 52)).cast("long")
+    bits = (F.when(a == 0, F.lit(0).cast("long"))
+            .when(a == float("inf"), F.lit(2047 << 52).cast("long"))
+            .when(a < 2.0**-1022, (a * 2.0**537 * 2.0**537).cast("long"))
+            .otherwise(normal.cast("long")))
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1).cast("long")).when(v < 0, -bits).otherwise(bits)
+
+
 def quantiles(
     df: DataFrame,
     value: str | Column,
@@ -62,6 +79,7 @@ def quantiles(
     bounds: bool = False,
     aggs: Sequence[Column] = (),
     refine: bool = True,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Per-group quantiles of ``value`` (nulls ignored; null keys dropped like pandas).
 
@@ -69,9 +87,10 @@ def quantiles(
     ``bounds=True`` adds ``min``, ``max`` and ``<prefix>le<j>`` = the largest value that is at most
     quantile ``j`` (one of its two interpolation points, so no extra pass is needed).
     ``aggs``: further aggregate expressions over all rows of each group (null values included),
-    computed in the same pass as the sketch and returned as extra columns.
+    computed in the first pass and returned as extra columns.
     Groups with no non-null value are absent unless ``aggs`` are given (then their quantiles are
-    null).
+    null). ``accuracy`` is that of ``exact=False``; ``refine`` has no effect any more. ``few_groups``: the
+    caller knows that the groups are few (one per column, say), so their ranks are broadcast.
     """
     keys = _by_list(by)
     probs = [float(p) for p in probs]
@@ -95,113 +114,77 @@ def quantiles(
         extra = ["min", "max", *[F.col("__q")[j].alias(f"{prefix}le{j}") for j in range(k)]] if bounds else []
         return out.select(*keys, "n", *[F.col("__q")[j].alias(f"{prefix}{j}") for j in range(k)], *extra, *carried)
 
-    margin = 3.0 / accuracy
-    lo_p = [max(0.0, p - margin) for p in probs]
-    hi_p = [min(1.0, p + margin) for p in probs]
-    sketch = first.groupBy(*keys).agg(
-        *aggs,
-        F.count("__v").alias("n"),
-        F.percentile_approx("__v", lo_p + hi_p, accuracy).alias("__b"),
-        F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-    )
-    # n, min and max ride along as grouping keys; carried aggregates ride along as ``first()``
-    # buffers (not hashed), so the sketch is computed once and never joined back.
-    consts = ["n", "__min", "__max"]
-    keep = [F.first(c).alias(c) for c in carried]
-    if refine:
-        sketch = _refine(first, sketch, keys, probs, accuracy, consts, carried)
-    joined = attach(first.select(*keys, "__v"), sketch, keys)
-    # One classification per row (no copy per probability): a value inside any bracket keeps its
-    # value; one outside every bracket collapses into the gap between two bracket boundaries.
-    # Rows order by (boundaries below, inside?, value), which is the order of the values.
-    v = F.col("__v")
-    seg, inside, _ = _segments(k)
-    collapsed = (
-        joined.select(*keys, *consts, *carried, v, seg.alias("seg"), F.when(inside, 1).otherwise(0).alias("inb"))
-        .withColumn("val", F.when(F.col("inb") == 1, v))
-        .groupBy(*keys, *consts, "seg", "inb", "val")
-        .agg(F.count(F.lit(1)).alias("c"), F.max("__v").alias("mx"), F.min("__v").alias("mn"), *keep)
-    )
-    w = Window.partitionBy(*keys).orderBy("seg", "inb", "val").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = collapsed.withColumn("end", F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
-
-    def at(i: Column) -> Column:
-        # The sketch returns the element at rank ceil(p n) while interpolation needs
-        # floor/ceil of p (n - 1): a needed rank can lie one step outside a bracket, so the
-        # largest and smallest value of each gap are kept as well.
-        in_row = (F.col("start") <= i) & (i < F.col("end"))
-        return (F.when((F.col("inb") == 1) & in_row, F.col("val"))
-                .when((F.col("inb") == 0) & F.col("mx").isNotNull() & (i == F.col("end") - 1), F.col("mx"))
-                .when((F.col("inb") == 0) & F.col("mn").isNotNull() & (i == F.col("start")), F.col("mn")))
-
     pos = [F.lit(p) * (F.col("n") - 1) for p in probs]
-    out = ranked.groupBy(*keys, *consts).agg(
-        *[F.max(at(F.floor(pos[j]))).alias(f"__xlo{j}") for j in range(k)],
-        *[F.max(at(F.ceil(pos[j]))).alias(f"__xhi{j}") for j in range(k)],
-        *keep,
-    )
+    ranks = [F.floor(x) for x in pos] + [F.ceil(x) for x in pos]
+    # n, min, max, carried aggregates and the ranks' cells ride along as ``first()`` buffers (not hashed), so
+    # each pass hands everything to the next and nothing is joined back.
+    consts = ["n", "__min", "__max"]
+    found = _top_cells(first, keys, ranks, aggs, carried)
+    keyed = first.select(*keys, "__v", ordered_bits(F.col("__v")).alias("__k"))
+    for bits in (("__mid", LOW_BITS, MID_BITS), ("__low", 0, LOW_BITS)):
+        # Every row has its group: a left join, so that only the groups' side can be broadcast.
+        joined = keyed.join(F.broadcast(found) if few_groups else found, keys, "left") if keys else attach(keyed, found, keys)
+        found = _next_cells(joined, keys, consts, carried, 2 * k, *bits)
+    lo = [F.col(f"__v{j}") for j in range(k)]
+    hi = [F.col(f"__v{k + j}") for j in range(k)]
     qs, les = [], []
     for j in range(k):
-        lo_, hi_ = F.col(f"__xlo{j}"), F.col(f"__xhi{j}")
-        frac = pos[j] - F.floor(pos[j])
-        q = lo_ + frac * (hi_ - lo_)
+        q = lo[j] + (pos[j] - F.floor(pos[j])) * (hi[j] - lo[j])
+        q = F.when(lo[j] == hi[j], lo[j]).otherwise(q)  # equal infinities have no difference
         qs.append(q.alias(f"{prefix}{j}"))
-        les.append(F.when(q >= hi_, hi_).otherwise(lo_).alias(f"{prefix}le{j}"))
+        les.append(F.when(q >= hi[j], hi[j]).otherwise(lo[j]).alias(f"{prefix}le{j}"))
     extra = [F.col("__min").alias("min"), F.col("__max").alias("max"), *les] if bounds else []
-    return out.select(*keys, "n", *qs, *extra, *carried)
-
-
-SUB_BUCKETS = 1024
-
-
-def _segments(k: int) -> tuple[Column, Column, Column]:
-    """Per row: ``seg`` (number of bracket boundaries below the value; nulls last), whether it
-    lies inside any bracket, and the lower/upper bound of the first bracket holding it. Written
-    out per boundary so it stays in generated code."""
-    b = [F.col("__b")[i] for i in range(2 * k)]
-    v = F.col("__v")
-    ins = [(v >= b[j]) & (v <= b[k + j]) for j in range(k)]
-    inside = reduce(lambda x, y: x | y, ins)
-    seg = reduce(lambda x, y: x + y, [F.when(bi < v, 1).otherwise(0) for bi in b])
-    seg = F.when(v.isNull(), F.lit(2 * k + 1)).otherwise(seg)
-    lo = F.coalesce(*[F.when(ins[j], b[j]) for j in range(k)])
-    hi = F.coalesce(*[F.when(ins[j], b[k + j]) for j in range(k)])
-    return seg, v.isNotNull() & inside, F.struct(lo.alias("lo"), hi.alias("hi"))
-
-
-def _refine(first: DataFrame, sketch: DataFrame, keys: list[str], probs: list[float], accuracy: int,
-            consts: list[str], carried: list[str]) -> DataFrame:
-    """Second pass: narrow each sketch bracket to the exact cells holding the target ranks.
-
-    Rows inside a bracket fall into one of ``SUB_BUCKETS`` equal-width cells of it, rows outside
-    into the gap between two boundaries; one hash aggregate gives each cell's count, min and max
-    (at most ``k * SUB_BUCKETS`` rows per group), and exact cumulative counts over the ordered
-    cells locate the ranks. Returns the sketch's shape with the narrowed ``__b``."""
-    k = len(probs)
-    j = attach(first.select(*keys, "__v"), sketch, keys)
-    seg, inside, rng = _segments(k)
-    v = F.col("__v")
-    width = rng["hi"] - rng["lo"]
-    sub = F.when(inside, F.least(F.greatest(F.floor(F.when(width > 0, (v - rng["lo"]) / width).otherwise(0.0)
-                                                     * SUB_BUCKETS), F.lit(0)), F.lit(SUB_BUCKETS - 1))
-                 ).otherwise(-1).cast("int")
-    cells = j.groupBy(*keys, seg.alias("seg"), sub.alias("sub")).agg(
-        F.count(F.lit(1)).alias("c"), F.min(v).alias("mn"), F.max(v).alias("mx"),
-        *[F.first(c).alias(c) for c in [*consts, *carried]])
-    w = Window.partitionBy(*keys).orderBy("seg", "sub").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("end", F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
-    new_lo, new_hi = [], []
-    for p in probs:
-        pos = F.lit(p) * (F.col("n") - 1)
-        r_lo, r_hi = F.floor(pos), F.ceil(pos)
-        hit_lo = (F.col("start") <= r_lo) & (r_lo < F.col("end"))
-        hit_hi = (F.col("start") <= r_hi) & (r_hi < F.col("end"))
-        # a gap cell can only hold the rank just outside a bracket: its largest (resp. smallest) value
-        new_lo.append(F.min(F.when(hit_lo, F.when(F.col("sub") >= 0, F.col("mn")).otherwise(F.col("mx")))))
-        new_hi.append(F.max(F.when(hit_hi, F.when(F.col("sub") >= 0, F.col("mx")).otherwise(F.col("mn")))))
-    return cells.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in [*consts, *carried]],
-        F.array(*new_lo, *new_hi).alias("__b"))
+    return found.select(*keys, "n", *qs, *extra, *carried)
+
+
+def _holding(ranks: Sequence[Column], same: Sequence[Column], cell: dict[str, Column]) -> list[Column]:
+    """For each rank the columns ``cell`` of the row whose places (``start`` to ``end``) it falls in, and the
+    rank among that row's values: ``<name><i>`` and ``__r<i>``. Numbers only, so that aggregates hash."""
+    out = []
+    for i, (r, s) in enumerate(zip(ranks, same)):
+        hit = s & (F.col("start") <= r) & (r < F.col("end"))
+        out += [F.max(F.when(hit, c)).alias(f"{name}{i}") for name, c in {**cell, "__r": r - F.col("start")}.items()]
+    return out
+
+
+def _top_cells(first: DataFrame, keys: list[str], ranks: Sequence[Column], aggs: list[Column], carried: list[str]) -> DataFrame:
+    """Per group ``n``, ``__min``, ``__max``, the carried aggregates and, for each rank, the top bits of its
+    value (``__t<i>``) and its rank among the values that have them (``__r<i>``). One scan: a group's totals
+    and its cells are two grouping sets of one aggregate."""
+    top = F.shiftright(ordered_bits(F.col("__v")), LOW_BITS + MID_BITS)
+    cells = first.withColumn("__top", top).groupingSets([[F.col(c) for c in keys], [*[F.col(c) for c in keys], F.col("__top")]],
+                                                        *keys, "__top").agg(
+        *aggs, F.count("__v").alias("__c"), F.min("__v").alias("__mn"), F.max("__v").alias("__mx"), F.grouping("__top").alias("__all"))
+    whole = F.col("__all") == 1
+    # A group's totals come first, so every cell behind them sees its group's n.
+    w = Window.partitionBy(*keys).orderBy(F.desc("__all"), "__top").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.where(whole | F.col("__top").isNotNull()) \
+        .withColumn("n", F.first("__c").over(w)) \
+        .withColumn("end", F.sum(F.when(whole, 0).otherwise(F.col("__c"))).over(w)) \
+        .withColumn("start", F.when(whole, F.col("end")).otherwise(F.col("end") - F.col("__c")))
+    total = lambda c: F.first(F.when(whole, F.col(c)), ignorenulls=True)
+    out = cells.groupBy(*keys).agg(
+        F.first("n").alias("n"), total("__mn").alias("__min"), total("__mx").alias("__max"),
+        *_holding(ranks, [~whole] * len(ranks), {"__t": F.col("__top")}), *[total(c).alias(c) for c in carried])
+    return out if aggs else out.where(F.col("n") > 0)
+
+
+def _next_cells(rows: DataFrame, keys: list[str], consts: list[str], carried: list[str], k: int, name: str, shift: int, bits: int) -> DataFrame:
+    """The same a level of bits further down, for the rows in the cells ``__t<i>``; all others collapse to one
+    row. At the last level a cell is one value (``__v<i>``)."""
+    above = F.shiftright("__k", shift + bits)
+    inside = F.coalesce(reduce(lambda x, y: x | y, [above == F.col(f"__t{i}") for i in range(k)]), F.lit(False))
+    digit = F.shiftright("__k", shift).bitwiseAND((1 << bits) - 1)
+    wanted = [f"{c}{i}" for i in range(k) for c in ("__t", "__r")]
+    cells = rows.select(*keys, *consts, *carried, *wanted, "__v", F.when(inside, above).alias("__top"), F.when(inside, digit).alias(name)) \
+        .groupBy(*keys, "__top", name).agg(
+            F.count("__v").alias("__c"), F.min("__v").alias("__value"), *[F.first(c).alias(c) for c in [*consts, *wanted, *carried]])
+    w = Window.partitionBy(*keys, "__top").orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("end", F.sum("__c").over(w)).withColumn("start", F.col("end") - F.col("__c"))
+    ranks = [F.col(f"__r{i}") for i in range(k)]
+    same = [F.col("__top") == F.col(f"__t{i}") for i in range(k)]
+    found = _holding(ranks, same, {"__t": F.col("__top") * (1 << bits) + F.col(name), "__v": F.col("__value")})
+    return cells.groupBy(*keys).agg(*found, *[F.first(c).alias(c) for c in [*consts, *carried]])
 
 
 def sample_skewness(c: str | Column) -> Column:

@@ -216,7 +216,7 @@ def median_stats(df: DataFrame, columns: Sequence[str], exact: bool = True) -> D
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("kv")).select("kv.*")
-    med = quantiles(long, "value", [0.5], by="column", exact=exact)
+    med = quantiles(long, "value", [0.5], by="column", exact=exact, few_groups=True)
     return med.agg(*[F.max(F.when(F.col("column") == c, F.col("q0"))).alias(c) for c in columns])
 
 

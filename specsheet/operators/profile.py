@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
+from ..functions.moments import pair_correlations
 from ..functions.stats import attach, quantiles, sample_kurtosis, sample_skewness
+from ..session import materialize
 from .clean import ACCEL, FUEL, HP, MAKER, PRICE
 from .features import performance_category_expr
 
@@ -47,7 +49,7 @@ def basic_statistics(df: DataFrame, columns: Sequence[str] | None = None, decima
     missing, missing_pct (of all rows, 2 dp)."""
     cols = list(columns) if columns is not None else numeric_columns(df)
     long = to_long(df, cols)
-    out = quantiles(long, "value", [0.25, 0.5, 0.75], by="column", exact=exact, aggs=[
+    out = quantiles(long, "value", [0.25, 0.5, 0.75], by="column", exact=exact, few_groups=True, aggs=[
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
@@ -102,8 +104,9 @@ PRICE_BANDS = [30000, 100000, 500000]
 PRICE_BAND_NAMES = ["budget", "mid_range", "premium", "luxury"]
 
 
-def price_segments(df: DataFrame, price_col: str = PRICE, edges: Sequence[float] = PRICE_BANDS) -> DataFrame:
-    """One row of counts per band: [-inf,e0), [e0,e1), [e1,e2), [e2,inf)."""
+def price_segments(df: DataFrame, price_col: str = PRICE, edges: Sequence[float] = PRICE_BANDS, extra: Sequence[Column] = ()) -> DataFrame:
+    """One row of counts per band: [-inf,e0), [e0,e1), [e1,e2), [e2,inf). ``extra``: further aggregates of the
+    same scan."""
     x = F.col(price_col)
     a, b, c = edges
     return df.agg(
@@ -111,6 +114,7 @@ def price_segments(df: DataFrame, price_col: str = PRICE, edges: Sequence[float]
         F.count_if((x >= a) & (x < b)).alias(PRICE_BAND_NAMES[1]),
         F.count_if((x >= b) & (x < c)).alias(PRICE_BAND_NAMES[2]),
         F.count_if(x >= c).alias(PRICE_BAND_NAMES[3]),
+        *extra,
     )
 
 
@@ -144,20 +148,15 @@ def by_fuel_type(df: DataFrame, fuel_col: str = FUEL, price_col: str = PRICE, hp
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, decimals: int | None = 3) -> DataFrame:
     """Pearson correlation on pairwise-complete rows, long format ``(row, col, corr)``.
 
-    One aggregate computes every unordered pair; the result is mirrored. NaN (constant
-    column) becomes null.
+    All unordered pairs come from one pass of matrix products (``functions/moments``); the result is
+    mirrored. A constant column gives null.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    agg = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"c{i}_{j}")
-                   for i, j in pairs])
-    entries = []
-    for i, j in pairs:
-        v = _round(_nan_to_null(F.col(f"c{i}_{j}")), decimals)
-        entries.append(F.struct(F.lit(cols[i]).alias("row"), F.lit(cols[j]).alias("col"), v.alias("corr")))
-        if i != j:
-            entries.append(F.struct(F.lit(cols[j]).alias("row"), F.lit(cols[i]).alias("col"), v.alias("corr")))
-    return agg.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = pair_correlations(df, cols)
+    both = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
+    rows = pairs.select("i", "j", "corr", F.inline(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)))
+    return rows.select(F.get(names, F.col("a")).alias("row"), F.get(names, F.col("b")).alias("col"), _round(F.col("corr"), decimals).alias("corr"))
 
 
 def _iqr_bounds(df: DataFrame, column: str, threshold: float, exact: bool) -> DataFrame:
@@ -226,23 +225,71 @@ def performance_vs_price(df: DataFrame, acc_col: str = ACCEL, price_col: str = P
                       _round(F.col("correlation"), decimals).alias("correlation"))
 
 
+def _report_statistics(df: DataFrame, numeric: Sequence[str], measures: Sequence[str], exact: bool) -> DataFrame:
+    """One row per ``(section, item)`` with count, moments, extremes and quartiles: numeric columns, and price,
+    power and measures per maker, fuel and performance category. All sections share one exploded scan
+    (and the passes of one quantile select); the result is small and written once."""
+    number = lambda c: F.col(c).cast("double")
+    parts = [("column", F.lit(c), number(c)) for c in numeric]
+    if MAKER in df.columns:
+        parts += [("maker price", F.col(MAKER), number(PRICE)), ("maker power", F.col(MAKER), number(HP))]
+    if FUEL in df.columns:
+        parts += [(f"fuel {c}", F.col(FUEL), number(c)) for c in measures]
+    if ACCEL in df.columns:
+        both = F.col(ACCEL).isNotNull() & F.col(PRICE).isNotNull()
+        parts.append(("category", F.when(both, performance_category_expr(ACCEL)), number(PRICE)))
+    long = df.select(F.inline(F.array(*[F.struct(
+        F.lit(section).alias("section"), item.cast("string").alias("item"), value.alias("value")) for section, item, value in parts])))
+    v = F.col("value")
+    stats = quantiles(long, "value", [0.25, 0.5, 0.75], by=["section", "item"], exact=exact, aggs=[
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        sample_skewness(v).alias("skewness"), sample_kurtosis(v).alias("kurtosis"), F.count(F.lit(1)).alias("rows")])
+    names = {"q0": "q25", "q1": "q50", "q2": "q75"}
+    return materialize(stats.drop("n").withColumnsRenamed(names))
+
+
 def eda_report(df: DataFrame, exact: bool = True, rounded: bool = True) -> dict[str, DataFrame]:
     """Bundle of profiles; optional parts depend on which columns exist. ``rounded=False`` keeps
-    full precision (the reference rounds brand/fuel figures to 2 dp and correlations to 3)."""
+    full precision (the reference rounds brand/fuel figures to 2 dp and correlations to 3).
+
+    Eager: six scans of ``df`` write three small tables (statistics per group, correlations, band counts) and
+    every section reads those.
+    """
     two, three = (2, 3) if rounded else (None, None)
+    numeric = numeric_columns(df)
+    measures = [c for c in (PRICE, HP, ACCEL) if c in df.columns]
+    stats = _report_statistics(df, numeric, measures, exact)
+    correlations = materialize(correlation_matrix(df, numeric, decimals=None))
+    bands = materialize(price_segments(df, extra=[F.count(F.lit(1)).alias("rows")]))
+
+    def section(name: str, *columns: Column, key: str = "item") -> DataFrame:
+        return stats.where(F.col("section") == name).select(F.col("item").alias(key), *columns)
+
+    price = stats.where((F.col("section") == "column") & (F.col("item") == PRICE))
     report = {
-        "dataset_shape": df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns))),
-        "basic_statistics": basic_statistics(df, exact=exact),
-        "price_analysis": price_distribution(df, exact=exact),
-        "price_segments": price_segments(df),
-        "correlation_matrix": correlation_matrix(df, decimals=three),
+        "dataset_shape": bands.select("rows", F.lit(len(df.columns)).alias("columns")),
+        "basic_statistics": section("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max", (F.col("rows") - F.col("count")).alias("missing"),
+                                    F.round((F.col("rows") - F.col("count")) / F.col("rows") * 100, 2).alias("missing_pct"), key="column"),
+        "price_analysis": price.select("mean", F.col("q50").alias("median"), "std", "min", "max", "q25", "q75", (F.col("q75") - F.col("q25")).alias("iqr"),
+                                       "skewness", "kurtosis", "count"),
+        "price_segments": bands.drop("rows"),
+        "correlation_matrix": correlations.select("row", "col", _round(F.col("corr"), three).alias("corr")),
     }
     if MAKER in df.columns:
-        report["brand_analysis"] = by_brand(df, exact=exact, decimals=two)
+        r = lambda c, name: _round(F.col(c), two).alias(name)
+        power = section("maker power", r("mean", "avg_hp"), r("max", "max_hp"), key=MAKER)
+        report["brand_analysis"] = section(
+            "maker price", F.col("count").alias("car_count"), r("mean", "avg_price"), r("q50", "median_price"), r("min", "min_price"),
+            r("max", "max_price"), key=MAKER).join(power, MAKER).orderBy(F.desc("car_count"), MAKER)
     if FUEL in df.columns:
-        report["fuel_type_analysis"] = by_fuel_type(df, decimals=two)
+        fuel = None
+        for c in measures:
+            part = section(f"fuel {c}", F.col("count").alias(f"{c}_count"), _round(F.col("mean"), two).alias(f"{c}_mean"), key=FUEL)
+            fuel = part if fuel is None else fuel.join(part, FUEL)
+        report["fuel_type_analysis"] = fuel
     if ACCEL in df.columns and PRICE in df.columns:
-        report["performance_price"] = performance_vs_price(df, exact=exact)
+        both = correlations.where((F.col("row") == ACCEL) & (F.col("col") == PRICE)).select(F.col("corr").alias("correlation"))
+        report["performance_price"] = attach(section("category", "mean", F.col("q50").alias("median"), "count", key="category"), both, [])
     return report
 
 
