@@ -815,6 +815,31 @@ def q_rec_diversity(spark, sf_dir):
     return diversity(rec._rank(rec._targets_by_id(first), 5, True, False)).select("target_id", r("diversity"))
 
 
+_T_ALL = ("t AS (SELECT row_id AS target_id, " + MAKER + " AS target_maker, "
+          + ", ".join(f"f{i} AS t{i}" for i in range(len(RECOMMENDER_FEATURES))) + " FROM fm)")
+
+
+@register("similar_items_all", _rec_sql(_T_ALL, "fm.row_id <> t.target_id"))
+def q_similar_items_all(spark, sf_dir):
+    """The five most similar items of every item."""
+    return _rec_cols(_recommender(spark, sf_dir).similar_many(n=5))
+
+
+@register("similar_other_brand_all", _rec_sql(
+    _T_ALL, f"fm.row_id <> t.target_id AND fm.{MAKER} IS DISTINCT FROM t.target_maker"))
+def q_similar_other_brand_all(spark, sf_dir):
+    return _rec_cols(_recommender(spark, sf_dir).similar_many(n=5, exclude_same_brand=True))
+
+
+@register("rec_diversity_all", _rec_sql(_T_ALL, "fm.row_id <> t.target_id").replace(
+    f"SELECT {_REC_OUT} FROM", f"SELECT target_id, round(CASE WHEN count(*) <= 1 THEN 0 ELSE (count(DISTINCT {MAKER}) / count(*) "
+    f"+ least((max({PRICE}) - min({PRICE})) / (avg({PRICE}) + 1e-6), 1)) / 2 END, 6) AS diversity FROM", 1)
+    .removesuffix("WHERE rank <= 5") + "WHERE rank <= 5 GROUP BY target_id")
+def q_rec_diversity_all(spark, sf_dir):
+    """Diversity of every item's list."""
+    return diversity(_recommender(spark, sf_dir).similar_many(n=5)).select("target_id", r("diversity"))
+
+
 @register("rec_coverage", O.with_specs(
     "SELECT round(coalesce(avg(CASE WHEN " + " AND ".join(f"f{i} IS NOT NULL" for i in range(len(RECOMMENDER_FEATURES)))
     + " THEN 1.0 ELSE 0.0 END), 0), 6) AS coverage FROM fm", _fm_sql()))
