@@ -966,13 +966,9 @@ def q_eda_report(spark, sf_dir):
     return profile.eda_report_long(specs(spark, sf_dir), decimals=D)
 
 
-@register("src_csv", O.with_specs(
-    "SELECT count(*) AS rows, count(DISTINCT company_names) AS makers, count(cars_prices) AS priced, "
-    "CAST(sum(length(coalesce(cars_names, ''))) AS BIGINT) AS name_chars FROM raw_specs"))
-def q_src_csv(spark, sf_dir):
-    """Round trip: the raw table written as a spec-sheet CSV (contract headers) into the shared
-    checkpoint dir, read back by the CSV source (all-string schema, required-column check,
-    encoding detection)."""
+def _csv_round_trip(spark, sf_dir):
+    """The raw table written as spec-sheet CSV files (contract headers) into the shared checkpoint dir, read back
+    by the CSV source (all-string schema, required-column check, encoding detection, split files)."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
@@ -982,12 +978,41 @@ def q_src_csv(spark, sf_dir):
     raw.select(*[F.col(n).alias(h) for n, h in zip(RAW_NAMES, REQUIRED_COLUMNS)]) \
         .write.option("header", True).option("ignoreLeadingWhiteSpace", False) \
         .option("ignoreTrailingWhiteSpace", False).csv(path)
-    back = load_specs_csv(spark, path)
+    return load_specs_csv(spark, path)
+
+
+@register("src_csv", O.with_specs(
+    "SELECT count(*) AS rows, count(DISTINCT company_names) AS makers, count(cars_prices) AS priced, "
+    "CAST(sum(length(coalesce(cars_names, ''))) AS BIGINT) AS name_chars FROM raw_specs"))
+def q_src_csv(spark, sf_dir):
+    """Round trip: four counts of the rows read back."""
+    back = _csv_round_trip(spark, sf_dir)
     return back.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("company_names").alias("makers"),
                     F.count("cars_prices").alias("priced"),
                     F.sum(F.length(F.coalesce("cars_names", F.lit("")))).cast("bigint").alias("name_chars"))
 
 
+@register("src_csv_rows", O.with_specs(
+    "SELECT company_names, cars_names, engines, cc_battery, horsepower, total_speed, accel_0_100, cars_prices, fuel_types, seats, torque "
+    "FROM raw_specs"))
+def q_src_csv_rows(spark, sf_dir):
+    """Round trip: the rows themselves."""
+    return _csv_round_trip(spark, sf_dir).drop("row_id")
+
+
+def _validate_columns_sql() -> str:
+    columns = [(c, "string") for c in _RAW_NO_ID] + [(c, "double") for c in _TYPED_NUM]
+    return O.with_specs(" UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{d}' AS dtype, CAST(count(*) - count({c}) AS BIGINT) AS missing, count(*) AS total_rows FROM specs"
+        for c, d in columns))
+
+
+@register("validate_columns", _validate_columns_sql())
+def q_validate_columns(spark, sf_dir):
+    """Type and number of nulls of every raw and typed column, in one aggregate."""
+    return quality.missing_values(specs(spark, sf_dir), [*_RAW_NO_ID, *_TYPED_NUM])
+
+
 # ================================================================ more bindings on the large tables
 
 
