@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +137,21 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_values: int | None = None
     return out, names
 
 
+def one_hot_vectors(df: DataFrame, columns: Sequence[str], suffix: str = "_Vector") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """One sparse 0/1 vector column ``<col>_Vector`` per column instead of a column per value, with the code table
+    (``value``, ``code``) that names its places; null -> all zeros. Values are numbered as by
+    ``label_encode`` and never collected, so their number is bounded by nothing but the vector's length."""
+    out, mappings = label_encode(df, columns, "__Code")
+    for c in columns:
+        size = mappings[c].count()  # one number
+        code = f"{c}__Code"
+        out = out.withColumn(code, F.coalesce(F.col(code), F.lit(float(size))))  # null: the place that dropLast leaves out
+        sizes = df.sparkSession.range(size, size + 1).select(F.col("id").cast("double").alias(code))  # the greatest code
+        model = OneHotEncoder(inputCol=code, outputCol=f"{c}{suffix}", dropLast=True).fit(sizes)
+        out = model.transform(out).drop(code)
+    return out, mappings
+
+
 # ---------------------------------------------------------------- scalers
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import attach, hash_chunks, order_cuts
@@ -30,19 +30,17 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
     )
 
 
-def _label_dim(df: DataFrame, actual: str, predicted: str, labels: Sequence | None) -> Column:
-    if labels is not None:
-        return F.array(*[F.lit(v) for v in labels])
-    return F.array_sort(F.array_union(F.collect_set(F.col(actual)), F.collect_set(F.col(predicted))))
-
-
 def confusion(df: DataFrame, actual: str, predicted: str, labels: Sequence | None = None) -> DataFrame:
     """Long confusion matrix ``(actual, predicted, count)`` over ``labels`` (default: the sorted
-    union of both columns), zero-filled; ``actual_pos``/``predicted_pos`` give the label order."""
+    union of both columns), zero-filled; ``actual_pos``/``predicted_pos`` give the label order. Labels
+    come from the distinct pairs that the count leaves, never from the rows."""
     counts = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")) \
         .agg(F.count(F.lit(1)).alias("count"))
-    dim = df.agg(_label_dim(df, actual, predicted, labels).alias("__l")) if labels is None else \
-        df.sparkSession.range(1).select(_label_dim(df, actual, predicted, labels).alias("__l"))
+    if labels is None:
+        seen = counts.select(F.explode(F.array("actual", "predicted")).alias("label")).where(F.col("label").isNotNull()).distinct()
+        dim = seen.agg(F.array_sort(F.collect_list("label")).alias("__l"))
+    else:
+        dim = df.sparkSession.range(1).select(F.array(*[F.lit(v) for v in labels]).alias("__l"))
     cells = dim.select(F.posexplode("__l").alias("actual_pos", "actual"), "__l") \
         .select("actual_pos", "actual", F.posexplode("__l").alias("predicted_pos", "predicted"))
     return cells.join(counts, ["actual", "predicted"], "left").select(

@@ -122,6 +122,33 @@ def q_reg_ridge(spark, sf_dir):
     return spark.createDataFrame(rows, "term string, value double").select("term", r("value", 4))
 
 
+def _ridge_cv_sql() -> str:
+    """Leave-one-fold-out ridge (alpha = 1) on two features: sums per fold, less the fold's own."""
+    rows = " AND ".join(f"{c} IS NOT NULL" for c in [*MODEL_NUMERIC, PRICE])
+    sums = ["n", "a", "b", "y", "aa", "ab", "bb", "ay", "by"]
+    return O.with_specs(
+        "SELECT CAST(fold AS INTEGER) AS fold, round(1 - sse / spread, 6) AS r2 FROM (SELECT r.fold, "
+        "sum((r.y - (my + w1 * (r.a - ma) + w2 * (r.b - mb))) ** 2) AS sse, var_pop(r.y) * count(*) AS spread FROM r JOIN w USING (fold) GROUP BY r.fold)",
+        f"p AS (SELECT {HP} AS a, {TORQUE} AS b, {PRICE} AS y, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n FROM specs WHERE {rows}), "
+        "r AS (SELECT a - (SELECT avg(a) FROM p) AS a, b - (SELECT avg(b) FROM p) AS b, y - (SELECT avg(y) FROM p) AS y, "
+        "CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM p), "
+        "f AS (SELECT fold, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(a*a) AS aa, sum(a*b) AS ab, sum(b*b) AS bb, sum(a*y) AS ay, "
+        "sum(b*y) AS \"by\" FROM r GROUP BY fold), "
+        "t AS (SELECT h.fold, " + ", ".join(f"sum(o.\"{c}\") AS \"{c}\"" for c in sums) + " FROM f h JOIN f o ON o.fold <> h.fold GROUP BY h.fold), "
+        "c AS (SELECT fold, a / n AS ma, b / n AS mb, y / n AS my, aa - a * a / n AS s11, ab - a * b / n AS s12, bb - b * b / n AS s22, "
+        "ay - a * y / n AS s1, \"by\" - b * y / n AS s2 FROM t), "
+        "w AS (SELECT fold, ma, mb, my, ((s22 + 1) * s1 - s12 * s2) / ((s11 + 1) * (s22 + 1) - s12 * s12) AS w1, "
+        "((s11 + 1) * s2 - s12 * s1) / ((s11 + 1) * (s22 + 1) - s12 * s12) AS w2 FROM c)")
+
+
+@register("reg_cv_ridge", _ridge_cv_sql())
+def q_reg_cv_ridge(spark, sf_dir):
+    """R^2 per contiguous fold of the ridge candidate on two features, every fold from one pass."""
+    ridge = {"ridge": regression_candidates()["ridge"]}
+    cv = PricePredictor(_RIDGE, candidates=ridge).cross_validate(model_df(spark, sf_dir), PRICE, 5)
+    return cv.select("fold", r("r2"))
+
+
 # ================================================================ classification
 
 
@@ -403,6 +430,22 @@ def q_shap_any_linear(spark, sf_dir):
     return phi.select("row_id", "feature", r("shap_value", 4))
 
 
+@register("shap_kernel_linear", O.with_specs(
+    "SELECT row_id, feature, round(shap_value, 4) AS shap_value FROM (SELECT row_id, "
+    + ", ".join(f"{w!r} * ({c} - m_{i}) AS p{i}" for i, (c, w) in enumerate(_LIN_W.items())) + " FROM specs, (SELECT "
+    + ", ".join(f"avg({c}) AS m_{i}" for i, c in enumerate(_LIN_W)) + " FROM specs WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in _LIN_W) + ") WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in _LIN_W) + ") CROSS JOIN LATERAL (VALUES "
+    + ", ".join(f"('{c}', p{i})" for i, c in enumerate(_LIN_W)) + ") v(feature, shap_value)"))
+def q_shap_kernel_linear(spark, sf_dir):
+    """Kernel-weighted attributions of every row against the mean of all rows; a linear model has a closed form."""
+    rows = _linear_phi(spark, sf_dir)[1]
+    model = SQLTransformer(statement="SELECT *, " + " + ".join(f"{w!r} * {c}" for c, w in _LIN_W.items())
+                           + " AS prediction FROM __THIS__")
+    phi = E.kernel_shap(rows, model, list(_LIN_W), rows.agg(*[F.avg(c).alias(c) for c in _LIN_W]))
+    return phi.select("row_id", "feature", r("shap_value", 4))
+
+
 @register("shap_any")
 def q_shap_any(spark, sf_dir):
     """Exact coalition enumeration for the fitted ridge candidate against a 100-row background."""

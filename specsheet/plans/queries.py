@@ -169,6 +169,20 @@ def q_onehot(spark, sf_dir):
     return out.select("row_id", *[F.col(f"`{n}`") for n in names[FUEL]])
 
 
+@register("onehot_vectors", O.with_specs(
+    f"SELECT row_id, CAST(code AS BIGINT) AS hot, CAST((SELECT count(DISTINCT {MAKER}) FROM specs) AS BIGINT) AS size FROM specs LEFT JOIN "
+    f"(SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT {MAKER} AS v FROM specs WHERE {MAKER} IS NOT NULL)) "
+    f"ON {MAKER} = v"))
+def q_onehot_vectors(spark, sf_dir):
+    """Makers as sparse vectors: the place that is one, and the length."""
+    from pyspark.ml.functions import vector_to_array
+
+    out, _ = features.one_hot_vectors(specs(spark, sf_dir), [MAKER])
+    v = vector_to_array(F.col(f"{MAKER}_Vector"))
+    hot = F.nullif(F.array_position(v, 1.0), F.lit(0)) - 1
+    return out.select("row_id", hot.cast("bigint").alias("hot"), F.size(v).cast("bigint").alias("size"))
+
+
 _SCALE_COLS = [HP, SPEED, ACCEL]
 
 
