@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +12,13 @@ from ..sources.tables import read_table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+def default_tokenizer() -> str:
+    """Path of the tokenizer file of op2 and op3, from an installed library that nothing else needs."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
 
 def register(name: str, sql: str | None = None):
@@ -26,18 +31,23 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
 @register("op2_token_files")
 def op2_token_files(spark, sf_dir):
     from .token_files import token_offsets
 
-    return token_offsets(read_table(spark, sf_dir, "documents"), TOKENIZER)
+    return token_offsets(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
 @register("op3_packing")
 def op3_packing(spark, sf_dir):
     from .packing import pack_documents
 
-    return pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER, size=1024)
+    return pack_documents(read_table(spark, sf_dir, "documents"), default_tokenizer(), size=1024)
 
 
 @register("op6_license_scan")
@@ -67,7 +77,21 @@ def op9_url_filter(spark, sf_dir):
     return filter_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
-@register("op5_decontamination")
+@register("op5_decontamination", sql=f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+win AS MATERIALIZED (
+  SELECT DISTINCT item_id, w[i + 1 : i + least(10, len(w))] AS win
+  FROM b, UNNEST(range(CASE WHEN len(w) = 0 THEN 0 ELSE len(w) - least(10, len(w)) + 1 END)) AS t(i)),
+lengths AS (SELECT DISTINCT len(win) AS n FROM win),
+places AS (SELECT rid, i, n, w[i + 1 : i + n] AS win FROM d, lengths, UNNEST(range(greatest(len(w) - n + 1, 0))) AS t(i)),
+hits AS MATERIALIZED (SELECT rid, i, n, item_id FROM places JOIN win USING (win)),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid),
+items AS (SELECT rid, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
+""")
 def op5_decontamination(spark, sf_dir):
     from .decontaminate import find_contamination
 
@@ -109,7 +133,18 @@ def op10_topk_search(spark, sf_dir):
     return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
 
 
-@register("op1_substring_dedup")
+@register("op1_substring_dedup", sql=f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS MATERIALIZED (
+  SELECT rid, i, md5(array_to_string(w[i + 1 : i + 35], ' ')) AS h FROM d, UNNEST(range(greatest(len(w) - 34, 0))) AS t(i)),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+covered AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM windows JOIN repeated USING (h)),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN covered USING (rid, p) GROUP BY rid),
+gone AS (SELECT rid, count(*) AS n FROM covered GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)
+""")
 def op1_substring_dedup(spark, sf_dir):
     from .substring_dedup import dedup_substrings
 
@@ -117,7 +152,20 @@ def op1_substring_dedup(spark, sf_dir):
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@register("op4_jaccard_join")
+@register("op4_jaccard_join", sql=f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 3], ' ') AS s
+  FROM d, UNNEST(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 2, 1) END)) AS t(i)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles AS a JOIN shingles AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least_id, doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) USING (doc_id)
+""")
 def op4_jaccard_join(spark, sf_dir):
     from .jaccard_join import link_documents
 

@@ -7,8 +7,9 @@ import pyarrow as pa
 from llm_fixtures import AWKWARD, documents
 
 from specsheet.llm import jaccard_join, packing, substring_dedup, token_files, words
-from specsheet.llm.queries import TOKENIZER
+from specsheet.llm.queries import default_tokenizer
 
+TOKENIZER = default_tokenizer()
 BITS = [bin(i).count("1") % 2 for i in range(2048)]
 ONE = "".join("ab"[b] for b in BITS)
 TWO = "".join("ba"[b] for b in BITS)

@@ -15,7 +15,9 @@ from specsheet.llm import packing, quality, secrets, substring_dedup, token_file
 from specsheet.llm.decontaminate import drop_contaminated, find_contamination
 from specsheet.llm.licenses import BASE as PHRASES
 from specsheet.llm.licenses import detect, scan_licenses
-from specsheet.llm.queries import TOKENIZER
+from specsheet.llm.queries import default_tokenizer
+
+TOKENIZER = default_tokenizer()
 
 
 def prose(rnd, n):
