@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specsheet.llm.queries import TOKENIZER
 from specsheet.llm.scratch import Scratch
 from specsheet.sources.tables import read_table
 
@@ -46,8 +45,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences of 1024 tokens."""
     from specsheet.llm.packing import pack_documents
+    from specsheet.llm.queries import default_tokenizer
 
-    return pack_documents(docs, TOKENIZER, size=1024)
+    return pack_documents(docs, default_tokenizer(), size=1024)
 
 
 STAGES = [
