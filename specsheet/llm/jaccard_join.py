@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch, own_names
-from .words import HashedText, Runs, hashed_texts, mix
+from .words import HashedText, Runs, hashed_texts, joint_codes, mix, text_bytes
 
 _SETS = "doc_id long, text_hash long, n long, low long, high long, prefix array<long>, bits binary"
 PAIRS = 1 << 18  # pairs of a unit held at a time
@@ -51,10 +51,13 @@ def shingles(text: HashedText, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens, Runs(text.two).hashes(starts[first], ends[first])
 
 
-def written_shingles(text: bytes, n: int) -> set[bytes]:
-    """The distinct shingles of a text themselves, words joined by one space."""
-    words = text.lower().split()  # of bytes: A-Z alone, between space and \x09-\x0D
-    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+def texts_link(a: bytes, b: bytes, n: int, percent: int) -> bool:
+    """Whether two texts with words link, by their shingles themselves."""
+    x, y = joint_codes([a, b], n)
+    if isinstance(x, tuple) or isinstance(y, tuple):  # fewer than n words: one shingle, equal to none but its like
+        return isinstance(x, tuple) and isinstance(y, tuple) and x == y
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def level(size: int) -> int:
@@ -324,23 +327,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     """The pairs of classes whose texts link, by their shingles as written; ``texts``: one per class."""
 
     def verify(batches):
-        known: dict[int, set] = {}
-        held = 0
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i in range(len(a)):
-                sets = []
-                for class_id, column in ((a[i], 2), (b[i], 3)):
-                    if class_id not in known:
-                        if held > 1 << 18:  # shingles
-                            known.clear()
-                            held = 0
-                        known[class_id] = written_shingles(batch.column(column)[i].as_py().encode(), n)
-                        held += len(known[class_id])
-                    sets.append(known[class_id])
-                both = len(sets[0] & sets[1])
-                keep.append(100 * both >= percent * (len(sets[0]) + len(sets[1]) - both))
+            a, b = (text_bytes(batch.column(c)) for c in (2, 3))
+            keep = [texts_link(a[0][a[1][i] : a[1][i + 1]].tobytes(), b[0][b[1][i] : b[1][i + 1]].tobytes(), n, percent) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     left = texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text"))
@@ -394,12 +383,12 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         pairs = handed.where("unit IS NULL").select("a", "b")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct()
         ids = scratch.table(ids.join(classes.select("id", "of"), F.col("own") == F.col("id")).select(
-            "id", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash")), f"{name}-ids")
+            "id", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash")), f"{name}-ids", size)
         few = ids.count() <= broadcast_ids
         same = (F.col("doc_id") == F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
         texts = rows.join(F.broadcast(ids) if few else ids, same).select("id", "text").dropDuplicates(["id"])
         more = handed.where("unit IS NOT NULL").select(F.col("unit").alias("left"))
-        return scratch.table(verified(pairs, texts, n, percent), f"{name}-links"), more
+        return scratch.table(verified(pairs, texts, n, percent), f"{name}-links", 16 * size), more
 
     def still_open(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """Rows of the entries whose classes lie in two components or more; of entries of one block

@@ -80,14 +80,43 @@ def feature_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return out
 
 
-def distinct_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct byte runs among ``data[bounds[i]:bounds[i + 1]]``, compared as bytes, and which one each is."""
+def _coded_runs(data: np.ndarray, bounds: np.ndarray) -> pa.DictionaryArray:
     values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [
         None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = values.dictionary_encode()
+    return values.dictionary_encode()
+
+
+def distinct_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte runs among ``data[bounds[i]:bounds[i + 1]]``, compared as bytes, and which one each is."""
+    coded = _coded_runs(data, bounds)
     return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
+def joint_codes(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of ``n`` words of each text (of all its words, if fewer) as numbers that are equal
+    where the words are, compared as bytes; lower-cased A-Z."""
+    found = [np.frombuffer(t.lower(), np.uint8) for t in texts]
+    bounds = [word_bounds(d) for d in found]
+    sizes = [len(starts) for starts, _ in bounds]
+    data = np.concatenate([d[~WHITE[d]] for d in found])
+    ids = _coded_runs(data, np.append(0, np.cumsum(np.concatenate([e - s for s, e in bounds])))).indices.to_numpy().astype(np.int64)
+    codes = ids
+    most = int(ids.max(initial=0)) + 1
+    radix = most
+    for k in range(1, n):
+        if radix * most >= 1 << 62:  # ranks instead: as few numbers as there are runs
+            codes = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+            radix = int(codes.max(initial=0)) + 1
+        codes = codes[: max(0, len(ids) - k)] * most + ids[k:]
+        radix *= most
+    at, out = 0, []
+    for size in sizes:
+        whole = np.unique(codes[at : at + size - n + 1]) if size >= n else None
+        out.append(whole if whole is not None else tuple(ids[at : at + size].tolist()))
+        at += size
+    return out
+
+
 _KEYS = ("corpus word key1", "corpus word key2")  # sixteen signs each
 
 
