@@ -197,9 +197,9 @@ def class_shap(df: DataFrame, model, feature_cols: Sequence[str], id_col: str =
 
 
 def background_sample(df: DataFrame, n: int = 100, seed: int = 42, id_col: str = "row_id") -> DataFrame:
-    """A deterministic background of at most ``n`` rows (the ``n`` smallest seeded hashes; a
-    sampling operator, so the limit is the feature)."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    """A deterministic background of at most ``n`` rows (those of the ``n`` smallest seeded digests of their ids;
+    a sampling operator, so the limit is the feature)."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(n)
 
 
 def linear_shap(df: DataFrame, weights: dict[str, float], background: DataFrame, id_col: str = "row_id",

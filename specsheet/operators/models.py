@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .clean import ACCEL
 from .features import CATEGORIES, MODEL_NUMERIC, impute_median, median_stats
 from .metrics import (balanced_weights, classification_metrics, classification_report, confusion,
                       contiguous_folds, random_split, regression_metrics, stratified_folds, stratified_split)
@@ -116,7 +117,7 @@ class _Base:
 
     def _model(self, name: str | None) -> tuple[str, PipelineModel]:
         if not self.is_fitted:
-            raise ValueError("Model not fitted. Call train() first.")
+            raise ValueError("train the candidates before using one")
         name = name or self.best_model_name
         if name not in self.models:
             raise ValueError(f"Model {name!r} not available")
@@ -261,13 +262,30 @@ def cv_summary(cv: DataFrame, score: str = "r2") -> DataFrame:
                                    F.count(score).alias("folds"))
 
 
+def _fold_weights(sizes: dict[tuple[int, float], int], held_out: int) -> dict[float, float]:
+    """Balanced class weights of the rows outside a fold, from the counts per fold and class."""
+    counts: dict[float, int] = {}
+    for (fold, label), n in sizes.items():
+        if fold != held_out and label is not None:
+            counts[label] = counts.get(label, 0) + n
+    total = sum(counts.values())
+    return {label: total / (len(counts) * n) for label, n in sorted(counts.items())}
+
+
+# The performance classes are cuts of the acceleration, so a classifier that sees it learns the cuts.
+LEAKY_FEATURES = (ACCEL,)
+
+
 class PerformanceClassifier(_Base):
     """Classification candidates on a stratified split, best by validation weighted F1."""
 
     kind = "classifier"
 
-    def __init__(self, *args, labels: Sequence[str] | None = None, **kw):
+    def __init__(self, *args, labels: Sequence[str] | None = None, drop_leaky: bool = False, **kw):
+        """``drop_leaky`` leaves out the features that the class is made from."""
         super().__init__(*args, **kw)
+        if drop_leaky:
+            self.feature_cols = [c for c in self.feature_cols if c not in LEAKY_FEATURES]
         self.labels: list[str] = list(labels) if labels else []
 
     def _default_candidates(self) -> dict:
@@ -414,10 +432,13 @@ class PerformanceClassifier(_Base):
         rows = stratified_folds(self._index(self._impute(rows, batch=True), target), target, cv, self.seed,
                                 self.id_col)
         data = materialize(rows)
+        sizes = {(r["fold"], r["label"]): r["count"] for r in data.groupBy("fold", "label").count().collect()}  # folds x classes
+        weights = {k: _fold_weights(sizes, k) for k in range(cv)}
 
         def one(task):
             name, est, k = task
-            tr = balanced_weights(data.where(F.col("fold") != k), "label", "weight")
+            weight = F.coalesce(*[F.when(F.col("label") == label, w) for label, w in weights[k].items()], F.lit(0.0))
+            tr = data.where(F.col("fold") != k).withColumn("weight", weight)
             te = data.where(F.col("fold") == k).withColumn("weight", F.lit(1.0))
             try:
                 model = Pipeline(stages=[self._assembler(), self._estimator(est, tr)]).fit(tr)

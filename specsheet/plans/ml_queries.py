@@ -13,7 +13,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from ..operators import charts, explain as E
+from ..operators import charts, explain as E, explore
 from ..operators.clean import ACCEL, HP, PRICE, SPEED, TORQUE
 from ..operators.features import MODEL_NUMERIC, PERF_CATEGORY, UNKNOWN, impute_median
 from ..operators.models import PerformanceClassifier, PricePredictor, cv_summary, regression_candidates
@@ -200,8 +200,7 @@ def q_what_if(spark, sf_dir):
     pp, _ = regressor(spark, sf_dir)
     pc, _ = classifier(spark, sf_dir)
     rows = specs(spark, sf_dir).select("row_id", *MODEL_NUMERIC)
-    priced = pp.predict(rows, out="predicted_price")
-    return pc.predict(priced, out="predicted_category").select("row_id", "predicted_price", "predicted_category")
+    return explore.what_if(pp, pc, rows).select("row_id", "predicted_price", "predicted_category")
 
 
 _MODEL_ROWS = " AND ".join(f"{c} IS NOT NULL" for c in [*MODEL_NUMERIC, PRICE])
@@ -417,16 +416,16 @@ def q_explain_row_linear(spark, sf_dir):
     "SELECT row_id, feature, round(shap_value, 4) AS shap_value FROM (SELECT row_id, "
     + ", ".join(f"{w!r} * ({c} - m_{i}) AS p{i}" for i, (c, w) in enumerate(_LIN_W.items())) + " FROM specs, (SELECT "
     + ", ".join(f"avg({c}) AS m_{i}" for i, c in enumerate(_LIN_W)) + " FROM (SELECT * FROM specs WHERE "
-    + " AND ".join(f"{c} IS NOT NULL" for c in _LIN_W) + " ORDER BY row_id LIMIT 16)) WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in _LIN_W) + " ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id LIMIT 100)) WHERE "
     + " AND ".join(f"{c} IS NOT NULL" for c in _LIN_W) + ") CROSS JOIN LATERAL (VALUES "
     + ", ".join(f"('{c}', p{i})" for i, c in enumerate(_LIN_W)) + ") v(feature, shap_value)"))
 def q_shap_any_linear(spark, sf_dir):
     """Exact enumeration for a model given as an expression; a linear one has a closed form. The
-    background is a sample by definition: the 16 complete rows of least id."""
+    background is a seeded sample of 100 complete rows."""
     rows = _linear_phi(spark, sf_dir)[1]
     model = SQLTransformer(statement="SELECT *, " + " + ".join(f"{w!r} * {c}" for c, w in _LIN_W.items())
                            + " AS prediction FROM __THIS__")
-    phi = E.exact_shap(rows, model, list(_LIN_W), rows.orderBy("row_id").limit(16))
+    phi = E.exact_shap(rows, model, list(_LIN_W), E.background_sample(rows, 100))
     return phi.select("row_id", "feature", r("shap_value", 4))
 
 

@@ -36,7 +36,7 @@ RAW_NAMES = [
 def check_required(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> None:
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing expected columns: {missing}")
+        raise ValueError(f"no such columns in the header: {missing}")
 
 
 def _read(spark: SparkSession, path: str | list[str], encoding: str, multi_line: bool) -> DataFrame:
@@ -45,7 +45,7 @@ def _read(spark: SparkSession, path: str | list[str], encoding: str, multi_line:
                 .option("encoding", encoding).option("multiLine", multi_line).csv(path))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            raise FileNotFoundError(f"Dataset not found at: {path}") from e
+            raise FileNotFoundError(f"no file at {path}") from e
         raise
 
 

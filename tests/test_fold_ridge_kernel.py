@@ -147,3 +147,24 @@ def test_a_failing_chart_leaves_old_data(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{out}/price_histogram").count() == 50
     assert all(r["run"] != before[c] for c, r in after.items() if c != "price_histogram")
     assert not [p.name for p in (tmp_path / "charts").iterdir() if p.name.startswith("_staging")]
+
+
+def test_fold_weights_equal_balanced_weights(spark):
+    from specsheet.operators.models import PerformanceClassifier, _fold_weights
+
+    rows = [(i, float(i % 7 % 3), i % 4) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id long, label double, fold int")
+    sizes = {(r["fold"], r["label"]): r["count"] for r in df.groupBy("fold", "label").count().collect()}
+    for k in range(4):
+        want = {r["label"]: r["weight"] for r in metrics.balanced_weights(df.where(F.col("fold") != k), "label").collect()}
+        assert _fold_weights(sizes, k) == pytest.approx(want)
+    assert "Acceleration_Sec" not in PerformanceClassifier(drop_leaky=True, fast=True).feature_cols
+    assert "Acceleration_Sec" in PerformanceClassifier(fast=True).feature_cols
+
+
+def test_background_sample_is_seeded_and_spread(spark):
+    df = spark.range(5000).withColumnRenamed("id", "row_id")
+    one = sorted(r[0] for r in E.background_sample(df, 100).collect())
+    assert one == sorted(r[0] for r in E.background_sample(df.repartition(7), 100).collect()) and len(one) == 100
+    assert one != sorted(r[0] for r in E.background_sample(df, 100, seed=1).collect())
+    assert 1500 < sum(one) / 100 < 3500
