@@ -6,7 +6,7 @@ bits of a double in the order of its values, for all groups and all ranks at onc
 
 1. one hash aggregate counts the rows of each group by the top 22 bits (sign, exponent and ten bits of
    the mantissa); running counts say which of these cells holds each target rank, and the rank in it;
-2. rows of those cells are counted by the next 21 bits, all others collapse to one row per group;
+2. rows of those cells are counted by the next 21 bits, all others are passed over;
 3. the same by the last 21 bits, where a cell is one value: the one at the target rank.
 
 A group has at most 2^22, 2^21 and 2^21 cells per rank in the three passes, whatever the
@@ -52,20 +52,23 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
 LOW_BITS, MID_BITS = 21, 21
 
 
-def ordered_bits(v: Column) -> Column:
-    """The bits of a double as a long that orders like the value: exponent and mantissa of its magnitude,
-    negated for negative values. Both zeros are 0; NaN comes after all others."""
-    a = F.abs(v)
-    guess = F.floor(F.log2(a))  # the logarithm may be off by one at a power of two
-    power = F.pow(F.lit(2.0), guess)
-    e = guess + F.when(power > a, -1).when(power * 2 <= a, 1).otherwise(0)
-    mantissa = a / F.pow(F.lit(2.0), e) - 1.0  # exact: a power of two divides, and 1 <= a / 2^e < 2
-    normal = (e + 1023) * F.lit(1 << 52) + (mantissa * float(1 << 52)).cast("long")
-    bits = (F.when(a == 0, F.lit(0).cast("long"))
+def with_ordered_bits(df: DataFrame, v: str, out: str) -> DataFrame:
+    """Adds the bits of the double ``v`` as a long that orders like the value: exponent and mantissa of its
+    magnitude, negated for negative values. Both zeros are 0; NaN comes after all others. In steps, so
+    that the logarithm and the powers are taken once a value."""
+    a, guess, power, e = (F.col(f"__bits_{c}") for c in "agpe")
+    two = F.lit(2.0)
+    normal = (a > 0) & (a < float("inf"))  # not NaN, zero or infinite
+    steps = df.withColumn("__bits_a", F.abs(F.col(v))) \
+        .withColumn("__bits_g", F.when(normal, F.least(F.floor(F.log2(a)), F.lit(1023))).otherwise(F.lit(0)).cast("int")) \
+        .withColumn("__bits_p", F.pow(two, guess)) \
+        .withColumn("__bits_e", guess + F.when(power > a, -1).when(power * 2 <= a, 1).otherwise(0))  # the logarithm may be off by one
+    base = F.when(e == guess, power).when(e < guess, power / 2).otherwise(power * 2)  # exact, as is the division by it
+    bits = (F.when(a < 2.0**-1022, (a * 2.0**537 * 2.0**537).cast("long"))
             .when(a == float("inf"), F.lit(2047 << 52).cast("long"))
-            .when(a < 2.0**-1022, (a * 2.0**537 * 2.0**537).cast("long"))
-            .otherwise(normal.cast("long")))
-    return F.when(F.isnan(v), F.lit((1 << 63) - 1).cast("long")).when(v < 0, -bits).otherwise(bits)
+            .otherwise((e + 1023).cast("long") * (1 << 52) + ((a / base - 1.0) * float(1 << 52)).cast("long")))
+    signed = F.when(F.isnan(F.col(v)), F.lit((1 << 63) - 1).cast("long")).when(F.col(v) < 0, -bits).otherwise(bits)
+    return steps.withColumn(out, F.when(F.col(v).isNotNull(), signed)).drop(*[f"__bits_{c}" for c in "agpe"])
 
 
 def quantiles(
@@ -120,7 +123,7 @@ def quantiles(
     # each pass hands everything to the next and nothing is joined back.
     consts = ["n", "__min", "__max"]
     found = _top_cells(first, keys, ranks, aggs, carried)
-    keyed = first.select(*keys, "__v", ordered_bits(F.col("__v")).alias("__k"))
+    keyed = with_ordered_bits(first.select(*keys, "__v"), "__v", "__k")
     for bits in (("__mid", LOW_BITS, MID_BITS), ("__low", 0, LOW_BITS)):
         # Every row has its group: a left join, so that only the groups' side can be broadcast.
         joined = keyed.join(F.broadcast(found) if few_groups else found, keys, "left") if keys else attach(keyed, found, keys)
@@ -151,8 +154,8 @@ def _top_cells(first: DataFrame, keys: list[str], ranks: Sequence[Column], aggs:
     """Per group ``n``, ``__min``, ``__max``, the carried aggregates and, for each rank, the top bits of its
     value (``__t<i>``) and its rank among the values that have them (``__r<i>``). One scan: a group's totals
     and its cells are two grouping sets of one aggregate."""
-    top = F.shiftright(ordered_bits(F.col("__v")), LOW_BITS + MID_BITS)
-    cells = first.withColumn("__top", top).groupingSets([[F.col(c) for c in keys], [*[F.col(c) for c in keys], F.col("__top")]],
+    top = F.shiftright("__k", LOW_BITS + MID_BITS)
+    cells = with_ordered_bits(first, "__v", "__k").withColumn("__top", top).groupingSets([[F.col(c) for c in keys], [*[F.col(c) for c in keys], F.col("__top")]],
                                                         *keys, "__top").agg(
         *aggs, F.count("__v").alias("__c"), F.min("__v").alias("__mn"), F.max("__v").alias("__mx"), F.grouping("__top").alias("__all"))
     whole = F.col("__all") == 1
@@ -170,13 +173,13 @@ def _top_cells(first: DataFrame, keys: list[str], ranks: Sequence[Column], aggs:
 
 
 def _next_cells(rows: DataFrame, keys: list[str], consts: list[str], carried: list[str], k: int, name: str, shift: int, bits: int) -> DataFrame:
-    """The same a level of bits further down, for the rows in the cells ``__t<i>``; all others collapse to one
-    row. At the last level a cell is one value (``__v<i>``)."""
+    """The same a level of bits further down, for the rows in the cells ``__t<i>``; all others go (those of groups
+    without values collapse to one row). At the last level a cell is one value (``__v<i>``)."""
     above = F.shiftright("__k", shift + bits)
     inside = F.coalesce(reduce(lambda x, y: x | y, [above == F.col(f"__t{i}") for i in range(k)]), F.lit(False))
     digit = F.shiftright("__k", shift).bitwiseAND((1 << bits) - 1)
     wanted = [f"{c}{i}" for i in range(k) for c in ("__t", "__r")]
-    cells = rows.select(*keys, *consts, *carried, *wanted, "__v", F.when(inside, above).alias("__top"), F.when(inside, digit).alias(name)) \
+    cells = rows.where(inside | (F.col("n") == 0)).select(*keys, *consts, *carried, *wanted, "__v", F.when(inside, above).alias("__top"), F.when(inside, digit).alias(name)) \
         .groupBy(*keys, "__top", name).agg(
             F.count("__v").alias("__c"), F.min("__v").alias("__value"), *[F.first(c).alias(c) for c in [*consts, *wanted, *carried]])
     w = Window.partitionBy(*keys, "__top").orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
