@@ -10,7 +10,10 @@ tokens are indexed alone and frequent ones in pairs within their subclass. The n
 subclasses grows with set size by levels of four; a class near the next level is indexed for both.
 
 A class whose size fits no class of another component in an entry leaves that entry. Classes that share an index
-entry are compared in units of two blocks of at most ``block`` classes, whatever an entry's size.
+entry are compared in units of two blocks of at most ``block`` classes, whatever an entry's size. In entries
+of several blocks all classes first meet a few leaders, so near copies of one template become one
+component in linear time; later its blocks are compared with the entry's other classes alone, never with
+each other.
 Inside a unit, sizes and parity bitmaps (the bits that differ never exceed
 the tokens that differ) discard pairs that cannot link. Three rounds hand on what remains: a
 spanning forest, closest pairs first, from a few entries of each class; one between components from
@@ -338,7 +341,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return both.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long")
 
 
-def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int = 40, block: int = 1024,
+def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int = 40, block: int = 1024, leaders: int = 32,
                    broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``."""
     scratch = Scratch(docs.sparkSession, "jaccard-join")
@@ -371,12 +374,26 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
     sketch = classes.select(F.col("id").alias("own"), "bits")
 
     def units(rows: DataFrame) -> DataFrame:
-        """Classes with their sketches, once per pair of blocks that theirs belongs to."""
-        own = F.pmod(F.xxhash64("id", "unit"), F.col("blocks")).cast("int")
-        blocks = rows.select("unit", "id", "n", "root", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        """Classes with their sketches, once per pair of blocks that theirs belongs to. An entry's largest component
+        has blocks of its own, which are not compared with each other."""
+        mark, major = F.xxhash64("id", "unit"), F.col("root").eqNullSafe(F.col("major"))
+        own = F.when(major, F.pmod(mark, F.col("major_blocks"))).otherwise(F.col("major_blocks") + F.pmod(mark, F.col("minor_blocks"))).cast("int")
+        first = F.when(major, F.col("major_blocks")).otherwise(F.lit(0))
+        others = F.sequence(first, F.col("major_blocks") + F.col("minor_blocks") - 1)
+        return with_sketch(rows.select("unit", "id", "n", "root", own.alias("block"), F.explode(others).alias("with")))
+
+    def with_sketch(blocks: DataFrame) -> DataFrame:
         return blocks.join(sketch, F.col("id") == F.col("own")).select(
             "unit", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "bits", "root")
 
+    def leader_units(large: DataFrame) -> DataFrame:
+        """The classes of large entries in blocks, each along with a few leaders of the entry."""
+        by_hash = Window.partitionBy("unit").orderBy(F.xxhash64("id", "unit"), "id")  # limited in each task before the shuffle
+        lead = large.withColumn("turn", F.row_number().over(by_hash)).where(F.col("turn") <= leaders)
+        lead = lead.select("unit", "id", "n", "root", F.lit(-1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        own = F.pmod(F.xxhash64("id", "unit"), F.col("blocks")).cast("int")
+        return with_sketch(large.select("unit", "id", "n", "root", own.alias("block"), F.lit(-1).alias("with")).unionByName(lead))
+
     def check(found_pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """The verified pairs, and the units that have more pairs."""
         handed = scratch.table(found_pairs, f"{name}-pairs", 4 * size)
@@ -390,19 +407,28 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         more = handed.where("unit IS NOT NULL").select(F.col("unit").alias("left"))
         return scratch.table(verified(pairs, texts, n, percent), f"{name}-links", 16 * size), more
 
-    def still_open(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    def still_open(rows: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
         """Rows of the entries whose classes lie in two components or more; of entries of one block
-        those with a partner."""
-        rooted = rows.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+        those with a partner. With the numbers of blocks of an entry's largest component and of its others."""
+        rooted = rows.withColumn("root", F.col("id"))
+        if roots is not None:
+            rooted = rows.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
         rooted = scratch.table(rooted, f"{name}-rooted", 8 * size)
-        large = rooted.where("blocks > 1")
-        some = large.groupBy(F.col("unit").alias("open")).agg(F.min("root").alias("least"), F.max("root").alias("most")).where(
-            "least <> most").select("open")
-        large = large.join(scratch.table(some, f"{name}-open", size), F.col("unit") == F.col("open"), "left_semi")
-        return with_partners(rooted.where("blocks = 1"), percent).unionByName(large)
-
-    few = found.where(F.col("place") <= 4).withColumn("root", F.col("id"))
-    links, _ = check(possible_pairs(units(few), percent, every=False), "few")
+        in_blocks = lambda c: F.ceil(c / block).cast("int")
+        some = rooted.where("blocks > 1").groupBy("unit", "root").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("unit").alias("open")).agg(
+            F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("m")).where("most < m")
+        some = some.select("open", "major", in_blocks(F.col("most")).alias("major_blocks"), in_blocks(F.col("m") - F.col("most")).alias("minor_blocks"))
+        large = rooted.where("blocks > 1").join(scratch.table(some, f"{name}-open", size), F.col("unit") == F.col("open")).drop("open")
+        small = rooted.where("blocks = 1")
+        small = small if roots is None else with_partners(small, percent)  # found has them without roots
+        return small.withColumns({"major": F.lit(None).cast("long"), "major_blocks": F.lit(0), "minor_blocks": F.lit(1)}).unionByName(large)
+
+    large, links, roots = found.where("blocks > 1").withColumn("root", F.col("id")), None, None
+    if large.limit(1).count():
+        links, _ = check(possible_pairs(leader_units(large), percent, every=False), "leaders")
+        roots = components(links, scratch, "leader-roots")
+    more, _ = check(possible_pairs(units(still_open(found.where(F.col("place") <= 4), roots, "few")), percent, every=False), "few")
+    links = more if links is None else links.unionByName(more)
     roots, open_rows = components(links, scratch, "few-roots"), found
     for name, every in (("forest", False), ("rest", True)):
         more, left = check(possible_pairs(units(still_open(open_rows, roots, name)), percent, every), name)
