@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..operators import charts, explain as E, explore
 from ..operators.clean import ACCEL, HP, PRICE, SPEED, TORQUE
-from ..operators.features import MODEL_NUMERIC, PERF_CATEGORY, UNKNOWN, impute_median
+from ..operators.boosting import SoftmaxBoosting
+from ..operators.features import CATEGORIES, MODEL_NUMERIC, PERF_CATEGORY, UNKNOWN, impute_median
 from ..operators.models import PerformanceClassifier, PricePredictor, cv_summary, regression_candidates
 from ..session import ensure_checkpoint_dir, materialize
 from . import oracle as O
@@ -249,6 +250,18 @@ for _query, _name in (("clf_rf", "random_forest"), ("clf_gbt", "gradient_boostin
         f"SELECT row_id, true AS known, 1.0::DOUBLE AS total FROM specs WHERE {_CLASS_ROWS}"))(_classified(_name))
 
 
+@register("clf_softmax", O.with_specs(f"SELECT row_id, true AS known, 1.0::DOUBLE AS total FROM specs WHERE {_CLASS_ROWS}"))
+def q_clf_softmax(spark, sf_dir):
+    """Classes and probabilities of one multiclass boosting model (a tree per class and round)."""
+    rows = class_df(spark, sf_dir)
+    codes = F.array(*[F.lit(c) for c in CATEGORIES])
+    label = F.nullif(F.array_position(codes, F.col(PERF_CATEGORY)), F.lit(0)) - 1
+    model = SoftmaxBoosting(MODEL_NUMERIC, rounds=30, depth=4, step=0.2).fit(rows.withColumn("label", label), "label", len(CATEGORIES))
+    out = model.transform(rows)
+    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
+    return out.select("row_id", F.get(codes, F.col("prediction").cast("int")).isNotNull().alias("known"), F.round(total, 6).alias("total"))
+
+
 @register("what_if_rows", O.with_specs("SELECT row_id, true AS priced, true AS labelled FROM specs"))
 def q_what_if_rows(spark, sf_dir):
     """Every spec row gets a price and a category, missing features or not."""
