@@ -6,7 +6,7 @@ finished, so a lost executor or a second attempt never leaves half a file in use
 before each file (its base) is a prefix sum over one row per file.
 
 Cases: a null text is empty and yields the end id alone; null ids sort first; rows with equal ids
-all stay, ordered by text; an empty table gives no files and no rows; other columns are ignored.
+all stay, in the order of their texts' first 32 signs and a hash of them; an empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,7 +69,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
 
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows without an id, or with one repeated id, are spread by their texts.
+    keys = ["doc_id", F.coalesce(F.substring("text", 1, 32), F.lit("")), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     files = sorted(ordered.mapInArrow(write, _MANIFEST).collect())  # one small row per file
     doc, token, manifest = 0, 0, []
     for f in files:  # the prefix sums
@@ -80,12 +82,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
     return out
 
 
-def map_file(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """The file's integers: memory-mapped where the file system is local, else read."""
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.readall(), dtype=dtype)
+class FileInts:
+    """A file's integers by range: memory-mapped where the file system is local, else read range by range."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        local = isinstance(fs, pafs.LocalFileSystem)
+        self.map = np.memmap(path, dtype=dtype, mode="r") if local and os.path.getsize(path) else None
+        self.file = None if local else fs.open_input_file(path)
+        self.size = (len(self.map) if self.map is not None else 0) if local else self.file.size() // self.dtype.itemsize
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.file is None:
+            return self.map[at] if self.map is not None else np.zeros(0, self.dtype)
+        begin, end = max(0, at.start), min(at.stop, self.size)
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at(max(0, end - begin) * width, begin * width), dtype=self.dtype)
 
 
 def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -97,17 +109,17 @@ def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -
         for batch in batches:
             for row in batch.to_pylist():
                 path = f"{root}/{row['file']}"
-                tokens = map_file(fs, f"{path}.bin", row["dtype"])
-                offsets = map_file(fs, f"{path}.idx", "<u8").astype(np.int64)
-                doc_ids = map_file(fs, f"{path}.doc", "<i8")
-                for at in range(0, len(doc_ids), 4096):
-                    part, cuts = doc_ids[at : at + 4096], offsets[at : at + 4097]
-                    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                tokens = FileInts(fs, f"{path}.bin", row["dtype"])
+                offsets, doc_ids = FileInts(fs, f"{path}.idx", "<u8"), FileInts(fs, f"{path}.doc", "<i8")
+                for at in range(0, doc_ids.size, 512):
+                    part, cuts = doc_ids[at : at + 512], offsets[at : at + 513].astype(np.int64)
+                    ids = tokens[int(cuts[0]) : int(cuts[-1])]
+                    spans = list(zip((cuts[:-1] - cuts[0]).tolist(), (cuts[1:] - cuts[0]).tolist()))
                     columns = [
                         pa.array(part, pa.int64(), mask=part == NO_ID), pa.array(cuts[:-1] + row["base_token"]),
-                        pa.array(np.diff(cuts)), pa.array([crc32_u4(tokens[a:b]) for a, b in spans], pa.int64())]
+                        pa.array(np.diff(cuts)), pa.array([crc32_u4(ids[a:b]) for a, b in spans], pa.int64())]
                     if with_ids:
-                        columns.append(pa.array([tokens[a:b].astype(np.int64) for a, b in spans], pa.list_(pa.int64())))
+                        columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in spans], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = _READ + (", ids array<long>" if with_ids else "")

@@ -113,6 +113,31 @@ def test_vector_operators_ignore_clashing_columns(spark):
         assert sorted(map(tuple, op(clash).collect())) == sorted(map(tuple, op(plain).collect()))
 
 
+def test_token_files_of_one_id_use_several_files(spark, tmp_path):
+    rows = [(None, f"text {i} of many {i * i}") for i in range(4000)] + [(7, f"other {i}") for i in range(2000)] + [(9, "z")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows make one file
+    try:
+        manifest = token_files.write_token_files(documents(spark, rows), str(tmp_path / "f"), TOKENIZER)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 4 and max(r.docs for r in manifest.collect()) < 3000
+    got = token_files.read_token_files(manifest, str(tmp_path / "f"), with_ids=True).orderBy("start").collect()
+    assert len(got) == 6001 and got[0].doc_id is None and got[-1].doc_id == 9
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()[:-1]]
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got[::97])
+
+
+def test_ranges_of_a_file_that_cannot_be_mapped(tmp_path):
+    from pyarrow import fs as pafs
+
+    np.arange(1000, dtype="<u2").tofile(tmp_path / "x.bin")
+    remote = pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem())  # not a LocalFileSystem itself
+    ints = token_files.FileInts(remote, "x.bin", "<u2")
+    assert ints.size == 1000 and ints[10:20].tolist() == list(range(10, 20)) and ints[990:2000].tolist() == list(range(990, 1000))
+    mapped = token_files.FileInts(pafs.LocalFileSystem(), str(tmp_path / "x.bin"), "<u2")
+    assert mapped.size == 1000 and mapped[5:8].tolist() == [5, 6, 7]
+
+
 # ------------------------------------------------------------- very long texts
 
 
