@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0", size)
     sign = None
-    for step in range(1, 200):
+    for step in count(1):  # a logarithmic number of rounds
         new = scratch.table(_star(_star(now, large=True), large=False), f"{name}-{step}", 2 * size)
         scratch.drop(f"{name}-{step - 1}")
         row = new.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.countDistinct("a")).first()
@@ -41,4 +43,3 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return new.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         now, sign, size = new, tuple(row), row[0]
-    raise RuntimeError("components did not settle")
