@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,14 +68,14 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_train
                 some = batch.slice(at, 256)
                 found = [features(t) for t in _texts(some.column(0))]
                 ends = np.append(0, np.cumsum([len(f) for f in found]))
-                buckets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)).cast(pa.string()))
+                buckets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int64()))
                 yield pa.RecordBatch.from_arrays([buckets, some.column(1), some.column(2)], names=["buckets", *TARGETS])
 
     train = scratch.table(rows.select("text", *[F.col(t).cast("double").alias(t) for t in TARGETS]).mapInArrow(
-        featurize, "buckets array<string>, low double, toxic double"), "train")
+        featurize, "buckets array<long>, low double, toxic double"), "train")
     seen = train.agg(F.count(F.lit(1)), *[F.sum(t) for t in TARGETS]).first()
-    vectorizer = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], inputCol="buckets", outputCol="features")
-    vectors = vectorizer.setBinary(True).setMinTF(1.0).transform(train.coalesce(8)).select("features", *TARGETS)
+    as_vector = F.udf(lambda b: Vectors.sparse(BUCKETS, b, [1.0] * len(b)), VectorUDT())  # of a bounded number of rows
+    vectors = train.coalesce(8).select(as_vector("buckets").alias("features"), *TARGETS)
     out = []
     for target, hits in zip(TARGETS, seen[1:]):
         rate = ((hits or 0.0) + 0.5) / (seen[0] + 1.0)

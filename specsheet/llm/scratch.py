@@ -59,3 +59,4 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()  # broadcasts and generated classes that no plan refers to go with the driver's garbage
