@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -55,7 +56,7 @@ def part_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 class PartEncoder:
     """Ids of texts as arrays of little-endian unsigned integers of type ``dtype``."""
 
-    def __init__(self, path: str, max_parts: int = 300_000):
+    def __init__(self, path: str, max_parts: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,15 +72,18 @@ class PartEncoder:
         self.pool, self.used = np.zeros(1 << 18, self.dtype), 0
 
     def _learn(self, parts: list[bytes]) -> None:
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)):
-            ids, at = e.ids, len(self.known)
-            if at == len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * at), np.resize(self.lengths, 2 * at)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool) + len(ids))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.starts[at], self.lengths[at], self.known[part] = self.used, len(ids), at
-            self.used += len(ids)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        at, to, total = len(self.known), len(self.known) + len(parts), int(lengths.sum())
+        while to > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        if self.used + total > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool) + total)
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.dtype, total)
+        self.starts[at:to] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at:to] = lengths
+        self.known.update(zip(parts, range(at, to)))
+        self.used += total
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """The ids of the UTF-8 texts ``data[bounds[i]:bounds[i + 1]]``, no special tokens added."""
