@@ -423,18 +423,29 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         small = small if roots is None else with_partners(small, percent)  # found has them without roots
         return small.withColumns({"major": F.lit(None).cast("long"), "major_blocks": F.lit(0), "minor_blocks": F.lit(1)}).unionByName(large)
 
-    large, links, roots = found.where("blocks > 1").withColumn("root", F.col("id")), None, None
+    def merged(roots: DataFrame | None, more: DataFrame, name: str) -> DataFrame:
+        """Components of the links so far: those of ``roots``, joined by ``more`` links. Only links between two
+        components are followed, from root to root."""
+        if roots is None:
+            return components(more, scratch, f"{name}-roots")
+        for end in ("a", "b"):
+            rooted = roots.select(F.col("node").alias("own"), F.col("root").alias("up"))
+            more = more.join(rooted, F.col(end) == F.col("own"), "left").withColumn(end, F.coalesce("up", end)).select("a", "b")
+        new = components(scratch.table(more.where("a <> b").distinct(), f"{name}-lifted", size), scratch, f"{name}-roots")
+        up = new.select(F.col("node").alias("own"), F.col("root").alias("up"))
+        old = roots.join(up, F.col("root") == F.col("own"), "left").select("node", F.coalesce("up", "root").alias("root"))
+        return scratch.table(old.unionByName(new.join(roots.select("node"), "node", "left_anti").select("node", "root")), f"{name}-merged", size)
+
+    large, roots = found.where("blocks > 1").withColumn("root", F.col("id")), None
     if large.limit(1).count():
         links, _ = check(possible_pairs(leader_units(large), percent, every=False), "leaders")
-        roots = components(links, scratch, "leader-roots")
-    more, _ = check(possible_pairs(units(still_open(found.where(F.col("place") <= 4), roots, "few")), percent, every=False), "few")
-    links = more if links is None else links.unionByName(more)
-    roots, open_rows = components(links, scratch, "few-roots"), found
+        roots = merged(None, links, "leader")
+    links, _ = check(possible_pairs(units(still_open(found.where(F.col("place") <= 4), roots, "few")), percent, every=False), "few")
+    roots, open_rows = merged(roots, links, "few"), found
     for name, every in (("forest", False), ("rest", True)):
         more, left = check(possible_pairs(units(still_open(open_rows, roots, name)), percent, every), name)
         if more.limit(1).count():
-            links = links.unionByName(more)
-            roots = components(links, scratch, f"{name}-roots")
+            roots = merged(roots, more, name)
         open_rows = found.join(left, F.col("unit") == F.col("left"), "left_semi")
     scratch.drop("found")
 
