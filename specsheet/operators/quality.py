@@ -79,22 +79,25 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 def column_summary(df: DataFrame, columns: Sequence[str] | None = None, order_col: str = "row_id") -> DataFrame:
     """Per column: dtype, non_null_count, null_count, null_percentage (2 dp), unique_values
-    (nulls excluded), sample_value (text of the first row by ``order_col``)."""
+    (nulls excluded), sample_value (text of the first row by ``order_col``).
+
+    Values are counted by column and text first, in aggregates of numbers that hash and spill; no task holds a column."""
     cols = _columns(df, columns)
     types = dict(df.dtypes)
     order = F.col(order_col) if order_col in df.columns else F.monotonically_increasing_id()
-    long = df.select(order.alias("__o"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols
-    ])).alias("kv")).select("__o", "kv.column", "kv.value")
-    agg = long.groupBy("column").agg(
-        F.count("value").alias("non_null_count"),
-        F.count_if(F.col("value").isNull()).alias("null_count"),
-        F.count_distinct("value").alias("unique_values"),
-        F.min_by(F.struct("value"), "__o").alias("__first"),
-    )
+    texts = df.select(order.alias("__o"), F.array(*[F.col(f"`{c}`").cast("string") for c in cols]).alias("__v"))
+    first = texts.agg(F.min_by("__v", "__o").alias("__first"))  # one row
+    long = texts.select(F.posexplode("__v").alias("__p", "value"))
+    counts = long.groupBy("__p", "value").agg(F.count(F.lit(1)).alias("__c"))
+    known = F.col("value").isNotNull()
+    agg = counts.groupBy("__p").agg(
+        F.coalesce(F.sum(F.when(known, F.col("__c"))), F.lit(0)).alias("non_null_count"),
+        F.coalesce(F.sum(F.when(~known, F.col("__c"))), F.lit(0)).alias("null_count"),
+        F.count("value").alias("unique_values"),
+    ).withColumn("column", F.get(F.array(*[F.lit(c) for c in cols]), F.col("__p"))).crossJoin(F.broadcast(first))
     dtype = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
     total = F.col("non_null_count") + F.col("null_count")
     return agg.select(
         "column", dtype[F.col("column")].alias("dtype"), "non_null_count", "null_count",
         F.round(F.col("null_count") / total * 100, 2).alias("null_percentage"), "unique_values",
-        F.col("__first.value").alias("sample_value"))
+        F.get("__first", F.col("__p")).alias("sample_value"))
