@@ -122,32 +122,80 @@ def tree_leaves(spark, model, d: int) -> Leaves:
     return Leaves(*(np.concatenate(p) for p in zip(*found)))
 
 
+def _path_nodes(leaves: Leaves) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre nodes and weights on [0, 1], enough for the longest path."""
+    on_path = (np.isfinite(leaves.low) | np.isfinite(leaves.high)).sum(axis=1).max(initial=1)
+    points, weights = np.polynomial.legendre.leggauss(max(1, -(-int(on_path) // 2)))
+    return (points + 1) / 2, weights / 2
+
+
+def _shares(meets: list[np.ndarray], share: np.ndarray, points: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """``phi_j / v`` of every row and leaf, for each feature; ``meets[j]`` says (as 0 or 1) whether a row satisfies the leaf's
+    tests on ``j``."""
+    d = len(meets)
+    total = [np.zeros(meets[0].shape) for _ in range(d)]
+    for t, w in zip(points, weights):
+        factor = [share[:, j] * (1 - t) + meets[j] * t for j in range(d)]
+        before = [np.full(meets[0].shape, w)]
+        for j in range(d - 1):
+            before.append(before[-1] * factor[j])
+        after = 1.0
+        for j in reversed(range(d)):
+            total[j] += before[j] * after
+            after = after * factor[j]
+    return [(meets[j] - share[:, j]) * total[j] for j in range(d)]
+
+
 def leaf_sums(x: np.ndarray, leaves: Leaves) -> np.ndarray:
-    """Attributions ``(rows, features, outputs)`` of the rows ``x``; memory is bounded by the blocks."""
+    """Attributions ``(rows, features, outputs)`` of the rows ``x``; memory is bounded by the blocks.
+
+    A leaf's part of a row's attributions depends on nothing but which features' tests the row meets. With
+    ``2^d`` such patterns no more than rows, every pattern is worked out once a leaf and rows look theirs up;
+    with more of them, row by row."""
     d = x.shape[1]
+    if 2**d <= len(x):
+        return _pattern_sums(x, leaves)
     phi = np.zeros((len(x), d, leaves.value.shape[1]))
-    on_path = (np.isfinite(leaves.low) | np.isfinite(leaves.high)).sum(axis=1).max(initial=1)
-    points, weights = np.polynomial.legendre.leggauss(max(1, -(-int(on_path) // 2)))
+    points, weights = _path_nodes(leaves)
     for a in range(0, len(leaves.low), 2048):
         low, high, share, value = (part[a : a + 2048] for part in leaves)
         for r in range(0, len(x), 64):
             rows = x[r : r + 64]
             meets = [((rows[:, j, None] > low[:, j]) & (rows[:, j, None] <= high[:, j])).astype(float) for j in range(d)]
-            total = [np.zeros(meets[0].shape) for _ in range(d)]
-            for t, w in zip((points + 1) / 2, weights / 2):
-                factor = [share[:, j] * (1 - t) + meets[j] * t for j in range(d)]
-                before = [np.full(meets[0].shape, w)]
-                for j in range(d - 1):
-                    before.append(before[-1] * factor[j])
-                after = 1.0
-                for j in reversed(range(d)):
-                    total[j] += before[j] * after
-                    after = after * factor[j]
-            for j in range(d):
-                phi[r : r + 64, j] += ((meets[j] - share[:, j]) * total[j]) @ value
+            for j, part in enumerate(_shares(meets, share, points, weights)):
+                phi[r : r + 64, j] += part @ value
     return phi
 
 
+def _pattern_sums(x: np.ndarray, leaves: Leaves) -> np.ndarray:
+    d, outputs = x.shape[1], leaves.value.shape[1]
+    phi = np.zeros((len(x), d * outputs))
+    points, weights = _path_nodes(leaves)
+    columns = [np.ascontiguousarray(x[:, j]) for j in range(d)]
+    patterns = [(np.arange(2**d) >> j & 1).astype(float)[:, None] for j in range(d)]
+    kind = np.min_scalar_type(2**d - 1)
+    some_leaves = max(1, (1 << 17) >> d)
+    for a in range(0, len(leaves.low), some_leaves):
+        low, high, share, value = (part[a : a + some_leaves] for part in leaves)
+        n = len(low)
+        parts = _shares([np.broadcast_to(p, (2**d, n)) for p in patterns], share, points, weights)
+        table = np.stack([p[:, :, None] * value for p in parts], axis=2).transpose(1, 0, 2, 3).reshape(n, 2**d, d * outputs)
+        # a row's side of every test: one lookup a feature, by its place among the block's thresholds
+        cuts = [np.unique(np.concatenate([low[:, j], high[:, j]])) for j in range(d)]
+        place = [np.searchsorted(c, v, side="left") for c, v in zip(cuts, columns)]
+        bits = []
+        for j, c in enumerate(cuts):
+            at = np.arange(len(c) + 1)[None]
+            inside = (at > np.searchsorted(c, low[:, j])[:, None]) & (at <= np.searchsorted(c, high[:, j])[:, None])
+            bits.append(inside.astype(kind) << j)
+        for leaf in range(n):
+            pattern = bits[0][leaf].take(place[0])
+            for j in range(1, d):
+                pattern |= bits[j][leaf].take(place[j])
+            phi += table[leaf].take(pattern, axis=0)
+    return phi.reshape(len(x), d, outputs)
+
+
 def _attributions(df: DataFrame, ensembles: list[Leaves], feature_cols: Sequence[str], id_col: str, classes: bool) -> DataFrame:
     """Long attributions for every output of the ensembles, in order."""
     d = len(feature_cols)

@@ -179,3 +179,21 @@ def test_class_importance_does_not_cancel_and_rows_carry_values(spark):
     assert [tuple(c) for c in rows[1]["contributions"]] == [("a", 2.0, 10.0), ("b", 1.0, 20.0)]
     assert [tuple(c) for c in rows[2]["contributions"]] == [("a", 4.0, None), ("b", 0.0, 5.0)]
     assert rows[2]["prediction"] == 4.0 and [c["feature"] for c in rows[2]["top_positive"]] == ["a"]
+
+
+def test_patterns_are_worked_out_once_whatever_the_rows(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    low, high = np.full((70, 3), -np.inf), np.full((70, 3), np.inf)
+    cuts = rng.random((70, 3))
+    low[rng.random((70, 3)) < 0.4], high[rng.random((70, 3)) < 0.4] = 0.3, 0.7
+    leaves = E.Leaves(low, high, np.where(np.isfinite(low) | np.isfinite(high), cuts, 1.0), rng.normal(size=(70, 2)))
+    x = rng.random((900, 3))
+    x[:4, 0] = [np.nan, np.inf, 0.3, 0.7]
+    by_row = np.concatenate([E.leaf_sums(x[i : i + 7], leaves) for i in range(0, 900, 7)])  # fewer rows than patterns
+    worked = []
+    inner = E._shares
+    monkeypatch.setattr(E, "_shares", lambda meets, *rest: worked.append(meets[0].size) or inner(meets, *rest))
+    assert np.allclose(E.leaf_sums(x, leaves), by_row, atol=1e-12)
+    assert sum(worked) == 8 * 70
