@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from specsheet.operators.models import fit_partitions
 from specsheet.operators.quality import column_summary
 from specsheet.plans.pipeline import specs
 from specsheet.sources.fixture import raw_specs, raw_specs_from_part
@@ -40,3 +41,25 @@ def test_column_summary_holds_no_column_in_a_task(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"SortAggregate\(key=\[\w", plan)
     assert column_summary(rows.limit(0)).count() == 0
+
+
+def test_fits_have_a_partition_a_core_at_most(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert fit_partitions(spark.range(0, 1000, 1, 5 * cores)).rdd.getNumPartitions() == cores
+    assert fit_partitions(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == 1
+
+
+def test_fits_start_from_these_partitions(spark, monkeypatch):
+    from specsheet.operators import models
+
+    seen = []
+    monkeypatch.setattr(models, "Pipeline", lambda stages: type("Fit", (), {"fit": lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or 1 / 0})())
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 300, 1, 3 * cores).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("y"),
+                                                    F.when(F.col("id") % 2 == 0, "x").otherwise("z").alias("k"))
+    models.PricePredictor(["a"], fast=True).train(rows, "y")
+    models.PricePredictor(["a"], fast=True).cross_validate(rows, "y", 2)
+    models.PerformanceClassifier(["a"], fast=True).train(rows, "k")
+    models.PerformanceClassifier(["a"], fast=True).cross_validate(rows, "k", 2)
+    assert len(seen) == 3 + 4 + 3 + 6 and max(seen) <= cores
+    assert all(c["random_forest"].getCacheNodeIds() for c in (models.regression_candidates(), models.classification_candidates()))
