@@ -29,12 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, OneVsRestModel, RandomForestClassificationModel)
-from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..session import ensure_checkpoint_dir
+from ..sources.tables import spread
 
 # ---------------------------------------------------------------- leaf arrays
 
@@ -268,6 +270,57 @@ def linear_weights(model, feature_cols: Sequence[str]) -> tuple[dict[str, float]
     return dict(zip(feature_cols, [float(v) for v in m.coefficients.toArray()])), float(m.intercept)
 
 
+def _linear_scorer(model, feature_cols: Sequence[str]) -> tuple[np.ndarray, float] | None:
+    """Weights and intercept of a model that only assembles these features and scores them linearly, else nothing."""
+    stages = model.stages if isinstance(model, PipelineModel) else []
+    if len(stages) != 2 or not isinstance(stages[0], VectorAssembler) or not isinstance(stages[1], LinearRegressionModel):
+        return None
+    first, last = stages
+    if first.getInputCols() != list(feature_cols) or first.getOutputCol() != last.getFeaturesCol() \
+            or first.getHandleInvalid() != "keep" or last.getPredictionCol() != "prediction":
+        return None
+    return last.coefficients.toArray(), float(last.intercept)
+
+
+def _coalition_weights(d: int) -> np.ndarray:
+    """``(2^d, d)``: phi_i weighs v(S) by w(|S| - 1) where S holds i and by -w(|S|) where it does not."""
+    weight = [math.factorial(m) * math.factorial(d - m - 1) / math.factorial(d) for m in range(d)]
+    return np.array([[weight[s.bit_count() - 1] if s >> i & 1 else -weight[s.bit_count()] for i in range(d)] for s in range(2**d)])
+
+
+def _linear_grid(df: DataFrame, weights: np.ndarray, intercept: float, feature_cols: Sequence[str], background: DataFrame,
+                 id_col: str) -> DataFrame:
+    """``exact_shap`` of a linear model: every coalition with every background row is scored in Arrow batches, one scan
+    and no row per cell of the grid. Rows of one id are averaged, as their scores are in the general form."""
+    d = len(feature_cols)
+    cols = [F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(feature_cols)]
+    names = [f"__x{i}" for i in range(d)]
+    bg = np.array([[np.nan if v is None else v for v in r] for r in background.select(*cols).collect()]).reshape(-1, d)  # a bounded sample
+    share, on = _coalition_weights(d), np.arange(2**d)[:, None] >> np.arange(d) & 1 == 1
+
+    def score(batches):
+        for b in batches:
+            if not b.num_rows or not len(bg):
+                continue
+            x = np.stack([b.column(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in names], axis=1) * weights
+            values = np.empty((len(x), 2**d))
+            for s in range(2**d):
+                own, other = x[:, on[s]].sum(axis=1) + intercept, (bg * weights)[:, ~on[s]].sum(axis=1)
+                values[:, s] = (own[:, None] + other).mean(axis=1)
+            phi = values @ share
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(phi[:, i]) for i in range(d)], pa.array(values[:, 0])],
+                                             names=["__id", *[f"__p{i}" for i in range(d)], "__base"])
+
+    rows = spread(df.select(F.col(id_col).alias("__id"), *cols))
+    kind = rows.schema["__id"].dataType
+    found = rows.mapInArrow(score, StructType([StructField("__id", kind), *[StructField(f"__p{i}", DoubleType()) for i in range(d)],
+                                               StructField("__base", DoubleType())]))
+    one = found.groupBy("__id").agg(*[F.avg(f"__p{i}").alias(f"__p{i}") for i in range(d)], F.avg("__base").alias("__base"))
+    return one.select(F.col("__id").alias(id_col), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"__p{i}").alias("shap_value"), F.col("__base").alias("base_value"))
+        for i, c in enumerate(feature_cols)])))
+
+
 def exact_shap(df: DataFrame, model, feature_cols: Sequence[str], background: DataFrame, id_col: str = "row_id",
                output: str = "prediction", max_features: int = 10) -> DataFrame:
     """Model-agnostic exact Shapley values: every coalition ``S`` of the ``d <= max_features``
@@ -276,10 +329,14 @@ def exact_shap(df: DataFrame, model, feature_cols: Sequence[str], background: Da
 
     Rows x 2^d x background rows are scored by ``model.transform`` in one pass; the background is a
     bounded sample and is broadcast. Rows are spread by id first, so both aggregates stay in their
-    partition; each row's 2^d means then meet fixed weights in one array."""
+    partition; each row's 2^d means then meet fixed weights in one array. A linear model's scores of the same grid are
+    worked out in place, a batch of rows at a time (``_linear_grid``)."""
     d = len(feature_cols)
     if d > max_features:
         raise ValueError(f"exact enumeration needs at most {max_features} features, got {d}")
+    linear = _linear_scorer(model, feature_cols) if output == "prediction" else None
+    if linear is not None:
+        return _linear_grid(df, *linear, feature_cols, background, id_col)
     masks = df.sparkSession.range(2 ** d).select(F.col("id").cast("int").alias("__mask"))
     bg = background.select(*[F.col(c).cast("double").alias(f"__b{i}") for i, c in enumerate(feature_cols)])
     rows = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in feature_cols]).repartition(id_col)
@@ -289,12 +346,10 @@ def exact_shap(df: DataFrame, model, feature_cols: Sequence[str], background: Da
         for i, c in enumerate(feature_cols)])
     means = model.transform(mixed).groupBy(id_col, "__mask").agg(F.avg(output).alias("v"))
     values = means.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("__mask", "v")))["v"].alias("__v"))
-    # phi_i weighs v(S) by w(|S| - 1) where S holds i and by -w(|S|) where it does not
-    weight = [math.factorial(m) * math.factorial(d - m - 1) / math.factorial(d) for m in range(d)]
+    share = _coalition_weights(d)
 
     def phi(i: int) -> Column:
-        weights = [weight[s.bit_count() - 1] if s >> i & 1 else -weight[s.bit_count()] for s in range(2 ** d)]
-        terms = F.zip_with("__v", F.array(*[F.lit(w) for w in weights]), lambda v, w: v * w)
+        terms = F.zip_with("__v", F.array(*[F.lit(w) for w in share[:, i].tolist()]), lambda v, w: v * w)
         return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
 
     out = F.array(*[F.struct(F.lit(c).alias("feature"), phi(i).alias("shap_value"), F.get("__v", 0).alias("base_value"))

@@ -3,6 +3,7 @@
 import math
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
@@ -197,3 +198,24 @@ def test_patterns_are_worked_out_once_whatever_the_rows(monkeypatch):
     monkeypatch.setattr(E, "_shares", lambda meets, *rest: worked.append(meets[0].size) or inner(meets, *rest))
     assert np.allclose(E.leaf_sums(x, leaves), by_row, atol=1e-12)
     assert sum(worked) == 8 * 70
+
+
+def test_linear_grid_is_the_general_enumeration(spark, monkeypatch):
+    """A linear model is scored in place: the same values, also for ids that repeat or are null and for missing values."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    cols = ["a", "b", "c"]
+    made = [(None if i in (60, 61) else i // 2 if i < 20 else i, float(i % 7), float(i * i % 11), None if i == 40 else float(i % 5)) for i in range(90)]
+    rows = spark.createDataFrame(made, "row_id long, a double, b double, c double")
+    whole = rows.dropna().withColumn("y", F.col("a") * 3 - F.col("b") * F.col("c"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"), LinearRegression(labelCol="y")]).fit(whole)
+    background = E.background_sample(whole, 15)
+    quick = E.exact_shap(rows, model, cols, background)
+    assert "MapInArrow" in quick._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(E, "_linear_scorer", lambda *_: None)
+    found, general = ({(r["row_id"], r["feature"]): (r["shap_value"], r["base_value"]) for r in df.collect()}
+                      for df in (quick, E.exact_shap(rows, model, cols, background)))
+    assert len(general) == 79 * 3 and set(found) == set(general)
+    np.testing.assert_allclose([found[k] for k in general], [general[k] for k in general], rtol=1e-9, atol=1e-9)
