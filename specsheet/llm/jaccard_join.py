@@ -19,7 +19,8 @@ the tokens that differ) discard pairs that cannot link. Three rounds hand on wha
 spanning forest, closest pairs first, from a few entries of each class; one between components from
 all entries; then, in units of which the second round left pairs out, every pair between different
 components. Each round's pairs are verified on their texts, and components follow from the verified links, so a group's pairs are never written in
-full and no link between components is lost.
+full and no link between components is lost. An entry of many blocks repeats its classes in many units, and many pairs repeat their
+texts: both are dealt out in turns of a bounded number of rows a document, so the disk in use grows with the input.
 
 Cases: null and wordless texts have an empty set and link with nothing; a text of fewer than ``n``
 words has one token; repeated rows and equal ids are equal sets; a null id takes no part and
@@ -29,6 +30,7 @@ has no component; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,7 @@ from .words import HashedText, Runs, hashed_texts, joint_codes, mix, text_bytes
 
 _SETS = "doc_id long, text_hash long, n long, low long, high long, prefix array<long>, bits binary"
 PAIRS = 1 << 18  # pairs of a unit held at a time
+UNIT_ROWS, TEXT_PAIRS = 1 << 16, 1 << 12  # of a turn, at least
 
 
 def shingles(text: HashedText, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +99,10 @@ def longest_prefix(tokens: np.ndarray, percent: int) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens that fall on each bit; more bits for larger sets."""
+    """Parity of the tokens that fall on each bit. Never fewer bits than tokens: sets that share nothing differ in
+    nearly half of the bits, and linked ones must differ in fewer."""
     size = 1024
-    while size * 4 < len(tokens):
+    while size < len(tokens):
         size *= 4
     counts = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits(counts.astype(np.uint8) & 1).tobytes()
@@ -106,12 +110,12 @@ def bitmap(tokens: np.ndarray) -> bytes:
 
 def token_sets(rows: DataFrame, n: int, percent: int) -> DataFrame:
     def build(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 1 << 11) for whole in batches for at in range(0, whole.num_rows, 1 << 11)):
             out: list[list] = [[] for _ in range(5)]
             for text in hashed_texts(batch.column(2), lower=True):
                 tokens, second = shingles(text, n)
                 sums = [int(np.add.reduce(v)) if len(v) else 0 for v in (mix(tokens), second)]
-                prefix = tokens[: longest_prefix(tokens, percent)] if len(tokens) else tokens
+                prefix = tokens[: longest_prefix(tokens, percent)].copy() if len(tokens) else tokens  # the others are let go
                 for column, value in zip(out, (len(tokens), *np.array(sums, np.uint64).view(np.int64).tolist(),
                                                prefix.view(np.int64), bitmap(tokens))):
                     column.append(value)
@@ -198,8 +202,9 @@ class Bitmaps:
         least = np.minimum(self.length[a], self.length[b])
         for size in np.unique(least).tolist():
             rows, maps, quarter = np.flatnonzero(least == size), self.maps[size], size // 32
-            for cut in range(0, len(rows), 1 << 15):
-                some = rows[cut : cut + (1 << 15)]
+            step = max(1, (1 << 22) // size)  # as many bytes whatever the size
+            for cut in range(0, len(rows), step):
+                some = rows[cut : cut + step]
                 p, q = self.rows[size][a[some]], self.rows[size][b[some]]
                 part = np.bitwise_count(maps[p, :quarter] ^ maps[q, :quarter]).sum(axis=1, dtype=np.int64)
                 near = part <= most[some]
@@ -326,6 +331,15 @@ def possible_pairs(units: DataFrame, percent: int, every: bool) -> DataFrame:
     return units.repartition(*keys).sortWithinPartitions(*keys, "id").mapInPandas(pairs, "a long, b long, unit long").distinct()
 
 
+def turns_of(df: DataFrame, keys: list[str], rows: int, most: int) -> list[DataFrame]:
+    """``df``, of about ``rows`` rows, in as few parts as leave each about ``most``; rows with equal ``keys`` stay together."""
+    turns = max(1, -(-rows // max(1, most)))
+    if turns == 1:
+        return [df]
+    turn = F.pmod(F.xxhash64(*keys, F.lit(23)), F.lit(turns))
+    return [df.where(turn == k) for k in range(turns)]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs of classes whose texts link, by their shingles as written; ``texts``: one per class."""
 
@@ -342,8 +356,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 
 def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int = 40, block: int = 1024, leaders: int = 32,
-                   broadcast_ids: int = 1_000_000) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``."""
+                   broadcast_ids: int = 1_000_000, turn_rows: float = 6, turn_pairs: float = 0.25) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``. At a time at most about ``turn_rows`` rows of units
+    and ``turn_pairs`` pairs with their texts are shuffled per document."""
     scratch = Scratch(docs.sparkSession, "jaccard-join")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     key = ["n", "low", "high"]
@@ -374,17 +389,26 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
     sketch = classes.select(F.col("id").alias("own"), "bits")
 
     def units(rows: DataFrame) -> DataFrame:
-        """Classes with their sketches, once per pair of blocks that theirs belongs to. An entry's largest component
-        has blocks of its own, which are not compared with each other."""
+        """Classes, once per pair of blocks that theirs belongs to. An entry's largest component has blocks of its
+        own, which are not compared with each other."""
         mark, major = F.xxhash64("id", "unit"), F.col("root").eqNullSafe(F.col("major"))
         own = F.when(major, F.pmod(mark, F.col("major_blocks"))).otherwise(F.col("major_blocks") + F.pmod(mark, F.col("minor_blocks"))).cast("int")
         first = F.when(major, F.col("major_blocks")).otherwise(F.lit(0))
         others = F.sequence(first, F.col("major_blocks") + F.col("minor_blocks") - 1)
-        return with_sketch(rows.select("unit", "id", "n", "root", own.alias("block"), F.explode(others).alias("with")))
+        return in_units(rows.select("unit", "id", "n", "root", own.alias("block"), F.explode(others).alias("with")))
+
+    def in_units(blocks: DataFrame) -> DataFrame:
+        return blocks.select("unit", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "root")
 
     def with_sketch(blocks: DataFrame) -> DataFrame:
-        return blocks.join(sketch, F.col("id") == F.col("own")).select(
-            "unit", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "n", "bits", "root")
+        return blocks.join(sketch, F.col("id") == F.col("own")).select("unit", "i", "j", "block", "id", "n", "bits", "root")
+
+    def met(blocks: DataFrame, every: bool, name: str, rows: int) -> DataFrame:
+        """The written pairs of units of about ``rows`` rows in all, found in turns; the sketches join a turn's rows alone."""
+        parts = turns_of(blocks, ["unit", "i", "j"], rows, max(int(turn_rows * size), UNIT_ROWS))
+        found = [scratch.table(possible_pairs(with_sketch(p), percent, every), f"{name}-pairs-{k}" if len(parts) > 1 else f"{name}-pairs", 4 * size)
+                 for k, p in enumerate(parts)]
+        return found[0] if len(found) == 1 else scratch.table(reduce(DataFrame.unionByName, found).distinct(), f"{name}-pairs", 4 * size)
 
     def leader_units(large: DataFrame) -> DataFrame:
         """The classes of large entries in blocks, each along with a few leaders of the entry."""
@@ -392,24 +416,29 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         lead = large.withColumn("turn", F.row_number().over(by_hash)).where(F.col("turn") <= leaders)
         lead = lead.select("unit", "id", "n", "root", F.lit(-1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
         own = F.pmod(F.xxhash64("id", "unit"), F.col("blocks")).cast("int")
-        return with_sketch(large.select("unit", "id", "n", "root", own.alias("block"), F.lit(-1).alias("with")).unionByName(lead))
+        return in_units(large.select("unit", "id", "n", "root", own.alias("block"), F.lit(-1).alias("with")).unionByName(lead))
 
-    def check(found_pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """The verified pairs, and the units that have more pairs."""
-        handed = scratch.table(found_pairs, f"{name}-pairs", 4 * size)
+    def check(handed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The verified pairs of a written table, and the units that have more pairs."""
         pairs = handed.where("unit IS NULL").select("a", "b")
+        parts = turns_of(pairs, ["a"], pairs.count(), max(int(turn_pairs * size), TEXT_PAIRS))
+        links = [linked(p, f"{name}-{k}" if len(parts) > 1 else name) for k, p in enumerate(parts)]
+        return reduce(DataFrame.unionByName, links), handed.where("unit IS NOT NULL").select(F.col("unit").alias("left"))
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose texts link, written."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct()
         ids = scratch.table(ids.join(classes.select("id", "of"), F.col("own") == F.col("id")).select(
             "id", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash")), f"{name}-ids", size)
         few = ids.count() <= broadcast_ids
         same = (F.col("doc_id") == F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
         texts = rows.join(F.broadcast(ids) if few else ids, same).select("id", "text").dropDuplicates(["id"])
-        more = handed.where("unit IS NOT NULL").select(F.col("unit").alias("left"))
-        return scratch.table(verified(pairs, texts, n, percent), f"{name}-links", 16 * size), more
+        return scratch.table(verified(pairs, texts, n, percent), f"{name}-links", 16 * size)
 
-    def still_open(rows: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
+    def still_open(rows: DataFrame, roots: DataFrame | None, name: str) -> tuple[DataFrame, int]:
         """Rows of the entries whose classes lie in two components or more; of entries of one block
-        those with a partner. With the numbers of blocks of an entry's largest component and of its others."""
+        those with a partner. With the numbers of blocks of an entry's largest component and of its others, and
+        the most rows that ``units`` makes of them."""
         rooted = rows.withColumn("root", F.col("id"))
         if roots is not None:
             rooted = rows.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
@@ -417,11 +446,14 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         in_blocks = lambda c: F.ceil(c / block).cast("int")
         some = rooted.where("blocks > 1").groupBy("unit", "root").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("unit").alias("open")).agg(
             F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("m")).where("most < m")
-        some = some.select("open", "major", in_blocks(F.col("most")).alias("major_blocks"), in_blocks(F.col("m") - F.col("most")).alias("minor_blocks"))
-        large = rooted.where("blocks > 1").join(scratch.table(some, f"{name}-open", size), F.col("unit") == F.col("open")).drop("open")
+        some = some.select("open", "major", in_blocks(F.col("most")).alias("major_blocks"), in_blocks(F.col("m") - F.col("most")).alias("minor_blocks"), "m", "most")
+        some = scratch.table(some, f"{name}-open", size)
+        repeats = some.agg(F.sum(F.expr("most * minor_blocks + (m - most) * (major_blocks + minor_blocks)"))).first()[0] or 0
+        large = rooted.where("blocks > 1").join(some.drop("m", "most"), F.col("unit") == F.col("open")).drop("open")
         small = rooted.where("blocks = 1")
+        repeats += small.count()
         small = small if roots is None else with_partners(small, percent)  # found has them without roots
-        return small.withColumns({"major": F.lit(None).cast("long"), "major_blocks": F.lit(0), "minor_blocks": F.lit(1)}).unionByName(large)
+        return small.withColumns({"major": F.lit(None).cast("long"), "major_blocks": F.lit(0), "minor_blocks": F.lit(1)}).unionByName(large), repeats
 
     def merged(roots: DataFrame | None, more: DataFrame, name: str) -> DataFrame:
         """Components of the links so far: those of ``roots``, joined by ``more`` links. Only links between two
@@ -437,13 +469,16 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int
         return scratch.table(old.unionByName(new.join(roots.select("node"), "node", "left_anti").select("node", "root")), f"{name}-merged", size)
 
     large, roots = found.where("blocks > 1").withColumn("root", F.col("id")), None
-    if large.limit(1).count():
-        links, _ = check(possible_pairs(leader_units(large), percent, every=False), "leaders")
+    many = large.count()
+    if many:
+        links, _ = check(met(leader_units(large), False, "leaders", many * (block + leaders) // block), "leaders")
         roots = merged(None, links, "leader")
-    links, _ = check(possible_pairs(units(still_open(found.where(F.col("place") <= 4), roots, "few")), percent, every=False), "few")
+    some, repeats = still_open(found.where(F.col("place") <= 4), roots, "few")
+    links, _ = check(met(units(some), False, "few", repeats), "few")
     roots, open_rows = merged(roots, links, "few"), found
     for name, every in (("forest", False), ("rest", True)):
-        more, left = check(possible_pairs(units(still_open(open_rows, roots, name)), percent, every), name)
+        some, repeats = still_open(open_rows, roots, name)
+        more, left = check(met(units(some), every, name, repeats), name)
         if more.limit(1).count():
             roots = merged(roots, more, name)
         open_rows = found.join(left, F.col("unit") == F.col("left"), "left_semi")

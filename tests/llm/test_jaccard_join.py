@@ -68,3 +68,33 @@ def test_prefix_length_counts_subclasses():
     often = ~rare
     groups = len(np.unique(J.subclass(tokens[: J.prefix_length(tokens, often, 30, 3)], 3)))
     assert J.prefix_length(tokens, often, 30, 3) == 31 + groups
+
+
+@pytest.mark.parametrize("size", [300, 3000, 9000, 40000])
+def test_bitmaps_part_sets_of_nothing_in_common(size):
+    """However many tokens: sets that share none differ in more bits than linked ones may."""
+    import numpy as np
+
+    rng = np.random.default_rng(size)
+    sets = [np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)) for _ in range(6)]
+    near = np.union1d(sets[0][size // 20 :], rng.integers(0, 2**63, size // 20, dtype=np.uint64))
+    maps = J.Bitmaps([J.bitmap(t) for t in [*sets, near]])
+    n = np.array([len(t) for t in [*sets, near]])
+    a, b = np.triu_indices(7, 1)
+    good, _ = maps.within(a, b, n[a] + n[b] - 2 * -(-80 * (n[a] + n[b]) // 180))
+    assert [(int(x), int(y)) for x, y in zip(a[good], b[good])] == [(0, 6)]
+
+
+def test_units_and_texts_are_dealt_out_in_turns(spark, monkeypatch):
+    """An entry of many blocks repeats its classes, and pairs their texts; no turn shuffles more than its share."""
+    texts = group_texts(5)
+    docs, rows, pairs = documents(spark, list(enumerate(texts))), [], []
+    find, verify = J.possible_pairs, J.verified
+    monkeypatch.setattr(J, "UNIT_ROWS", 500)
+    monkeypatch.setattr(J, "TEXT_PAIRS", 40)
+    monkeypatch.setattr(J, "possible_pairs", lambda units, *rest: rows.append(units.count()) or find(units, *rest))
+    monkeypatch.setattr(J, "verified", lambda some, *rest: pairs.append(some.count()) or verify(some, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link_documents(docs, frequent=3, block=5, turn_rows=3, turn_pairs=0.1).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+    assert max(rows) < 2 * 3 * len(texts) < sum(rows)  # a unit stays whole, so a share is met nearly
+    assert max(pairs) < 2 * 40 < sum(pairs)
