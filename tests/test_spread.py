@@ -63,3 +63,53 @@ def test_fits_start_from_these_partitions(spark, monkeypatch):
     models.PerformanceClassifier(["a"], fast=True).cross_validate(rows, "k", 2)
     assert len(seen) == 3 + 4 + 3 + 6 and max(seen) <= cores
     assert models.regression_candidates()["random_forest"].getCacheNodeIds()
+
+
+def test_many_training_rows_lie_by_their_features(spark):
+    from specsheet.operators.models import near_rows
+
+    rows = spark.range(0, 2 * ROWS_A_TASK + 5, 1, 3).select(
+        F.col("id").alias("row_id"), *[F.when(F.col("id") % 101 > 0, F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)).cast("double")).alias(c) for c in "ab"])
+    out = near_rows(rows, ["a", "b"], "row_id")
+    assert out.columns == rows.columns and out.exceptAll(rows).count() == 0 and out.count() == rows.count()
+    assert out.rdd.getNumPartitions() == 3
+    cells = lambda df: df.select(F.spark_partition_id().alias("p"), F.floor(F.col("a") / 125), F.floor(F.col("b") / 125))
+
+    def steps(df):
+        got = cells(df).collect()
+        return sum(x != y for x, y in zip(got, got[1:]))
+
+    assert steps(out) < steps(rows) / 5
+    few = rows.limit(50)
+    assert near_rows(few, ["a", "b"], "row_id") is few
+
+
+def test_fits_at_once_share_the_cores(spark, monkeypatch):
+    from specsheet.operators import models
+
+    seen = []
+    monkeypatch.setattr(models, "Pipeline", lambda stages: type("Fit", (), {"fit": lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or 1 / 0})())
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(models, "ROWS_A_TASK", 20)
+    rows = spark.range(0, 40 * cores, 1, 3).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("y"),
+                                                   F.when(F.col("id") % 2 == 0, "x").otherwise("z").alias("k"))
+    models.PricePredictor(["a"], fast=True).cross_validate(rows, "y", 2)
+    models.PerformanceClassifier(["a"], fast=True).cross_validate(rows, "k", 2)
+    assert len(seen) == 4 + 6 and max(seen) == -(-cores // 2)
+    seen.clear()
+    models.PricePredictor(["a"], fast=True).train(rows, "y")
+    assert max(seen) == cores
+
+
+def test_both_models_of_what_if_train_at_once(spark, tmp_path, monkeypatch):
+    import threading
+
+    from specsheet.plans import ml_queries
+
+    both = threading.Barrier(2, timeout=20)  # passes only if the other training has begun
+    _part(spark, str(tmp_path), 40)
+    monkeypatch.setattr(ml_queries, "regressor", lambda *a: both.wait() * 0 or ("price", None))
+    monkeypatch.setattr(ml_queries, "classifier", lambda *a: both.wait() * 0 or ("class", None))
+    seen = []
+    monkeypatch.setattr(ml_queries.explore, "what_if", lambda pp, pc, rows: seen.append((pp, pc)) or rows.select("row_id", F.lit(1.0).alias("predicted_price"), F.lit("x").alias("predicted_category")))
+    assert ml_queries.q_what_if_rows(spark, str(tmp_path)).where("priced AND labelled").count() > 0 and seen == [("price", "class")]
